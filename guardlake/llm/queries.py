@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardlake.llm import decontam, linededup, sharding
+from guardlake.llm import bpe, decontam, langid, linededup, quality, sharding
+from guardlake.llm.shared import training_row
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +19,35 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents")).drop("source", "frac_rank")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs), keep=["doc_id"]).select("doc_id", (~training_row()).alias("held_out"), "lang_pred", "score")
+
+
+def byte_vocabulary() -> list[bytes]:
+    import public_tokenizers
+
+    return bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = byte_vocabulary()
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
+    decoded = bpe.decode(encoded, vocabulary)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.drop_repeated_lines(docs, keep=["doc_id"]).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, keep=["doc_id"]).select("doc_id", (~training_row()).alias("held_out"), "score", "predicted")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
@@ -84,7 +109,10 @@ FROM d LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_language_id": op2_language_id,
+        "op4_byte_bpe": op4_byte_bpe,
         "op6_line_dedup": op6_line_dedup,
+        "op9_quality": op9_quality,
         "op10_decontamination": op10_decontamination,
     }
 
