@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardlake.llm import bpe, decontam, langid, linededup, quality, sharding
+from guardlake.llm import bpe, decontam, langid, linededup, neardup, quality, sharding
 from guardlake.llm.shared import training_row
 
 
@@ -42,6 +42,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_repeated_lines(docs, keep=["doc_id"]).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -112,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": op2_language_id,
         "op4_byte_bpe": op4_byte_bpe,
         "op6_line_dedup": op6_line_dedup,
+        "op8_near_dedup": op8_near_dedup,
         "op9_quality": op9_quality,
         "op10_decontamination": op10_decontamination,
     }
