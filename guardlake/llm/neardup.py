@@ -6,14 +6,17 @@ height, and every coordinate of the signature keeps the earliest dart that falls
 a coordinate with the probability of their (weighted) Jaccard similarity.
 
 Texts with equal shingle sets are one node from the start. Nodes that agree in a whole band of coordinates
-share a bucket. Within a bucket nodes are compared with a few leaders at a time, never all with all:
-a comparison is needed only between different components, so after each round the components are found
-anew and buckets that are one component are done. Rounds go on until no bucket has an uncompared pair of
-different components, so no link between different texts that share a bucket is lost.
+share a bucket, and each node is compared with its buckets' smallest nodes, never all with all. Most buckets
+are then one component and done. The nodes of the others, which often share a passage but are not alike,
+are told apart by prefixes: of two sets with a similarity of 0.8 each has an element of the other among its
+rarest fifth, in any order of elements that is the same for all. Nodes that share such an element and are
+of different components are compared, a few leaders at a time, until no uncompared pair of different
+components is left. So no link between different texts that share a bucket is lost.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +35,11 @@ BANDS = 24
 ROWS = 5
 #: Nodes of which the texts are compared are broadcast as ids up to this number; beyond it they are joined.
 MAX_BROADCAST_IDS = 1_000_000
-LEADERS = 8
+LEADERS = 16
+#: Tables of links and buckets are read with so many rows a task; those that fit one task need no shuffle.
+ROWS_PER_TASK = 200_000
+#: Cells in which elements are counted to put the rarest first.
+CELLS = 1 << 18
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -136,6 +143,12 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
 
 
+def sized(df: DataFrame, name: str) -> DataFrame:
+    """df, written, and read in tasks of ROWS_PER_TASK rows."""
+    out = written(df, name)
+    return out.coalesce(max(1, -(-out.count() // ROWS_PER_TASK)))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, comp (the smallest node that it is linked with) of every node with an edge (a, b).
 
@@ -143,17 +156,17 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     until nothing changes; a number of rounds that grows with the logarithm of the longest path.
     """
     kind = edges.schema["a"].dataType.simpleString()
-    edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    edges = sized(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = both.coalesce(edges.rdd.getNumPartitions())
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = written(large, name)
+        large = both.join(least, "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = sized(large, name)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = written(small, name)
+        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        edges = sized(small.coalesce(large.rdd.getNumPartitions()).distinct(), name)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -162,6 +175,44 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots).select(F.col("node").cast(kind), F.col("comp").cast(kind))
 
 
+def element_counts(texts: DataFrame, words: int) -> np.ndarray:
+    """In CELLS cells, how many elements of the texts' shingle sets fall to each: a bounded sketch of how common they are."""
+
+    def count(batches):
+        for batch in batches:
+            cells = np.zeros(CELLS, np.int64)
+            for text in batch.column(0).to_pylist():
+                np.add.at(cells, (shingles(text, words) % np.uint64(CELLS)).astype(np.int64), 1)
+            at = np.flatnonzero(cells)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], names=["cell", "n"])
+
+    found = texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(CELLS, np.int64)
+    out[found.cell.to_numpy(np.int64)] = found.n.to_numpy(np.int64)
+    return out
+
+
+def prefix(elements: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
+    """The rarest elements, so many that a set with similarity `threshold` has one of them in its own prefix."""
+    n = len(elements) - math.ceil(threshold * len(elements) - 1e-9) + 1
+    return elements[np.lexsort((elements, counts[(elements % np.uint64(CELLS)).astype(np.int64)]))[:n]]
+
+
+def prefixes(texts: DataFrame, threshold: float, words: int) -> DataFrame:
+    """node, n, token of each text's prefix."""
+    held = texts.sparkSession.sparkContext.broadcast(element_counts(texts, words))
+
+    def make():
+        def of(column):
+            sets = [shingles(t, words) for t in column]
+            return [[len(x) for x in sets], [prefix(x, held.value, threshold).view(np.int64) for x in sets]]
+
+        return of
+
+    fields = [T.StructField("n", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))]
+    return map_text(texts, ["text"], make, fields, ["node"]).select("node", "n", F.explode("tokens").alias("token"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """id_col, class_id (the smallest id of the class) and copy_of (the smallest id with the same shingle set), a row for each row.
 
@@ -171,49 +222,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own. Rows with the same id are one document. Rows with a null id have a null class. An empty table
     gives none. Extra columns are left out, so their names cannot clash.
     """
-    spark = docs.sparkSession
     sig = written(signatures(docs, id_col, text_col, bands, rows, words), "signatures")
     copies = written(sig.groupBy("d1", "d2").agg(F.min("id").alias("node")), "copies")
     nodes = sig.filter("n > 0").join(copies.select(F.col("node").alias("id")), "id", "left_semi")
     spread = nodes.select(F.col("id").alias("node"), "n", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("first"), F.max("node").alias("last")).filter("first.node < last")
-    members = written(spread.join(shared.select("bucket", "first"), "bucket"), "buckets")
+    members = sized(spread.join(shared.select("bucket", "first"), "bucket"), "buckets")
 
     close = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)  # noqa: E731  no similarity is larger than the ratio of the sizes
     pairs = members.filter((F.col("node") != F.col("first.node")) & close(F.col("n"), F.col("first.n"))).select(F.col("node").alias("a"), F.col("first.node").alias("b")).distinct()
-    wanted = members.select(F.col("node").alias("id")).distinct()
-    few = wanted.count() <= MAX_BROADCAST_IDS
-    texts = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
-    texts = written(texts.filter(F.col("text").isNotNull()).withColumnRenamed("id", "node"), "candidate-texts")
-    edges = written(verified(pairs, texts, threshold, words), "links")
-    comps = written(components(edges), "classes")
-
-    left = members.select("bucket", "node", "n", (F.col("node") == F.col("first.node")).alias("turned"))
+    texts = written(texts_of(docs, members.select("node").distinct(), id_col, text_col), "candidate-texts")
+    comps = sized(components(sized(verified(pairs, texts, threshold, words), "links")), "classes")
+
+    in_comp = members.join(comps, "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    mixed = in_comp.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi and size > 2").select("bucket")
+    unsure = sized(in_comp.join(mixed, "bucket", "left_semi").select("node").distinct(), "unsure")
+    state = None
+    if not unsure.isEmpty():
+        state = prefixes(texts.join(unsure, "node", "left_semi"), threshold, words)
+        several = state.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token")
+        state = sized(state.join(several, "token", "left_semi").withColumn("turned", F.lit(False)), "prefixes")
     leaders = LEADERS
-    while True:
-        now = left.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.col("turned").cast("int") - 1).alias("open")).filter("lo <> hi and open <= -2").select("bucket")
-        now = written(now.join(mixed, "bucket").select("bucket", "node", "n", "turned", "comp"), "mixed-buckets")
-        if now.isEmpty():
+    while state is not None:
+        now = state.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        main = now.groupBy("token", "comp").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
+        now = sized(now.join(main.select("token", "main"), "token"), "mixed")
+        turn = now.filter("not turned and comp <> main").withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy("node"))).filter(F.col("place") <= leaders)
+        turn = sized(turn.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b")), "leaders")
+        if turn.isEmpty():
             break
-        open_ = now.filter("not turned")
-        turn = open_.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).filter(F.col("place") <= leaders)
-        turn = written(turn.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b")), "leaders")
-        # of two that are not yet compared, the smaller takes its turn first
-        pairs = open_.join(turn, "bucket").filter((F.col("node") > F.col("b")) & (F.col("comp") != F.col("comp_b")) & close(F.col("n"), F.col("n_b")))
-        more = written(verified(pairs.select(F.col("node").alias("a"), "b").distinct(), texts, threshold, words), "links")
+        now = now.join(turn.select("token", F.col("b").alias("node"), F.lit(True).alias("leads")), ["token", "node"], "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
+        pairs = now.filter("not turned").join(turn, "token").filter((F.col("comp") != F.col("comp_b")) & (~F.col("leads") | (F.col("node") > F.col("b"))) & close(F.col("n"), F.col("n_b")))
+        more = sized(verified(pairs.select(F.col("node").alias("a"), "b").distinct(), texts, threshold, words), "links")
+        state = sized(now.select("token", "node", "n", (F.col("turned") | F.col("leads")).alias("turned")), "prefixes")
         if not more.isEmpty():
-            comps = written(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)), "classes")
-        left = now.join(turn.select("bucket", F.col("b").alias("node"), F.lit(True).alias("now")), ["bucket", "node"], "left").select("bucket", "node", "n", (F.col("turned") | F.col("now").isNotNull()).alias("turned"))
-        leaders *= 2
+            comps = sized(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)), "classes")
+        leaders *= LEADERS
 
-    copied = sig.join(copies, ["d1", "d2"]).select("id", "node")
-    classed = copied.join(comps, "node", "left").select("id", F.coalesce("comp", "node").alias("class"), "node")
+    classed = sig.join(copies, ["d1", "d2"]).select("id", "node").join(comps, "node", "left").select("id", F.coalesce("comp", "node").alias("class"), "node")
     rest = docs.filter(named(text_col).isNull() | named(id_col).isNull()).select(named(id_col).alias("id"), named(id_col).alias("class"), named(id_col).alias("node"))
     out = classed.unionByName(rest)
     return out.select(F.col("id").alias(id_col), F.col("class").alias("class_id"), F.col("node").alias("copy_of"))
 
 
+def texts_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node and text of the documents whose ids are in nodes; the ids are broadcast if there are few."""
+    ids = nodes.select(F.col("node").alias("id"))
+    few = ids.count() <= MAX_BROADCAST_IDS
+    rows = docs.filter(named(text_col).isNotNull()).select(named(id_col).alias("id"), named(text_col).alias("text"))
+    return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi").select(F.col("id").alias("node"), "text")
+
+
 def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs that stand for their class: the one with the smallest id; rows with a null id all stay."""
     stay = classes.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("_gl_id")).distinct()

@@ -21,6 +21,8 @@ from guardlake.llm.shared import named, written
 
 SHARDS = 16
 SEED = "guardlake-1"
+#: The sources' row counts are broadcast up to so many sources; beyond that they are joined.
+MAX_BROADCAST_SOURCES = 100_000
 
 
 def shards(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -43,8 +45,8 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED, id_col: st
         F.coalesce(F.concat(F.lit("="), source), F.lit("null")).alias("stratum"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(named(id_col).cast("string"), F.lit(""))).cast("binary")).alias("digest"),
     )
-    sizes = rows.groupBy("stratum").agg(F.count("*").alias("n"))
-    rows = rows.join(sizes, "stratum").withColumn("bucket", F.expr(f"(cast(conv(substring(digest, 1, 8), 16, 10) as bigint) * ((n + {per_bucket - 1}) div {per_bucket})) div 4294967296"))
+    sizes = written(rows.groupBy("stratum").agg(F.count("*").alias("n")), "source-sizes")
+    rows = rows.join(F.broadcast(sizes) if sizes.count() <= MAX_BROADCAST_SOURCES else sizes, "stratum").withColumn("bucket", F.expr(f"(cast(conv(substring(digest, 1, 8), 16, 10) as bigint) * ((n + {per_bucket - 1}) div {per_bucket})) div 4294967296"))
     earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
     before = rows.groupBy("stratum", "bucket").agg(F.count("*").alias("held")).select("stratum", "bucket", F.coalesce(F.sum("held").over(earlier.partitionBy("stratum").orderBy("bucket")), F.lit(0)).alias("before"))
     in_bucket = Window.partitionBy("stratum", "bucket").orderBy("digest", "doc_id", "text_crc32", "size")
