@@ -17,9 +17,10 @@ import base64
 import heapq
 import sys
 import unicodedata
+import uuid
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from pyspark.sql import types as T
 from guardlake.llm.shared import map_text
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
-#: Pieces kept with their ids in each task; a full cache is emptied.
-CACHE_PIECES = 200_000
+#: Pieces kept with their ids in each Python process, in two halves of which the older is given up.
+CACHE_PIECES = 400_000
 #: Pieces of more bytes are merged by a heap.
 SHORT = 64
 
@@ -61,7 +62,7 @@ def piece_starts(text: str) -> np.ndarray:
     change = np.empty(n + 1, bool)
     change[0] = change[n] = True
     np.not_equal(kind[1:], kind[:-1], out=change[1:n])
-    began = np.maximum.accumulate(np.where(change[:n], np.arange(n), 0))  # the scan: where each code point's run began
+    began = np.maximum.accumulate(np.arange(n, dtype=np.int32) * change[:n])  # the scan: where each code point's run began
     starts = change.copy()
     last = np.flatnonzero((kind == SPACE) & change[1:])  # last code points of white-space runs
     if len(last) and last[-1] == n - 1:
@@ -84,61 +85,86 @@ def piece_starts(text: str) -> np.ndarray:
     return np.flatnonzero(starts[:n])
 
 
-def merge_pairs(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one piece: the adjacent pair of lowest rank, leftmost first, is merged until none is left."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    if len(piece) <= SHORT:
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
+def pair_ranks(vocabulary: list[bytes]) -> dict[int, int]:
+    """The id that two adjacent ids merge into, by (left id << 32) + right id."""
+    known = {token: i for i, token in enumerate(vocabulary) if token}
+    pairs = {}
+    for token, rank in known.items():
+        for cut in range(1, len(token)):
+            left, right = known.get(token[:cut]), known.get(token[cut:])
+            if left is not None and right is not None:
+                pairs[(left << 32) + right] = rank
+    return pairs
+
+
+_NONE = 1 << 60
+
+
+def merge_pairs(ids: list[int], pairs: dict[int, int]) -> list[int]:
+    """Merges the adjacent pair of lowest rank, leftmost first, until none is left; ids are those of single bytes."""
+    get = pairs.get
+    if len(ids) <= SHORT:
+        ranks = [get((a << 32) + b, _NONE) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            rank = min(ranks)
+            if rank == _NONE:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
-    n = len(parts)
-    after, ahead = list(range(1, n + 1)), list(range(-1, n - 1))
-    alive: list[bytes | None] = list(parts)
-    heap = [(r, i, parts[i] + parts[i + 1]) for i in range(n - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
+            at = ranks.index(rank)
+            ids[at : at + 2] = [rank]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get((ids[at - 1] << 32) + rank, _NONE)
+            if at < len(ranks):
+                ranks[at] = get((rank << 32) + ids[at + 1], _NONE)
+        return ids
+    n = len(ids)
+    after, ahead, alive = list(range(1, n + 1)), list(range(-1, n - 1)), list(ids)
+    heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get((ids[i] << 32) + ids[i + 1])) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, pair = heapq.heappop(heap)
+        rank, i, left, right = heapq.heappop(heap)
         j = after[i]
-        if alive[i] is None or j >= n or alive[i] + alive[j] != pair:
-            continue
-        alive[i], alive[j] = pair, None
+        if j >= n or alive[i] != left or alive[j] != right:
+            continue  # a part of it has been merged meanwhile
+        alive[i], alive[j] = rank, -1
         after[i] = after[j]
         if after[i] < n:
             ahead[after[i]] = i
         for a, b in ((ahead[i], i), (i, after[i])):
-            if a >= 0 and b < n and (r := ranks.get(alive[a] + alive[b])) is not None:
-                heapq.heappush(heap, (r, a, alive[a] + alive[b]))
-    return [ranks[p] for p in alive if p is not None]
+            if a >= 0 and b < n and (r := get((alive[a] << 32) + alive[b])) is not None:
+                heapq.heappush(heap, (r, a, alive[a], alive[b]))
+    return [x for x in alive if x >= 0]
 
 
 class Encoder:
     """Texts to ids, with a bounded cache of pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], cache: int = CACHE_PIECES):
-        self.ranks, self.cache, self.size = ranks, {}, cache
+    def __init__(self, vocabulary: list[bytes], pairs: dict[int, int] | None = None, cache: int = CACHE_PIECES):
+        self.pairs = pair_ranks(vocabulary) if pairs is None else pairs
+        single = {token: i for i, token in enumerate(vocabulary) if len(token) == 1}
+        self.bytes, self.cache, self.old, self.size = [single[bytes([b])] for b in range(256)], {}, {}, cache
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(merge_pairs(piece.encode("utf-8", "surrogatepass"), self.ranks))
-        if len(self.cache) >= self.size:
-            self.cache.clear()
+    def piece(self, piece: str) -> bytes:
+        """The ids of a piece that the cache's younger half does not have, as packed 32-bit numbers."""
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array("i", merge_pairs(list(map(self.bytes.__getitem__, piece.encode("utf-8", "surrogatepass"))), self.pairs)).tobytes()
         if len(piece) <= SHORT:
+            if 2 * len(self.cache) >= self.size:
+                self.cache, self.old = {}, self.cache
             self.cache[piece] = ids
         return ids
 
-    def ids(self, text: str) -> list[int]:
+    def ids(self, text: str) -> np.ndarray:
         starts = piece_starts(text).tolist()
-        get, miss = self.cache.get, self.piece
-        return list(chain.from_iterable([get(p) or miss(p) for p in [text[a:b] for a, b in zip(starts, [*starts[1:], None])]]))
+        miss = self.piece
+        ends = starts[1:]
+        ends.append(len(text))
+        return np.frombuffer(b"".join([self.cache.get(p) or miss(p) for p in [text[a:b] for a, b in zip(starts, ends)]]), np.int32)
+
+
+#: The encoder of this process, with the name of its vocabulary: its cache outlives a task.
+_kept: dict[str, Encoder] = {}
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -163,17 +189,21 @@ def encode(docs: DataFrame, vocabulary: list[bytes], text_col: str = "text", kee
     Null and empty texts get no ids. Special tokens are ordinary text. Columns of docs named ids or
     offsets are replaced. The vocabulary is broadcast: its size does not depend on the data.
     """
-    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    held = docs.sparkSession.sparkContext.broadcast((vocabulary, pair_ranks(vocabulary)))
+    name = uuid.uuid4().hex
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("offsets", T.ArrayType(T.LongType()))] * offsets
 
     def make() -> Callable:
-        encoder = Encoder({token: i for i, token in enumerate(held.value) if token})
-        lengths = np.array([len(t) for t in held.value], np.int64)
+        if name not in _kept:
+            _kept.clear()
+            _kept[name] = Encoder(*held.value)
+        encoder = _kept[name]
+        lengths = np.array([len(t) for t in held.value[0]], np.int64) if offsets else None
 
         def of(texts):
             sizes, flat = [], []
             for text in texts:
-                ids = np.array(encoder.ids(text), np.int32) if text else np.zeros(0, np.int32)
+                ids = encoder.ids(text) if text else np.zeros(0, np.int32)
                 sizes.append(len(ids))
                 flat.append(ids)
             values = np.concatenate(flat) if flat else np.zeros(0, np.int32)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows that a task's Python side handles together.
+ROWS_AT_ONCE = 500
 #: Only for sessions that name no shared folder, as in tests.
 _own_dir: list[str] = []
 
@@ -67,10 +69,12 @@ def map_text(df: DataFrame, text: Sequence[str], make: Callable, fields: Sequenc
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(schema)
-        for batch in batches:
-            made = function(*[batch.column(i).to_pylist() for i in range(n, batch.num_columns)])
-            made = [x if isinstance(x, pa.Array) else pa.array(x, target.field(n + i).type) for i, x in enumerate(made)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n)], *made], names=target.names)
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(first, ROWS_AT_ONCE)
+                made = function(*[batch.column(i).to_pylist() for i in range(n, batch.num_columns)])
+                made = [x if isinstance(x, pa.Array) else pa.array(x, target.field(n + i).type) for i, x in enumerate(made)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n)], *made], names=target.names)
 
     return source.mapInArrow(run, schema)
 

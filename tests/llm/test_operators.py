@@ -180,13 +180,13 @@ def tiktoken_like():
 def test_ids_equal_the_library(spark, tiktoken_like):
     vocabulary, library = tiktoken_like
     rng = random.Random(1)
-    own = bpe.Encoder({t: i for i, t in enumerate(vocabulary) if t}, cache=50)
+    own = bpe.Encoder(vocabulary, cache=50)
     alphabet = "abcsdtmrelvLVE''''  \n\t\r 19.,!?éßñ漢字 　\x1c\x85٣½ǅ🙂́"
     for _ in range(5000):
         text = "".join(rng.choices(alphabet, k=rng.randint(0, 20)))
-        assert own.ids(text) == library.encode_ordinary(text), repr(text)
+        assert own.ids(text).tolist() == library.encode_ordinary(text), repr(text)
     for text in ("a" * 3000, "ab" * 40 + "xyz" * 100, "é" * 500, " " * 5000, "'" * 300 + "s", "<|endoftext|>"):
-        assert own.ids(text) == library.encode_ordinary(text)
+        assert own.ids(text).tolist() == library.encode_ordinary(text)
 
 
 def test_encode_and_decode_round_trip(spark, tiktoken_like):
