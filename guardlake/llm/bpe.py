@@ -167,6 +167,13 @@ class Encoder:
 _kept: dict[str, Encoder] = {}
 
 
+def kept_encoder(name: str, held) -> Encoder:
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = Encoder(*held.value)
+    return _kept[name]
+
+
 def read_ranks(path: str) -> list[bytes]:
     """The bytes of each id, by id, from a file of base64 and rank."""
     with open(path, "rb") as lines:
@@ -194,10 +201,7 @@ def encode(docs: DataFrame, vocabulary: list[bytes], text_col: str = "text", kee
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("offsets", T.ArrayType(T.LongType()))] * offsets
 
     def make() -> Callable:
-        if name not in _kept:
-            _kept.clear()
-            _kept[name] = Encoder(*held.value)
-        encoder = _kept[name]
+        encoder = kept_encoder(name, held)
         lengths = np.array([len(t) for t in held.value[0]], np.int64) if offsets else None
 
         def of(texts):
