@@ -60,7 +60,8 @@ def map_text(df: DataFrame, text: Sequence[str], make: Callable, fields: Sequenc
     """
     new = {f.name.lower() for f in fields}
     keep = [c for c in keep if c.lower() not in new]
-    source = df.select(*[named(c) for c in keep], *[named(c).alias(f"_gl_in{i}") for i, c in enumerate(text)])
+    source = df.select(*[named(c) for c in keep], *[named(c).alias(f"_gl_in{i}") for i, c in enumerate(text) if c not in keep])
+    places = [keep.index(c) if c in keep else len(keep) + sum(x not in keep for x in text[:i]) for i, c in enumerate(text)]
     schema = T.StructType([*source.schema.fields[: len(keep)], *fields])
     n = len(keep)
 
@@ -72,7 +73,7 @@ def map_text(df: DataFrame, text: Sequence[str], make: Callable, fields: Sequenc
         for whole in batches:
             for first in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(first, ROWS_AT_ONCE)
-                made = function(*[batch.column(i).to_pylist() for i in range(n, batch.num_columns)])
+                made = function(*[batch.column(i).to_pylist() for i in places])
                 made = [x if isinstance(x, pa.Array) else pa.array(x, target.field(n + i).type) for i, x in enumerate(made)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n)], *made], names=target.names)
 
