@@ -35,7 +35,7 @@ BANDS = 24
 ROWS = 5
 #: Nodes of which the texts are compared are broadcast as ids up to this number; beyond it they are joined.
 MAX_BROADCAST_IDS = 1_000_000
-LEADERS = 16
+LEADERS = 64
 #: Tables of links and buckets are read with so many rows a task; those that fit one task need no shuffle.
 ROWS_PER_TASK = 200_000
 #: Cells in which elements are counted to put the rarest first.
@@ -199,7 +199,7 @@ def prefix(elements: np.ndarray, counts: np.ndarray, threshold: float) -> np.nda
 
 
 def prefixes(texts: DataFrame, threshold: float, words: int) -> DataFrame:
-    """node, n, token of each text's prefix."""
+    """node, n, pos, token of each text's prefix, the rarest at position 0."""
     held = texts.sparkSession.sparkContext.broadcast(element_counts(texts, words))
 
     def make():
@@ -210,7 +210,7 @@ def prefixes(texts: DataFrame, threshold: float, words: int) -> DataFrame:
         return of
 
     fields = [T.StructField("n", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))]
-    return map_text(texts, ["text"], make, fields, ["node"]).select("node", "n", F.explode("tokens").alias("token"))
+    return map_text(texts, ["text"], make, fields, ["node"]).select("node", "n", F.posexplode("tokens").alias("pos", "token"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -229,6 +229,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = spread.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("first"), F.max("node").alias("last")).filter("first.node < last")
     members = sized(spread.join(shared.select("bucket", "first"), "bucket"), "buckets")
 
+    # two sets whose first common element is at these positions share at most what is left from there on
+    reach = lambda m, i, n, j: F.least(m - i, n - j) >= threshold / (1 + threshold) * (m + n) - 1e-6
     close = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)  # noqa: E731  no similarity is larger than the ratio of the sizes
     pairs = members.filter((F.col("node") != F.col("first.node")) & close(F.col("n"), F.col("first.n"))).select(F.col("node").alias("a"), F.col("first.node").alias("b")).distinct()
     texts = written(texts_of(docs, members.select("node").distinct(), id_col, text_col), "candidate-texts")
@@ -240,7 +242,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     state = None
     if not unsure.isEmpty():
         state = prefixes(texts.join(unsure, "node", "left_semi"), threshold, words)
-        several = state.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token")
+        # the smaller set of a pair has the element among its rarest ninth
+        early = F.max(F.col("pos") <= F.col("n") * (1 - 2 * threshold / (1 + threshold)) + 1e-6)
+        several = state.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), early.alias("early")).filter("lo <> hi and early").select("token")
         state = sized(state.join(several, "token", "left_semi").withColumn("turned", F.lit(False)), "prefixes")
     leaders = LEADERS
     while state is not None:
@@ -248,13 +252,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         main = now.groupBy("token", "comp").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
         now = sized(now.join(main.select("token", "main"), "token"), "mixed")
         turn = now.filter("not turned and comp <> main").withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy("node"))).filter(F.col("place") <= leaders)
-        turn = sized(turn.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b")), "leaders")
+        turn = sized(turn.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("comp").alias("comp_b")), "leaders")
         if turn.isEmpty():
             break
         now = now.join(turn.select("token", F.col("b").alias("node"), F.lit(True).alias("leads")), ["token", "node"], "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
-        pairs = now.filter("not turned").join(turn, "token").filter((F.col("comp") != F.col("comp_b")) & (~F.col("leads") | (F.col("node") > F.col("b"))) & close(F.col("n"), F.col("n_b")))
+        pairs = now.filter("not turned").join(turn, "token").filter((F.col("comp") != F.col("comp_b")) & (~F.col("leads") | (F.col("node") > F.col("b"))) & reach(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b")))
         more = sized(verified(pairs.select(F.col("node").alias("a"), "b").distinct(), texts, threshold, words), "links")
-        state = sized(now.select("token", "node", "n", (F.col("turned") | F.col("leads")).alias("turned")), "prefixes")
+        state = sized(now.select("token", "node", "n", "pos", (F.col("turned") | F.col("leads")).alias("turned")), "prefixes")
         if not more.isEmpty():
             comps = sized(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)), "classes")
         leaders *= LEADERS
