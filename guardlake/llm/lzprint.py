@@ -13,6 +13,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,41 +25,23 @@ BINS = 64
 #: Hex digits of a bin.
 DIGITS = 4
 
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-
-def phrase_ends(points: list[int]) -> list[int]:
-    """Where each LZ78 phrase of the code points ends; the last may repeat an earlier one."""
-    known: dict[int, int] = {}
-    get, ends, node, fresh = known.get, [], 0, 1
-    for i, point in enumerate(points):
-        key = node + point
-        node = get(key)
-        if node is None:
-            known[key] = fresh << 21  # room for a code point
-            fresh += 1
-            ends.append(i + 1)
-            node = 0
-    if node:
-        ends.append(len(points))
-    return ends
+def phrases(text: str) -> set[str]:
+    """The LZ78 phrases of a text; what is left at its end may repeat one."""
+    known: set[str] = set()
+    add, phrase = known.add, ""
+    for point in text:
+        phrase += point
+        if phrase not in known:
+            add(phrase)
+            phrase = ""
+    return known
 
 
 def phrase_hashes(text: str) -> np.ndarray:
-    """Sorted distinct hashes of the phrases of a text."""
-    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    if not len(raw):
-        return np.zeros(0, np.uint64)
-    ends = np.array(phrase_ends(raw.tolist()), np.int64)
-    starts = np.concatenate([[0], ends[:-1]])
-    sizes = ends - starts
-    # each code point with its place in the phrase, summed: phrases differ in the sum unless they are equal (or collide)
-    place = (np.arange(len(raw)) - np.repeat(starts, sizes)).astype(np.uint64)
-    x = (raw.astype(np.uint64) + (place << np.uint64(32))) * _A
-    x = (x ^ (x >> np.uint64(30))) * _B
-    x ^= x >> np.uint64(27)
-    h = (np.add.reduceat(x, starts) + sizes.astype(np.uint64)) * _C
-    return np.unique(h ^ (h >> np.uint64(31)))
+    """Sorted hashes of the phrases of a text."""
+    found = phrases(text)
+    return np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)))
 
 
 def fingerprint(text: str | None, bins: int = BINS) -> str:
@@ -99,11 +83,13 @@ def edited(text: str, following: str) -> str:
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text, fingerprint, next_text, next_fingerprint: with those of the next document by descending id; after the last comes the first.
+    """id, packed, fingerprint, next_packed, next_fingerprint: with those of the next document by descending id; after the last comes the first.
+
+    packed is the text in UTF-8, compressed, as it is shuffled.
 
     Ids are cut into about the square root of their number of ranges, each sorted on its own; the first row of each
     range is also sent to the range before it, where it follows the last. Null ids come last; rows of one id are
-    put in order by text. Null texts are empty.
+    put in order by fingerprint and text. Null texts are empty.
     """
     ids = docs.select(F.coalesce(named(id_col).cast("long"), F.lit(-(2**63))).alias("key"))
     total = ids.count()
@@ -123,25 +109,25 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def make():
         def of(keys, texts):
-            cuts, to = held.value, held_to.value
+            cuts, to, pack = held.value, held_to.value, zstandard.ZstdCompressor(level=1).compress
             out = [[], [], []]
             for key, text in zip(keys, texts):
                 text = text or ""
                 own = int(np.searchsorted(cuts, key, side="left"))
                 out[0].append([{"range": own, "guest": False}, *([{"range": to[key], "guest": True}] if key in to else [])])
-                out[1].append(text)
+                out[1].append(pack(text.encode("utf-8", "surrogatepass")))
                 out[2].append(fingerprint(text))
             return out
 
         return of
 
     place = T.StructType([T.StructField("range", T.LongType()), T.StructField("guest", T.BooleanType())])
-    fields = [T.StructField("places", T.ArrayType(place)), T.StructField("text", T.StringType()), T.StructField("fingerprint", T.StringType())]
+    fields = [T.StructField("places", T.ArrayType(place)), T.StructField("packed", T.BinaryType()), T.StructField("fingerprint", T.StringType())]
     source = docs.select(named(id_col).alias("id"), F.coalesce(named(id_col).cast("long"), F.lit(-(2**63))).alias("key"), named(text_col).alias("_gl_text"))
     placed = map_text(source, ["key", "_gl_text"], make, fields, ["id", "key"]).withColumn("place", F.explode("places"))
-    window = Window.partitionBy("place.range").orderBy("place.guest", F.desc("key"), "text", "fingerprint")
-    following = placed.select("id", "text", "fingerprint", "place", F.lead(F.struct("text", "fingerprint")).over(window).alias("next"))
-    return following.filter("not place.guest").select("id", "text", "fingerprint", F.coalesce("next.text", F.lit("")).alias("next_text"), F.coalesce("next.fingerprint", F.lit("")).alias("next_fingerprint"))
+    window = Window.partitionBy("place.range").orderBy("place.guest", F.desc("key"), "fingerprint", "packed")
+    following = placed.select("id", "packed", "fingerprint", "place", F.lead(F.struct("packed", "fingerprint")).over(window).alias("next"))
+    return following.filter("not place.guest").select("id", "packed", "fingerprint", F.col("next.packed").alias("next_packed"), F.col("next.fingerprint").alias("next_fingerprint"))
 
 
 def edit_test(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,7 +141,10 @@ def edit_test(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     ]
 
     def make():
-        def of(texts, prints, heads, next_prints):
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def of(packed, prints, next_packed, next_prints):
+            texts, heads = ([unpack(x).decode("utf-8", "surrogatepass") for x in column] for column in (packed, next_packed))
             changed = [edited(t, h) for t, h in zip(texts, heads)]
             new = [fingerprint(t) for t in changed]
             return [[len(t) for t in texts], changed, new, [likeness(a, b) for a, b in zip(prints, new)], [likeness(a, b) for a, b in zip(prints, next_prints)]]
@@ -163,5 +152,5 @@ def edit_test(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         return of
 
     rows = neighbours(docs, id_col, text_col)
-    out = map_text(rows, ["text", "fingerprint", "next_text", "next_fingerprint"], make, fields, ["id", "fingerprint"])
+    out = map_text(rows, ["packed", "fingerprint", "next_packed", "next_fingerprint"], make, fields, ["id", "fingerprint"])
     return out.withColumnRenamed("id", id_col)
