@@ -1,15 +1,790 @@
-"""All registered queries of the core library, and their SQL."""
+"""All registered queries of the core library, and their SQL for DuckDB."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from guardlake import rules
+from guardlake.functions import hashing as H
+from guardlake.functions import text as X
+from guardlake.operators import audit, content, evaluation, formats, memory, messages, policy, sessions
+from guardlake.plans import derived as D
+from guardlake.sources import files
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _q(name: str, sql: str | None = None):
+    def keep(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return keep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_C = f"c AS ({D.CONTENT_SQL})"
+_ALL = "[" + "".join(X.INVISIBLE.values()) + "]"
+_STRIP = lambda e: f"regexp_replace({e}, {_str(_ALL)}, '', 'g')"
+_COUNT = lambda e, p: f"len(regexp_extract_all({e}, {_str(p)}))"
+#: Where the first match of a pattern begins, in characters from 1; 0 if there is none.
+_AT = lambda e, p: f"CASE WHEN regexp_matches({e}, {_str(p)}) THEN length(regexp_extract({e}, {_str('(?s)^(.*?)(?:' + p + ')')}, 1)) + 1 ELSE 0 END"
+
+
+# text functions
+
+
+@_q("n1_strip_invisible", f"WITH {_C} SELECT doc_id, sha256({_STRIP('text')}) AS cleaned_sha, length({_STRIP('text')})::INTEGER AS n FROM c")
+def n1(spark, sf):
+    t = X.strip_invisible(F.col("text"))
+    return D.content(spark, sf).select("doc_id", F.sha2(t, 256).alias("cleaned_sha"), F.length(t).alias("n"))
+
+
+@_q("n2_strip_counts", f"WITH {_C} SELECT doc_id, " + ", ".join(f"{_COUNT('text', '[' + b + ']')}::INTEGER AS {n.replace('-', '_')}" for n, b in X.INVISIBLE.items()) + f", {_COUNT('text', _ALL)}::INTEGER AS total FROM c")
+def n2(spark, sf):
+    return D.content(spark, sf).select("doc_id", X.strip_counts(F.col("text")).alias("s")).select("doc_id", "s.*")
+
+
+_CATS = ", ".join(f"{{'p': {_AT('text', '[' + b + ']')}, 'n': '{n}'}}" for n, b in X.INVISIBLE.items())
+_MIXED = "(doc_id % 23 = 12)"
+
+
+@_q("n3_strip_categories", f"WITH {_C} SELECT doc_id, array_to_string(list_transform(list_sort(list_filter([{_CATS}], lambda x: x.p > 0)), lambda x: x.n), ',') || CASE WHEN {_MIXED} THEN 'mixed-script' ELSE '' END AS categories FROM c")
+def n3(spark, sf):
+    return D.content(spark, sf).select("doc_id", F.array_join(X.strip_categories(F.col("text")), ",").alias("categories"))
+
+
+@_q("n4_mixed_script", f"SELECT doc_id, {_MIXED} AS mixed FROM documents")
+def n4(spark, sf):
+    return D.content(spark, sf).select("doc_id", X.has_mixed_script(X.strip_invisible(F.col("text"))).alias("mixed"))
+
+
+@_q("n5_norm_key", "SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(left(text, 200)), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g')) AS key FROM conversations")
+def n5(spark, sf):
+    return D.table(spark, sf, "conversations").select("conv_id", "turn", X.norm_key(F.left("text", F.lit(200))).alias("key"))
+
+
+_PATHS = "CASE CAST(page_id % 4 AS INT) WHEN 0 THEN '/srv/a/../b/' || page_id WHEN 1 THEN '/srv/./b//' || page_id WHEN 2 THEN '/etc/' || chr(7) || page_id ELSE '/srvx/' || page_id END"
+
+
+@_q("n6_n7_paths", f"SELECT page_id, CASE WHEN page_id % 4 = 2 THEN 'control' END AS refused, page_id % 4 IN (0, 1) AS inside, CASE CAST(page_id % 4 AS INT) WHEN 0 THEN '/srv/b/' || page_id WHEN 1 THEN '/srv/b/' || page_id ELSE {_PATHS} END AS resolved FROM pages")
+def n6(spark, sf):
+    p = D.table(spark, sf, "pages").selectExpr("page_id", f"{_PATHS} AS path")
+    return p.select("page_id", X.path_check(F.col("path")).alias("refused"), X.path_within(F.col("path"), F.array(F.lit("/srv"), F.lit("/opt/"))).alias("inside"), X.lexical_path(F.col("path")).alias("resolved"))
+
+
+@_q("f1_strip_ansi", f"WITH {_C} SELECT doc_id, sha256(regexp_replace(text, {_str(X.ANSI)}, '', 'g')) AS text_sha, (length(text) - length(replace(text, chr(27), '')))::INTEGER AS ansi FROM c")
+def f1(spark, sf):
+    t = D.content(spark, sf)
+    return t.select("doc_id", F.sha2(X.strip_ansi(F.col("text")), 256).alias("text_sha"), X.ansi_count(F.col("text")).alias("ansi"))
+
+
+_STYLES = "CASE CAST(page_id % 7 AS INT) WHEN 0 THEN 'color:red;display: none' WHEN 1 THEN 'visibility:collapse' WHEN 2 THEN 'opacity:.0%' WHEN 3 THEN '--display:none' WHEN 4 THEN 'opacity:0.5' WHEN 5 THEN 'display/* x */:none' ELSE 'opacity:+00' END"
+
+
+@_q("f4_hidden_style", "SELECT page_id, page_id % 7 IN (0, 1, 2, 5, 6) AS hides FROM pages")
+def f4(spark, sf):
+    return D.table(spark, sf, "pages").selectExpr("page_id", f"{_STYLES} AS style").select("page_id", X.is_hidden_style(F.col("style")).alias("hides"))
+
+
+# intake
+
+
+@_q("c1_size_guard", f"WITH {_C} SELECT doc_id, CASE WHEN strlen(text) > 20000 THEN 'SizeExceeded' END AS reject_reason FROM c")
+def c1(spark, sf):
+    return content.size_guard(D.content(spark, sf), "text", 20_000).select("doc_id", "reject_reason")
+
+
+@_q("c2_utf8_guard", "SELECT doc_id, doc_id % 5 <> 0 AS valid FROM documents")
+def c2(spark, sf):
+    d = D.table(spark, sf, "documents")
+    body = F.when(F.col("doc_id") % 5 == 0, F.concat(F.coalesce("text", F.lit("")).cast("binary"), F.unhex(F.lit("C328")))).otherwise(F.coalesce("text", F.lit("")).cast("binary"))
+    return d.select("doc_id", content.utf8_guard(body).alias("valid"))
+
+
+_ALIAS = "(['html', 'MD', 'markdown', 'json', 'text', 'Plain', 'log', 'pdf'])[CAST(doc_id % 8 AS INT) + 1]"
+_KIND = "(['Html', 'Markdown', 'Markdown', 'Json', 'PlainText', 'PlainText', 'Log', NULL])[CAST(doc_id % 8 AS INT) + 1]"
+
+
+@_q("c3_content_type", f"SELECT doc_id, {_KIND} AS content_type FROM documents")
+def c3(spark, sf):
+    alias = F.element_at(F.array(*map(F.lit, ("html", "MD", "markdown", "json", "text", "Plain", "log", "pdf"))), (F.col("doc_id") % 8 + 1).cast("int"))
+    return D.table(spark, sf, "documents").select("doc_id", content.content_type_of(alias).alias("content_type"))
+
+
+@_q("c4_c5_route", "SELECT doc_id, CASE WHEN doc_id % 23 = 16 AND doc_id % 2 = 0 THEN 'Html' WHEN doc_id % 2 = 0 THEN 'PlainText' ELSE 'Log' END AS content_type, CASE WHEN doc_id % 23 = 16 AND doc_id % 2 = 0 THEN 'PlainText' END AS routed_from FROM documents")
+def c4(spark, sf):
+    d = D.content(spark, sf).withColumn("declared_type", F.when(F.col("doc_id") % 2 == 0, "PlainText").otherwise("Log"))
+    return content.route(d).select("doc_id", "content_type", "routed_from")
+
+
+_URLS = "CASE CAST(page_id % 5 AS INT) WHEN 0 THEN url WHEN 1 THEN 'HTTPS://user:pw@Example.COM:443/a;k=v/b%3Bx/c?q=1#f' WHEN 2 THEN 'http://[::1]:8080' WHEN 3 THEN 'mailto:x' ELSE 'http://h:80/p/' || page_id || '?a=b' END"
+_UP = lambda i: f"regexp_extract(u, {_str(content.URL)}, {i})"
+_UPORT = f"CASE WHEN {_UP(3)} <> '' AND NOT (lower({_UP(1)}) || ':' || {_UP(3)} IN ({', '.join(_str(k + ':' + v) for k, v in content.DEFAULT_PORTS.items())})) THEN ':' || {_UP(3)} ELSE '' END"
+_UPATH = f"regexp_replace({_UP(4)}, '(;|%3[Bb])[^/]*', '', 'g')"
+
+
+@_q("c6_c7_canonical_source", f"WITH p AS (SELECT page_id, {_URLS} AS u FROM pages) SELECT page_id, CASE WHEN regexp_matches(u, {_str(content.URL)}) THEN 'Url' ELSE 'Other' END AS kind, CASE WHEN regexp_matches(u, {_str(content.URL)}) THEN lower({_UP(1)}) || '://' || lower({_UP(2)}) || {_UPORT} || CASE WHEN {_UPATH} = '' THEN '/' ELSE {_UPATH} END ELSE u END AS rendered FROM p")
+def c6(spark, sf):
+    p = D.table(spark, sf, "pages").selectExpr("page_id", f"{_URLS} AS u").withColumn("s", content.canonical_source(F.col("u")))
+    return p.select("page_id", "s.kind", content.render_source(F.col("s.kind"), F.col("s.rendered")).alias("rendered"))
+
+
+@_q("c8_fingerprint", f"SELECT doc_id, {H.hmac_sql('coalesce(text, chr(63))', b'k1', H.DOMAIN_TAG)} AS fingerprint FROM documents")
+def c8(spark, sf):
+    return D.table(spark, sf, "documents").select("doc_id", H.fingerprint(F.coalesce("text", F.lit("?")), b"k1").alias("fingerprint"))
+
+
+# scan and score
+
+
+def _scored(spark, sf):
+    return content.scored(D.content(spark, sf))
+
+
+_T = "t"
+_RULE_SQL = []
+for _r in rules.REGEX_RULES:
+    _p = _str(_r.pattern)
+    _RULE_SQL.append((_r.rule_id, _r.severity, f"regexp_matches(t, {_p})", f"strlen(regexp_extract(t, {_str('(?s)^(.*?)(?:' + _r.pattern.replace('(?i)', '') + ')') if not _r.pattern.startswith('(?i)') else _str('(?si)^(.*?)(?:' + _r.pattern[4:] + ')')}, 1))", f"regexp_extract(t, {_p})"))
+_B64 = "list_filter(regexp_extract_all(t, '[A-Za-z0-9+/=]{40,}'), lambda x: regexp_matches(x, '[a-z]') AND regexp_matches(x, '[A-Z0-9]'))[1]"
+_HEX = "CASE WHEN regexp_matches(t, '[0-9A-Fa-f]{64,}') THEN regexp_extract(t, '[0-9A-Fa-f]{64,}') END"
+_TOK = "list_filter(string_split_regex(t, '[ \t\n\r]'), lambda x: strlen(x) >= 200)[1]"
+for _id, _e in (("ENC-001", _B64), ("ENC-002", _HEX), ("REP-001", _TOK)):
+    _RULE_SQL.append((_id, "Low", f"({_e}) IS NOT NULL", f"strlen(string_split(t, {_e})[1])", _e))
+_RULE_SQL += [
+    ("MIX-001", "Medium", _MIXED, None, None),
+    ("FMT-001", "Info", f"(regexp_matches(t, {_str(rules.HTML_ROOT)}))", None, None),
+    ("REP-002", "Low", "(doc_id % 23 = 13 AND (59999 + 0.0) / strlen(t) >= 0.9)", None, None),
+    ("WRP-001", "Info", f"(contains(t, {_str(rules.SENTINEL_START)}) OR contains(t, {_str(rules.SENTINEL_END)}))", None, None),
+]
+_FINDINGS = f"{_C}, n AS (SELECT doc_id, source, text AS raw, {_STRIP('text')} AS t FROM c), f AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, source, {i} AS pos, '{rid}' AS rule_id, '{sev}' AS severity, {f'({at})::INTEGER' if at else 'NULL::INTEGER'} AS start, {f'strlen({m})::INTEGER' if m else 'NULL::INTEGER'} AS size FROM n WHERE {cond}"
+    for i, (rid, sev, cond, at, m) in enumerate(_RULE_SQL)
+) + ")"
+
+
+@_q("p1_p16_scan", f"WITH {_FINDINGS} SELECT doc_id, rule_id, severity, CASE WHEN rule_id <> 'REP-002' THEN start END AS start, size FROM f WHERE rule_id <> 'REP-002'")
+def p16(spark, sf):
+    rows = content.explode_findings(_scored(spark, sf).select("doc_id", "findings"))
+    return rows.filter("rule_id <> 'REP-002'").select("doc_id", "rule_id", "severity", "start", (F.col("end") - F.col("start")).alias("size"))
+
+
+@_q("p9_p11_samples", f"WITH {_C}, n AS (SELECT doc_id, {_STRIP('text')} AS t FROM c) SELECT doc_id, {_B64} AS base64_run, {_HEX} AS hex_run, strlen({_TOK})::INTEGER AS long_token FROM n")
+def p9(spark, sf):
+    t = X.strip_invisible(F.col("text"))
+    return D.content(spark, sf).select("doc_id", content.base64_run(t).alias("base64_run"), content.hex_run(t).alias("hex_run"), F.octet_length(content.long_token(t)).alias("long_token"))
+
+
+@_q("p12_repetition")
+def p12(spark, sf):
+    return D.content(spark, sf).select("doc_id", X.repetition_ratio(X.strip_invisible(F.col("text"))).alias("ratio"))
+
+
+@_q("p14_html_markers", f"WITH {_C} SELECT page_id AS id, regexp_matches(html, {_str(rules.HTML_ROOT)}) OR (len(list_distinct(list_transform(regexp_extract_all(html, {_str(rules.HTML_OPENER)}, 1), lambda x: lower(x)))) >= 2 AND {_COUNT('html', rules.HTML_CLOSE)} >= 100) AS marked FROM pages")
+def p14(spark, sf):
+    return D.table(spark, sf, "pages").select(F.col("page_id").alias("id"), content.html_markers(F.col("html")).alias("marked"))
+
+
+@_q("p17_rule_hits", f"WITH {_FINDINGS} SELECT rule_id, severity, count(*) AS hits, count(DISTINCT doc_id) AS payloads FROM f WHERE rule_id <> 'REP-002' GROUP BY ALL")
+def p17(spark, sf):
+    return evaluation.rule_hits(content.explode_findings(_scored(spark, sf).select("doc_id", "findings")).filter("rule_id <> 'REP-002'"))
+
+
+_WEIGHT = "CASE severity WHEN 'High' THEN 50 WHEN 'Medium' THEN 20 WHEN 'Low' THEN 6 ELSE 0 END"
+_SCORES = f"{_FINDINGS}, s AS (SELECT n.doc_id, n.source, least(100, coalesce((SELECT sum(w) FROM (SELECT rule_id, max({_WEIGHT}) AS w FROM f WHERE f.doc_id = n.doc_id GROUP BY rule_id)), 0) + CASE WHEN n.raw <> n.t THEN 10 ELSE 0 END)::INTEGER AS risk_score FROM n WHERE n.doc_id % 23 <> 13)"
+
+
+@_q("r1_risk_score", f"WITH {_SCORES} SELECT doc_id, risk_score FROM s")
+def r1(spark, sf):
+    return _scored(spark, sf).filter("doc_id % 23 <> 13").select("doc_id", "risk_score")
+
+
+@_q("r2_risk_gate", f"WITH {_SCORES} SELECT doc_id, risk_score FROM s WHERE risk_score >= 50")
+def r2(spark, sf):
+    return evaluation.risk_gate(_scored(spark, sf).filter("doc_id % 23 <> 13").select("doc_id", "risk_score"))
+
+
+@_q("risk_by_source", f"WITH {_SCORES} SELECT source, count(*) AS n, count(*) FILTER (risk_score >= 50) AS hits, round(avg(risk_score), 4) AS mean_score FROM s GROUP BY source")
+def risk_by_source(spark, sf):
+    s = _scored(spark, sf).filter("doc_id % 23 <> 13")
+    return s.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("risk_score") >= 50).alias("hits"), F.round(F.avg("risk_score"), 4).alias("mean_score"))
+
+
+_FLAG = "CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.doc_id = n.doc_id AND starts_with(rule_id, '{}')) THEN '{},' ELSE '' END"
+_FLAGS = " || ".join(_FLAG.format(p, n) for p, n in (("INJ-", "injection_pattern"), ("ENC-", "encoded_payload"), ("REP-", "repetition"), ("MIX-", "mixed_script"), ("FMT-", "content_type_mismatch"), ("WRP-", "wrapper_collision")))
+
+
+@_q("r3_flags", f"WITH {_FINDINGS} SELECT doc_id, {_FLAGS} AS flags FROM n WHERE doc_id % 23 NOT IN (11, 13, 14)")
+def r3(spark, sf):
+    flags = F.array_join(F.transform("flags", lambda x: F.concat(x, F.lit(","))), "")
+    return _scored(spark, sf).filter("doc_id % 23 NOT IN (11, 13, 14)").select("doc_id", flags.alias("flags"))
+
+
+_NONCE = f"left({H.hmac_sql(chr(40) + 'doc_id || ' + _str(':0') + chr(41), b'guardlake')}, 16)"
+
+
+@_q("r4_r7_wrap", f"SELECT doc_id, sha256('<|guardlake_external_start:' || nonce || '|>' || chr(10) || 'source: ' || source || chr(10) || 'content_type: PlainText' || chr(10) || 'fetched_at: unknown' || chr(10) || 'flags: a,b' || chr(10) || 'rule_ids: ' || chr(10) || '---' || chr(10) || body || CASE WHEN suffix(body, chr(10)) THEN '' ELSE chr(10) END || '<|guardlake_external_end:' || nonce || '|>') AS wrapped_sha, sha256(body || CASE WHEN suffix(body, chr(10)) THEN '' ELSE chr(10) END) AS back_sha FROM (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS body, {_NONCE} AS nonce FROM documents)")
+def r4(spark, sf):
+    d = D.table(spark, sf, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("body"))
+    d = d.withColumn("nonce", content.assign_nonce(F.col("doc_id"), F.col("body")))
+    w = content.wrap_provenance(F.col("body"), F.col("nonce"), F.col("source"), F.lit("PlainText"), F.array(F.lit("a"), F.lit("b")), F.array().cast("array<string>"))
+    return d.withColumn("w", w).select("doc_id", F.sha2("w", 256).alias("wrapped_sha"), F.sha2(content.unwrap(F.col("w")), 256).alias("back_sha"))
+
+
+@_q("r5_header_guard", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'flags' WHEN page_id % 3 = 1 THEN 'source' END AS field, CASE WHEN page_id % 3 = 0 THEN 2 WHEN page_id % 3 = 1 THEN strlen(url) + 2 END::INTEGER AS \"offset\" FROM pages")
+def r5(spark, sf):
+    p = D.table(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 3 == 1, F.concat("url", F.lit("é\n"))).otherwise(F.col("url")).alias("source"), F.when(F.col("page_id") % 3 == 0, "ab\x7f").otherwise("ab").alias("flags"))
+    return p.select("page_id", content.header_injection(source=F.col("source"), flags=F.col("flags")).alias("h")).select("page_id", "h.field", "h.offset")
+
+
+@_q("r8_sanitize")
+def r8(spark, sf):
+    d = D.content(spark, sf).withColumn("declared_type", F.when(F.col("doc_id") % 2 == 0, "PlainText").otherwise("Log"))
+    out = content.sanitize(d, id_col="doc_id", text="text")
+    return out.select("doc_id", "content_type", "routed_from", "bytes_in", "bytes_out", "stripped_count", "risk_score", F.array_join("flags", ",").alias("flags"), F.sha2("wrapped", 256).alias("wrapped_sha"), "reject_reason", "fingerprint_in", "fingerprint_out", "schema_version", "ruleset_version", "scoring_version")
+
+
+# formats
+
+
+@_q("f2_html_text")
+def f2(spark, sf):
+    out = formats.clean_html(D.pages(spark, sf))
+    return out.select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha"), F.array_join(F.transform(F.map_entries("stripped"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("stripped"))
+
+
+_FAST_TOKEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<title\b[^>]*>.*?</title\s*>|<[!?][^>]*>|</?[A-Za-z](?:\"[^\"]*\"|'[^']*'|[^\"'>])*>|[^<]+|<"
+
+
+@_q("f2a_html_tokens", f"SELECT page_id, {_COUNT('html', _FAST_TOKEN)}::BIGINT AS tokens FROM ({D.PAGES_SQL})")
+def f2a(spark, sf):
+    return formats.html_tokens(D.pages(spark, sf)).groupBy("page_id").agg(F.count("*").alias("tokens"))
+
+
+@_q("f2d_attr_signals")
+def f2d(spark, sf):
+    p = D.pages(spark, sf)
+    return formats.attr_signals(formats.hidden_tokens(formats.html_tokens(p), formats.hidden_classes(p)))
+
+
+@_q("f3_hidden_classes", f"SELECT page_id, 'x' AS cls FROM ({D.PAGES_SQL}) WHERE page_id % 9 = 3")
+def f3(spark, sf):
+    return formats.hidden_classes(D.pages(spark, sf))
+
+
+@_q("f5a_markdown_lines", f"""WITH d AS ({D.MARKDOWN_SQL}), l AS (SELECT doc_id, x.i AS line_no, x.s AS line FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda s, i: {{'i': i - 1, 's': s}})) AS x FROM d)),
+m AS (SELECT *, regexp_matches(line, '^ {{0,3}}(?:```|~~~)') AS fence FROM l), c AS (SELECT *, fence OR sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY line_no) % 2 = 1 AS in_code FROM m)
+SELECT doc_id, count(*) AS lines, count(*) FILTER (in_code) AS code_lines FROM c GROUP BY doc_id""")
+def f5a(spark, sf):
+    return formats.markdown_lines(D.markdown(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if("in_code").alias("code_lines"))
+
+
+@_q("f5_clean_markdown")
+def f5(spark, sf):
+    out = formats.clean_markdown(D.markdown(spark, sf))
+    return out.select("doc_id", F.sha2("text", 256).alias("text_sha"), "html_block", "inline", "comment")
+
+
+_PROPS = "CASE CAST(event_id % 5 AS INT) WHEN 1 THEN '{\"k​\": 1, \"k\": 2}' WHEN 2 THEN '{\"a\": \"x\\u200by\", \"b\": null}' ELSE props END"
+
+
+@_q("f6a_json_flat", "SELECT event_id, CASE CAST(event_id % 5 AS INT) WHEN 1 THEN 'k=1' WHEN 2 THEN 'a=xy;b=' ELSE 'k=' || json_extract_string(props, '$.k') END AS pairs, CASE WHEN event_id % 5 = 1 THEN 1 ELSE 0 END AS collisions, CASE WHEN event_id % 5 IN (1, 2) THEN 1 ELSE 0 END AS stripped_count FROM events")
+def f6a(spark, sf):
+    e = D.table(spark, sf, "events")
+    odd = F.when(F.col("event_id") % 5 == 1, F.lit('{"k​": 1, "k": 2}')).when(F.col("event_id") % 5 == 2, F.lit('{"a": "x​y", "b": null}')).otherwise(F.col("props"))
+    out = formats.normalize_json_flat(e.select("event_id", odd.alias("props")))
+    pairs = F.array_join(F.transform("cleaned", lambda p: F.concat(p["key"], F.lit("="), F.coalesce(p["value"], F.lit("")))), ";")
+    return out.select("event_id", pairs.alias("pairs"), "collisions", "stripped_count")
+
+
+@_q("f6b_json", "SELECT event_id, CASE CAST(event_id % 3 AS INT) WHEN 0 THEN '{\"a\":[1,{\"k\":\"v\"}],\"z\":null}' WHEN 2 THEN regexp_replace(props, '\\s', '', 'g') END AS cleaned, CASE WHEN event_id % 3 = 1 THEN 'JsonParse' END AS error FROM events")
+def f6b(spark, sf):
+    e = D.table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, '{"z": null, "a": [1, {"k​": "v"}]}').when(F.col("event_id") % 3 == 1, "{bad").otherwise(F.col("props")).alias("j"))
+    return formats.normalize_json(e, "event_id", "j").select("event_id", "cleaned", "error")
+
+
+# policy
+
+
+_ACTION_SQL = "(VALUES " + ", ".join(f"('{a}', '{c}', {t}, {g}, {_str(r) if r else 'NULL'})" for a, c, r in rules.ACTIONS for n, t, g in rules.CAPABILITIES if n == c) + ") dim(action, capability, required_tier, requires_grant, resource_param)"
+_ORIGIN_SQL = "(VALUES " + ", ".join(f"('{k}', '{z}', {c})" for k, z, c in rules.ORIGINS) + ") o(origin_kind, zone, default_ceiling)"
+_NAME = "CASE origin_kind WHEN 'LocalCli' THEN 'local' WHEN 'BridgeTelegram' THEN 'telegram:' || r.user_id WHEN 'BridgeSlack' THEN 'slack:' || r.user_id WHEN 'AgentGenerated' THEN 'agent:' || r.user_id WHEN 'SystemHeartbeat' THEN 'system:heartbeat' ELSE r.user_id END"
+_RESOLVED = f"""r AS ({D.REQUESTS_SQL}), a AS ({D.ALLOW_SQL}), x AS (
+SELECT r.*, dim.capability, dim.required_tier, dim.requires_grant, CASE WHEN dim.resource_param IS NOT NULL THEN r.path END AS resource, o.zone, {_NAME} AS principal, coalesce(a.ceiling, o.default_ceiling) AS ceiling
+FROM r JOIN {_ACTION_SQL} USING (action) JOIN {_ORIGIN_SQL} USING (origin_kind)
+LEFT JOIN a ON a.user_id = r.user_id AND a.platform = CASE origin_kind WHEN 'BridgeTelegram' THEN 'telegram' WHEN 'BridgeSlack' THEN 'slack' END)"""
+
+
+def _resolved(spark, sf):
+    r = policy.resource_scope(policy.classify_actions(D.requests(spark, sf)))
+    return policy.resolve_principal(r, policy.ceilings_from_allowlist(D.allowlist(spark, sf)))
+
+
+@_q("a1_a3_classify", f"WITH {_RESOLVED} SELECT request_id, capability, required_tier, requires_grant, resource, principal, zone, ceiling FROM x")
+def a1(spark, sf):
+    return _resolved(spark, sf).select("request_id", "capability", "required_tier", "requires_grant", "resource", "principal", "zone", "ceiling")
+
+
+_POSTURE = "CASE CAST(request_id % 3 AS INT) WHEN 0 THEN 'Revoked' WHEN 1 THEN 'Degraded' ELSE 'Trusted' END"
+
+
+@_q("a4_effective_ceiling", f"WITH {_RESOLVED} SELECT request_id, CASE WHEN request_id % 3 = 0 THEN -1 WHEN request_id % 3 = 1 THEN least(ceiling, 0) ELSE ceiling END AS effective FROM x")
+def a4(spark, sf):
+    r = _resolved(spark, sf).selectExpr("request_id", "ceiling", f"{_POSTURE} AS p")
+    return r.select("request_id", policy.effective_ceiling(F.col("ceiling"), F.col("p")).alias("effective"))
+
+
+_ZONE_OK = "(zone = target_zone OR (zone IN ('Ingress', 'AgentRuntime') AND target_zone = 'ControlPlane') OR (zone = 'ControlPlane' AND target_zone = 'HostPrivileged' AND ceiling >= 3))"
+
+
+@_q("a5_zone_check", f"WITH {_RESOLVED}, z AS (SELECT *, CASE WHEN required_tier >= 3 THEN 'HostPrivileged' ELSE 'ControlPlane' END AS target_zone FROM x) SELECT request_id, target_zone, {_ZONE_OK} AS zone_ok FROM z")
+def a5(spark, sf):
+    r = _resolved(spark, sf).withColumn("effective", F.col("ceiling"))
+    return policy.zone_check(r).select("request_id", "target_zone", "zone_ok")
+
+
+_MATCH = f"g AS ({D.GRANTS_SQL}), m AS (SELECT x.request_id, arg_max(g.grant_id, {{'i': g.issued_us, 'g': g.grant_id}}) AS grant_id FROM x JOIN g ON g.principal = x.principal AND g.capability = x.capability AND g.expires_us > x.ts_us AND (g.max_uses IS NULL OR g.uses < g.max_uses) AND (g.scope IS NULL OR x.resource = g.scope OR starts_with(x.resource, g.scope || '/')) GROUP BY x.request_id)"
+
+
+@_q("a6_match_grants", f"WITH {_RESOLVED}, {_MATCH} SELECT request_id, grant_id FROM m")
+def a6(spark, sf):
+    return policy.match_grants(_resolved(spark, sf), D.grants(spark, sf))
+
+
+@_q("a7_consume_grants", f"WITH {_RESOLVED}, {_MATCH}, s AS (SELECT m.*, row_number() OVER (PARTITION BY m.grant_id ORDER BY x.ts_us, x.request_id) AS n, g.max_uses FROM m JOIN x USING (request_id) JOIN g USING (grant_id)) SELECT request_id, grant_id FROM s WHERE max_uses IS NULL OR n <= max_uses")
+def a7(spark, sf):
+    return policy.consume_grants(_resolved(spark, sf), D.grants(spark, sf))
+
+
+@_q("a8_fatigue")
+def a8(spark, sf):
+    return policy.fatigue(_resolved(spark, sf).filter("required_tier >= 2"), "principal")
+
+
+@_q("a9_fatigue_rate", f"WITH {_RESOLVED} SELECT request_id, count(*) OVER (PARTITION BY principal ORDER BY ts_us RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW) AS recent FROM x")
+def a9(spark, sf):
+    return policy.fatigue_rate(_resolved(spark, sf)).select("request_id", "recent")
+
+
+_DECISION = f"""CASE WHEN required_tier > ceiling THEN 'Deny:tier' WHEN NOT {_ZONE_OK} THEN 'Error:zone'
+WHEN required_tier >= 3 AND (origin_kind = 'HumanApproved' OR grant_id IS NOT NULL) THEN 'Allow:' WHEN required_tier >= 3 THEN 'NeedsApproval:tier 3+'
+WHEN (required_tier >= 2 OR requires_grant) AND (origin_kind IN ('HumanApproved', 'LocalCli') OR grant_id IS NOT NULL) THEN 'Allow:' WHEN required_tier >= 2 OR requires_grant THEN 'NeedsApproval:tier 2' ELSE 'Allow:' END"""
+_EVALUATED = f"{_RESOLVED}, {_MATCH}, z AS (SELECT x.*, m.grant_id, CASE WHEN required_tier >= 3 THEN 'HostPrivileged' ELSE 'ControlPlane' END AS target_zone FROM x LEFT JOIN m USING (request_id)), e AS (SELECT *, string_split({_DECISION}, ':')[1] AS decision, string_split({_DECISION}, ':')[2] AS reason FROM z)"
+
+
+def _evaluated(spark, sf):
+    return policy.evaluate(D.requests(spark, sf), D.grants(spark, sf), policy.ceilings_from_allowlist(D.allowlist(spark, sf)))
+
+
+@_q("a10_evaluate", f"WITH {_EVALUATED} SELECT request_id, principal, decision, reason FROM e")
+def a10(spark, sf):
+    return _evaluated(spark, sf).select("request_id", "principal", "decision", "reason")
+
+
+@_q("a11_evaluate_result", "SELECT event_id AS request_id, CASE WHEN event_id % 4 = 0 THEN 'Allow' WHEN event_id % 3 = 0 THEN 'Deny' WHEN event_id % 5 = 0 THEN 'Deny' ELSE 'Allow' END AS decision FROM events")
+def a11(spark, sf):
+    e = D.table(spark, sf, "events").select(F.col("event_id").alias("request_id"), F.when(F.col("event_id") % 4 != 0, "Html").alias("required_type"))
+    reports = e.filter("request_id % 3 <> 0").select("request_id", F.when(F.col("request_id") % 5 == 0, "Json").otherwise("Html").alias("report_type"))
+    return policy.evaluate_result(e, reports).select("request_id", "decision")
+
+
+@_q("a12_cleanup_grants", f"SELECT grant_id FROM ({D.GRANTS_SQL}) WHERE max_uses IS NULL OR uses < max_uses")
+def a12(spark, sf):
+    return policy.cleanup_grants(D.grants(spark, sf), F.timestamp_micros(F.lit(D.EPOCH_US))).select("grant_id")
+
+
+@_q("a13_upsert_grants", f"SELECT grant_id, CASE WHEN substr(grant_id, 2)::BIGINT % 3 = 0 THEN 7 ELSE uses END::INTEGER AS uses, scope FROM ({D.GRANTS_SQL})")
+def a13(spark, sf):
+    g = D.grants(spark, sf)
+    new = g.filter("substr(grant_id, 2) % 3 = 0").withColumns({"uses": F.lit(7), "scope": F.lit("ignored")})
+    return policy.upsert_grants(g, new).select("grant_id", "uses", "scope")
+
+
+_HOST = "regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)"
+
+
+@_q("a14_domain_allowed", f"SELECT page_id, ({_HOST} = 'm.ththth.example.net' OR {_HOST} = 'example.com' OR suffix({_HOST}, '.example.com')) AS allowed FROM pages")
+def a14(spark, sf):
+    p = D.table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1).alias("host"))
+    listed = spark.createDataFrame([("M.ththth.example.net",), (".example.com",)], "entry string")
+    return policy.domain_allowed(p, listed).select("page_id", "allowed")
+
+
+_LINE = "CASE CAST(page_id % 5 AS INT) WHEN 0 THEN 'CONNECT h' || page_id || ':443 HTTP/1.1' WHEN 1 THEN 'GET http://h.example/p?q HTTP/1.0' WHEN 2 THEN 'GET http://h.example:99999/ HTTP/1.0' WHEN 3 THEN 'get http://h.example:8080 HTTP/1.1' ELSE 'CONNECT h HTTP/1.1' END"
+
+
+@_q("a15_proxy_line", "SELECT page_id, CASE CAST(page_id % 5 AS INT) WHEN 0 THEN 'CONNECT' WHEN 1 THEN 'GET' WHEN 3 THEN 'get' END AS method, CASE CAST(page_id % 5 AS INT) WHEN 0 THEN 'h' || page_id WHEN 1 THEN 'h.example' WHEN 3 THEN 'h.example' END AS host, CASE CAST(page_id % 5 AS INT) WHEN 0 THEN 443 WHEN 1 THEN 80 WHEN 3 THEN 8080 END::INTEGER AS port, CASE CAST(page_id % 5 AS INT) WHEN 1 THEN '/p?q' WHEN 3 THEN '/' END AS path FROM pages")
+def a15(spark, sf):
+    return D.table(spark, sf, "pages").selectExpr("page_id", f"{_LINE} AS line").select("page_id", policy.parse_proxy_line(F.col("line")).alias("p")).select("page_id", "p.method", "p.host", "p.port", "p.path")
+
+
+@_q("a16_a18_ceilings", D.ALLOW_SQL)
+def a18(spark, sf):
+    return policy.ceilings_from_allowlist(D.allowlist(spark, sf))
+
+
+@_q("a17_decision_rollup", f"WITH {_EVALUATED} SELECT decision, action, origin_kind, count(*) AS n FROM e GROUP BY ALL")
+def a17(spark, sf):
+    return policy.decision_rollup(_evaluated(spark, sf))
+
+
+# audit
+
+
+_AUDIT = "l AS (SELECT user_id % 8 AS log_id, event_id AS seq FROM events), b AS (SELECT *, CASE WHEN log_id = 2 AND seq % 97 = 3 THEN 'content' WHEN log_id = 3 AND seq % 89 = 5 THEN 'prev' WHEN log_id = 4 AND seq % 83 = 7 THEN 'hmac' END AS reason, row_number() OVER (PARTITION BY log_id ORDER BY seq) - 1 AS place FROM l)"
+
+
+@_q("u1_content_hash", "SELECT event_id AS seq, sha256('{\"id\":' || event_id || ',\"action\":\"' || action || '\"}') AS content_hash FROM (SELECT request_id AS event_id, action FROM (" + D.REQUESTS_SQL + "))")
+def u1(spark, sf):
+    return D.audit_rows(spark, sf).select("seq", H.content_hash(F.col("payload")).alias("content_hash"))
+
+
+@_q("u2_build_chain")
+def u2(spark, sf):
+    return audit.build_chain(D.audit_rows(spark, sf), D.AUDIT_KEY)
+
+
+@_q("u3_verify_entries", f"WITH {_AUDIT}, p AS (SELECT *, lag(reason) OVER (PARTITION BY log_id ORDER BY seq) AS before FROM b) SELECT log_id, seq, reason IS DISTINCT FROM 'content' AS content_ok, reason IS DISTINCT FROM 'prev' AND before IS DISTINCT FROM 'hmac' AS prev_ok, reason IS NULL OR reason = 'content' AS hmac_ok FROM p WHERE NOT (log_id = 3 AND place = 0)")
+def u3(spark, sf):
+    v = audit.verify_entries(D.tampered(spark, sf), D.AUDIT_KEY)
+    first = v.groupBy("log_id").agg(F.min("seq").alias("first"))
+    return v.join(first, "log_id").filter("NOT (log_id = 3 AND seq = first)").select("log_id", "seq", "content_ok", "prev_ok", "hmac_ok")
+
+
+@_q("u4_verify_summary", f"WITH {_AUDIT} SELECT log_id, count(*) AS entries, coalesce(min(place) FILTER (reason IS NOT NULL), count(*))::BIGINT AS valid, arg_min(seq, place) FILTER (reason IS NOT NULL) AS broken_seq, arg_min(reason, place) FILTER (reason IS NOT NULL) AS reason FROM b GROUP BY log_id")
+def u4(spark, sf):
+    return audit.verify_summary(audit.verify_entries(D.tampered(spark, sf), D.AUDIT_KEY))
+
+
+@_q("u5_chain_head", "SELECT user_id % 8 AS log_id, count(*) AS n, true AS matches FROM events GROUP BY 1")
+def u5(spark, sf):
+    c = audit.build_chain(D.audit_rows(spark, sf), D.AUDIT_KEY)
+    last = c.groupBy("log_id").agg(F.max("seq").alias("seq"), F.count("*").alias("n")).join(c, ["log_id", "seq"]).select("log_id", "n", F.col("hmac").alias("h"))
+    return last.join(audit.chain_head(c), "log_id").select("log_id", "n", (F.col("h") == F.col("hmac")).alias("matches"))
+
+
+@_q("u6_audit_events", f"WITH {_EVALUATED}, p AS (SELECT * FROM e WHERE NOT (action IN ('ListSessions', 'GetSessionStatus', 'ReadSessionOutput', 'ListGroups', 'GetSystemStatus') AND origin_kind IN ('BridgeTelegram', 'BridgeSlack') AND decision = 'Allow')) SELECT request_id, 0 AS stage, '{{\"request_id\":' || request_id || ',\"action\":\"' || action || '\",\"origin_kind\":\"' || origin_kind || '\",\"decision\":\"' || decision || '\"}}' AS payload FROM p UNION ALL SELECT request_id, 1, '{{\"request_id\":' || request_id || ',\"risk_score\":' || (request_id % 100) || '}}' FROM e WHERE action = 'FetchExternalContent' AND decision = 'Allow'")
+def u6(spark, sf):
+    e = _evaluated(spark, sf)
+    reports = e.filter("action = 'FetchExternalContent' AND decision = 'Allow'").select("request_id", (F.col("request_id") % 100).alias("risk_score"))
+    return audit.audit_events(e, reports)
+
+
+@_q("u7_audit_search", f"WITH {_EVALUATED} SELECT request_id FROM e WHERE ts_us >= {D.EPOCH_US} + 3600000000 AND ts_us < {D.EPOCH_US} + 7200000000 AND decision = 'Deny'")
+def u7(spark, sf):
+    from datetime import datetime, timezone
+
+    at = lambda h: datetime(2024, 1, 1, h, tzinfo=timezone.utc)
+    return audit.audit_search(_evaluated(spark, sf).withColumn("session_id", F.lit(None)), at(1), at(2), decision="Deny").select("request_id")
+
+
+@_q("s4_s5_audit_lines", "SELECT user_id % 8 AS log_id, event_id AS seq, true AS same FROM events")
+def s4(spark, sf):
+    c = audit.build_chain(D.audit_rows(spark, sf), D.AUDIT_KEY)
+    fields = F.when(F.col("seq") % 2 == 0, F.concat(F.lit('{"event":'), F.col("payload"), F.lit(',"fields":{"n":1}}'))).otherwise(F.col("payload"))
+    c = c.withColumns({"payload": fields, "want": fields})
+    return files.parse_audit(files.render_audit(c).select("log_id", "seq", "want", "line")).select("log_id", "seq", (F.col("payload") == F.col("want")).alias("same"))
+
+
+# messages
+
+
+_ALLOWED_M = "(user_id::BIGINT % 11 <> 0 AND ((user_id::BIGINT % 6 = 1 AND platform = 'telegram') OR (user_id::BIGINT % 6 = 2 AND platform = 'slack')))"
+
+
+@_q("m1_m3_intake", f"SELECT message_id, CASE WHEN NOT {_ALLOWED_M} THEN 'UnknownSender' WHEN strlen(text) > 20 THEN 'MessageTooLarge' END AS reject, starts_with(text, '/') AS is_command FROM ({D.MESSAGES_SQL}) WHERE NOT bot")
+def m1(spark, sf):
+    return _intake(spark, sf).select("message_id", "reject", "is_command")
+
+
+def _intake(spark, sf):
+    return messages.intake(messages.resolve_identity(messages.drop_bots(D.messages(spark, sf)), D.allowlist(spark, sf)), most=20)
+
+
+_TARGETS = "CASE CAST(message_id % 7 AS INT) WHEN 2 THEN 'web|deploy it now' WHEN 3 THEN 'api|please hold' END"
+_COMMANDS = "CASE CAST(message_id % 7 AS INT) WHEN 0 THEN '/status||' WHEN 1 THEN '/check|build|' WHEN 2 THEN 'unknown|deploy|it now' WHEN 3 THEN '/send|api|please hold' WHEN 4 THEN 'unknown|there|' WHEN 5 THEN '/help||' ELSE 'unknown|x|y z' END"
+
+
+@_q("m4_m5_parse", f"SELECT message_id, {_TARGETS} AS target, {_COMMANDS} AS command FROM ({D.MESSAGES_SQL})")
+def m4(spark, sf):
+    t, c = messages.parse_target(F.col("text")), messages.parse_command(F.col("text"))
+    bar = lambda *x: F.concat_ws("|", *x)
+    return D.messages(spark, sf).select("message_id", F.when(t.isNotNull(), bar(t["name"], t["message"])).alias("target"), bar(c["command"], c["name"], c["message"]).alias("command"))
+
+
+@_q("m6_rate_limit")
+def m6(spark, sf):
+    return messages.rate_limit(D.messages(spark, sf))
+
+
+@_q("m7_message_rate", f"SELECT platform || ':' || user_id AS sender, (ts_us - {D.EPOCH_US}) // 60000000 AS minute, count(*) AS n FROM ({D.MESSAGES_SQL}) GROUP BY ALL")
+def m7(spark, sf):
+    r = messages.message_rate(D.messages(spark, sf))
+    return r.select("sender", F.expr(f"(unix_micros(start) - {D.EPOCH_US}) div 60000000").alias("minute"), "n")
+
+
+@_q("m8_redact", "SELECT page_id, replace(replace(url, 'example.com', '[REDACTED]'), 'http', '[REDACTED]') AS url FROM pages")
+def m8(spark, sf):
+    return D.table(spark, sf, "pages").select("page_id", messages.redact(F.col("url"), ["http", "example.com"]).alias("url"))
+
+
+@_q("m9_outcomes", f"SELECT CASE WHEN NOT {_ALLOWED_M} THEN 'UnknownSender' WHEN strlen(text) > 20 THEN 'MessageTooLarge' ELSE 'Accepted' END AS outcome, count(*) AS n FROM ({D.MESSAGES_SQL}) WHERE NOT bot GROUP BY 1")
+def m9(spark, sf):
+    return messages.intake_outcomes(_intake(spark, sf))
+
+
+_NOTE = "' … [truncated, ' || length(t) || ' chars]'"
+
+
+@_q("m10_clip_reply", f"SELECT conv_id, turn, sha256(CASE WHEN length(t) <= 200 THEN t ELSE left(t, 200 - length({_NOTE})) || {_NOTE} END) AS reply_sha FROM (SELECT conv_id, turn, {_STRIP('text')} AS t FROM conversations)")
+def m10(spark, sf):
+    return D.table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(X.clip_reply(F.col("text"), 200), 256).alias("reply_sha"))
+
+
+@_q("m11_only_new", "SELECT event_id AS update_id FROM events WHERE event_id > 100 * (user_id % 3)")
+def m11(spark, sf):
+    u = D.table(spark, sf, "events").select((F.col("user_id") % 3).alias("source"), F.col("event_id").alias("update_id"))
+    return messages.only_new(u, spark.createDataFrame([(0, 0), (1, 100), (2, 200)], "source long, last_id long"))[0].filter("true").select("update_id")
+
+
+@_q("m12_reply_events", f"SELECT conv_id * 1000 + turn AS message_id, '{{\"event\":\"reply\",\"fields\":{{\"text_len\":' || length(text) || ',\"truncated\":' || (length({_STRIP('text')}) > 4096) || ',\"normalized_len\":' || length({_STRIP('text')}) || ',\"sent_len\":' || least(4096, length({_STRIP('text')})) || '}}}}' AS payload FROM conversations")
+def m12(spark, sf):
+    return messages.reply_events(D.table(spark, sf, "conversations").selectExpr("conv_id * 1000 + turn AS message_id", "text"))
+
+
+# sessions
+
+
+_SEEN = f"seen AS (SELECT s.*, coalesce(l.live, 'Error') AS live FROM ({D.SESSIONS_SQL}) s LEFT JOIN ({D.LIVE_SQL}) l USING (session_id))"
+
+
+@_q("h1_h4_output", "SELECT doc_id, len(string_split(regexp_replace(coalesce(text, ''), '\\n$', ''), chr(10)))::INTEGER > 20 AS long, list_extract(string_split(coalesce(text, '') || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'sh: x: not found' ELSE 'error: y' END, chr(10)), -1) = 'sh: x: not found' AS missing, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'Error' END AS signals FROM documents WHERE text NOT LIKE '%>%'")
+def h1(spark, sf):
+    d = D.table(spark, sf, "documents").filter("text NOT LIKE '%>%'")
+    t = F.coalesce("text", F.lit(""))
+    out = F.concat(t, F.lit("\n"), F.when(F.col("doc_id") % 3 == 0, "sh: x: not found").otherwise("error: y"))
+    return d.select("doc_id", (F.size(X.tail_lines(t, 21)) > 20).alias("long"), sessions.tool_missing(out).alias("missing"), F.array_join(sessions.signals(out), ",").alias("signals"))
+
+
+@_q("h3_live_state", "SELECT 's' || user_id AS session_id, CASE WHEN user_id % 7 = 0 THEN 'Error' WHEN user_id % 3 = 0 THEN 'Waiting' ELSE 'Running' END AS live FROM (SELECT DISTINCT user_id FROM events)")
+def h3(spark, sf):
+    s = D.sessions(spark, sf)
+    n = F.substring("session_id", 2, 20).cast("int")
+    outputs = s.filter(n % 7 != 0).select("session_id", F.when(n % 3 == 0, "\x1b[1mdone\x1b[0m\n> ").otherwise("busy").alias("output"))
+    return sessions.live_state(s, outputs)
+
+
+_BEAT = f"{_SEEN}, w AS (SELECT title, CASE WHEN state = 'Stopped' THEN state ELSE live END AS now FROM seen)"
+_STATE_COUNTS = ", ".join(f"count(*) FILTER (now = '{s}') AS {s.lower()}" for s in sessions.STATES)
+
+
+@_q("h5_heartbeat", f"WITH {_BEAT} SELECT count(*) AS total, {_STATE_COUNTS}, array_to_string(list_sort(list(title) FILTER (now IN ('Error', 'Waiting'))), ',') AS needs FROM w")
+def h5(spark, sf):
+    b = sessions.heartbeat(D.sessions(spark, sf), D.live(spark, sf))
+    return b.withColumn("needs", F.array_join("needs_attention", ",")).drop("needs_attention")
+
+
+@_q("h6_state_changes", f"WITH {_SEEN} SELECT session_id, title, state AS old_state, live AS new_state FROM seen WHERE state <> 'Stopped' AND state <> live")
+def h6(spark, sf):
+    return sessions.state_changes(D.sessions(spark, sf), D.live(spark, sf))
+
+
+@_q("h7_reconcile", f"WITH {_SEEN} SELECT session_id, state AS old_state, CASE WHEN state IN ('Running', 'Waiting', 'Idle') AND live = 'Error' THEN 'Error' WHEN state = 'Running' AND live = 'Stopped' THEN 'Stopped' WHEN state = 'Stopped' AND live IN ('Running', 'Waiting', 'Idle') THEN 'Running' END AS new_state FROM seen WHERE new_state IS NOT NULL")
+def h7(spark, sf):
+    return sessions.reconcile(D.sessions(spark, sf), D.live(spark, sf)).select("session_id", "old_state", "new_state")
+
+
+@_q("h8_escalate", f"SELECT session_id, CASE WHEN state = 'Error' OR contains(output, 'confirm') THEN 'High' ELSE 'Medium' END AS priority, CASE WHEN state = 'Error' THEN 'session is in error state' WHEN contains(output, 'confirm') THEN 'output contains decision-request pattern: \"confirm\"' ELSE 'waiting for ' || (waiting_seconds // 60) || ' minutes' END AS reason FROM ({D.SESSIONS_SQL}) WHERE state = 'Error' OR (state = 'Waiting' AND (contains(output, 'confirm') OR waiting_seconds >= 600))")
+def h8(spark, sf):
+    return sessions.escalate(D.sessions(spark, sf))
+
+
+@_q("h9_status_report")
+def h9(spark, sf):
+    return sessions.status_report(sessions.heartbeat(D.sessions(spark, sf), D.live(spark, sf)))
+
+
+@_q("h10_change_episodes", f"WITH {_SEEN} SELECT session_id, 'ActionCompleted' AS kind, title || ': running -> ' || lower(live) AS summary FROM seen WHERE state = 'Running' AND live IN ('Waiting', 'Idle')")
+def h10(spark, sf):
+    return sessions.change_episodes(sessions.state_changes(D.sessions(spark, sf), D.live(spark, sf)))
+
+
+@_q("h11_idle_trigger", "WITH c AS (SELECT user_id AS log_id, event_id AS cycle, CASE WHEN event_type = 'click' OR value > 50 THEN 1 ELSE 0 END AS running FROM events), i AS (SELECT *, sum(running) OVER (PARTITION BY log_id ORDER BY cycle) AS island FROM c) SELECT log_id, cycle, running = 0 AND sum(1 - running) OVER (PARTITION BY log_id, island ORDER BY cycle) % 3 = 0 AS fires FROM i")
+def h11(spark, sf):
+    c = D.table(spark, sf, "events").select(F.col("user_id").alias("log_id"), F.col("event_id").alias("cycle"), F.when((F.col("event_type") == "click") | (F.col("value") > 50), 1).otherwise(0).alias("running"), F.lit(0).alias("error"))
+    return sessions.idle_trigger(c).select("log_id", "cycle", "fires")
+
+
+@_q("h12_dedup_titles", f"SELECT session_id, CASE WHEN n > 1 THEN title || ' (' || n || ')' ELSE title END AS title FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY created_at, session_id) AS n FROM ({D.SESSIONS_SQL}))")
+def h12(spark, sf):
+    return sessions.dedup_titles(D.sessions(spark, sf))
+
+
+@_q("h13_ancestors", f"WITH RECURSIVE s AS ({D.SESSIONS_SQL}), a AS (SELECT session_id, parent_id AS ancestor_id, 1 AS depth FROM s WHERE parent_id IS NOT NULL AND parent_id <> session_id UNION ALL SELECT a.session_id, s.parent_id, a.depth + 1 FROM a JOIN s ON s.session_id = a.ancestor_id WHERE s.parent_id IS NOT NULL AND s.parent_id <> s.session_id AND depth < 64) SELECT session_id, ancestor_id, depth FROM a")
+def h13(spark, sf):
+    return sessions.ancestors(D.sessions(spark, sf))
+
+
+@_q("h13_parent_errors", f"WITH s AS ({D.SESSIONS_SQL}) SELECT session_id, 'self-parent' AS error FROM s WHERE parent_id = session_id UNION ALL SELECT session_id, 'missing parent' FROM s WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT session_id FROM s)")
+def h13b(spark, sf):
+    return sessions.parent_errors(D.sessions(spark, sf))
+
+
+_REFS = "SELECT DISTINCT CASE WHEN user_id % 3 = 0 THEN 'work ' || (user_id % 50) WHEN user_id % 3 = 1 THEN 's' || user_id ELSE 'S1' || (user_id % 20) END AS ref FROM events"
+
+
+@_q("h14_resolve_sessions", f"WITH s AS ({D.SESSIONS_SQL}), r AS ({_REFS}), m AS (SELECT ref, (SELECT min(session_id) FROM s WHERE title = ref) AS t, (SELECT min(session_id) FROM s WHERE session_id = ref) AS i, (SELECT min(session_id) FROM s WHERE starts_with(lower(session_id), lower(ref))) AS p, (SELECT count(*) FROM s WHERE starts_with(lower(session_id), lower(ref))) AS n FROM r) SELECT ref, coalesce(t, i, CASE WHEN n = 1 THEN p END) AS session_id, CASE WHEN t IS NOT NULL OR i IS NOT NULL OR n = 1 THEN 'ok' WHEN n > 1 THEN 'ambiguous' ELSE 'not found' END AS status FROM m")
+def h14(spark, sf):
+    e = D.table(spark, sf, "events").select("user_id").distinct()
+    refs = e.selectExpr("CASE WHEN user_id % 3 = 0 THEN 'work ' || (user_id % 50) WHEN user_id % 3 = 1 THEN 's' || user_id ELSE 'S1' || (user_id % 20) END AS ref").distinct()
+    return sessions.resolve_sessions(refs, D.sessions(spark, sf))
+
+
+@_q("h15_groups", f"SELECT DISTINCT group_id FROM ({D.SESSIONS_SQL}) WHERE group_id IS NOT NULL")
+def h15(spark, sf):
+    return sessions.groups(D.sessions(spark, sf))
+
+
+@_q("h15_list_sessions", f"SELECT session_id, title, created_at FROM ({D.SESSIONS_SQL}) WHERE state = 'Waiting'")
+def h15b(spark, sf):
+    return sessions.list_sessions(D.sessions(spark, sf), "Waiting").select("session_id", "title", "created_at")
+
+
+@_q("h16_status_counts", f"SELECT count(*) AS total, {_STATE_COUNTS.replace('now', 'state')} FROM ({D.SESSIONS_SQL})")
+def h16(spark, sf):
+    return sessions.status_counts(D.sessions(spark, sf))
+
+
+# memory
+
+
+@_q("k1_filter_episodes", f"SELECT line_no FROM ({D.EPISODES_SQL}) WHERE kind = 'CandidateLearning' AND list_contains(tags, 'user') AND day >= DATE '2023-09-01' AND day < DATE '2024-02-01'")
+def k1(spark, sf):
+    from datetime import date
+
+    e = D.episodes(spark, sf).withColumn("ts", F.col("day"))
+    return memory.filter_episodes(e, kind="CandidateLearning", tag="user", since=date(2023, 9, 1), until=date(2024, 2, 1)).select("line_no")
+
+
+@_q("k2_search", f"SELECT 'episode' AS kind, summary AS text FROM ({D.EPISODES_SQL}) WHERE contains(lower(summary), 'time') UNION ALL SELECT 'learning', text FROM ({D.LEARNINGS_SQL}) WHERE contains(lower(text), 'time')")
+def k2(spark, sf):
+    return memory.search(D.episodes(spark, sf), D.learnings(spark), "TIME")
+
+
+@_q("k3_memory_stats", f"WITH e AS ({D.EPISODES_SQL}), l AS ({D.LEARNINGS_SQL}) SELECT 'episodes' AS name, count(*) AS n FROM e UNION ALL SELECT 'sessions', count(DISTINCT session_id) FROM e UNION ALL SELECT 'kind:' || kind, count(*) FROM e GROUP BY kind UNION ALL SELECT 'learnings', count(*) FROM l UNION ALL SELECT 'stale', count(*) FILTER (stale) FROM l")
+def k3(spark, sf):
+    return memory.memory_stats(D.episodes(spark, sf), D.learnings(spark))
+
+
+_KEY = lambda c: f"trim(regexp_replace(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+_CAND = f"cand AS (SELECT {_KEY('summary')} AS key, count(DISTINCT session_id) AS sessions, max(day) AS last_seen, arg_max(summary, {{'d': day, 'l': -line_no}}) AS text FROM ({D.EPISODES_SQL}) WHERE kind = 'CandidateLearning' GROUP BY 1)"
+
+
+@_q("k4_candidates", f"WITH {_CAND} SELECT key, sessions, last_seen, text FROM cand")
+def k4(spark, sf):
+    return memory.candidates(D.episodes(spark, sf))
+
+
+_LEARN = f"l AS (SELECT *, {_KEY('text')} AS key FROM ({D.LEARNINGS_SQL}))"
+_PROMOTED = "pro AS (SELECT text, sessions::INTEGER AS count, last_seen, false AS stale FROM cand WHERE sessions >= 3 AND key NOT IN (SELECT key FROM l))"
+_REINF = "re AS (SELECT l.pos, l.text, CASE WHEN c.key IS NOT NULL THEN greatest(l.count, c.sessions) ELSE l.count END::INTEGER AS count, CASE WHEN c.key IS NOT NULL THEN greatest(l.last_seen, c.last_seen) ELSE l.last_seen END AS last_seen, CASE WHEN c.key IS NOT NULL THEN false ELSE l.stale END AS stale FROM l LEFT JOIN cand c USING (key))"
+
+
+@_q("k5_promote", f"WITH {_CAND}, {_LEARN}, {_PROMOTED} SELECT * FROM pro")
+def k5(spark, sf):
+    return memory.promote(memory.candidates(D.episodes(spark, sf)), D.learnings(spark))
+
+
+@_q("k6_reinforce", f"WITH {_CAND}, {_LEARN}, {_REINF} SELECT pos, text, count, last_seen, stale FROM re")
+def k6(spark, sf):
+    return memory.reinforce(memory.candidates(D.episodes(spark, sf)), D.learnings(spark))
+
+
+_STALE = "coalesce(last_seen < DATE '2024-06-30' - 180, false)"
+
+
+@_q("k7_mark_stale", f"SELECT day, summary, {_STALE.replace('last_seen', 'day')} AS stale FROM ({D.EPISODES_SQL})")
+def k7(spark, sf):
+    e = D.episodes(spark, sf).select("day", "summary", F.col("day").alias("last_seen"), F.lit(False).alias("stale"))
+    return memory.mark_stale(e, F.lit("2024-06-30")).select("day", "summary", "stale")
+
+
+@_q("k8_archive", f"SELECT line_no FROM ({D.EPISODES_SQL}) WHERE day < DATE '2024-06-30' - 90")
+def k8(spark, sf):
+    return memory.archive(D.episodes(spark, sf), F.to_timestamp(F.lit("2024-06-30"))).select("line_no")
+
+
+@_q("k9_consolidate", f"WITH {_CAND}, {_LEARN}, {_PROMOTED}, {_REINF}, a AS (SELECT text, count, last_seen, stale FROM re UNION ALL SELECT * FROM pro) SELECT text, count, last_seen, stale OR {_STALE} AS stale FROM a")
+def k9(spark, sf):
+    return memory.consolidate(D.episodes(spark, sf), D.learnings(spark), F.lit("2024-06-30"))
+
+
+@_q("s7_s8_learnings", f"SELECT row_number() OVER (PARTITION BY session_id ORDER BY line_no) > 0 AS ok, session_id AS doc_id, summary AS text, CASE WHEN line_no % 2 = 0 THEN 5 ELSE 1 END::INTEGER AS count, CASE WHEN line_no % 2 = 0 THEN day END AS last_seen, line_no % 3 = 0 AS stale FROM ({D.EPISODES_SQL})")
+def s7(spark, sf):
+    e = D.episodes(spark, sf).select(F.col("session_id").alias("doc_id"), F.col("line_no").alias("pos"), F.col("summary").alias("text"), F.when(F.col("line_no") % 2 == 0, 5).otherwise(1).alias("count"), F.when(F.col("line_no") % 2 == 0, F.col("day")).alias("last_seen"), (F.col("line_no") % 3 == 0).alias("stale"))
+    lines = memory.render_learnings(e).select("doc_id", F.posexplode(F.split("markdown", "\n")).alias("line_no", "line"))
+    return memory.parse_learnings(lines).select(F.lit(True).alias("ok"), "doc_id", "text", "count", "last_seen", "stale")
+
+
+# evaluation
+
+
+_CORPUS = "SELECT doc_id AS item_id, source AS corpus, CAST(doc_id % 70 AS INT) AS risk_score FROM documents"
+
+
+def _corpus(spark, sf):
+    return D.table(spark, sf, "documents").selectExpr("doc_id AS item_id", "source AS corpus", "CAST(doc_id % 70 AS INT) AS risk_score")
+
+
+@_q("e1_fp_gate", f"SELECT corpus, count(*) FILTER (risk_score >= 50) AS hits, count(*) FILTER (risk_score >= 51) + 1 AS allowed, count(*) FILTER (risk_score >= 50) <= count(*) FILTER (risk_score >= 51) + 1 AS passes FROM ({_CORPUS}) GROUP BY corpus")
+def e1(spark, sf):
+    s = _corpus(spark, sf)
+    return evaluation.fp_gate(s, evaluation.build_baseline(s, 51)).select("corpus", "hits", "allowed", "passes")
+
+
+@_q("e2_corpus_drift", f"SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'removed' WHEN item_id % 7 = 0 THEN 'added' WHEN item_id % 3 = 0 THEN 'rescored' END AS change FROM ({_CORPUS}) WHERE (item_id % 5 = 0 OR item_id % 7 = 0 OR item_id % 3 = 0) AND NOT (item_id % 5 = 0 AND item_id % 7 = 0)")
+def e2(spark, sf):
+    s = _corpus(spark, sf)
+    now = s.filter("item_id % 5 <> 0")
+    was = s.filter("item_id % 7 <> 0").withColumn("risk_score", F.when(F.col("item_id") % 3 == 0, F.col("risk_score") + 1).otherwise(F.col("risk_score")))
+    return evaluation.corpus_drift(now, was)
+
+
+_EXPECT = "(VALUES (0, 'INJ-001', 'High'), (8, 'ENC-002', 'Low'), (8, 'ENC-002', 'Medium'), (10, 'REP-001', 'Low'), (1, 'INJ-001', 'High')) x(k, rule_id, least_severity)"
+
+
+@_q("e3_expectations", f"WITH {_FINDINGS} SELECT n.doc_id AS item_id, x.rule_id, x.least_severity, EXISTS (SELECT 1 FROM f WHERE f.doc_id = n.doc_id AND f.rule_id = x.rule_id AND CASE f.severity WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END >= CASE x.least_severity WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END) AS met FROM n JOIN {_EXPECT} ON n.doc_id % 23 = x.k")
+def e3(spark, sf):
+    found = content.explode_findings(_scored(spark, sf).select(F.col("doc_id").alias("item_id"), "findings"))
+    x = spark.createDataFrame([(0, "INJ-001", "High"), (8, "ENC-002", "Low"), (8, "ENC-002", "Medium"), (10, "REP-001", "Low"), (1, "INJ-001", "High")], "k long, rule_id string, least_severity string")
+    wanted = D.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), (F.col("doc_id") % 23).alias("k")).join(F.broadcast(x), "k").drop("k")
+    return evaluation.expectations(found, wanted)
+
+
+@_q("e5_baseline", f"SELECT corpus, 50 AS threshold, count(*) AS corpus_size, count(*) FILTER (risk_score >= 50) AS baseline_hits FROM ({_CORPUS}) GROUP BY corpus")
+def e5(spark, sf):
+    return evaluation.build_baseline(_corpus(spark, sf))
+
+
+@_q("e6_stripped_totals", f"WITH {_C} SELECT 'ansi-escape' AS element, sum(length(text) - length(replace(text, chr(27), '')))::BIGINT AS n FROM c")
+def e6(spark, sf):
+    d = D.content(spark, sf).withColumn("declared_type", F.lit("Log"))
+    return evaluation.stripped_totals(content.sanitize(d, id_col="doc_id"))
