@@ -42,16 +42,18 @@ _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
-    return np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    """1 for letters, 2 for marks, 0 for all else."""
+    kinds = {"L": 1, "M": 2}
+    return np.fromiter((kinds.get(unicodedata.category(chr(i))[0], 0) for i in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
 
 
 def ngram_hashes(text: str, sizes: tuple[int, ...] = NGRAMS) -> tuple[np.ndarray, bool]:
     """The hashes of the n-grams of a text's words, with one space at either end of each word; and whether it has a letter."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters()[points]
-    if not letter.any():
+    kind = _letters()[points]
+    if not (kind == 1).any():
         return np.zeros(0, np.uint64), False
-    points = np.concatenate([[0], np.where(letter, points, 0), [0]]).astype(np.uint64)
+    points = np.concatenate([[0], np.where(kind > 0, points, 0), [0]]).astype(np.uint64)
     points = points[np.concatenate([[True], (points[1:] != 0) | (points[:-1] != 0)])]
     out = []
     for n in sizes:

@@ -92,17 +92,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OP1_SQL = """
+def _crc_entry(c: int) -> int:
+    for _ in range(8):
+        c = (c >> 1) ^ 0xEDB88320 if c & 1 else c >> 1
+    return c
+
+
+_CRC_TABLE = "[" + ", ".join(str(_crc_entry(i)) for i in range(256)) + "]"
+_BYTES = "list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)"
+_CRC = f"coalesce(xor(list_reduce({_BYTES}, lambda crc, b: xor(crc >> 8, ({_CRC_TABLE})[(xor(crc, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT), 0)"
+
+OP1_SQL = f"""
 WITH rows AS (
-  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT + 1 AS size, coalesce('=' || source, 'null') AS stratum,
-         md5('guardlake-1:' || coalesce(doc_id::VARCHAR, '')) AS digest, text
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT + 1 AS size, {_CRC} AS text_crc32, coalesce('=' || source, 'null') AS stratum,
+         md5('{sharding.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS digest
   FROM documents),
 ranked AS (
-  SELECT *, (2 * row_number() OVER (PARTITION BY stratum ORDER BY digest, doc_id) - 1)::DOUBLE
+  SELECT *, (2 * row_number() OVER (PARTITION BY stratum ORDER BY digest, doc_id, text_crc32, size) - 1)::DOUBLE
             / (2 * count(*) OVER (PARTITION BY stratum))::DOUBLE AS f FROM rows),
 placed AS (
-  SELECT *, row_number() OVER (ORDER BY f, stratum, digest, doc_id) - 1 AS p, count(*) OVER () AS n FROM ranked)
-SELECT doc_id, size, 'rows' AS law, (p * 16 // n)::INTEGER AS shard,
+  SELECT *, row_number() OVER (ORDER BY f, stratum, digest, doc_id, text_crc32, size) - 1 AS p, count(*) OVER () AS n FROM ranked)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (p * 16 // n)::INTEGER AS shard,
        (p - ((p * 16 // n) * n + 15) // 16)::BIGINT AS slot, NULL::INTEGER AS grown_shard
 FROM placed
 """
@@ -178,4 +188,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": OP5_SQL, "op6_line_dedup": OP6_SQL, "op10_decontamination": OP10_SQL}
+    return {"op1_sharding": OP1_SQL, "op5_chat_format": OP5_SQL, "op6_line_dedup": OP6_SQL, "op10_decontamination": OP10_SQL}
