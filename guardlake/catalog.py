@@ -193,7 +193,10 @@ def p9(spark, sf):
     return D.content(spark, sf).select("doc_id", content.base64_run(t).alias("base64_run"), content.hex_run(t).alias("hex_run"), F.octet_length(content.long_token(t)).alias("long_token"))
 
 
-@_q("p12_repetition")
+_HEXED = "regexp_extract_all(hex(encode(t)), '..')"
+
+
+@_q("p12_repetition", f"WITH {_C}, n AS (SELECT doc_id, {_STRIP('text')} AS t FROM c), b AS (SELECT doc_id, {_HEXED} AS b FROM n) SELECT doc_id, (CASE WHEN len(b) < 2 THEN 0 ELSE len(list_filter(list_zip(b[:-2], b[2:]), lambda x: x[1] = x[2]))::DOUBLE / len(b) END)::FLOAT AS ratio FROM b")
 def p12(spark, sf):
     return D.content(spark, sf).select("doc_id", X.repetition_ratio(X.strip_invisible(F.col("text"))).alias("ratio"))
 
@@ -374,7 +377,11 @@ def a7(spark, sf):
     return policy.consume_grants(_resolved(spark, sf), D.grants(spark, sf))
 
 
-@_q("a8_fatigue")
+@_q("a8_fatigue", f"""WITH RECURSIVE {_RESOLVED}, o AS (SELECT request_id, principal, ts_us AS t, row_number() OVER (PARTITION BY principal ORDER BY ts_us, request_id) AS n FROM x WHERE required_tier >= 2),
+c AS (SELECT request_id, principal, n, [t] AS recent, NULL::BIGINT AS high, 'Normal' AS level FROM o WHERE n = 1 UNION ALL
+SELECT request_id, principal, n, CASE WHEN cool THEN was ELSE seen END, CASE WHEN NOT cool AND len(seen) > 10 THEN t ELSE high END, CASE WHEN cool THEN 'Cooldown' WHEN len(seen) > 10 THEN 'HighRisk' WHEN len(seen) > 5 THEN 'Warning' ELSE 'Normal' END
+FROM (SELECT o.request_id, o.principal, o.n, o.t, c.high, c.recent AS was, c.high IS NOT NULL AND o.t - c.high < 120000000 AS cool, list_append(list_filter(c.recent, lambda y: y >= o.t - 300000000), o.t) AS seen FROM c JOIN o ON o.principal = c.principal AND o.n = c.n + 1))
+SELECT request_id, level FROM c""")
 def a8(spark, sf):
     return policy.fatigue(_resolved(spark, sf).filter("required_tier >= 2"), "principal")
 
@@ -457,7 +464,13 @@ def u1(spark, sf):
     return D.audit_rows(spark, sf).select("seq", H.content_hash(F.col("payload")).alias("content_hash"))
 
 
-@_q("u2_build_chain")
+_LINKED = H.hmac_sql("(ch || prev)", D.AUDIT_KEY)
+_PAYLOAD = "'{\"id\":' || request_id || ',\"action\":\"' || action || '\"}'"
+
+
+@_q("u2_build_chain", f"""WITH RECURSIVE l AS (SELECT user_id::BIGINT % 8 AS log_id, request_id AS seq, {_PAYLOAD} AS payload, sha256({_PAYLOAD}) AS ch, row_number() OVER (PARTITION BY user_id::BIGINT % 8 ORDER BY request_id) AS n FROM ({D.REQUESTS_SQL})),
+c AS (SELECT log_id, seq, payload, n, ch, prev, {_LINKED} AS hmac FROM (SELECT *, '{H.GENESIS}' AS prev FROM l WHERE n = 1) UNION ALL SELECT log_id, seq, payload, n, ch, prev, {_LINKED} FROM (SELECT l.*, c.hmac AS prev FROM c JOIN l ON l.log_id = c.log_id AND l.n = c.n + 1))
+SELECT log_id, seq, payload, ch AS content_hash, prev AS prev_hash, hmac FROM c""")
 def u2(spark, sf):
     return audit.build_chain(D.audit_rows(spark, sf), D.AUDIT_KEY)
 
@@ -530,7 +543,11 @@ def m4(spark, sf):
     return D.messages(spark, sf).select("message_id", F.when(t.isNotNull(), bar(t["name"], t["message"])).alias("target"), bar(c["command"], c["name"], c["message"]).alias("command"))
 
 
-@_q("m6_rate_limit")
+@_q("m6_rate_limit", f"""WITH RECURSIVE r AS (SELECT message_id, platform || ':' || user_id AS sender, ts_us, row_number() OVER (PARTITION BY platform || ':' || user_id ORDER BY ts_us, message_id) AS n FROM ({D.MESSAGES_SQL})),
+c AS (SELECT message_id, sender, n, ts_us AS m, ts_us AS h, 1 AS im, 1 AS ih, true AS allowed FROM r WHERE n = 1 UNION ALL
+SELECT message_id, sender, n, m, h, im + (im < 30 AND ih < 200)::INT, ih + (im < 30 AND ih < 200)::INT, im < 30 AND ih < 200 FROM (SELECT r.message_id, r.sender, r.n, CASE WHEN r.ts_us - c.m >= 60000000 THEN r.ts_us ELSE c.m END AS m, CASE WHEN r.ts_us - c.h >= 3600000000 THEN r.ts_us ELSE c.h END AS h,
+CASE WHEN r.ts_us - c.m >= 60000000 THEN 0 ELSE c.im END AS im, CASE WHEN r.ts_us - c.h >= 3600000000 THEN 0 ELSE c.ih END AS ih FROM c JOIN r ON r.sender = c.sender AND r.n = c.n + 1))
+SELECT message_id, allowed FROM c""")
 def m6(spark, sf):
     return messages.rate_limit(D.messages(spark, sf))
 
@@ -617,7 +634,10 @@ def h8(spark, sf):
     return sessions.escalate(D.sessions(spark, sf))
 
 
-@_q("h9_status_report")
+_PARTS = " || ".join(f"CASE WHEN {s.lower()} > 0 THEN ', ' || {s.lower()} || ' {s.lower()}' ELSE '' END" for s in sessions.STATES)
+
+
+@_q("h9_status_report", f"WITH {_BEAT}, b AS (SELECT count(*) AS total, {_STATE_COUNTS}, array_to_string(list_transform(list_sort(list(title) FILTER (now IN ('Error', 'Waiting'))), lambda x: chr(10) || 'NEED: ' || x || ' - needs attention'), '') AS needs FROM w) SELECT '[STATUS] ' || total || ' sessions (' || substr({_PARTS}, 3) || ').' || needs AS report FROM b")
 def h9(spark, sf):
     return sessions.status_report(sessions.heartbeat(D.sessions(spark, sf), D.live(spark, sf)))
 
