@@ -265,6 +265,14 @@ def r8(spark, sf):
     return out.select("doc_id", "content_type", "routed_from", "bytes_in", "bytes_out", "stripped_count", "risk_score", F.array_join("flags", ",").alias("flags"), F.sha2("wrapped", 256).alias("wrapped_sha"), "reject_reason", "fingerprint_in", "fingerprint_out", "schema_version", "ruleset_version", "scoring_version")
 
 
+_PLAIN = f"regexp_replace(text, {_str(X.ANSI)}, '', 'g')"
+
+
+@_q("r8_r9_report", f"WITH {_C} SELECT doc_id, CASE WHEN doc_id % 23 = 16 AND doc_id % 2 = 0 THEN 'Html' WHEN doc_id % 2 = 0 THEN 'PlainText' ELSE 'Log' END AS content_type, strlen(text)::INTEGER AS bytes_in, strlen({_STRIP(_PLAIN)})::INTEGER AS bytes_out, (length({_PLAIN}) - length({_STRIP(_PLAIN)}))::INTEGER AS stripped_count, 1 AS schema_version, 3 AS ruleset_version, 2 AS scoring_version, {H.hmac_sql('text', b'guardlake-test-key', H.DOMAIN_TAG)} AS fingerprint_in, NULL::VARCHAR AS reject_reason FROM c")
+def r8_report(spark, sf):
+    return r8(spark, sf).select("doc_id", "content_type", "bytes_in", "bytes_out", "stripped_count", "schema_version", "ruleset_version", "scoring_version", "fingerprint_in", "reject_reason")
+
+
 # formats
 
 
@@ -282,7 +290,7 @@ def f2a(spark, sf):
     return formats.html_tokens(D.pages(spark, sf)).groupBy("page_id").agg(F.count("*").alias("tokens"))
 
 
-@_q("f2d_attr_signals")
+@_q("f2d_attr_signals", f"WITH p AS ({D.PAGES_SQL}) SELECT page_id, 'comment' AS signal, {_COUNT('html', '(?s)<!--.*?-->')}::BIGINT AS n FROM p WHERE contains(html, '<!--') UNION ALL SELECT page_id, 'aria-label', 1 FROM p WHERE page_id % 9 = 6 UNION ALL SELECT page_id, 'alt-non-img', 1 FROM p WHERE page_id % 9 = 7")
 def f2d(spark, sf):
     p = D.pages(spark, sf)
     return formats.attr_signals(formats.hidden_tokens(formats.html_tokens(p), formats.hidden_classes(p)))
@@ -300,7 +308,17 @@ def f5a(spark, sf):
     return formats.markdown_lines(D.markdown(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if("in_code").alias("code_lines"))
 
 
-@_q("f5_clean_markdown")
+_ESCAPED = lambda e: f"replace(replace(replace(replace(replace(replace(replace({e}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@_q("f5_clean_markdown", f"""WITH d AS ({D.MARKDOWN_SQL}), l AS (SELECT doc_id, x.i AS line_no, x.s AS line FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda s, i: {{'i': i - 1, 's': s}})) AS x FROM d)),
+m AS (SELECT *, regexp_matches(line, '^ {{0,3}}(?:```|~~~)') AS fence FROM l), c AS (SELECT *, fence OR sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY line_no) % 2 = 1 AS in_code FROM m),
+e AS (SELECT *, sum((in_code OR trim(line) = '')::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS part FROM c),
+g AS (SELECT *, min(CASE WHEN NOT in_code AND regexp_matches(line, '^ {{0,3}}</?[A-Za-z][^<>]*>?\\s*') THEN line_no END) OVER (PARTITION BY doc_id, part) AS bf FROM e),
+k AS (SELECT *, NOT in_code AND trim(line) <> '' AND coalesce(line_no >= bf, false) AS in_block, regexp_replace(line, {_str(formats._COMMENT)}, '', 'g') AS nc FROM g),
+t AS (SELECT *, CASE WHEN in_code THEN line WHEN NOT in_block THEN {_ESCAPED(f"regexp_replace(nc, {_str(formats._INLINE)}, '', 'g')")} END AS kept FROM k)
+SELECT doc_id, sha256(coalesce(string_agg(kept, chr(10) ORDER BY line_no) FILTER (kept IS NOT NULL), '')) AS text_sha, sum((in_block AND line_no = bf)::INT)::BIGINT AS html_block,
+sum(CASE WHEN in_code OR in_block THEN 0 ELSE {_COUNT('nc', formats._INLINE)} END)::BIGINT AS inline, sum(CASE WHEN in_code OR in_block THEN 0 ELSE {_COUNT('line', formats._COMMENT)} END)::BIGINT AS comment FROM t GROUP BY doc_id""")
 def f5(spark, sf):
     out = formats.clean_markdown(D.markdown(spark, sf))
     return out.select("doc_id", F.sha2("text", 256).alias("text_sha"), "html_block", "inline", "comment")
