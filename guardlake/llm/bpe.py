@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from guardlake.llm.shared import map_text
+from guardlake.llm.shared import in_batches, map_text
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Pieces kept with their ids in each Python process, in two halves of which the older is given up.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 #: Pieces of more bytes are merged by a heap.
 SHORT = 64
 
@@ -167,6 +167,21 @@ class Encoder:
 _kept: dict[str, Encoder] = {}
 
 
+class Decoder:
+    """Ids to the bytes that they stand for: one gather from the vocabulary's bytes."""
+
+    def __init__(self, vocabulary: list[bytes]):
+        self.blob = np.frombuffer(b"".join(vocabulary), np.uint8)
+        self.lengths = np.array([len(t) for t in vocabulary], np.int64)
+        self.first = np.cumsum(self.lengths) - self.lengths
+
+    def bytes(self, ids: np.ndarray) -> bytes:
+        size = self.lengths[ids]
+        to = np.cumsum(size)
+        total = int(to[-1]) if len(to) else 0
+        return self.blob[np.repeat(self.first[ids] - (to - size), size) + np.arange(total)].tobytes()
+
+
 def kept_encoder(name: str, held) -> Encoder:
     if name not in _kept:
         _kept.clear()
@@ -190,19 +205,20 @@ def _list_array(values: np.ndarray, sizes: list[int], kind: pa.DataType) -> pa.A
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def encode(docs: DataFrame, vocabulary: list[bytes], text_col: str = "text", keep: list[str] | None = None, offsets: bool = False) -> DataFrame:
-    """The columns `keep` of docs (all by default), with `ids` and, if asked for, `offsets`: where each id's bytes begin in the UTF-8 text.
+def encode(docs: DataFrame, vocabulary: list[bytes], text_col: str = "text", keep: list[str] | None = None, offsets: bool = False, decoded: bool = False) -> DataFrame:
+    """The columns `keep` of docs (all by default), with `ids` and, if asked for, `offsets`: where each id's bytes begin in the
+    UTF-8 text, and `decoded`: the bytes that the ids decode to, made from the ids in the same pass.
 
-    Null and empty texts get no ids. Special tokens are ordinary text. Columns of docs named ids or
-    offsets are replaced. The vocabulary is broadcast: its size does not depend on the data.
+    Null and empty texts get no ids. Special tokens are ordinary text. Columns of docs named ids, offsets
+    or decoded are replaced. The vocabulary is broadcast: its size does not depend on the data.
     """
     held = docs.sparkSession.sparkContext.broadcast((vocabulary, pair_ranks(vocabulary)))
     name = uuid.uuid4().hex
-    fields = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("offsets", T.ArrayType(T.LongType()))] * offsets
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("offsets", T.ArrayType(T.LongType()))] * offsets + [T.StructField("decoded", T.BinaryType())] * decoded
 
     def make() -> Callable:
         encoder = kept_encoder(name, held)
-        lengths = np.array([len(t) for t in held.value[0]], np.int64) if offsets else None
+        decoder = Decoder(held.value[0]) if offsets or decoded else None
 
         def of(texts):
             sizes, flat = [], []
@@ -213,8 +229,10 @@ def encode(docs: DataFrame, vocabulary: list[bytes], text_col: str = "text", kee
             values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
             out = [_list_array(values, sizes, pa.int32())]
             if offsets:
-                at = [np.cumsum(lengths[x]) - lengths[x] for x in flat]
+                at = [np.cumsum(decoder.lengths[x]) - decoder.lengths[x] for x in flat]
                 out.append(_list_array(np.concatenate(at) if at else np.zeros(0, np.int64), sizes, pa.int64()))
+            if decoded:
+                out.append(pa.array([decoder.bytes(x) for x in flat], pa.binary()))
             return out
 
         return of
@@ -235,20 +253,12 @@ def decode(df: DataFrame, vocabulary: list[bytes], ids_col: str = "ids", keep: l
     schema = T.StructType([*source.schema.fields[:-1], *fields])
 
     def run(batches):
-        blob = np.frombuffer(b"".join(held.value), np.uint8)
-        lengths = np.array([len(t) for t in held.value], np.int64)
-        first = np.cumsum(lengths) - lengths
+        decoder = Decoder(held.value)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             ends = np.concatenate([[0], np.cumsum(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))])
             ids = column.flatten().to_numpy()
-            out = []
-            for row in range(len(column)):  # a row at a time bounds the memory
-                x = ids[ends[row] : ends[row + 1]]
-                size = lengths[x]
-                to = np.cumsum(size)
-                total = int(to[-1]) if len(to) else 0
-                out.append(blob[np.repeat(first[x] - (to - size), size) + np.arange(total)].tobytes() if column[row].is_valid else None)
+            out = [decoder.bytes(ids[ends[i] : ends[i + 1]]) if column[i].is_valid else None for i in range(len(column))]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns - 1)], pa.array(out, pa.binary())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return in_batches(source, run, schema)

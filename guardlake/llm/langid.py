@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guardlake.llm.shared import bounded_share, draw, map_text, named, training_row
+from guardlake.llm.shared import bounded_share, draw, in_batches, map_text, named, training_row
 
 NGRAMS = (3, 4)
 #: Documents of each language that training takes, about so many at most: drawn by a hash of the id.
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([0], pa.int64()), pa.array([int(parts[0][0])], pa.int64())], names=schema.names)
 
-    counts = drawn.select("_gl_text", "_gl_lang").mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = in_batches(drawn.select("_gl_text", "_gl_lang"), count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # at least 1 % of a language's documents hold each n-gram that is kept, so there are at most 100 times a document's n-grams
     bounds = F.create_map(*[F.lit(y) for i, n in enumerate(prior) for y in (i, MIN_SHARE * min(n, sample) / 2)])
     found = counts.filter((F.col("lang") < 0) | (F.col("n") >= F.coalesce(bounds[F.col("lang")], F.lit(1.0)))).toPandas()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guardlake.llm.shared import map_text, named, new_path, partitions, written
+from guardlake.llm.shared import in_batches, map_text, named, new_path, partitions, written
 
 MIN_DOCS = 10
 BATCHES = 4
@@ -64,7 +64,7 @@ def line_counts(docs: DataFrame, batches: int = 1, text_col: str = "text") -> Da
                     longs = _two_longs(list(counts))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), i, np.int32)), pa.array(longs[:, 0].copy()), pa.array(longs[:, 1].copy()), pa.array(list(counts.values()), pa.int64())], names=schema.names)
 
-    return docs.select(named(text_col).alias("_gl_text")).mapInArrow(count, schema).groupBy("batch", "h1", "h2").agg(F.sum("n").alias("n"))
+    return in_batches(docs.select(named(text_col).alias("_gl_text")), count, schema).groupBy("batch", "h1", "h2").agg(F.sum("n").alias("n"))
 
 
 class LineRuns:

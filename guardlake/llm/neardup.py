@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guardlake.llm.shared import map_text, named, written
+from guardlake.llm.shared import in_batches, map_text, named, written
 from guardlake.llm.words import folded_words
 
 WORDS = 5
@@ -140,7 +140,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -
             keep = [similarity(held(x), held(y)) >= threshold for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
+    return in_batches(both.select("a", "b", "text_a", "text_b"), run, schema)
 
 
 def sized(df: DataFrame, name: str) -> DataFrame:
@@ -186,7 +186,7 @@ def element_counts(texts: DataFrame, words: int) -> np.ndarray:
             at = np.flatnonzero(cells)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], names=["cell", "n"])
 
-    found = texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    found = in_batches(texts.select("text"), count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(CELLS, np.int64)
     out[found.cell.to_numpy(np.int64)] = found.n.to_numpy(np.int64)
     return out

@@ -40,10 +40,8 @@ def byte_vocabulary() -> list[bytes]:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = byte_vocabulary()
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
-    decoded = bpe.decode(encoded, vocabulary)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = bpe.encode(table(spark, sf_dir, "documents"), byte_vocabulary(), keep=["doc_id"], decoded=True)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 #: Conversation -1: control strings inside texts.

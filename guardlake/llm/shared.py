@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows that a task's Python side handles together.
-ROWS_AT_ONCE = 500
+ROWS_AT_ONCE = 1000
 #: Only for sessions that name no shared folder, as in tests.
 _own_dir: list[str] = []
 
@@ -42,6 +42,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """df.mapInArrow(function, schema), with batches of at most ROWS_AT_ONCE rows: texts are long, and Spark's default of
+    10,000 rows would hold tens of megabytes for each task on both sides. The session keeps the smaller size."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ROWS_AT_ONCE:
+        conf.set(name, str(ROWS_AT_ONCE))
+    return df.mapInArrow(function, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -70,14 +80,12 @@ def map_text(df: DataFrame, text: Sequence[str], make: Callable, fields: Sequenc
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(schema)
-        for whole in batches:
-            for first in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(first, ROWS_AT_ONCE)
-                made = function(*[batch.column(i).to_pylist() for i in places])
-                made = [x if isinstance(x, pa.Array) else pa.array(x, target.field(n + i).type) for i, x in enumerate(made)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n)], *made], names=target.names)
-
-    return source.mapInArrow(run, schema)
+        for batch in batches:
+            made = function(*[batch.column(i).to_pylist() for i in places])
+            made = [x if isinstance(x, pa.Array) else pa.array(x, target.field(n + i).type) for i, x in enumerate(made)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n)], *made], names=target.names)
+
+    return in_batches(source, run, schema)
 
 
 def training_row(doc_id: str = "doc_id") -> Column:

@@ -198,6 +198,8 @@ def test_encode_and_decode_round_trip(spark, tiktoken_like):
         ids = library.encode_ordinary(text or "")
         assert out[i].ids == ids and bytes(out[i].decoded) == (text or "").encode()
         assert out[i].offsets == [len(b"".join(vocabulary[x] for x in ids[:k])) for k in range(len(ids))]
+    once = {r.doc_id: r for r in bpe.encode(df, vocabulary, keep=["doc_id"], decoded=True).collect()}
+    assert all((once[i].ids, once[i].decoded) == (out[i].ids, out[i].decoded) for i in once)
     assert bpe.encode(df.limit(0), vocabulary).count() == 0
 
 
