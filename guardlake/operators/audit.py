@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 import hmac
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from guardlake.functions.hashing import GENESIS, content_hash, hmac_sha256
+from guardlake.functions.ordered import fields, scan_in_order
 
 
 def build_chain(entries: DataFrame, key: bytes, heads: DataFrame | None = None) -> DataFrame:
@@ -20,17 +21,12 @@ def build_chain(entries: DataFrame, key: bytes, heads: DataFrame | None = None)
     else:
         hashed = hashed.withColumn("head", F.lit(None).cast("string"))
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        prev, previous, macs = pdf["head"].iloc[0] or GENESIS, [], []
-        for digest in pdf.content_hash:
-            previous.append(prev)
-            prev = hmac.new(key, (digest + prev).encode(), hashlib.sha256).hexdigest()
-            macs.append(prev)
-        return pdf.assign(prev_hash=previous, hmac=macs).drop(columns="head")
-
-    kind = entries.schema["log_id"].dataType.simpleString()
-    return hashed.groupBy("log_id").applyInPandas(link, f"log_id {kind}, seq long, payload string, content_hash string, prev_hash string, hmac string")
+    def link(prev, row):
+        prev = prev or row["head"] or GENESIS
+        mac = hmac.new(key, (row["content_hash"] + prev).encode(), hashlib.sha256).hexdigest()
+        return mac, {**{c: row[c] for c in ("log_id", "seq", "payload", "content_hash")}, "prev_hash": prev, "hmac": mac}
+
+    return scan_in_order(hashed, ["log_id"], ["seq"], link, fields(hashed, "log_id", "seq", "payload", "content_hash", prev_hash=T.StringType(), hmac=T.StringType()))
 
 
 def verify_entries(chain: DataFrame, key: bytes) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from guardlake.config import RateConfig
+from guardlake.functions.ordered import fields, scan_in_order
 from guardlake.functions.text import clip_reply, strip_invisible
 
 MAX_MESSAGE_BYTES = 32 * 1024
@@ -69,14 +70,13 @@ def rate_step(times: list[float], state: list | None, config: RateConfig) -> tup
 
 def rate_limit(messages: DataFrame, key: str = "sender", config: RateConfig = RateConfig()) -> DataFrame:
     """message_id, allowed. Rows with a null key bypass the limit."""
-    kind = messages.schema["message_id"].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "message_id"])
-        ok, _ = rate_step((pdf.ts.astype("datetime64[us]").astype("int64") / 1e6).tolist(), None, config)
-        return pd.DataFrame({"message_id": pdf.message_id, "allowed": ok})
+    def step(state, row):
+        (ok,), state = rate_step([row["at"] / 1e6], state, config)
+        return state, {"message_id": row["message_id"], "allowed": ok}
 
-    keyed = messages.filter(F.col(key).isNotNull()).select("message_id", key, "ts").groupBy(key).applyInPandas(run, f"message_id {kind}, allowed boolean")
+    rows = messages.filter(F.col(key).isNotNull()).select("message_id", key, F.unix_micros("ts").alias("at"))
+    keyed = scan_in_order(rows, [key], ["at", "message_id"], step, fields(rows, "message_id", allowed=T.BooleanType()))
     return keyed.unionByName(messages.filter(F.col(key).isNull()).select("message_id", F.lit(True).alias("allowed")))
 
 

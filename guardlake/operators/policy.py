@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from guardlake import rules
 from guardlake.config import FatigueConfig
+from guardlake.functions.ordered import fields, scan_in_order
 
 TIERS = {"T0": 0, "T1": 1, "T2": 2, "T3": 3}
 
@@ -81,22 +82,27 @@ def match_grants(requests: DataFrame, grants: DataFrame) -> DataFrame:
 def consume_grants(requests: DataFrame, grants: DataFrame) -> DataFrame:
     """request_id, grant_id: requests spend uses in time order; a spent grant gives way to the next newest."""
 
-    def spend(key, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        rows, held = [], held.sort_values(["issued_at", "grant_id"], ascending=False).to_dict("records")
-        for r in asked.sort_values(["ts", "request_id"]).to_dict("records"):
-            for g in held:
-                open_ = pd.isna(g["max_uses"]) or g["uses"] < g["max_uses"]
-                scope, resource = g["scope"], r["resource"]
-                inside = scope is None or (resource is not None and (resource == scope or resource.startswith(scope.rstrip("/") + "/")))
-                if open_ and g["expires_at"] > r["ts"] and inside:
-                    g["uses"] += 1
-                    rows.append((r["request_id"], g["grant_id"]))
-                    break
-        return pd.DataFrame(rows, columns=["request_id", "grant_id"])
-
-    asked = requests.select("request_id", "principal", "capability", "resource", "ts").groupBy("principal", "capability")
-    schema = f"request_id {requests.schema['request_id'].dataType.simpleString()}, grant_id {grants.schema['grant_id'].dataType.simpleString()}"
-    return asked.cogroup(grants.groupBy("principal", "capability")).applyInPandas(spend, schema)
+    key = ["principal", "capability"]
+    held = grants.select(*key, F.lit(0).alias("turn"), (-F.unix_micros("issued_at")).alias("at"), F.col("grant_id").alias("id"), "grant_id", "scope", F.unix_micros("expires_at").alias("until"), (F.col("max_uses") - F.col("uses")).cast("long").alias("left"))
+    asked = requests.select(*key, F.lit(1).alias("turn"), F.unix_micros("ts").alias("at"), F.col("request_id").cast("string").alias("id"), "request_id", "resource")
+
+    def spend(state, row):
+        state = [] if state is None else state
+        if row["turn"] == 0:
+            state.append(row)
+            return state, None
+        resource = row["resource"]
+        for g in state:
+            scope = g["scope"]
+            inside = scope is None or (resource is not None and (resource == scope or resource.startswith(scope.rstrip("/") + "/")))
+            if inside and g["until"] > row["at"] and (g["left"] is None or g["left"] > 0):
+                g["left"] = None if g["left"] is None else g["left"] - 1
+                return state, {"request_id": row["request_id"], "grant_id": g["grant_id"]}
+        return state, None
+
+    both = asked.unionByName(held.withColumn("id", F.col("id").cast("string")), allowMissingColumns=True)
+    schema = T.StructType([requests.schema["request_id"], grants.schema["grant_id"]])
+    return scan_in_order(both, key, ["turn", "at", "request_id", F.desc("id")], spend, schema)
 
 
 def fatigue_step(times: list[float], state: tuple[list[float], float | None], config: FatigueConfig) -> tuple[list[str], tuple[list[float], float | None]]:
@@ -117,14 +123,14 @@ def fatigue_step(times: list[float], state: tuple[list[float], float | None], co
 
 
 def fatigue(requests: DataFrame, key: str = "guard_key", config: FatigueConfig = FatigueConfig()) -> DataFrame:
-    """request_id, level of each request, in time order for each key. Order-dependent: one key is one task's work."""
+    """request_id, level of each request, in time order for each key. Order-dependent: one key is one task's work, in a stream."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "request_id"])
-        levels, _ = fatigue_step((pdf.ts.astype("datetime64[us]").astype("int64") / 1e6).tolist(), ([], None), config)
-        return pd.DataFrame({"request_id": pdf.request_id, "level": levels})
+    def step(state, row):
+        (level,), state = fatigue_step([row["at"] / 1e6], state or ([], None), config)
+        return state, {"request_id": row["request_id"], "level": level}
 
-    return requests.select("request_id", key, "ts").groupBy(key).applyInPandas(run, f"request_id {requests.schema['request_id'].dataType.simpleString()}, level string")
+    rows = requests.select("request_id", key, F.unix_micros("ts").alias("at"))
+    return scan_in_order(rows, [key], ["at", "request_id"], step, fields(rows, "request_id", level=T.StringType()))
 
 
 def fatigue_rate(requests: DataFrame, key: str = "principal", config: FatigueConfig = FatigueConfig()) -> DataFrame:
