@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guardlake import rules
+from guardlake.functions.steps import written
 from guardlake.functions.text import strip_ansi, tail_lines
 
 STATES = ("Running", "Waiting", "Idle", "Error", "Stopped")
@@ -109,10 +110,11 @@ def dedup_titles(sessions: DataFrame) -> DataFrame:
 def ancestors(sessions: DataFrame, max_depth: int = 64) -> DataFrame:
     """session_id, ancestor_id, depth, by self-joins that double their reach; stops when no longer chain is left."""
     step = sessions.filter("parent_id is not null and parent_id <> session_id").select("session_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth"))
-    found, reach = step, 1
+    found, reach = written(step, "ancestors"), 1
     while reach < max_depth:
         ahead = found.select(F.col("session_id").alias("ancestor_id"), F.col("ancestor_id").alias("far"), F.col("depth").alias("more"))
         further = found.filter(F.col("depth") == reach).join(ahead, "ancestor_id").select("session_id", F.col("far").alias("ancestor_id"), (F.col("depth") + F.col("more")).alias("depth"))
+        further = written(further.distinct(), "ancestors")
         if further.isEmpty():
             break
         found, reach = found.unionByName(further).distinct(), reach * 2
