@@ -35,11 +35,13 @@ BANDS = 24
 ROWS = 5
 #: Nodes of which the texts are compared are broadcast as ids up to this number; beyond it they are joined.
 MAX_BROADCAST_IDS = 1_000_000
-LEADERS = 64
+LEADERS = 32
 #: Tables of links and buckets are read with so many rows a task; those that fit one task need no shuffle.
 ROWS_PER_TASK = 200_000
 #: Cells in which elements are counted to put the rarest first.
 CELLS = 1 << 18
+#: So many elements before each in a prefix are kept with it, to see that two sets have met already.
+BEFORE = 6
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -179,12 +181,12 @@ def element_counts(texts: DataFrame, words: int) -> np.ndarray:
     """In CELLS cells, how many elements of the texts' shingle sets fall to each: a bounded sketch of how common they are."""
 
     def count(batches):
+        cells = np.zeros(CELLS, np.int64)
         for batch in batches:
-            cells = np.zeros(CELLS, np.int64)
             for text in batch.column(0).to_pylist():
                 np.add.at(cells, (shingles(text, words) % np.uint64(CELLS)).astype(np.int64), 1)
-            at = np.flatnonzero(cells)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], names=["cell", "n"])
+        at = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], names=["cell", "n"])
 
     found = in_batches(texts.select("text"), count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(CELLS, np.int64)
@@ -199,7 +201,7 @@ def prefix(elements: np.ndarray, counts: np.ndarray, threshold: float) -> np.nda
 
 
 def prefixes(texts: DataFrame, threshold: float, words: int) -> DataFrame:
-    """node, n, pos, token of each text's prefix, the rarest at position 0."""
+    """node, n, pos, token, before (the few tokens ahead of it) of each text's prefix, the rarest at position 0."""
     held = texts.sparkSession.sparkContext.broadcast(element_counts(texts, words))
 
     def make():
@@ -210,7 +212,7 @@ def prefixes(texts: DataFrame, threshold: float, words: int) -> DataFrame:
         return of
 
     fields = [T.StructField("n", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))]
-    return map_text(texts, ["text"], make, fields, ["node"]).select("node", "n", F.posexplode("tokens").alias("pos", "token"))
+    return map_text(texts, ["text"], make, fields, ["node"]).select("node", "n", "tokens", F.posexplode("tokens").alias("pos", "token")).select("node", "n", "pos", "token", F.slice("tokens", F.greatest(F.col("pos") - BEFORE + 1, F.lit(1)), F.least("pos", F.lit(BEFORE))).alias("before"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -252,13 +254,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         main = now.groupBy("token", "comp").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
         now = sized(now.join(main.select("token", "main"), "token"), "mixed")
         turn = now.filter("not turned and comp <> main").withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy("node"))).filter(F.col("place") <= leaders)
-        turn = sized(turn.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("comp").alias("comp_b")), "leaders")
+        turn = sized(turn.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("before").alias("before_b"), F.col("comp").alias("comp_b")), "leaders")
         if turn.isEmpty():
             break
         now = now.join(turn.select("token", F.col("b").alias("node"), F.lit(True).alias("leads")), ["token", "node"], "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
-        pairs = now.filter("not turned").join(turn, "token").filter((F.col("comp") != F.col("comp_b")) & (~F.col("leads") | (F.col("node") > F.col("b"))) & reach(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b")))
+        # a pair with an element in common further ahead is compared there
+        pairs = now.filter("not turned").join(turn, "token").filter(~F.arrays_overlap("before", "before_b") & (F.col("comp") != F.col("comp_b")) & (~F.col("leads") | (F.col("node") > F.col("b"))) & reach(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b")))
         more = sized(verified(pairs.select(F.col("node").alias("a"), "b").distinct(), texts, threshold, words), "links")
-        state = sized(now.select("token", "node", "n", "pos", (F.col("turned") | F.col("leads")).alias("turned")), "prefixes")
+        state = sized(now.select("token", "node", "n", "pos", "before", (F.col("turned") | F.col("leads")).alias("turned")), "prefixes")
         if not more.isEmpty():
             comps = sized(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)), "classes")
         leaders *= LEADERS
