@@ -9,11 +9,14 @@ from guardlake import rules
 from guardlake.config import ContentConfig
 from guardlake.functions import text as X
 from guardlake.functions.hashing import fingerprint, hmac_sha256
+from guardlake.operators import formats
 
 # What makes the first 1024 bytes an HTML document.
 SNIFF = r"(?is)<!doctype(?:\z|[ \t\n\f\r]+(?:html(?:[ \t\n\f\r>/]|\z)|.{0,3}\z))|<html(?:[ \t\n\f\r>/]|\z)"
 URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@]*@)?(\[[^\]/]*\]|[^/?#:@]+)(?::([0-9]+))?([^?#]*)(\?[^#]*)?(#.*)?$"
 DEFAULT_PORTS = {"http": "80", "https": "443", "ftp": "21", "ws": "80", "wss": "443"}
+#: Content types that have a cleaning job of their own.
+FORMATS = ("Html", "Markdown", "Json")
 FINDING = "struct<rule_id:string,severity:string,start:int,end:int,sample:string>"
 
 
@@ -208,31 +211,67 @@ def normalised(df: DataFrame, text: str = "text") -> DataFrame:
 
 def scored(df: DataFrame, text: str = "text", content_type: str | None = None, config: ContentConfig = ContentConfig()) -> DataFrame:
     """df with cleaned, stripped_count, categories, findings, repetition_ratio, risk_score, flags. One narrow stage."""
-    clean = normalised(df, text)
+    return assessed(normalised(df, text), content_type, config)
+
+
+def assessed(clean: DataFrame, content_type: str | None = None, config: ContentConfig = ContentConfig()) -> DataFrame:
+    """normalised rows with findings, repetition_ratio, risk_score, flags."""
     kind = F.col(content_type) if content_type else None
     clean = clean.withColumns({"findings": scan(F.col("cleaned"), kind, F.array_contains("categories", "mixed-script"), config=config), "repetition_ratio": X.repetition_ratio(F.col("cleaned"))})
     return clean.withColumns({"risk_score": risk_score(F.col("findings"), F.col("stripped_count"), F.col("repetition_ratio"), config), "flags": derive_flags(F.col("findings"), F.col("categories"))})
 
 
+def clean_formats(routed: DataFrame, text: str = "text", config: ContentConfig = ContentConfig()) -> DataFrame:
+    """routed with plain (the text that its format's cleaning leaves), elements (map of what was stripped to its count)
+    and, for JSON, format_error and the count and categories of what its strings lost.
+
+    A format is cleaned once for each distinct text, by its hash; rows with a reject_reason are not looked at.
+    """
+    own = F.col("reject_reason").isNull() & F.coalesce(F.col("content_type").isin(*FORMATS), F.lit(False))
+    none = {"format_error": F.lit(None).cast("string"), "format_count": F.lit(None).cast("int"), "format_categories": F.lit(None).cast("array<string>")}
+    counted = lambda **n: F.map_from_entries(F.array_compact(F.array(*[F.when(c > 0, F.struct(F.lit(k.replace("_", "-")).alias("key"), c.cast("int").alias("value"))) for k, c in n.items()])))
+
+    rest = routed.filter(~own)
+    bare = rest.withColumns({"plain": F.when(F.col("reject_reason").isNull(), X.strip_ansi(F.col(text))), "elements": F.create_map(F.lit("ansi-escape"), X.ansi_count(F.col(text))), **none})
+
+    def lane(kind: str, clean) -> DataFrame:
+        rows = routed.filter(own & (F.col("content_type") == kind)).withColumn("_key", F.sha2(F.col(text), 256))
+        return rows.join(clean(rows.filter(F.col(text).isNotNull()).select("_key", F.col(text).alias("_text")).distinct()), "_key", "left").drop("_key")
+
+    def html(texts: DataFrame) -> DataFrame:
+        return formats.clean_html(texts, "_key", "_text").select("_key", F.col("text").alias("plain"), F.col("stripped").cast("map<string,int>").alias("elements")).withColumns(none)
+
+    def markdown(texts: DataFrame) -> DataFrame:
+        elements = counted(markdown_html_block=F.col("html_block"), markdown_html_comment=F.col("comment"), markdown_html_inline=F.col("inline"))
+        return formats.clean_markdown(texts, "_key", "_text").select("_key", F.col("text").alias("plain"), elements.alias("elements")).withColumns(none)
+
+    def parsed(texts: DataFrame) -> DataFrame:
+        out = formats.normalize_json(texts, "_key", "_text", config.max_json_depth)
+        return out.select("_key", F.col("cleaned").alias("plain"), counted(json_key_collision=F.col("collisions")).alias("elements"), F.col("error").alias("format_error"), F.col("stripped_count").alias("format_count"), F.col("categories").alias("format_categories"))
+
+    return bare.unionByName(lane("Html", html)).unionByName(lane("Markdown", markdown)).unionByName(lane("Json", parsed))
+
+
 def sanitize(df: DataFrame, config: ContentConfig = ContentConfig(), id_col: str = "content_id", text: str = "text", source: str = "source", declared: str = "declared_type") -> DataFrame:
     """One row for each payload: its wrapped text and report, or a reject_reason.
 
-    Stages in order: size, HTML sniff, terminal escapes, invisible characters, scan, score, header guard, nonce, wrap.
-    HTML, Markdown and JSON payloads come here after their own cleaning jobs.
+    Stages in order: size, HTML sniff, the format's own cleaning (terminal escapes for plain text and logs), invisible
+    characters, scan, score, header guard, nonce, wrap.
     """
     sized = size_guard(df, text, config.max_bytes)
     routed = route(sized, declared, text)
-    plain = routed.withColumns({"bytes_in": F.octet_length(text), "ansi": X.ansi_count(F.col(text)), "_plain": F.when(F.col("reject_reason").isNull(), X.strip_ansi(F.col(text)))})
-    out = scored(plain, "_plain", "content_type", config)
+    clean = normalised(clean_formats(routed.withColumn("bytes_in", F.octet_length(text)), text, config), "plain")
+    clean = clean.withColumns({"stripped_count": F.coalesce("format_count", "stripped_count"), "categories": F.coalesce("format_categories", "categories")})
+    out = assessed(clean, "content_type", config)
     rule_ids = F.array_distinct(F.transform("findings", lambda f: f["rule_id"]))
     bad = header_injection(source=F.col(source).cast("string"))
     nonce = assign_nonce(F.col(id_col), F.col("cleaned"), config)
     out = out.withColumns({"header_injection": bad, "nonce": nonce, "rule_ids": rule_ids})
-    reason = F.coalesce(F.col("reject_reason"), F.when(F.col("header_injection").isNotNull(), "HeaderInjection"), F.when(F.col("nonce").isNull(), "NonceCollision"))
+    reason = F.coalesce(F.col("reject_reason"), F.col("format_error"), F.when(F.col("header_injection").isNotNull(), "HeaderInjection"), F.when(F.col("nonce").isNull(), "NonceCollision"))
     wrapped = wrap_provenance(F.col("cleaned"), F.col("nonce"), F.col(source).cast("string"), F.col("content_type"), F.col("flags"), F.col("rule_ids"))
     return out.select(
         F.col(id_col), F.col(source).cast("string").alias("source"), "content_type", "routed_from", "bytes_in", F.octet_length("cleaned").alias("bytes_out"),
-        F.create_map(F.lit("ansi-escape"), F.col("ansi")).alias("stripped_elements"), "stripped_count", "categories", "findings", "risk_score", "repetition_ratio", "flags",
+        F.coalesce("elements", F.expr("CAST(map() AS map<string,int>)")).alias("stripped_elements"), "stripped_count", "categories", "findings", "risk_score", "repetition_ratio", "flags",
         F.lit(config.schema_version).alias("schema_version"), F.lit(config.ruleset_version).alias("ruleset_version"), F.lit(config.scoring_version).alias("scoring_version"),
         F.when(reason.isNull(), F.col("nonce")).alias("nonce"), F.when(reason.isNull(), wrapped).alias("wrapped"), reason.alias("reject_reason"),
         fingerprint(F.col(text), config.key).alias("fingerprint_in"), fingerprint(F.col("cleaned"), config.key).alias("fingerprint_out"),

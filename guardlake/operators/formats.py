@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from guardlake.functions.text import CSS_COMMENT, HIDDEN_KEYWORD, OPACITY, is_hidden_style, strip_counts, strip_invisible
+from guardlake.functions.text import CSS_COMMENT, HIDDEN_KEYWORD, OPACITY, is_hidden_style, strip_categories, strip_counts, strip_invisible
 
 # Elements that break lines, that have no content, and that never show.
 BLOCK = "address article aside blockquote br dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split()
@@ -204,7 +204,7 @@ def normalize_json_flat(df: DataFrame, col: str = "props") -> DataFrame:
 
 
 def normalize_json(df: DataFrame, id_col: str, col: str, max_depth: int = 64) -> DataFrame:
-    """id, cleaned (compact, keys sorted), collisions, stripped_count, error (JsonParse, JsonTooDeep) of JSON of any nesting."""
+    """id, cleaned (compact, keys sorted), collisions, stripped_count, categories, error (JsonParse, JsonTooDeep) of JSON of any nesting."""
     import re
 
     from guardlake.functions.text import INVISIBLE
@@ -212,10 +212,13 @@ def normalize_json(df: DataFrame, id_col: str, col: str, max_depth: int = 64) ->
     invisible = re.compile("[" + "".join(INVISIBLE.values()) + "]")
 
     def one(text):
-        counts = [0, 0]
+        counts, marked = [0, 0], []
 
         def clean(s):
-            counts[1] += len(invisible.findall(s))
+            n = len(invisible.findall(s))
+            counts[1] += n
+            if n or not s.isascii():
+                marked.append(s)
             return invisible.sub("", s)
 
         def walk(x, depth):
@@ -230,19 +233,26 @@ def normalize_json(df: DataFrame, id_col: str, col: str, max_depth: int = 64) ->
                 return dict(sorted(out.items()))
             return [walk(v, depth + 1) for v in x] if isinstance(x, list) else clean(x) if isinstance(x, str) else x
 
+        def refuse(constant):
+            raise ValueError(constant)
+
         try:
-            return json.dumps(walk(json.loads(text), 0), separators=(",", ":"), ensure_ascii=False), *counts, None
+            out = json.dumps(walk(json.loads(text, parse_constant=refuse), 0), separators=(",", ":"), ensure_ascii=False)
+            "".join([out, *marked]).encode()  # a lone surrogate is no text
+            return out, *counts, marked, None
         except RecursionError:
-            return None, 0, 0, "JsonTooDeep"
+            return None, 0, 0, [], "JsonTooDeep"
         except (ValueError, TypeError):
-            return None, 0, 0, "JsonParse"
+            return None, 0, 0, [], "JsonParse"
 
     source = df.select(id_col, F.col(col).alias("_json"))
-    schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, cleaned string, collisions int, stripped_count int, error string"
+    schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, cleaned string, collisions int, stripped_count int, marked array<string>, error string"
 
     def run(batches):
         for batch in batches:
-            rows = list(zip(*map(one, batch.column(1).to_pylist()))) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.string())], names=[id_col, "cleaned", "collisions", "stripped_count", "error"])
+            rows = list(zip(*map(one, batch.column(1).to_pylist()))) or [[], [], [], [], []]
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, rows, kinds)], names=[id_col, "cleaned", "collisions", "stripped_count", "marked", "error"])
 
-    return source.mapInArrow(run, schema)
+    met = F.array_distinct(F.flatten(F.transform("marked", strip_categories)))
+    return source.mapInArrow(run, schema).select(id_col, "cleaned", "collisions", "stripped_count", met.alias("categories"), "error")
