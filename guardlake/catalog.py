@@ -392,7 +392,8 @@ def a6(spark, sf):
 
 @_q("a7_consume_grants", f"WITH {_RESOLVED}, {_MATCH}, s AS (SELECT m.*, row_number() OVER (PARTITION BY m.grant_id ORDER BY x.ts_us, x.request_id) AS n, g.max_uses FROM m JOIN x USING (request_id) JOIN g USING (grant_id)) SELECT request_id, grant_id FROM s WHERE max_uses IS NULL OR n <= max_uses")
 def a7(spark, sf):
-    return policy.consume_grants(_resolved(spark, sf), D.grants(spark, sf))
+    checked = policy.checked(D.requests(spark, sf), policy.ceilings_from_allowlist(D.allowlist(spark, sf)), guard_key="principal")
+    return policy.consume_grants(policy.asks_grants(checked), D.grants(spark, sf))
 
 
 @_q("a8_fatigue", f"""WITH RECURSIVE {_RESOLVED}, o AS (SELECT request_id, principal, ts_us AS t, row_number() OVER (PARTITION BY principal ORDER BY ts_us, request_id) AS n FROM x WHERE required_tier >= 2),
@@ -416,7 +417,7 @@ _EVALUATED = f"{_RESOLVED}, {_MATCH}, z AS (SELECT x.*, m.grant_id, CASE WHEN re
 
 
 def _evaluated(spark, sf):
-    return policy.evaluate(D.requests(spark, sf), D.grants(spark, sf), policy.ceilings_from_allowlist(D.allowlist(spark, sf)))
+    return policy.evaluate(D.requests(spark, sf), D.grants(spark, sf), policy.ceilings_from_allowlist(D.allowlist(spark, sf)), guard_key="principal")
 
 
 @_q("a10_evaluate", f"WITH {_EVALUATED} SELECT request_id, principal, decision, reason FROM e")

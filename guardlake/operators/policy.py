@@ -139,22 +139,34 @@ def fatigue_rate(requests: DataFrame, key: str = "principal", config: FatigueCon
     return requests.withColumn("recent", F.count("*").over(w))
 
 
+def checked(requests: DataFrame, overrides: DataFrame | None = None, postures: DataFrame | None = None, guard_key: str | None = None) -> DataFrame:
+    """requests with what decides before grants: capability, tier, principal, effective ceiling, zone_ok and, if a guard
+    key is named, the fatigue level of requests from T2 on that passed the others."""
+    r = resource_scope(classify_actions(requests))
+    r = resolve_principal(r, overrides, postures).withColumn("effective", effective_ceiling(F.col("ceiling"), F.col("posture")))
+    r = zone_check(r)
+    if not guard_key:
+        return r.withColumn("level", F.lit(None).cast("string"))
+    guarded = r.filter((F.col("posture") != "Revoked") & (F.col("required_tier") <= F.col("effective")) & F.col("zone_ok") & (F.col("required_tier") >= 2))
+    return r.join(fatigue(guarded, guard_key), "request_id", "left")
+
+
+def asks_grants(checked: DataFrame) -> DataFrame:
+    """The rows that only a grant can allow: nothing denied them, and neither a human nor, below T3, the local origin approved."""
+    tier, origin = F.col("required_tier"), F.col("origin_kind")
+    passed = (F.col("posture") != "Revoked") & (tier <= F.col("effective")) & F.col("zone_ok") & ~F.coalesce(F.col("level").isin("Cooldown", "HighRisk"), F.lit(False))
+    return checked.filter(passed & ((tier >= 2) | F.col("requires_grant")) & (origin != "HumanApproved") & ((tier >= 3) | (origin != "LocalCli")))
+
+
 def evaluate(requests: DataFrame, grants: DataFrame, overrides: DataFrame | None = None, postures: DataFrame | None = None, guard_key: str | None = None) -> DataFrame:
     """request_id, decision (Allow, Deny, NeedsApproval, Error, Unknown), reason.
 
     Order: revoked, tier, zone (an error, not a denial), fatigue from T2 on if a guard key is named, then approval:
-    T3 and up need a human or a grant; T2, and what always needs a grant, also pass from the local origin.
+    T3 and up need a human or a grant; T2, and what always needs a grant, also pass from the local origin. A request
+    that a grant allows spends one use of it, in time order.
     """
-    r = resource_scope(classify_actions(requests))
-    r = resolve_principal(r, overrides, postures).withColumn("effective", effective_ceiling(F.col("ceiling"), F.col("posture")))
-    r = zone_check(r)
-    granted = match_grants(r, grants).select("request_id", "grant_id")
-    r = r.join(granted, "request_id", "left")
-    if guard_key:
-        guarded = r.filter((F.col("posture") != "Revoked") & (F.col("required_tier") <= F.col("effective")) & F.col("zone_ok") & (F.col("required_tier") >= 2))
-        r = r.join(fatigue(guarded, guard_key), "request_id", "left")
-    else:
-        r = r.withColumn("level", F.lit(None).cast("string"))
+    r = checked(requests, overrides, postures, guard_key)
+    r = r.join(consume_grants(asks_grants(r), grants), "request_id", "left")
     human, tier = F.col("origin_kind") == "HumanApproved", F.col("required_tier")
     step = (
         F.when(F.col("capability").isNull() | F.col("zone").isNull(), "Unknown:unknown action or origin")

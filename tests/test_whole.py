@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import functions as F
 
 from guardlake import catalog
-from guardlake.operators import content, evaluation
+from guardlake.config import FatigueConfig
+from guardlake.operators import content, evaluation, policy
 from guardlake.plans import derived as D
 
 SF = "/root/testdata/sf0.001"
+GRANT = "grant_id string, principal string, capability string, scope string, expires_at timestamp, max_uses int, uses int, issued_at timestamp"
 
 
 def test_sanitize_cleans_each_format(spark):
@@ -34,3 +38,53 @@ def test_sanitize_cleans_each_format(spark):
     assert out["plain"].back == "xy\n" and out["plain"].stripped_elements == {"ansi-escape": 1}
     totals = {r.element: r.n for r in evaluation.stripped_totals(content.sanitize(df)).collect()}
     assert totals["script"] == 3 and totals["json-key-collision"] == 1 and totals["markdown-html-block"] == 1 and totals["ansi-escape"] == 1
+
+
+def test_grants_are_spent_only_by_requests_that_need_them(spark):
+    at = lambda s: datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=s)
+    asks = [(1, "FetchExternalContent", "HumanApproved", "agent:u"), (2, "FetchExternalContent", "AgentGenerated", "u"), (3, "FetchExternalContent", "AgentGenerated", "u"), (4, "CreateWorktree", "AgentGenerated", "u")]
+    asks += [(10 + i, "ConfigureConductor", "LocalCli", "l") for i in range(12)]
+    r = spark.createDataFrame([(i, a, o, u, {}, at(i)) for i, a, o, u in asks], "request_id long, action string, origin_kind string, user_id string, params map<string,string>, ts timestamp")
+    g = spark.createDataFrame([("g", "agent:u", "FetchExternalContent", None, at(900), 1, 0, at(0)), ("h", "agent:u", "ModifyInfrastructure", None, at(900), 1, 0, at(0))], GRANT)
+    out = {x.request_id: f"{x.decision}:{x.reason}" for x in policy.evaluate(r, g, guard_key="principal").collect()}
+    assert [out[i] for i in (1, 2, 3, 4)] == ["Allow:", "Allow:", "NeedsApproval:tier 2", "Deny:tier"]
+    assert [out[10 + i] for i in range(12)] == ["Allow:"] * 10 + ["Deny:fatigue"] * 2
+
+
+def _replayed(spark):
+    """Decisions of the registered requests, one at a time: the evaluator's loop."""
+    rows = sorted(policy.checked(D.requests(spark, SF), policy.ceilings_from_allowlist(D.allowlist(spark, SF))).collect(), key=lambda r: (r.ts, r.request_id))
+    grants = sorted((g.asDict() for g in D.grants(spark, SF).collect()), key=lambda g: (g["issued_at"], g["grant_id"]), reverse=True)
+    guards, spent = {}, {}
+
+    def grant(r):
+        for g in grants:
+            scope = g["scope"]
+            inside = scope is None or r.resource is not None and (r.resource == scope or r.resource.startswith(scope + "/"))
+            if (g["principal"], g["capability"]) == (r.principal, r.capability) and inside and g["expires_at"] > r.ts and (g["max_uses"] is None or g["uses"] < g["max_uses"]):
+                g["uses"] += 1
+                spent[r.request_id] = g["grant_id"]
+                return True
+        return False
+
+    def decide(r):
+        if r.required_tier > r.effective:
+            return "Deny:tier"
+        if not r.zone_ok:
+            return "Error:zone"
+        if r.required_tier >= 2:
+            (level,), guards[r.principal] = policy.fatigue_step([r.ts.timestamp()], guards.get(r.principal, ([], None)), FatigueConfig())
+            if level in ("HighRisk", "Cooldown"):
+                return "Deny:fatigue"
+        if r.required_tier < 2 and not r.requires_grant or r.origin_kind == "HumanApproved" or (r.required_tier < 3 and r.origin_kind == "LocalCli") or grant(r):
+            return "Allow:"
+        return "NeedsApproval:tier 3+" if r.required_tier >= 3 else "NeedsApproval:tier 2"
+
+    return {r.request_id: decide(r) for r in rows}, spent
+
+
+def test_registered_decisions_equal_a_replay(spark):
+    want, spent = _replayed(spark)
+    assert {r.request_id: f"{r.decision}:{r.reason}" for r in catalog.queries()["a10_evaluate"](spark, SF).collect()} == want
+    assert dict(map(tuple, catalog.queries()["a7_consume_grants"](spark, SF).collect())) == spent
+    assert spent
