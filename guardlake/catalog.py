@@ -184,7 +184,7 @@ _FINDINGS = f"{_C}, n AS (SELECT doc_id, source, text AS raw, {_STRIP('text')} A
 @_q("p1_p16_scan", f"WITH {_FINDINGS} SELECT doc_id, rule_id, severity, CASE WHEN rule_id <> 'REP-002' THEN start END AS start, size FROM f WHERE rule_id <> 'REP-002'")
 def p16(spark, sf):
     rows = content.explode_findings(_scored(spark, sf).select("doc_id", "findings"))
-    return rows.filter("rule_id <> 'REP-002'").select("doc_id", "rule_id", "severity", "start", (F.col("end") - F.col("start")).alias("size"))
+    return rows.select("doc_id", "rule_id", "severity", "start", (F.col("end") - F.col("start")).alias("size"))
 
 
 @_q("p9_p11_samples", f"WITH {_C}, n AS (SELECT doc_id, {_STRIP('text')} AS t FROM c) SELECT doc_id, {_B64} AS base64_run, {_HEX} AS hex_run, strlen({_TOK})::INTEGER AS long_token FROM n")
@@ -208,7 +208,7 @@ def p14(spark, sf):
 
 @_q("p17_rule_hits", f"WITH {_FINDINGS} SELECT rule_id, severity, count(*) AS hits, count(DISTINCT doc_id) AS payloads FROM f WHERE rule_id <> 'REP-002' GROUP BY ALL")
 def p17(spark, sf):
-    return evaluation.rule_hits(content.explode_findings(_scored(spark, sf).select("doc_id", "findings")).filter("rule_id <> 'REP-002'"))
+    return evaluation.rule_hits(content.explode_findings(_scored(spark, sf).select("doc_id", "findings")))
 
 
 _WEIGHT = "CASE severity WHEN 'High' THEN 50 WHEN 'Medium' THEN 20 WHEN 'Low' THEN 6 ELSE 0 END"
@@ -217,18 +217,17 @@ _SCORES = f"{_FINDINGS}, s AS (SELECT n.doc_id, n.source, least(100, coalesce((S
 
 @_q("r1_risk_score", f"WITH {_SCORES} SELECT doc_id, risk_score FROM s")
 def r1(spark, sf):
-    return _scored(spark, sf).filter("doc_id % 23 <> 13").select("doc_id", "risk_score")
+    return _scored(spark, sf).select("doc_id", "risk_score")
 
 
 @_q("r2_risk_gate", f"WITH {_SCORES} SELECT doc_id, risk_score FROM s WHERE risk_score >= 50")
 def r2(spark, sf):
-    return evaluation.risk_gate(_scored(spark, sf).filter("doc_id % 23 <> 13").select("doc_id", "risk_score"))
+    return evaluation.risk_gate(_scored(spark, sf).select("doc_id", "risk_score"))
 
 
 @_q("risk_by_source", f"WITH {_SCORES} SELECT source, count(*) AS n, count(*) FILTER (risk_score >= 50) AS hits, round(avg(risk_score), 4) AS mean_score FROM s GROUP BY source")
 def risk_by_source(spark, sf):
-    s = _scored(spark, sf).filter("doc_id % 23 <> 13")
-    return s.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("risk_score") >= 50).alias("hits"), F.round(F.avg("risk_score"), 4).alias("mean_score"))
+    return _scored(spark, sf).groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("risk_score") >= 50).alias("hits"), F.round(F.avg("risk_score"), 4).alias("mean_score"))
 
 
 _FLAG = "CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.doc_id = n.doc_id AND starts_with(rule_id, '{}')) THEN '{},' ELSE '' END"
@@ -238,7 +237,7 @@ _FLAGS = " || ".join(_FLAG.format(p, n) for p, n in (("INJ-", "injection_pattern
 @_q("r3_flags", f"WITH {_FINDINGS} SELECT doc_id, {_FLAGS} AS flags FROM n WHERE doc_id % 23 NOT IN (11, 13, 14)")
 def r3(spark, sf):
     flags = F.array_join(F.transform("flags", lambda x: F.concat(x, F.lit(","))), "")
-    return _scored(spark, sf).filter("doc_id % 23 NOT IN (11, 13, 14)").select("doc_id", flags.alias("flags"))
+    return _scored(spark, sf).select("doc_id", flags.alias("flags"))
 
 
 _NONCE = f"left({H.hmac_sql(chr(40) + 'doc_id || ' + _str(':0') + chr(41), b'guardlake')}, 16)"

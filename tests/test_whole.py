@@ -10,6 +10,7 @@ from guardlake import catalog
 from guardlake.config import FatigueConfig
 from guardlake.operators import content, evaluation, policy
 from guardlake.plans import derived as D
+from tests.test_content import plain_normalise
 
 SF = "/root/testdata/sf0.001"
 GRANT = "grant_id string, principal string, capability string, scope string, expires_at timestamp, max_uses int, uses int, issued_at timestamp"
@@ -88,3 +89,26 @@ def test_registered_decisions_equal_a_replay(spark):
     assert {r.request_id: f"{r.decision}:{r.reason}" for r in catalog.queries()["a10_evaluate"](spark, SF).collect()} == want
     assert dict(map(tuple, catalog.queries()["a7_consume_grants"](spark, SF).collect())) == spent
     assert spent
+
+
+def test_scores_findings_and_flags_take_in_all_documents(spark):
+    docs = {r.doc_id: r.text for r in D.content(spark, SF).collect()}
+    q = {n: catalog.queries()[n](spark, SF).collect() for n in ("r1_risk_score", "r2_risk_gate", "risk_by_source", "r3_flags", "p1_p16_scan", "p17_rule_hits")}
+    score = {r.doc_id: r.risk_score for r in q["r1_risk_score"]}
+    assert set(score) == {r.doc_id for r in q["r3_flags"]} == set(docs)
+    assert {r.doc_id for r in q["r2_risk_gate"]} == {i for i, s in score.items() if s >= 50}
+    assert sum(r.n for r in q["risk_by_source"]) == len(docs) and sum(r.hits for r in q["risk_by_source"]) == sum(s >= 50 for s in score.values())
+
+    def ratio(i):
+        raw = plain_normalise(docs[i])[0].encode()
+        return sum(a == b for a, b in zip(raw, raw[1:])) / len(raw)
+
+    repeated = {i for i in docs if i % 23 == 13 and ratio(i) >= 0.9}
+    assert repeated and {r.doc_id for r in q["p1_p16_scan"] if r.rule_id == "REP-002"} == {i for i in docs if ratio(i) >= 0.9}
+    assert {r.payloads for r in q["p17_rule_hits"] if r.rule_id == "REP-002"} == {sum(ratio(i) >= 0.9 for i in docs)}
+    found = {i: {(r.rule_id, r.severity) for r in q["p1_p16_scan"] if r.doc_id == i} for i in docs}
+    weight = {"High": 50, "Medium": 20, "Low": 6, "Info": 0}
+    assert score == {i: min(100, sum(weight[s] for _, s in found[i]) + 10 * (plain_normalise(docs[i])[1] > 0) + 15 * (ratio(i) >= 0.85)) for i in docs}
+    flags = {r.doc_id: set(r.flags.split(",")) - {""} for r in q["r3_flags"]}
+    named = {"INJ": "injection_pattern", "ENC": "encoded_payload", "REP": "repetition", "MIX": "mixed_script", "FMT": "content_type_mismatch", "WRP": "wrapper_collision"}
+    assert flags == {i: {named[x[:3]] for x, _ in found[i]} | {"normalize_" + c.replace("-", "_") for c in plain_normalise(docs[i])[2]} for i in docs}
