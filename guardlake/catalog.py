@@ -78,7 +78,7 @@ def n4(spark, sf):
 
 @_q("n5_norm_key", "SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(left(text, 200)), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g')) AS key FROM conversations")
 def n5(spark, sf):
-    return D.table(spark, sf, "conversations").select("conv_id", "turn", X.norm_key(F.left("text", F.lit(200))).alias("key"))
+    return D.table(spark, sf, "conversations").select("conv_id", "turn", X.norm_key(F.col("text")).alias("key"))
 
 
 _PATHS = "CASE CAST(page_id % 4 AS INT) WHEN 0 THEN '/srv/a/../b/' || page_id WHEN 1 THEN '/srv/./b//' || page_id WHEN 2 THEN '/etc/' || chr(7) || page_id ELSE '/srvx/' || page_id END"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
@@ -112,3 +113,13 @@ def test_scores_findings_and_flags_take_in_all_documents(spark):
     flags = {r.doc_id: set(r.flags.split(",")) - {""} for r in q["r3_flags"]}
     named = {"INJ": "injection_pattern", "ENC": "encoded_payload", "REP": "repetition", "MIX": "mixed_script", "FMT": "content_type_mismatch", "WRP": "wrapper_collision"}
     assert flags == {i: {named[x[:3]] for x, _ in found[i]} | {"normalize_" + c.replace("-", "_") for c in plain_normalise(docs[i])[2]} for i in docs}
+
+
+def test_keys_are_of_whole_texts(spark):
+    def plain(text):
+        return " ".join("".join(c for c in text.lower() if unicodedata.category(c)[0] in "LN" or c.isspace()).split())
+
+    texts = {(r.conv_id, r.turn): r.text for r in D.table(spark, SF, "conversations").collect()}
+    assert any(len(t or "") > 200 for t in texts.values())
+    got = {(r.conv_id, r.turn): r.key for r in catalog.queries()["n5_norm_key"](spark, SF).collect()}
+    assert got == {k: None if t is None else plain(t) for k, t in texts.items()}
