@@ -495,9 +495,7 @@ def u2(spark, sf):
 
 @_q("u3_verify_entries", f"WITH {_AUDIT}, p AS (SELECT *, lag(reason) OVER (PARTITION BY log_id ORDER BY seq) AS before FROM b) SELECT log_id, seq, reason IS DISTINCT FROM 'content' AS content_ok, reason IS DISTINCT FROM 'prev' AND before IS DISTINCT FROM 'hmac' AS prev_ok, reason IS NULL OR reason = 'content' AS hmac_ok FROM p WHERE NOT (log_id = 3 AND place = 0)")
 def u3(spark, sf):
-    v = audit.verify_entries(D.tampered(spark, sf), D.AUDIT_KEY)
-    first = v.groupBy("log_id").agg(F.min("seq").alias("first"))
-    return v.join(first, "log_id").filter("NOT (log_id = 3 AND seq = first)").select("log_id", "seq", "content_ok", "prev_ok", "hmac_ok")
+    return audit.verify_entries(D.tampered(spark, sf), D.AUDIT_KEY).select("log_id", "seq", "content_ok", "prev_ok", "hmac_ok")
 
 
 @_q("u4_verify_summary", f"WITH {_AUDIT} SELECT log_id, count(*) AS entries, coalesce(min(place) FILTER (reason IS NOT NULL), count(*))::BIGINT AS valid, arg_min(seq, place) FILTER (reason IS NOT NULL) AS broken_seq, arg_min(reason, place) FILTER (reason IS NOT NULL) AS reason FROM b GROUP BY log_id")
@@ -613,7 +611,7 @@ _SEEN = f"seen AS (SELECT s.*, coalesce(l.live, 'Error') AS live FROM ({D.SESSIO
 
 @_q("h1_h4_output", "SELECT doc_id, len(string_split(regexp_replace(coalesce(text, ''), '\\n$', ''), chr(10)))::INTEGER > 20 AS long, list_extract(string_split(coalesce(text, '') || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'sh: x: not found' ELSE 'error: y' END, chr(10)), -1) = 'sh: x: not found' AS missing, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'Error' END AS signals FROM documents WHERE text NOT LIKE '%>%'")
 def h1(spark, sf):
-    d = D.table(spark, sf, "documents").filter("text NOT LIKE '%>%'")
+    d = D.table(spark, sf, "documents")
     t = F.coalesce("text", F.lit(""))
     out = F.concat(t, F.lit("\n"), F.when(F.col("doc_id") % 3 == 0, "sh: x: not found").otherwise("error: y"))
     return d.select("doc_id", (F.size(X.tail_lines(t, 21)) > 20).alias("long"), sessions.tool_missing(out).alias("missing"), F.array_join(sessions.signals(out), ",").alias("signals"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from datetime import datetime, timedelta, timezone
 
@@ -123,3 +124,24 @@ def test_keys_are_of_whole_texts(spark):
     assert any(len(t or "") > 200 for t in texts.values())
     got = {(r.conv_id, r.turn): r.key for r in catalog.queries()["n5_norm_key"](spark, SF).collect()}
     assert got == {k: None if t is None else plain(t) for k, t in texts.items()}
+
+
+def test_outputs_of_all_documents_are_read(spark, tmp_path):
+    texts = [None, "a > b", "> ", "x >\nlast", "p>\n" + "line\n" * 30, "<b>x</b>", "plain", "\n" * 25 + ">"]
+    rows = [(i * 3 + j, t) for i, t in enumerate(texts) for j in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.long, r.missing, r.signals) for r in catalog.queries()["h1_h4_output"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        tail = [*lines, "sh: x: not found" if i % 3 == 0 else "error: y"][-20:]
+        waits = any(re.search(r">\s*$", line) for line in tail)
+        want[i] = (len(lines) - (text or "").endswith("\n") > 20, i % 3 == 0, ",".join(["Waiting"] * waits + ["Error"] * (i % 3 > 0)))
+    assert got == want and sum("Waiting" in s for _, _, s in got.values()) == 12
+
+
+def test_every_audit_entry_is_verified(spark):
+    rows = {(r.log_id, r.seq): r for r in catalog.queries()["u3_verify_entries"](spark, SF).collect()}
+    assert set(rows) == {(r.log_id, r.seq) for r in D.tampered(spark, SF).select("log_id", "seq").collect()}
+    first = rows[min(k for k in rows if k[0] == 3)]
+    assert first.content_ok and first.prev_ok and first.hmac_ok
