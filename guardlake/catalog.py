@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from guardlake import rules
 from guardlake.functions import hashing as H
 from guardlake.functions import text as X
+from guardlake.functions.steps import written
 from guardlake.operators import audit, content, evaluation, formats, memory, messages, policy, sessions
 from guardlake.plans import derived as D
 from guardlake.sources import files
@@ -581,7 +582,7 @@ def m8(spark, sf):
 
 @_q("m9_outcomes", f"SELECT CASE WHEN NOT {_ALLOWED_M} THEN 'UnknownSender' WHEN strlen(text) > 20 THEN 'MessageTooLarge' ELSE 'Accepted' END AS outcome, count(*) AS n FROM ({D.MESSAGES_SQL}) WHERE NOT bot GROUP BY 1")
 def m9(spark, sf):
-    return messages.intake_outcomes(_intake(spark, sf))
+    return messages.intake_outcomes(D.messages(spark, sf), D.allowlist(spark, sf), most=20)
 
 
 _NOTE = "' … [truncated, ' || length(t) || ' chars]'"
@@ -787,23 +788,29 @@ _CORPUS = "SELECT doc_id AS item_id, source AS corpus, CAST(doc_id % 70 AS INT)
 
 
 def _corpus(spark, sf):
-    return D.table(spark, sf, "documents").selectExpr("doc_id AS item_id", "source AS corpus", "CAST(doc_id % 70 AS INT) AS risk_score")
+    return _scored(spark, sf).select(F.col("doc_id").alias("item_id"), F.col("source").alias("corpus"), "risk_score")
 
 
 @_q("e1_fp_gate", f"SELECT corpus, count(*) FILTER (risk_score >= 50) AS hits, count(*) FILTER (risk_score >= 51) + 1 AS allowed, count(*) FILTER (risk_score >= 50) <= count(*) FILTER (risk_score >= 51) + 1 AS passes FROM ({_CORPUS}) GROUP BY corpus")
 def e1(spark, sf):
-    s = _corpus(spark, sf)
+    s = written(_corpus(spark, sf), "scores")
     return evaluation.fp_gate(s, evaluation.build_baseline(s, 51)).select("corpus", "hits", "allowed", "passes")
 
 
 @_q("e2_corpus_drift", f"SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'removed' WHEN item_id % 7 = 0 THEN 'added' WHEN item_id % 3 = 0 THEN 'rescored' END AS change FROM ({_CORPUS}) WHERE (item_id % 5 = 0 OR item_id % 7 = 0 OR item_id % 3 = 0) AND NOT (item_id % 5 = 0 AND item_id % 7 = 0)")
 def e2(spark, sf):
-    s = _corpus(spark, sf)
+    s = written(_corpus(spark, sf), "scores")
     now = s.filter("item_id % 5 <> 0")
     was = s.filter("item_id % 7 <> 0").withColumn("risk_score", F.when(F.col("item_id") % 3 == 0, F.col("risk_score") + 1).otherwise(F.col("risk_score")))
     return evaluation.corpus_drift(now, was)
 
 
+@_q("e2_baseline_drift")
+def e2b(spark, sf):
+    s = written(_corpus(spark, sf), "scores")
+    return evaluation.baseline_drift(s.filter("item_id % 5 <> 0"), evaluation.build_baseline(s, 51))
+
+
 _EXPECT = "(VALUES (0, 'INJ-001', 'High'), (8, 'ENC-002', 'Low'), (8, 'ENC-002', 'Medium'), (10, 'REP-001', 'Low'), (1, 'INJ-001', 'High')) x(k, rule_id, least_severity)"
 
 
@@ -820,6 +827,11 @@ def e5(spark, sf):
     return evaluation.build_baseline(_corpus(spark, sf))
 
 
+@_q("e5_item_scores")
+def e5b(spark, sf):
+    return evaluation.item_scores(_corpus(spark, sf))
+
+
 @_q("e6_stripped_totals", f"WITH {_C} SELECT 'ansi-escape' AS element, sum(length(text) - length(replace(text, chr(27), '')))::BIGINT AS n FROM c")
 def e6(spark, sf):
     d = D.content(spark, sf).withColumn("declared_type", F.lit("Log"))

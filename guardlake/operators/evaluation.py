@@ -26,6 +26,18 @@ def corpus_drift(scores: DataFrame, baseline: DataFrame) -> DataFrame:
     return both.withColumn("change", change).filter("change is not null").select("item_id", "change")
 
 
+def baseline_drift(scores: DataFrame, baseline: DataFrame, gate: int = 50) -> DataFrame:
+    """corpus, drift (threshold or size), was, now: what no longer fits the baseline; null where a corpus is absent."""
+    size = scores.groupBy("corpus").agg(F.count("*").alias("size"))
+    both = baseline.select("corpus", "threshold", "corpus_size").join(size, "corpus", "full_outer")
+    moved = lambda name, was, now: F.struct(F.lit(name).alias("drift"), was.cast("long").alias("was"), now.cast("long").alias("now"))
+    drifts = F.array_compact(F.array(
+        F.when(F.col("threshold") != gate, moved("threshold", F.col("threshold"), F.lit(gate))),
+        F.when(~F.col("corpus_size").eqNullSafe(F.col("size")), moved("size", F.col("corpus_size"), F.col("size"))),
+    ))
+    return both.select("corpus", F.explode(drifts).alias("d")).select("corpus", "d.*")
+
+
 def expectations(findings: DataFrame, expected: DataFrame) -> DataFrame:
     """expected (item_id, rule_id, least_severity) with met."""
     rank = F.create_map(*[F.lit(x) for kv in rules.SEVERITY_RANK.items() for x in kv])
@@ -41,5 +53,10 @@ def build_baseline(scores: DataFrame, gate: int = 50) -> DataFrame:
     return scores.groupBy("corpus").agg(F.lit(gate).alias("threshold"), F.count("*").alias("corpus_size"), F.count_if(F.col("risk_score") >= gate).alias("baseline_hits"))
 
 
+def item_scores(scores: DataFrame) -> DataFrame:
+    """corpus, item_id, risk_score: the part of a baseline that shows which item moved."""
+    return scores.select("corpus", "item_id", "risk_score")
+
+
 def stripped_totals(reports: DataFrame) -> DataFrame:
     return reports.select(F.explode("stripped_elements").alias("element", "n")).groupBy("element").agg(F.sum("n").alias("n"))

@@ -14,11 +14,17 @@ MAX_MESSAGE_BYTES = 32 * 1024
 COMMANDS = ("/status", "/sessions", "/check", "/send", "/help")
 
 
+def author(messages: DataFrame) -> DataFrame:
+    """messages with author: Person, Bot (by id, subtype or flag) or, for other event types and empty updates, null."""
+    slack, telegram = (F.col("platform") == "slack") & (F.col("type") == "message"), (F.col("platform") == "telegram") & F.col("text").isNotNull()
+    slack_bot = F.col("bot_id").isNotNull() | F.coalesce(F.col("subtype") == "bot_message", F.lit(False))
+    bot = (slack & slack_bot) | (telegram & F.coalesce("from_is_bot", F.lit(False)))
+    return messages.withColumn("author", F.when(bot, "Bot").when(slack | telegram, "Person"))
+
+
 def drop_bots(messages: DataFrame) -> DataFrame:
     """What people wrote: no other event types, bot ids or bot subtypes."""
-    slack = (F.col("platform") == "slack") & (F.col("type") == "message") & F.col("bot_id").isNull() & ~F.coalesce(F.col("subtype") == "bot_message", F.lit(False))
-    telegram = (F.col("platform") == "telegram") & F.col("text").isNotNull() & ~F.coalesce("from_is_bot", F.lit(False))
-    return messages.filter(slack | telegram)
+    return author(messages).filter("author = 'Person'").drop("author")
 
 
 def resolve_identity(messages: DataFrame, allowlist: DataFrame) -> DataFrame:
@@ -91,8 +97,20 @@ def redact(text: Column, secrets: list[str]) -> Column:
     return text
 
 
-def intake_outcomes(messages: DataFrame) -> DataFrame:
-    return messages.groupBy(F.coalesce("reject", F.lit("Accepted")).alias("outcome")).agg(F.count("*").alias("n"))
+def intake_outcomes(messages: DataFrame, allowlist: DataFrame, most: int = MAX_MESSAGE_BYTES, key: str = "sender", config: RateConfig = RateConfig()) -> DataFrame:
+    """outcome, n: every message once, as Bot, Ignored (no message), UnknownSender, MessageTooLarge, RateLimited or Accepted.
+
+    Only messages that nothing else rejected count against a sender's limits.
+    """
+    by = author(messages)
+    people = intake(resolve_identity(by.filter("author = 'Person'").drop("author"), allowlist), most)
+    limited = people.filter("reject is null").join(rate_limit(people.filter("reject is null"), key, config), "message_id", "left")
+    outcomes = (
+        by.filter("author is null or author <> 'Person'").select(F.when(F.col("author") == "Bot", "Bot").otherwise("Ignored").alias("outcome"))
+        .unionByName(people.filter("reject is not null").select(F.col("reject").alias("outcome")))
+        .unionByName(limited.select(F.when(F.col("allowed"), "Accepted").otherwise("RateLimited").alias("outcome")))
+    )
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 def only_new(updates: DataFrame, state: DataFrame, source: str = "source", id_col: str = "update_id") -> tuple[DataFrame, DataFrame]:

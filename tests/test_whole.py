@@ -9,8 +9,8 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import functions as F
 
 from guardlake import catalog
-from guardlake.config import FatigueConfig
-from guardlake.operators import content, evaluation, policy
+from guardlake.config import FatigueConfig, RateConfig
+from guardlake.operators import content, evaluation, messages, policy
 from guardlake.plans import derived as D
 from tests.test_content import plain_normalise
 
@@ -145,3 +145,28 @@ def test_every_audit_entry_is_verified(spark):
     assert set(rows) == {(r.log_id, r.seq) for r in D.tampered(spark, SF).select("log_id", "seq").collect()}
     first = rows[min(k for k in rows if k[0] == 3)]
     assert first.content_ok and first.prev_ok and first.hmac_ok
+
+
+def test_every_message_has_an_outcome(spark):
+    at = lambda s: datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=s)
+    say = lambda i, text="hi", user="u", kind="message", bot=None, sub=None: (i, "slack", user, text, kind, bot, sub, None, at(i), f"slack:{user}")
+    rows = [say(1, bot="b"), say(2, sub="bot_message"), say(3, kind="reaction"), say(4, user="x"), say(5, "y" * 40_000), *[say(10 + i) for i in range(4)]]
+    rows += [(20, "telegram", "u", "hi", None, None, None, True, at(20), "telegram:u"), (21, "telegram", "u", None, None, None, None, False, at(21), "telegram:u")]
+    m = spark.createDataFrame(rows, "message_id long, platform string, user_id string, text string, type string, bot_id string, subtype string, from_is_bot boolean, ts timestamp, sender string")
+    known = spark.createDataFrame([("slack", "u", "T1")], "platform string, user_id string, tier string")
+    out = dict(map(tuple, messages.intake_outcomes(m, known, config=RateConfig(3, 8)).collect()))
+    assert out == {"Bot": 3, "Ignored": 2, "UnknownSender": 1, "MessageTooLarge": 1, "Accepted": 3, "RateLimited": 1}
+    registered = dict(map(tuple, catalog.queries()["m9_outcomes"](spark, SF).collect()))
+    assert sum(registered.values()) == D.messages(spark, SF).count() and registered["Bot"] > 0
+
+
+def test_baselines_come_from_the_scorer_and_drift_shows(spark):
+    scores = {r.doc_id: r.risk_score for r in catalog.queries()["r1_risk_score"](spark, SF).collect()}
+    items = catalog.queries()["e5_item_scores"](spark, SF).collect()
+    assert {r.item_id: r.risk_score for r in items} == scores
+    base = catalog.queries()["e5_baseline"](spark, SF).collect()
+    assert sum(r.baseline_hits for r in base) == sum(s >= 50 for s in scores.values()) and sum(r.corpus_size for r in base) == len(scores)
+    assert sum(r.hits for r in catalog.queries()["e1_fp_gate"](spark, SF).collect()) == sum(s >= 50 for s in scores.values())
+    now = spark.createDataFrame([("a", 1, 60), ("a", 2, 10), ("b", 3, 0), ("n", 4, 0)], "corpus string, item_id long, risk_score int")
+    was = spark.createDataFrame([("a", 50, 2, 1), ("b", 40, 5, 0), ("o", 50, 1, 0)], "corpus string, threshold int, corpus_size long, baseline_hits long")
+    assert {tuple(r) for r in evaluation.baseline_drift(now, was).collect()} == {("b", "threshold", 40, 50), ("b", "size", 5, 1), ("n", "size", None, 1), ("o", "size", 1, None)}
