@@ -107,25 +107,40 @@ def dedup_titles(sessions: DataFrame) -> DataFrame:
     return out.select("session_id", F.when(F.col("n").isNotNull(), F.concat("title", F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).otherwise(F.col("title")).alias("title"))
 
 
-def ancestors(sessions: DataFrame, max_depth: int = 64) -> DataFrame:
-    """session_id, ancestor_id, depth, by self-joins that double their reach; stops when no longer chain is left."""
-    step = sessions.filter("parent_id is not null and parent_id <> session_id").select("session_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth"))
-    found, reach = written(step, "ancestors"), 1
-    while reach < max_depth:
+def _steps(sessions: DataFrame) -> DataFrame:
+    return sessions.filter("parent_id is not null and parent_id <> session_id").select("session_id", F.col("parent_id").alias("ancestor_id"))
+
+
+def ancestors(sessions: DataFrame) -> DataFrame:
+    """session_id, ancestor_id, depth (the least, in a cycle), by self-joins that double their reach until no new pair appears."""
+    found, reach = written(_steps(sessions).distinct().withColumn("depth", F.lit(1)), "ancestors"), 1
+    while True:
         ahead = found.select(F.col("session_id").alias("ancestor_id"), F.col("ancestor_id").alias("far"), F.col("depth").alias("more"))
         further = found.filter(F.col("depth") == reach).join(ahead, "ancestor_id").select("session_id", F.col("far").alias("ancestor_id"), (F.col("depth") + F.col("more")).alias("depth"))
-        further = written(further.distinct(), "ancestors")
+        further = further.groupBy("session_id", "ancestor_id").agg(F.min("depth").alias("depth")).join(found, ["session_id", "ancestor_id"], "left_anti")
+        further = written(further, "ancestors")
         if further.isEmpty():
-            break
-        found, reach = found.unionByName(further).distinct(), reach * 2
-    return found
+            return found
+        found, reach = found.unionByName(further), reach * 2
+
+
+def in_cycles(sessions: DataFrame) -> DataFrame:
+    """session_id of the sessions in cycles of two or more: where jumps land whose reach is more than there are sessions.
+
+    Each session keeps its one target; chains that end drop out.
+    """
+    jumps, reach, count = written(_steps(sessions).distinct(), "jumps"), 1, sessions.count()
+    while reach <= count and not jumps.isEmpty():
+        on = jumps.select(F.col("session_id").alias("ancestor_id"), F.col("ancestor_id").alias("far"))
+        jumps, reach = written(jumps.join(on, "ancestor_id").select("session_id", F.col("far").alias("ancestor_id")).distinct(), "jumps"), reach * 2
+    return jumps.select(F.col("ancestor_id").alias("session_id")).distinct()
 
 
 def parent_errors(sessions: DataFrame) -> DataFrame:
     """session_id, error: own parent, missing parent, or a cycle (a session among its own ancestors)."""
     own = sessions.filter("parent_id = session_id").select("session_id", F.lit("self-parent").alias("error"))
     missing = sessions.filter("parent_id is not null").join(sessions.select(F.col("session_id").alias("parent_id")), "parent_id", "left_anti").select("session_id", F.lit("missing parent").alias("error"))
-    cycle = ancestors(sessions).filter("session_id = ancestor_id").select("session_id", F.lit("cycle").alias("error")).distinct()
+    cycle = in_cycles(sessions).select("session_id", F.lit("cycle").alias("error"))
     return own.unionByName(missing).unionByName(cycle)
 
 

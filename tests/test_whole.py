@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from guardlake import catalog
 from guardlake.config import FatigueConfig, RateConfig
-from guardlake.operators import content, evaluation, messages, policy
+from guardlake.operators import content, evaluation, messages, policy, sessions
 from guardlake.plans import derived as D
 from tests.test_content import plain_normalise
 
@@ -170,3 +170,14 @@ def test_baselines_come_from_the_scorer_and_drift_shows(spark):
     now = spark.createDataFrame([("a", 1, 60), ("a", 2, 10), ("b", 3, 0), ("n", 4, 0)], "corpus string, item_id long, risk_score int")
     was = spark.createDataFrame([("a", 50, 2, 1), ("b", 40, 5, 0), ("o", 50, 1, 0)], "corpus string, threshold int, corpus_size long, baseline_hits long")
     assert {tuple(r) for r in evaluation.baseline_drift(now, was).collect()} == {("b", "threshold", 40, 50), ("b", "size", 5, 1), ("n", "size", None, 1), ("o", "size", 1, None)}
+
+
+def test_forests_of_any_depth(spark):
+    chain = [("n0", None), *[(f"n{i}", f"n{i - 1}") for i in range(1, 150)]]
+    ring = [(f"c{i}", f"c{(i + 1) % 90}") for i in range(90)] + [("t0", "c5"), ("t1", "t0"), ("own", "own"), ("below", "own"), ("d", "x"), ("p", "q"), ("q", "p")]
+    df = spark.createDataFrame([*chain, *ring], "session_id string, parent_id string")
+    up = sessions.ancestors(df).collect()
+    assert sorted((r.depth, r.ancestor_id) for r in up if r.session_id == "n149") == [(d, f"n{149 - d}") for d in range(1, 150)]
+    assert {(r.ancestor_id, r.depth) for r in up if r.session_id == "p"} == {("q", 1), ("p", 2)} and sum(r.session_id == "t1" for r in up) == 91
+    want = {(f"c{i}", "cycle") for i in range(90)} | {("p", "cycle"), ("q", "cycle"), ("own", "self-parent"), ("d", "missing parent")}
+    assert {tuple(r) for r in sessions.parent_errors(df).collect()} == want
