@@ -11,58 +11,63 @@ BIN_COUNT = 32
 
 @dataclass
 class Boosted:
-    """Trees as (feature, cut, left, right, value) node lists; score = logistic(a * margin + b)."""
+    """Complete binary trees of one depth, node i with children 2i+1 and 2i+2; score = logistic(slope * margin + shift).
 
-    trees: list[list[tuple]] = field(default_factory=list)
+    features and cuts are (trees, inner nodes), values (trees, leaves); a node that does not split has an infinite cut.
+    """
+
+    features: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.int64))
+    cuts: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    values: np.ndarray = field(default_factory=lambda: np.zeros((0, 1)))
     base: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
 
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each row in each tree."""
+        at = np.zeros((len(x), len(self.features)), np.int64)
+        rows, trees = np.arange(len(x))[:, None], np.arange(len(self.features))[None, :]
+        inner = self.features.shape[1]
+        for _ in range((inner + 1).bit_length() - 1):
+            at = 2 * at + 1 + (x[rows, self.features[trees, at]] > self.cuts[trees, at])
+        return at - inner
+
     def margin(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.base)
-        for tree in self.trees:
-            at = np.zeros(len(x), np.int64)
-            table = np.array([n[:4] for n in tree])
-            values = np.array([n[4] for n in tree])
-            while True:
-                feature = table[at, 0].astype(np.int64)
-                inner = feature >= 0
-                if not inner.any():
-                    break
-                goes = x[np.arange(len(x)), np.maximum(feature, 0)] <= table[at, 1]
-                at = np.where(inner, np.where(goes, table[at, 2], table[at, 3]).astype(np.int64), at)
-            out += values[at]
-        return out
+        if not len(self.features):
+            return np.full(len(x), self.base)
+        return self.base + self.values[np.arange(len(self.features))[None, :], self.leaves(x)].sum(1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.shift, -50, 50))) if len(x) else np.zeros(0)
 
 
-def _grow(bins: np.ndarray, cuts: list[np.ndarray], slope: np.ndarray, curve: np.ndarray, rows: np.ndarray, depth: int, rate: float, least: int, tree: list[tuple]) -> int:
-    node = len(tree)
-    g, h = slope[rows].sum(), curve[rows].sum()
-    tree.append((-1, 0.0, 0, 0, rate * g / (h + 1.0)))
-    if depth == 0 or len(rows) < 2 * least:
-        return node
-    best = (1e-6, -1, 0)
-    for f, cut in enumerate(cuts):
-        if not len(cut):
-            continue
-        b = bins[rows, f]
-        gl, hl, nl = (np.cumsum(np.bincount(b, w, len(cut) + 1))[:-1] for w in (slope[rows], curve[rows], None))
-        gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
-        gain[(nl < least) | (len(rows) - nl < least)] = 0
-        at = int(gain.argmax())
-        if gain[at] > best[0]:
-            best = (gain[at], f, at)
-    _, f, at = best
-    if f < 0:
-        return node
-    left = bins[rows, f] <= at
-    a = _grow(bins, cuts, slope, curve, rows[left], depth - 1, rate, least, tree)
-    b = _grow(bins, cuts, slope, curve, rows[~left], depth - 1, rate, least, tree)
-    tree[node] = (f, float(cuts[f][at]), a, b, 0.0)
-    return node
+def _tree(bins: np.ndarray, cuts: list[np.ndarray], slope: np.ndarray, curve: np.ndarray, depth: int, rate: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One tree for the loss's slope and curve: features, cuts, values, and each row's leaf."""
+    n_features, width = len(cuts), BIN_COUNT
+    first, nodes = (1 << depth) - 1, np.zeros(len(bins), np.int64)
+    feature, cut = np.zeros(first, np.int64), np.full(first, np.inf)
+    keys = bins + np.arange(n_features) * width
+    usable = np.zeros((n_features, width - 1), bool)
+    for f, c in enumerate(cuts):
+        usable[f, : len(c)] = True
+    for node in range(first):
+        rows = np.flatnonzero(nodes == node)
+        to = np.zeros(len(rows), np.int64)
+        if len(rows) >= 2 * least:
+            flat = keys[rows].ravel()
+            sums = [np.bincount(flat, w, n_features * width).reshape(n_features, width).cumsum(1)[:, :-1] for w in (np.repeat(slope[rows], n_features), np.repeat(curve[rows], n_features), None)]
+            g, h, n = slope[rows].sum(), curve[rows].sum(), len(rows)
+            gain = sums[0] ** 2 / (sums[1] + 1) + (g - sums[0]) ** 2 / (h - sums[1] + 1) - g**2 / (h + 1)
+            gain[~usable | (sums[2] < least) | (n - sums[2] < least)] = 0
+            best = int(gain.argmax())
+            f, b = divmod(best, width - 1)
+            if gain[f, b] > 1e-6:
+                feature[node], cut[node] = f, cuts[f][b]
+                to = (bins[rows, f] > b).astype(np.int64)
+        nodes[rows] = 2 * node + 1 + to
+    leaf = nodes - first
+    g, h = (np.bincount(leaf, w, first + 1) for w in (slope, curve))
+    return feature, cut, rate * g / (h + 1), leaf
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3, least: int = 5) -> Boosted:
@@ -75,12 +80,13 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: fl
     cuts = [c[c < column.max()] for c, column in zip(cuts, x.T)]
     bins = np.stack([np.searchsorted(c, column, side="left") for c, column in zip(cuts, x.T)], axis=1)
     margin = np.full(len(y), model.base)
+    made = []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
-        tree: list[tuple] = []
-        _grow(bins, cuts, y - p, p * (1 - p), np.arange(len(y)), depth, rate, least, tree)
-        model.trees.append(tree)
-        margin += Boosted([tree]).margin(x)
+        *tree, leaf = _tree(bins, cuts, y - p, p * (1 - p), depth, rate, least)
+        made.append(tree)
+        margin += tree[2][leaf]
+    model.features, model.cuts, model.values = (np.stack([t[i] for t in made]) for i in range(3))
     return model
 
 

@@ -25,12 +25,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """spans has the contract's four kinds; secrets, which it does not list, stand in columns of their own; n_found counts both."""
     docs = table(spark, sf_dir, "documents")
     found = pii.find(docs, pii.fit(docs), keep=["doc_id"])
-    base = F.filter("pii", lambda s: s["base"])
+    base, personal, secrets = (F.filter("pii", f) for f in (lambda s: s["base"], lambda s: s["kind"] != "secret", lambda s: s["kind"] == "secret"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     n = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(n, pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    return found.select(
+        "doc_id", *map(n, pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(personal).alias("spans"),
+        joined(secrets).alias("secrets"), F.size(F.filter("pii", lambda s: ~s["base"])).cast("long").alias("n_added"), F.size("pii").cast("long").alias("n_found"),
+    )
 
 
 def byte_vocabulary() -> list[bytes]:
