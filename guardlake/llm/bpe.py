@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from guardlake.llm.shared import in_batches, map_text
+from guardlake.llm.shared import in_batches, map_text, named
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Pieces kept with their ids in each Python process, in two halves of which the older is given up.
@@ -249,7 +249,7 @@ def decode(df: DataFrame, vocabulary: list[bytes], ids_col: str = "ids", keep: l
     keep = list(df.columns) if keep is None else keep
     fields = [T.StructField("decoded", T.BinaryType())]
     keep = [c for c in keep if c.lower() != "decoded"]
-    source = df.select(*keep, df[ids_col].alias("_gl_ids"))
+    source = df.select(*map(named, keep), named(ids_col).alias("_gl_ids"))
     schema = T.StructType([*source.schema.fields[:-1], *fields])
 
     def run(batches):

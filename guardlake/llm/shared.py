@@ -49,7 +49,8 @@ def in_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= ROWS_AT_ONCE:
         conf.set(name, str(ROWS_AT_ONCE))
-    return df.mapInArrow(function, schema)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # functions take columns by place; mapInArrow takes no names with dots
+    return plain.mapInArrow(function, schema)
 
 
 def partitions(spark: SparkSession) -> int:
