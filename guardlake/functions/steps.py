@@ -1,4 +1,7 @@
-"""Steps written to the shared folder: they cut lineage and survive lost executors."""
+"""Steps written to the shared folder: they cut lineage and survive lost executors.
+
+All steps of an application stand in one folder, which remove_steps() deletes when their results are no longer read.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +10,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Only for sessions that name no shared folder, as in tests.
+#: Only for local sessions that name no shared folder, as in tests.
 _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or one of our own where the session has none."""
+    """The folder in spark.checkpoint.dir. Only a local session may do without; it gets a temporary folder of its own."""
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir")
     if not base:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="guardlake-"))
         base = _own_dir[0]
@@ -24,8 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def steps_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/guardlake/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/guardlake/{name}-{uuid.uuid4().hex}"
+    return f"{steps_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -33,3 +42,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whichever store it is; one that is not there is no error."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def remove_steps(spark: SparkSession) -> None:
+    """Deletes all steps that this application has written. Results that still read them must have been saved before."""
+    remove_path(spark, steps_dir(spark))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table with fewer partitions than the session has cores, dealt out evenly: for work that costs much CPU a row.
+
+    A large table has more partitions than that and stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
