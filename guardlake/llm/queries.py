@@ -8,25 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardlake.llm import bpe, chat, decontam, langid, linededup, lzprint, neardup, pii, quality, sharding
-from guardlake.llm.shared import training_row, written
+from guardlake.llm.shared import spread, training_row, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt over all cores where a few files give less."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents")).drop("source", "frac_rank")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return langid.predict(docs, langid.fit(docs), keep=["doc_id"]).select("doc_id", (~training_row()).alias("held_out"), "lang_pred", "score")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """spans has the contract's four kinds; secrets, which it does not list, stand in columns of their own; n_found counts both."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     found = pii.find(docs, pii.fit(docs), keep=["doc_id"])
     base, personal, secrets = (F.filter("pii", f) for f in (lambda s: s["base"], lambda s: s["kind"] != "secret", lambda s: s["kind"] == "secret"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -44,7 +49,7 @@ def byte_vocabulary() -> list[bytes]:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = bpe.encode(table(spark, sf_dir, "documents"), byte_vocabulary(), keep=["doc_id"], decoded=True)
+    both = bpe.encode(documents(spark, sf_dir), byte_vocabulary(), keep=["doc_id"], decoded=True)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -66,27 +71,27 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return linededup.drop_repeated_lines(docs, keep=["doc_id"]).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op7_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lzprint.edit_test(table(spark, sf_dir, "documents"))
+    rows = lzprint.edit_test(documents(spark, sf_dir))
     return rows.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(documents(spark, sf_dir))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model, keep=["doc_id"]).select("doc_id", (~training_row()).alias("held_out"), "score", "predicted")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    found = decontam.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),

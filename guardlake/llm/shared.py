@@ -1,9 +1,7 @@
-"""What the training-data operators share: the shared folder, written steps, text mapping."""
+"""What the training-data operators share: text mapping, drawing of samples; and the library's written steps."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
@@ -11,35 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from guardlake.functions.steps import new_path, remove_path, spread, written  # noqa: F401
+
 #: Rows that a task's Python side handles together.
 ROWS_AT_ONCE = 1000
-#: Only for sessions that name no shared folder, as in tests.
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or one of our own where the session has none."""
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not _own_dir:
-            _own_dir.append("file://" + tempfile.mkdtemp(prefix="guardlake-"))
-        base = _own_dir[0]
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/guardlake/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def in_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
