@@ -24,7 +24,7 @@ CSS_COMMENT = r"(?s)/\*.*?(?:\*/|$)"
 
 
 def strip_ansi(text: Column) -> Column:
-    return F.regexp_replace(text, ANSI, "")
+    return F.when(text.contains("\x1b"), F.regexp_replace(text, ANSI, "")).otherwise(text)
 
 
 def ansi_count(text: Column) -> Column:
@@ -32,25 +32,33 @@ def ansi_count(text: Column) -> Column:
     return (F.regexp_count(text, F.lit(r"\x1b")) - F.regexp_count(strip_ansi(text), F.lit(r"\x1b"))).cast("int")
 
 
+_ALL_INVISIBLE = "[" + "".join(INVISIBLE.values()) + "]"
+
+
+def has_invisible(text: Column) -> Column:
+    return text.rlike(_ALL_INVISIBLE)
+
+
 def strip_invisible(text: Column) -> Column:
-    return F.regexp_replace(text, "[" + "".join(INVISIBLE.values()) + "]", "")
+    """The text without invisible characters; texts that have none, as most, are only looked through once."""
+    return F.when(has_invisible(text), F.regexp_replace(text, _ALL_INVISIBLE, "")).otherwise(text)
 
 
 def strip_counts(text: Column) -> Column:
     """struct of a count for each category, and total."""
-    counts = [F.regexp_count(text, F.lit(f"[{body}]")).alias(name.replace("-", "_")) for name, body in INVISIBLE.items()]
-    return F.struct(*counts, F.regexp_count(text, F.lit("[" + "".join(INVISIBLE.values()) + "]")).alias("total"))
+    count = lambda pattern: F.when(has_invisible(text), F.regexp_count(text, F.lit(pattern))).when(text.isNotNull(), 0)
+    return F.struct(*[count(f"[{body}]").alias(name.replace("-", "_")) for name, body in INVISIBLE.items()], count(_ALL_INVISIBLE).alias("total"))
 
 
 def has_mixed_script(text: Column) -> Column:
-    """A word has Latin and Cyrillic letters. Lookaheads keep long words linear."""
-    return F.coalesce(text.rlike(rf"(?U)\b(?=\w*[{LATIN}])(?=\w*[{CYRILLIC}])\w"), F.lit(False))
+    """A word has Latin and Cyrillic letters. Lookaheads keep long words linear; texts without Cyrillic are only looked through."""
+    return F.coalesce(text.rlike(f"[{CYRILLIC}]") & text.rlike(rf"(?U)\b(?=\w*[{LATIN}])(?=\w*[{CYRILLIC}])\w"), F.lit(False))
 
 
 def strip_categories(text: Column) -> Column:
     """Categories met, by their first place; mixed-script, judged on what is left, comes last."""
     at = F.array(*[F.struct(F.regexp_instr(text, F.lit(f"[{body}]")).alias("at"), F.lit(name).alias("name")) for name, body in INVISIBLE.items()])
-    met = F.transform(F.array_sort(F.filter(at, lambda x: x["at"] > 0)), lambda x: x["name"])
+    met = F.when(has_invisible(text), F.transform(F.array_sort(F.filter(at, lambda x: x["at"] > 0)), lambda x: x["name"])).when(text.isNotNull(), F.array().cast("array<string>"))
     return F.when(has_mixed_script(strip_invisible(text)), F.concat(met, F.array(F.lit("mixed-script")))).otherwise(met)
 
 
@@ -90,9 +98,9 @@ def is_hidden_style(style: Column) -> Column:
 
 def repetition_ratio(text: Column) -> Column:
     """Adjacent equal bytes over bytes, as float; 0 for fewer than two bytes."""
-    as_bytes = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
     n = F.octet_length(text)
-    return F.when(n >= 2, ((F.length(as_bytes) - F.length(F.regexp_replace(as_bytes, r"(?s)(.)\1+", "$1"))) / n).cast("float")).otherwise(F.lit(0.0).cast("float"))
+    as_bytes = F.when(F.length(text) == n, text).otherwise(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"))
+    return F.when(n >= 2, ((n - F.length(F.regexp_replace(as_bytes, r"(?s)(.)\1+", "$1"))) / n).cast("float")).otherwise(F.lit(0.0).cast("float"))
 
 
 def tail_lines(text: Column, n: int = 20) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@]*@)?(\[[^\]/]*\]|[^/?#:@]+)(?::(
 DEFAULT_PORTS = {"http": "80", "https": "443", "ftp": "21", "ws": "80", "wss": "443"}
 #: Content types that have a cleaning job of their own.
 FORMATS = ("Html", "Markdown", "Json")
-FINDING = "struct<rule_id:string,severity:string,start:int,end:int,sample:string>"
+#: A token that can hold one of the runs that rules look for.
+LONG = r"[^ \t\n\r]{%d}" % min(rules.BASE64_LEAST, rules.HEX_LEAST, rules.TOKEN_LEAST // 4)
 
 
 # intake
@@ -123,26 +126,53 @@ def collision(text: Column, sentinels: tuple[str, ...] = (rules.SENTINEL_START,
     return hit
 
 
+def _hit(text: Column, low: Column, rule: rules.Rule) -> Column:
+    """The rule's pattern, tried only on texts that hold a string it needs."""
+    hit = text.rlike(rule.pattern)
+    return reduce(lambda a, b: a | b, [low.contains(x) for x in rule.needs]) & hit if rule.needs else hit
+
+
+def _runs(text: Column, long: Column) -> dict[str, Column]:
+    """The runs of the three rules that look for them; only texts with a long token can have one."""
+    return {rule_id: F.when(long, run) for rule_id, run in (("ENC-001", base64_run(text)), ("ENC-002", hex_run(text)), ("REP-001", long_token(text)))}
+
+
+def _findings(text: Column, hits: list[Column], runs: dict[str, Column], marked: Column, mixed: Column, ratio: Column, catalogue, config: ContentConfig) -> Column:
+    found = [F.when(hit, _finding(r.rule_id, r.severity, text, F.regexp_substr(text, F.lit(r.pattern)), F.regexp_instr(text, F.lit(r.pattern)))) for r, hit in zip(catalogue, hits)]
+    found += [F.when(run.isNotNull(), _finding(rule_id, "Low", text, run, F.instr(text, run))) for rule_id, run in runs.items()]
+    whole = (("MIX-001", "Medium", mixed), ("FMT-001", "Info", marked), ("REP-002", "Low", ratio >= F.lit(config.repetition_rule).cast("float")), ("WRP-001", "Info", collision(text)))
+    return F.array_compact(F.array(*found, *[F.when(hit, _finding(rule_id, severity, text)) for rule_id, severity, hit in whole]))
+
+
+def _marked(text: Column, content_type: Column | None) -> Column:
+    plain = F.lit(True) if content_type is None else content_type.isin("PlainText", "Log")
+    return plain & text.contains("<") & html_markers(text)
+
+
 def scan(text: Column, content_type: Column | None = None, mixed: Column | None = None, catalogue=rules.REGEX_RULES, config: ContentConfig = ContentConfig()) -> Column:
-    """The findings of a normalised text, in catalogue order: one projection, built from the rule table."""
-    found = []
-    for r in catalogue:
-        hit = text.rlike(r.pattern)
-        found.append(F.when(hit, _finding(r.rule_id, r.severity, text, F.regexp_substr(text, F.lit(r.pattern)), F.regexp_instr(text, F.lit(r.pattern)))))
-    for rule_id, run in (("ENC-001", base64_run(text)), ("ENC-002", hex_run(text)), ("REP-001", long_token(text))):
-        found.append(F.when(run.isNotNull(), _finding(rule_id, "Low", text, run, F.instr(text, run))))
+    """The findings of a normalised text, in catalogue order: one expression, built from the rule table."""
+    hits = [_hit(text, F.lower(text), r) for r in catalogue]
     mixed = X.has_mixed_script(text) if mixed is None else mixed
-    found.append(F.when(mixed, _finding("MIX-001", "Medium", text)))
-    plain = F.lit(True) if content_type is None else content_type.isin("PlainText", "Log")
-    found.append(F.when(plain & html_markers(text), _finding("FMT-001", "Info", text)))
-    found.append(F.when(X.repetition_ratio(text) >= config.repetition_rule, _finding("REP-002", "Low", text)))
-    found.append(F.when(collision(text), _finding("WRP-001", "Info", text)))
-    return F.array_compact(F.array(*found))
+    return _findings(text, hits, _runs(text, text.rlike(LONG)), _marked(text, content_type), mixed, X.repetition_ratio(text), catalogue, config)
+
+
+def scanned(df: DataFrame, content_type: Column | None = None, catalogue=rules.REGEX_RULES, config: ContentConfig = ContentConfig()) -> DataFrame:
+    """normalised rows with findings and repetition_ratio. The projections follow one another, so that what several rules
+    look at (the lower-cased text, each rule's hit, the long runs) is worked out once a row."""
+    text, columns = F.col("cleaned"), df.columns
+    df = df.withColumns({"_low": F.lower(text), "_long": text.rlike(LONG), "repetition_ratio": X.repetition_ratio(text)})
+    hits = {f"_hit{i}": _hit(text, F.col("_low"), r) for i, r in enumerate(catalogue)}
+    runs = {f"_run{i}": run for i, run in enumerate(_runs(text, F.col("_long")).values())}
+    df = df.withColumns({**hits, **runs, "_marked": _marked(text, content_type)})
+    named_runs = {rule_id: F.col(c) for rule_id, c in zip(_runs(text, text), runs)}
+    found = _findings(text, [F.col(c) for c in hits], named_runs, F.col("_marked"), F.array_contains("categories", "mixed-script"), F.col("repetition_ratio"), catalogue, config)
+    return df.withColumn("findings", found).select(*columns, "repetition_ratio", "findings")
 
 
 def explode_findings(df: DataFrame, findings: str = "findings") -> DataFrame:
+    """A row for each finding. The outer form keeps the optimiser from making a filter of the whole scan of it."""
     keep = [c for c in df.columns if c != findings]
-    return df.select(*keep, F.posexplode(findings).alias("finding_no", "f")).select(*keep, "finding_no", "f.*")
+    return df.select(*keep, F.posexplode_outer(findings).alias("finding_no", "f")).filter("finding_no is not null").select(*keep, "finding_no", "f.*")
 
 
 # scoring
@@ -216,8 +246,7 @@ def scored(df: DataFrame, text: str = "text", content_type: str | None = None, c
 
 def assessed(clean: DataFrame, content_type: str | None = None, config: ContentConfig = ContentConfig()) -> DataFrame:
     """normalised rows with findings, repetition_ratio, risk_score, flags."""
-    kind = F.col(content_type) if content_type else None
-    clean = clean.withColumns({"findings": scan(F.col("cleaned"), kind, F.array_contains("categories", "mixed-script"), config=config), "repetition_ratio": X.repetition_ratio(F.col("cleaned"))})
+    clean = scanned(clean, F.col(content_type) if content_type else None, config=config)
     return clean.withColumns({"risk_score": risk_score(F.col("findings"), F.col("stripped_count"), F.col("repetition_ratio"), config), "flags": derive_flags(F.col("findings"), F.col("categories"))})
 
 

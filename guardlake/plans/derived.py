@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guardlake import rules
+from guardlake.functions.steps import spread
 
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01 in UTC
 
@@ -42,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", "source", "lang", f"{TEXT} AS text")
+    return spread(table(spark, sf_dir, "documents")).selectExpr("doc_id", "source", "lang", f"{TEXT} AS text")
 
 
 _ACTIONS = ", ".join(f"'{a}'" for a, _, _ in rules.ACTIONS)
@@ -177,7 +178,7 @@ PAGES_SQL = f"SELECT page_id, url, coalesce(html, '') || {PAGES_OVERLAY} AS html
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").selectExpr("page_id", "url", f"coalesce(html, '') || {PAGES_OVERLAY} AS html")
+    return spread(table(spark, sf_dir, "pages")).selectExpr("page_id", "url", f"coalesce(html, '') || {PAGES_OVERLAY} AS html")
 
 
 MARKDOWN = """'# T' || chr(10) || CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN '```' || chr(10) || '<b>code</b> & x' || chr(10) || '```' || chr(10) WHEN 1 THEN '<div>' || chr(10) || 'block' || chr(10) || '</div>' || chr(10) || chr(10) || 'free <i>it</i>' || chr(10)
@@ -186,4 +187,4 @@ MARKDOWN_SQL = f"SELECT doc_id, {MARKDOWN} AS text FROM documents"
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{MARKDOWN} AS text")
+    return spread(table(spark, sf_dir, "documents")).selectExpr("doc_id", f"{MARKDOWN} AS text")

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 @dataclass(frozen=True)
 class Rule:
+    """needs: strings of which one must stand in the lower-cased text, or the pattern cannot match; none if it is not known."""
+
     rule_id: str
     severity: str
     pattern: str
+    needs: tuple[str, ...] = ()
 
 
 SEVERITY_RANK = {"Info": 0, "Low": 1, "Medium": 2, "High": 3}
@@ -19,14 +22,14 @@ SEVERITY_WEIGHT = {"Info": 0, "Low": 6, "Medium": 20, "High": 50}
 
 # The patterns of the rules that are one regex each, in catalogue order.
 REGEX_RULES = (
-    Rule("INJ-001", "High", r"(?i)\bignore\s+(?:all\s+)?(?:the\s+)?(?:previous|prior|above|earlier)\s+(?:instructions?|directions?|prompts?)\b"),
-    Rule("INJ-002", "High", r"(?i)\bdisregard\s+(?:your\s+)?(?:the\s+)?(?:system\s+)?(?:prompt|instructions?|rules?)\b"),
-    Rule("INJ-003", "High", r"(?i)\[/?\s*system\s*\]|<\|\s*system\s*\|>"),
-    Rule("INJ-004", "High", r"(?i)\bnew\s+instructions?\s*[:\-]"),
-    Rule("INJ-005", "High", r"(?i)\byou\s+are\s+now\s+(?:a|an|in|the|going|going to|allowed|free|operating|acting|playing)\b"),
-    Rule("INJ-006", "High", r"<\|(?:im_start|im_end|endoftext|fim_prefix|fim_middle|fim_suffix)\|>"),
-    Rule("INJ-007", "High", r"(?i)\b(?:enable|activate|enter|engage)\s+(?:jailbreak|dev\s*mode|developer\s*mode|god\s*mode)\b|\bjailbreak\s*(?:mode|prompt)\b"),
-    Rule("ENC-003", "Medium", r"(?i)\bdata:[a-z]+/[a-z0-9.+\-]+(?:;[a-z0-9\-]+=[a-z0-9.\-]+)*(?:;base64)?,[A-Za-z0-9+/=%._\-]{8,}"),
+    Rule("INJ-001", "High", r"(?i)\bignore\s+(?:all\s+)?(?:the\s+)?(?:previous|prior|above|earlier)\s+(?:instructions?|directions?|prompts?)\b", ("ignore",)),
+    Rule("INJ-002", "High", r"(?i)\bdisregard\s+(?:your\s+)?(?:the\s+)?(?:system\s+)?(?:prompt|instructions?|rules?)\b", ("disregard",)),
+    Rule("INJ-003", "High", r"(?i)\[/?\s*system\s*\]|<\|\s*system\s*\|>", ("system",)),
+    Rule("INJ-004", "High", r"(?i)\bnew\s+instructions?\s*[:\-]", ("instruction",)),
+    Rule("INJ-005", "High", r"(?i)\byou\s+are\s+now\s+(?:a|an|in|the|going|going to|allowed|free|operating|acting|playing)\b", ("you",)),
+    Rule("INJ-006", "High", r"<\|(?:im_start|im_end|endoftext|fim_prefix|fim_middle|fim_suffix)\|>", ("<|",)),
+    Rule("INJ-007", "High", r"(?i)\b(?:enable|activate|enter|engage)\s+(?:jailbreak|dev\s*mode|developer\s*mode|god\s*mode)\b|\bjailbreak\s*(?:mode|prompt)\b", ("jailbreak", "mode")),
+    Rule("ENC-003", "Medium", r"(?i)\bdata:[a-z]+/[a-z0-9.+\-]+(?:;[a-z0-9\-]+=[a-z0-9.\-]+)*(?:;base64)?,[A-Za-z0-9+/=%._\-]{8,}", ("data:",)),
 )
 # Markers of HTML served as text.
 HTML_ROOT = r"(?i)<!doctype\s+html|<\s*html\b"
@@ -70,6 +73,7 @@ ZONES = ("Ingress", "ControlPlane", "AgentRuntime", "HostPrivileged")
 TRANSITIONS = (("Ingress", "ControlPlane", 0), ("AgentRuntime", "ControlPlane", 0), ("ControlPlane", "AgentRuntime", 0), ("ControlPlane", "HostPrivileged", 3))
 # What a session's output says about its state, in order; and that it is done.
 STATUS_PATTERNS = (("Waiting", r"(?m)(╰─|>\s*$|What would you like)"), ("Error", r"(?mi)(^error:|panic|fatal error|segmentation fault)"), ("Running", r"(Read\(|Edit\(|Bash\(|Write\(|Grep\(|Glob\()"))
+# What in an output asks for a decision, says that a tool is missing, and the ceilings of execution classes.
 DECISION_PHRASES = ("?", "which option", "should I", "do you want", "please choose", "waiting for", "your decision", "approve", "confirm")
 TOOL_MISSING = ("command not found", ": not found", "No such file or directory")
 EXECUTION_CLASSES = (("OfflineWorker", 0), ("ResearchWorker", 1), ("Builder", 1))
