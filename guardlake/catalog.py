@@ -63,21 +63,26 @@ def n2(spark, sf):
     return D.content(spark, sf).select("doc_id", X.strip_counts(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
-_CATS = ", ".join(f"{{'p': {_AT('text', '[' + b + ']')}, 'n': '{n}'}}" for n, b in X.INVISIBLE.items())
-_MIXED = "(doc_id % 23 = 12)"
+_CATS = lambda e: "list_transform(list_sort(list_filter([" + ", ".join(f"{{'p': {_AT(e, '[' + b + ']')}, 'n': '{n}'}}" for n, b in X.INVISIBLE.items()) + "], lambda x: x.p > 0)), lambda x: x.n)"
+_WORDS = "[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{24B6}-\\x{24E9}\\x{200C}\\x{200D}]+"
+#: A word of the text has letters of both scripts.
+_MIXED = lambda e: f"(len(list_filter(regexp_extract_all({e}, {_str(_WORDS)}), lambda w: regexp_matches(w, '[{X.LATIN}]') AND regexp_matches(w, '[{X.CYRILLIC}]'))) > 0)"
 
 
-@_q("n3_strip_categories", f"WITH {_C} SELECT doc_id, array_to_string(list_transform(list_sort(list_filter([{_CATS}], lambda x: x.p > 0)), lambda x: x.n), ',') || CASE WHEN {_MIXED} THEN 'mixed-script' ELSE '' END AS categories FROM c")
+@_q("n3_strip_categories", f"WITH {_C} SELECT doc_id, array_to_string(list_concat({_CATS('text')}, CASE WHEN {_MIXED(_STRIP('text'))} THEN ['mixed-script'] ELSE [] END), ',') AS categories FROM c")
 def n3(spark, sf):
     return D.content(spark, sf).select("doc_id", F.array_join(X.strip_categories(F.col("text")), ",").alias("categories"))
 
 
-@_q("n4_mixed_script", f"SELECT doc_id, {_MIXED} AS mixed FROM documents")
+@_q("n4_mixed_script", f"WITH {_C} SELECT doc_id, {_MIXED(_STRIP('text'))} AS mixed FROM c")
 def n4(spark, sf):
     return D.content(spark, sf).select("doc_id", X.has_mixed_script(X.strip_invisible(F.col("text"))).alias("mixed"))
 
 
-@_q("n5_norm_key", "SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(left(text, 200)), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g')) AS key FROM conversations")
+_BLANK = "\\s\\x0b\\x{85}\\p{Z}"
+
+
+@_q("n5_norm_key", f"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}{_BLANK}]', '', 'g'), '[{_BLANK}]+', ' ', 'g')) AS key FROM conversations")
 def n5(spark, sf):
     return D.table(spark, sf, "conversations").select("conv_id", "turn", X.norm_key(F.col("text")).alias("key"))
 
@@ -130,7 +135,12 @@ def c3(spark, sf):
     return D.table(spark, sf, "documents").select("doc_id", content.content_type_of(alias).alias("content_type"))
 
 
-@_q("c4_c5_route", "SELECT doc_id, CASE WHEN doc_id % 23 = 16 AND doc_id % 2 = 0 THEN 'Html' WHEN doc_id % 2 = 0 THEN 'PlainText' ELSE 'Log' END AS content_type, CASE WHEN doc_id % 23 = 16 AND doc_id % 2 = 0 THEN 'PlainText' END AS routed_from FROM documents")
+#: content_type and routed_from of texts that are declared as plain text if their id is even, else as logs.
+_LYING = f"(doc_id % 2 = 0 AND regexp_matches(left(text, 1024), {_str(content.SNIFF)}))"
+_ROUTED = f"CASE WHEN {_LYING} THEN 'Html' WHEN doc_id % 2 = 0 THEN 'PlainText' ELSE 'Log' END AS content_type, CASE WHEN {_LYING} THEN 'PlainText' END AS routed_from"
+
+
+@_q("c4_c5_route", f"WITH {_C} SELECT doc_id, {_ROUTED} FROM c")
 def c4(spark, sf):
     d = D.content(spark, sf).withColumn("declared_type", F.when(F.col("doc_id") % 2 == 0, "PlainText").otherwise("Log"))
     return content.route(d).select("doc_id", "content_type", "routed_from")
@@ -170,19 +180,23 @@ _HEX = "CASE WHEN regexp_matches(t, '[0-9A-Fa-f]{64,}') THEN regexp_extract(t, '
 _TOK = "list_filter(string_split_regex(t, '[ \t\n\r]'), lambda x: strlen(x) >= 200)[1]"
 for _id, _e in (("ENC-001", _B64), ("ENC-002", _HEX), ("REP-001", _TOK)):
     _RULE_SQL.append((_id, "Low", f"({_e}) IS NOT NULL", f"strlen(string_split(t, {_e})[1])", _e))
+_MARKED = lambda e: f"(regexp_matches({e}, {_str(rules.HTML_ROOT)}) OR (len(list_distinct(list_transform(regexp_extract_all({e}, {_str(rules.HTML_OPENER)}, 1), lambda x: lower(x)))) >= {rules.HTML_OPENERS_LEAST} AND {_COUNT(e, rules.HTML_CLOSE)} >= {rules.HTML_CLOSE_LEAST}))"
 _RULE_SQL += [
-    ("MIX-001", "Medium", _MIXED, None, None),
-    ("FMT-001", "Info", f"(regexp_matches(t, {_str(rules.HTML_ROOT)}))", None, None),
-    ("REP-002", "Low", "(doc_id % 23 = 13 AND (59999 + 0.0) / strlen(t) >= 0.9)", None, None),
+    ("MIX-001", "Medium", _MIXED("t"), None, None),
+    ("FMT-001", "Info", f"(plain AND {_MARKED('t')})", None, None),
+    ("REP-002", "Low", "(ratio >= 0.9::FLOAT)", None, None),
     ("WRP-001", "Info", f"(contains(t, {_str(rules.SENTINEL_START)}) OR contains(t, {_str(rules.SENTINEL_END)}))", None, None),
 ]
-_FINDINGS = f"{_C}, n AS (SELECT doc_id, source, text AS raw, {_STRIP('text')} AS t FROM c), f AS (" + " UNION ALL ".join(
-    f"SELECT doc_id, source, {i} AS pos, '{rid}' AS rule_id, '{sev}' AS severity, {f'({at})::INTEGER' if at else 'NULL::INTEGER'} AS start, {f'strlen({m})::INTEGER' if m else 'NULL::INTEGER'} AS size FROM n WHERE {cond}"
+_HEXED = "regexp_extract_all(hex(encode(t)), '..')"
+_RATIO = "(CASE WHEN len(b) < 2 THEN 0 ELSE len(list_filter(list_zip(b[:-2], b[2:]), lambda x: x[1] = x[2]))::DOUBLE / len(b) END)::FLOAT"
+_FOUND = f"r AS MATERIALIZED (SELECT n0.*, {_RATIO} AS ratio FROM (SELECT *, {_HEXED} AS b FROM n) n0), f AS MATERIALIZED (" + " UNION ALL ".join(
+    f"SELECT doc_id, source, {i} AS pos, '{rid}' AS rule_id, '{sev}' AS severity, {f'({at})::INTEGER' if at else 'NULL::INTEGER'} AS start, {f'strlen({m})::INTEGER' if m else 'NULL::INTEGER'} AS size FROM r WHERE {cond}"
     for i, (rid, sev, cond, at, m) in enumerate(_RULE_SQL)
 ) + ")"
+_FINDINGS = f"{_C}, n AS MATERIALIZED (SELECT doc_id, source, text AS raw, {_STRIP('text')} AS t, true AS plain FROM c), {_FOUND}"
 
 
-@_q("p1_p16_scan", f"WITH {_FINDINGS} SELECT doc_id, rule_id, severity, CASE WHEN rule_id <> 'REP-002' THEN start END AS start, size FROM f WHERE rule_id <> 'REP-002'")
+@_q("p1_p16_scan", f"WITH {_FINDINGS} SELECT doc_id, rule_id, severity, start, size FROM f")
 def p16(spark, sf):
     rows = content.explode_findings(_scored(spark, sf).select("doc_id", "findings"))
     return rows.select("doc_id", "rule_id", "severity", "start", (F.col("end") - F.col("start")).alias("size"))
@@ -194,26 +208,24 @@ def p9(spark, sf):
     return D.content(spark, sf).select("doc_id", content.base64_run(t).alias("base64_run"), content.hex_run(t).alias("hex_run"), F.octet_length(content.long_token(t)).alias("long_token"))
 
 
-_HEXED = "regexp_extract_all(hex(encode(t)), '..')"
-
-
-@_q("p12_repetition", f"WITH {_C}, n AS (SELECT doc_id, {_STRIP('text')} AS t FROM c), b AS (SELECT doc_id, {_HEXED} AS b FROM n) SELECT doc_id, (CASE WHEN len(b) < 2 THEN 0 ELSE len(list_filter(list_zip(b[:-2], b[2:]), lambda x: x[1] = x[2]))::DOUBLE / len(b) END)::FLOAT AS ratio FROM b")
+@_q("p12_repetition", f"WITH {_C}, n AS (SELECT doc_id, {_STRIP('text')} AS t FROM c), b AS (SELECT doc_id, {_HEXED} AS b FROM n) SELECT doc_id, {_RATIO} AS ratio FROM b")
 def p12(spark, sf):
     return D.content(spark, sf).select("doc_id", X.repetition_ratio(X.strip_invisible(F.col("text"))).alias("ratio"))
 
 
-@_q("p14_html_markers", f"WITH {_C} SELECT page_id AS id, regexp_matches(html, {_str(rules.HTML_ROOT)}) OR (len(list_distinct(list_transform(regexp_extract_all(html, {_str(rules.HTML_OPENER)}, 1), lambda x: lower(x)))) >= 2 AND {_COUNT('html', rules.HTML_CLOSE)} >= 100) AS marked FROM pages")
+@_q("p14_html_markers", f"SELECT page_id AS id, {_MARKED('html')} AS marked FROM pages")
 def p14(spark, sf):
     return D.table(spark, sf, "pages").select(F.col("page_id").alias("id"), content.html_markers(F.col("html")).alias("marked"))
 
 
-@_q("p17_rule_hits", f"WITH {_FINDINGS} SELECT rule_id, severity, count(*) AS hits, count(DISTINCT doc_id) AS payloads FROM f WHERE rule_id <> 'REP-002' GROUP BY ALL")
+@_q("p17_rule_hits", f"WITH {_FINDINGS} SELECT rule_id, severity, count(*) AS hits, count(DISTINCT doc_id) AS payloads FROM f GROUP BY ALL")
 def p17(spark, sf):
     return evaluation.rule_hits(content.explode_findings(_scored(spark, sf).select("doc_id", "findings")))
 
 
 _WEIGHT = "CASE severity WHEN 'High' THEN 50 WHEN 'Medium' THEN 20 WHEN 'Low' THEN 6 ELSE 0 END"
-_SCORES = f"{_FINDINGS}, s AS (SELECT n.doc_id, n.source, least(100, coalesce((SELECT sum(w) FROM (SELECT rule_id, max({_WEIGHT}) AS w FROM f WHERE f.doc_id = n.doc_id GROUP BY rule_id)), 0) + CASE WHEN n.raw <> n.t THEN 10 ELSE 0 END)::INTEGER AS risk_score FROM n WHERE n.doc_id % 23 <> 13)"
+_SCORED = f"s AS (SELECT r.*, least(100, coalesce(w, 0) + CASE WHEN raw <> t THEN 10 ELSE 0 END + CASE WHEN ratio >= 0.85::FLOAT THEN 15 ELSE 0 END)::INTEGER AS risk_score FROM r LEFT JOIN (SELECT doc_id, sum(w) AS w FROM (SELECT doc_id, rule_id, max({_WEIGHT}) AS w FROM f GROUP BY ALL) GROUP BY doc_id) USING (doc_id))"
+_SCORES = f"{_FINDINGS}, {_SCORED}"
 
 
 @_q("r1_risk_score", f"WITH {_SCORES} SELECT doc_id, risk_score FROM s")
@@ -231,11 +243,13 @@ def risk_by_source(spark, sf):
     return _scored(spark, sf).groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("risk_score") >= 50).alias("hits"), F.round(F.avg("risk_score"), 4).alias("mean_score"))
 
 
-_FLAG = "CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.doc_id = n.doc_id AND starts_with(rule_id, '{}')) THEN '{},' ELSE '' END"
-_FLAGS = " || ".join(_FLAG.format(p, n) for p, n in (("INJ-", "injection_pattern"), ("ENC-", "encoded_payload"), ("REP-", "repetition"), ("MIX-", "mixed_script"), ("FMT-", "content_type_mismatch"), ("WRP-", "wrapper_collision")))
+_FAMILIES = (("INJ-", "injection_pattern"), ("ENC-", "encoded_payload"), ("REP-", "repetition"), ("MIX-", "mixed_script"), ("FMT-", "content_type_mismatch"), ("WRP-", "wrapper_collision"))
+_IDS = "(SELECT doc_id, list(DISTINCT rule_id) AS ids, string_agg(rule_id, ',' ORDER BY pos) AS rule_ids FROM f GROUP BY doc_id)"
+#: The list of flags of a row with ids (its rule ids) and raw (its text before invisible characters went).
+_FLAGS = "list_concat(list_filter([" + ", ".join(f"CASE WHEN len(list_filter(ids, lambda i: starts_with(i, '{p}'))) > 0 THEN '{n}' END" for p, n in _FAMILIES) + f"], lambda x: x IS NOT NULL), list_transform({_CATS('raw')}, lambda c: 'normalize_' || replace(c, '-', '_')))"
 
 
-@_q("r3_flags", f"WITH {_FINDINGS} SELECT doc_id, {_FLAGS} AS flags FROM n WHERE doc_id % 23 NOT IN (11, 13, 14)")
+@_q("r3_flags", f"WITH {_FINDINGS} SELECT doc_id, array_to_string(list_transform({_FLAGS}, lambda x: x || ','), '') AS flags FROM n LEFT JOIN {_IDS} USING (doc_id)")
 def r3(spark, sf):
     flags = F.array_join(F.transform("flags", lambda x: F.concat(x, F.lit(","))), "")
     return _scored(spark, sf).select("doc_id", flags.alias("flags"))
@@ -258,17 +272,22 @@ def r5(spark, sf):
     return p.select("page_id", content.header_injection(source=F.col("source"), flags=F.col("flags")).alias("h")).select("page_id", "h.field", "h.offset")
 
 
-@_q("r8_sanitize")
+_PLAIN = f"regexp_replace(text, {_str(X.ANSI)}, '', 'g')"
+#: What each lane leaves of a text: the documents' only markup is the overlay's doctype, and they hold no entities.
+_LANES = f"d AS (SELECT *, {_ROUTED} FROM c), p AS (SELECT *, CASE WHEN content_type = 'Html' THEN regexp_replace(text, '(?i)<!doctype html>', '') ELSE {_PLAIN} END AS raw FROM d), n AS MATERIALIZED (SELECT *, {_STRIP('raw')} AS t, content_type <> 'Html' AS plain FROM p)"
+_HMAC = lambda e: H.hmac_sql(e, b"guardlake-test-key", H.DOMAIN_TAG)
+_REPORT = f"doc_id, content_type, strlen(text)::INTEGER AS bytes_in, strlen(t)::INTEGER AS bytes_out, (length(raw) - length(t))::INTEGER AS stripped_count, 1 AS schema_version, 3 AS ruleset_version, 2 AS scoring_version, {_HMAC('text')} AS fingerprint_in, NULL::VARCHAR AS reject_reason"
+_WRAPPED = "'<|guardlake_external_start:' || nonce || '|>' || chr(10) || 'source: ' || source || chr(10) || 'content_type: ' || content_type || chr(10) || 'fetched_at: unknown' || chr(10) || 'flags: ' || flags || chr(10) || 'rule_ids: ' || coalesce(rule_ids, '') || chr(10) || '---' || chr(10) || t || CASE WHEN suffix(t, chr(10)) THEN '' ELSE chr(10) END || '<|guardlake_external_end:' || nonce || '|>'"
+
+
+@_q("r8_sanitize", f"WITH {_C}, {_LANES}, {_FOUND}, {_SCORED}, w AS (SELECT s.*, rule_ids, array_to_string({_FLAGS}, ',') AS flags, {_NONCE} AS nonce FROM s LEFT JOIN {_IDS} USING (doc_id)) SELECT {_REPORT}, routed_from, risk_score, flags, sha256({_WRAPPED}) AS wrapped_sha, {_HMAC('t')} AS fingerprint_out FROM w")
 def r8(spark, sf):
     d = D.content(spark, sf).withColumn("declared_type", F.when(F.col("doc_id") % 2 == 0, "PlainText").otherwise("Log"))
     out = content.sanitize(d, id_col="doc_id", text="text")
     return out.select("doc_id", "content_type", "routed_from", "bytes_in", "bytes_out", "stripped_count", "risk_score", F.array_join("flags", ",").alias("flags"), F.sha2("wrapped", 256).alias("wrapped_sha"), "reject_reason", "fingerprint_in", "fingerprint_out", "schema_version", "ruleset_version", "scoring_version")
 
 
-_PLAIN = f"regexp_replace(text, {_str(X.ANSI)}, '', 'g')"
-
-
-@_q("r8_r9_report", f"WITH {_C} SELECT doc_id, CASE WHEN doc_id % 23 = 16 AND doc_id % 2 = 0 THEN 'Html' WHEN doc_id % 2 = 0 THEN 'PlainText' ELSE 'Log' END AS content_type, strlen(text)::INTEGER AS bytes_in, strlen({_STRIP(_PLAIN)})::INTEGER AS bytes_out, (length({_PLAIN}) - length({_STRIP(_PLAIN)}))::INTEGER AS stripped_count, 1 AS schema_version, 3 AS ruleset_version, 2 AS scoring_version, {H.hmac_sql('text', b'guardlake-test-key', H.DOMAIN_TAG)} AS fingerprint_in, NULL::VARCHAR AS reject_reason FROM c")
+@_q("r8_r9_report", f"WITH {_C}, {_LANES} SELECT {_REPORT} FROM n")
 def r8_report(spark, sf):
     return r8(spark, sf).select("doc_id", "content_type", "bytes_in", "bytes_out", "stripped_count", "schema_version", "ruleset_version", "scoring_version", "fingerprint_in", "reject_reason")
 
@@ -382,6 +401,7 @@ def a5(spark, sf):
     return policy.zone_check(r).select("request_id", "target_zone", "zone_ok")
 
 
+#: Used with x or, where only some requests ask, with a table of these named x.
 _MATCH = f"g AS ({D.GRANTS_SQL}), m AS (SELECT x.request_id, arg_max(g.grant_id, {{'i': g.issued_us, 'g': g.grant_id}}) AS grant_id FROM x JOIN g ON g.principal = x.principal AND g.capability = x.capability AND g.expires_us > x.ts_us AND (g.max_uses IS NULL OR g.uses < g.max_uses) AND (g.scope IS NULL OR x.resource = g.scope OR starts_with(x.resource, g.scope || '/')) GROUP BY x.request_id)"
 
 
@@ -390,17 +410,26 @@ def a6(spark, sf):
     return policy.match_grants(_resolved(spark, sf), D.grants(spark, sf))
 
 
-@_q("a7_consume_grants", f"WITH {_RESOLVED}, {_MATCH}, s AS (SELECT m.*, row_number() OVER (PARTITION BY m.grant_id ORDER BY x.ts_us, x.request_id) AS n, g.max_uses FROM m JOIN x USING (request_id) JOIN g USING (grant_id)) SELECT request_id, grant_id FROM s WHERE max_uses IS NULL OR n <= max_uses")
+_ZONED = "z AS (SELECT *, CASE WHEN required_tier >= 3 THEN 'HostPrivileged' ELSE 'ControlPlane' END AS target_zone FROM x), q AS (SELECT *, required_tier <= ceiling AS tier_ok, " + _ZONE_OK + " AS zone_ok FROM z)"
+#: The level of each row of o (request_id, principal, t, n), one after the other.
+_LEVELS = """c AS (SELECT request_id, principal, n, [t] AS recent, NULL::BIGINT AS high, 'Normal' AS level FROM o WHERE n = 1 UNION ALL
+SELECT request_id, principal, n, CASE WHEN cool THEN was ELSE seen END, CASE WHEN NOT cool AND len(seen) > 10 THEN t ELSE high END, CASE WHEN cool THEN 'Cooldown' WHEN len(seen) > 10 THEN 'HighRisk' WHEN len(seen) > 5 THEN 'Warning' ELSE 'Normal' END
+FROM (SELECT o.request_id, o.principal, o.n, o.t, c.high, c.recent AS was, c.high IS NOT NULL AND o.t - c.high < 120000000 AS cool, list_append(list_filter(c.recent, lambda y: y >= o.t - 300000000), o.t) AS seen FROM c JOIN o ON o.principal = c.principal AND o.n = c.n + 1))"""
+_ASKED = "(required_tier >= 2 OR requires_grant) AND origin_kind <> 'HumanApproved' AND (required_tier >= 3 OR origin_kind <> 'LocalCli')"
+#: Requests in order: fatigue of those that passed tier and zone, then grants. A principal of the derived table has one grant
+#: at most, so a grant serves the first max_uses of the requests that it covers and that ask for it.
+_CHECKED = f"""{_RESOLVED}, {_ZONED}, o AS (SELECT request_id, principal, ts_us AS t, row_number() OVER (PARTITION BY principal ORDER BY ts_us, request_id) AS n FROM q WHERE tier_ok AND zone_ok AND required_tier >= 2), {_LEVELS},
+k AS (SELECT q.*, coalesce(c.level IN ('HighRisk', 'Cooldown'), false) AS tired FROM q LEFT JOIN c USING (request_id)), {_MATCH.replace('FROM x JOIN g', f'FROM (SELECT * FROM k WHERE tier_ok AND zone_ok AND NOT tired AND {_ASKED}) x JOIN g')},
+spent AS (SELECT m.request_id, m.grant_id, g.max_uses, row_number() OVER (PARTITION BY m.grant_id ORDER BY k.ts_us, k.request_id) AS nth FROM m JOIN k USING (request_id) JOIN g USING (grant_id)), held AS (SELECT request_id, grant_id FROM spent WHERE max_uses IS NULL OR nth <= max_uses)"""
+
+
+@_q("a7_consume_grants", f"WITH RECURSIVE {_CHECKED} SELECT request_id, grant_id FROM held")
 def a7(spark, sf):
     checked = policy.checked(D.requests(spark, sf), policy.ceilings_from_allowlist(D.allowlist(spark, sf)), guard_key="principal")
     return policy.consume_grants(policy.asks_grants(checked), D.grants(spark, sf))
 
 
-@_q("a8_fatigue", f"""WITH RECURSIVE {_RESOLVED}, o AS (SELECT request_id, principal, ts_us AS t, row_number() OVER (PARTITION BY principal ORDER BY ts_us, request_id) AS n FROM x WHERE required_tier >= 2),
-c AS (SELECT request_id, principal, n, [t] AS recent, NULL::BIGINT AS high, 'Normal' AS level FROM o WHERE n = 1 UNION ALL
-SELECT request_id, principal, n, CASE WHEN cool THEN was ELSE seen END, CASE WHEN NOT cool AND len(seen) > 10 THEN t ELSE high END, CASE WHEN cool THEN 'Cooldown' WHEN len(seen) > 10 THEN 'HighRisk' WHEN len(seen) > 5 THEN 'Warning' ELSE 'Normal' END
-FROM (SELECT o.request_id, o.principal, o.n, o.t, c.high, c.recent AS was, c.high IS NOT NULL AND o.t - c.high < 120000000 AS cool, list_append(list_filter(c.recent, lambda y: y >= o.t - 300000000), o.t) AS seen FROM c JOIN o ON o.principal = c.principal AND o.n = c.n + 1))
-SELECT request_id, level FROM c""")
+@_q("a8_fatigue", f"WITH RECURSIVE {_RESOLVED}, o AS (SELECT request_id, principal, ts_us AS t, row_number() OVER (PARTITION BY principal ORDER BY ts_us, request_id) AS n FROM x WHERE required_tier >= 2), {_LEVELS} SELECT request_id, level FROM c")
 def a8(spark, sf):
     return policy.fatigue(_resolved(spark, sf).filter("required_tier >= 2"), "principal")
 
@@ -410,17 +439,17 @@ def a9(spark, sf):
     return policy.fatigue_rate(_resolved(spark, sf)).select("request_id", "recent")
 
 
-_DECISION = f"""CASE WHEN required_tier > ceiling THEN 'Deny:tier' WHEN NOT {_ZONE_OK} THEN 'Error:zone'
+_DECISION = """CASE WHEN NOT tier_ok THEN 'Deny:tier' WHEN NOT zone_ok THEN 'Error:zone' WHEN tired THEN 'Deny:fatigue'
 WHEN required_tier >= 3 AND (origin_kind = 'HumanApproved' OR grant_id IS NOT NULL) THEN 'Allow:' WHEN required_tier >= 3 THEN 'NeedsApproval:tier 3+'
 WHEN (required_tier >= 2 OR requires_grant) AND (origin_kind IN ('HumanApproved', 'LocalCli') OR grant_id IS NOT NULL) THEN 'Allow:' WHEN required_tier >= 2 OR requires_grant THEN 'NeedsApproval:tier 2' ELSE 'Allow:' END"""
-_EVALUATED = f"{_RESOLVED}, {_MATCH}, z AS (SELECT x.*, m.grant_id, CASE WHEN required_tier >= 3 THEN 'HostPrivileged' ELSE 'ControlPlane' END AS target_zone FROM x LEFT JOIN m USING (request_id)), e AS (SELECT *, string_split({_DECISION}, ':')[1] AS decision, string_split({_DECISION}, ':')[2] AS reason FROM z)"
+_EVALUATED = f"{_CHECKED}, e AS (SELECT k.*, string_split({_DECISION}, ':')[1] AS decision, string_split({_DECISION}, ':')[2] AS reason FROM k LEFT JOIN held USING (request_id))"
 
 
 def _evaluated(spark, sf):
     return policy.evaluate(D.requests(spark, sf), D.grants(spark, sf), policy.ceilings_from_allowlist(D.allowlist(spark, sf)), guard_key="principal")
 
 
-@_q("a10_evaluate", f"WITH {_EVALUATED} SELECT request_id, principal, decision, reason FROM e")
+@_q("a10_evaluate", f"WITH RECURSIVE {_EVALUATED} SELECT request_id, principal, decision, reason FROM e")
 def a10(spark, sf):
     return _evaluated(spark, sf).select("request_id", "principal", "decision", "reason")
 
@@ -467,7 +496,7 @@ def a18(spark, sf):
     return policy.ceilings_from_allowlist(D.allowlist(spark, sf))
 
 
-@_q("a17_decision_rollup", f"WITH {_EVALUATED} SELECT decision, action, origin_kind, count(*) AS n FROM e GROUP BY ALL")
+@_q("a17_decision_rollup", f"WITH RECURSIVE {_EVALUATED} SELECT decision, action, origin_kind, count(*) AS n FROM e GROUP BY ALL")
 def a17(spark, sf):
     return policy.decision_rollup(_evaluated(spark, sf))
 
@@ -475,7 +504,8 @@ def a17(spark, sf):
 # audit
 
 
-_AUDIT = "l AS (SELECT user_id % 8 AS log_id, event_id AS seq FROM events), b AS (SELECT *, CASE WHEN log_id = 2 AND seq % 97 = 3 THEN 'content' WHEN log_id = 3 AND seq % 89 = 5 THEN 'prev' WHEN log_id = 4 AND seq % 83 = 7 THEN 'hmac' END AS reason, row_number() OVER (PARTITION BY log_id ORDER BY seq) - 1 AS place FROM l)"
+#: The first entry's link is the genesis hash, so changing it to that changes nothing.
+_AUDIT = "l AS (SELECT user_id % 8 AS log_id, event_id AS seq, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) - 1 AS place FROM events), b AS (SELECT *, CASE WHEN log_id = 2 AND seq % 97 = 3 THEN 'content' WHEN log_id = 3 AND seq % 89 = 5 AND place > 0 THEN 'prev' WHEN log_id = 4 AND seq % 83 = 7 THEN 'hmac' END AS reason FROM l)"
 
 
 @_q("u1_content_hash", "SELECT event_id AS seq, sha256('{\"id\":' || event_id || ',\"action\":\"' || action || '\"}') AS content_hash FROM (SELECT request_id AS event_id, action FROM (" + D.REQUESTS_SQL + "))")
@@ -494,7 +524,7 @@ def u2(spark, sf):
     return audit.build_chain(D.audit_rows(spark, sf), D.AUDIT_KEY)
 
 
-@_q("u3_verify_entries", f"WITH {_AUDIT}, p AS (SELECT *, lag(reason) OVER (PARTITION BY log_id ORDER BY seq) AS before FROM b) SELECT log_id, seq, reason IS DISTINCT FROM 'content' AS content_ok, reason IS DISTINCT FROM 'prev' AND before IS DISTINCT FROM 'hmac' AS prev_ok, reason IS NULL OR reason = 'content' AS hmac_ok FROM p WHERE NOT (log_id = 3 AND place = 0)")
+@_q("u3_verify_entries", f"WITH {_AUDIT}, p AS (SELECT *, lag(reason) OVER (PARTITION BY log_id ORDER BY seq) AS before FROM b) SELECT log_id, seq, reason IS DISTINCT FROM 'content' AS content_ok, reason IS DISTINCT FROM 'prev' AND before IS DISTINCT FROM 'hmac' AS prev_ok, reason IS NULL OR reason = 'content' AS hmac_ok FROM p")
 def u3(spark, sf):
     return audit.verify_entries(D.tampered(spark, sf), D.AUDIT_KEY).select("log_id", "seq", "content_ok", "prev_ok", "hmac_ok")
 
@@ -511,14 +541,14 @@ def u5(spark, sf):
     return last.join(audit.chain_head(c), "log_id").select("log_id", "n", (F.col("h") == F.col("hmac")).alias("matches"))
 
 
-@_q("u6_audit_events", f"WITH {_EVALUATED}, p AS (SELECT * FROM e WHERE NOT (action IN ('ListSessions', 'GetSessionStatus', 'ReadSessionOutput', 'ListGroups', 'GetSystemStatus') AND origin_kind IN ('BridgeTelegram', 'BridgeSlack') AND decision = 'Allow')) SELECT request_id, 0 AS stage, '{{\"request_id\":' || request_id || ',\"action\":\"' || action || '\",\"origin_kind\":\"' || origin_kind || '\",\"decision\":\"' || decision || '\"}}' AS payload FROM p UNION ALL SELECT request_id, 1, '{{\"request_id\":' || request_id || ',\"risk_score\":' || (request_id % 100) || '}}' FROM e WHERE action = 'FetchExternalContent' AND decision = 'Allow'")
+@_q("u6_audit_events", f"WITH RECURSIVE {_EVALUATED}, p AS (SELECT * FROM e WHERE NOT (action IN ('ListSessions', 'GetSessionStatus', 'ReadSessionOutput', 'ListGroups', 'GetSystemStatus') AND origin_kind IN ('BridgeTelegram', 'BridgeSlack') AND decision = 'Allow')) SELECT request_id, 0 AS stage, '{{\"request_id\":' || request_id || ',\"action\":\"' || action || '\",\"origin_kind\":\"' || origin_kind || '\",\"decision\":\"' || decision || '\"}}' AS payload FROM p UNION ALL SELECT request_id, 1, '{{\"request_id\":' || request_id || ',\"risk_score\":' || (request_id % 100) || '}}' FROM e WHERE action = 'FetchExternalContent' AND decision = 'Allow'")
 def u6(spark, sf):
     e = _evaluated(spark, sf)
     reports = e.filter("action = 'FetchExternalContent' AND decision = 'Allow'").select("request_id", (F.col("request_id") % 100).alias("risk_score"))
     return audit.audit_events(e, reports)
 
 
-@_q("u7_audit_search", f"WITH {_EVALUATED} SELECT request_id FROM e WHERE ts_us >= {D.EPOCH_US} + 3600000000 AND ts_us < {D.EPOCH_US} + 7200000000 AND decision = 'Deny'")
+@_q("u7_audit_search", f"WITH RECURSIVE {_EVALUATED} SELECT request_id FROM e WHERE ts_us >= {D.EPOCH_US} + 3600000000 AND ts_us < {D.EPOCH_US} + 7200000000 AND decision = 'Deny'")
 def u7(spark, sf):
     from datetime import datetime, timezone
 
@@ -560,11 +590,13 @@ def m4(spark, sf):
     return D.messages(spark, sf).select("message_id", F.when(t.isNotNull(), bar(t["name"], t["message"])).alias("target"), bar(c["command"], c["name"], c["message"]).alias("command"))
 
 
-@_q("m6_rate_limit", f"""WITH RECURSIVE r AS (SELECT message_id, platform || ':' || user_id AS sender, ts_us, row_number() OVER (PARTITION BY platform || ':' || user_id ORDER BY ts_us, message_id) AS n FROM ({D.MESSAGES_SQL})),
-c AS (SELECT message_id, sender, n, ts_us AS m, ts_us AS h, 1 AS im, 1 AS ih, true AS allowed FROM r WHERE n = 1 UNION ALL
+#: Whether each row of r (message_id, sender, ts_us, n) passes the limits, one after the other.
+_LIMITED = """c AS (SELECT message_id, sender, n, ts_us AS m, ts_us AS h, 1 AS im, 1 AS ih, true AS allowed FROM r WHERE n = 1 UNION ALL
 SELECT message_id, sender, n, m, h, im + (im < 30 AND ih < 200)::INT, ih + (im < 30 AND ih < 200)::INT, im < 30 AND ih < 200 FROM (SELECT r.message_id, r.sender, r.n, CASE WHEN r.ts_us - c.m >= 60000000 THEN r.ts_us ELSE c.m END AS m, CASE WHEN r.ts_us - c.h >= 3600000000 THEN r.ts_us ELSE c.h END AS h,
-CASE WHEN r.ts_us - c.m >= 60000000 THEN 0 ELSE c.im END AS im, CASE WHEN r.ts_us - c.h >= 3600000000 THEN 0 ELSE c.ih END AS ih FROM c JOIN r ON r.sender = c.sender AND r.n = c.n + 1))
-SELECT message_id, allowed FROM c""")
+CASE WHEN r.ts_us - c.m >= 60000000 THEN 0 ELSE c.im END AS im, CASE WHEN r.ts_us - c.h >= 3600000000 THEN 0 ELSE c.ih END AS ih FROM c JOIN r ON r.sender = c.sender AND r.n = c.n + 1))"""
+
+
+@_q("m6_rate_limit", f"WITH RECURSIVE r AS (SELECT message_id, platform || ':' || user_id AS sender, ts_us, row_number() OVER (PARTITION BY platform || ':' || user_id ORDER BY ts_us, message_id) AS n FROM ({D.MESSAGES_SQL})), {_LIMITED} SELECT message_id, allowed FROM c")
 def m6(spark, sf):
     return messages.rate_limit(D.messages(spark, sf))
 
@@ -580,7 +612,10 @@ def m8(spark, sf):
     return D.table(spark, sf, "pages").select("page_id", messages.redact(F.col("url"), ["http", "example.com"]).alias("url"))
 
 
-@_q("m9_outcomes", f"SELECT CASE WHEN NOT {_ALLOWED_M} THEN 'UnknownSender' WHEN strlen(text) > 20 THEN 'MessageTooLarge' ELSE 'Accepted' END AS outcome, count(*) AS n FROM ({D.MESSAGES_SQL}) WHERE NOT bot GROUP BY 1")
+_JUDGED = f"j AS (SELECT *, CASE WHEN bot THEN 'Bot' WHEN NOT {_ALLOWED_M} THEN 'UnknownSender' WHEN strlen({_STRIP('text')}) > 20 THEN 'MessageTooLarge' END AS reject FROM ({D.MESSAGES_SQL}))"
+
+
+@_q("m9_outcomes", f"WITH RECURSIVE {_JUDGED}, r AS (SELECT message_id, platform || ':' || user_id AS sender, ts_us, row_number() OVER (PARTITION BY platform || ':' || user_id ORDER BY ts_us, message_id) AS n FROM j WHERE reject IS NULL), {_LIMITED} SELECT outcome, count(*) AS n FROM (SELECT reject AS outcome FROM j WHERE reject IS NOT NULL UNION ALL SELECT CASE WHEN allowed THEN 'Accepted' ELSE 'RateLimited' END FROM c) GROUP BY outcome")
 def m9(spark, sf):
     return messages.intake_outcomes(D.messages(spark, sf), D.allowlist(spark, sf), most=20)
 
@@ -596,7 +631,7 @@ def m10(spark, sf):
 @_q("m11_only_new", "SELECT event_id AS update_id FROM events WHERE event_id > 100 * (user_id % 3)")
 def m11(spark, sf):
     u = D.table(spark, sf, "events").select((F.col("user_id") % 3).alias("source"), F.col("event_id").alias("update_id"))
-    return messages.only_new(u, spark.createDataFrame([(0, 0), (1, 100), (2, 200)], "source long, last_id long"))[0].filter("true").select("update_id")
+    return messages.only_new(u, spark.createDataFrame([(0, 0), (1, 100), (2, 200)], "source long, last_id long"))[0].select("update_id")
 
 
 @_q("m12_reply_events", f"SELECT conv_id * 1000 + turn AS message_id, '{{\"event\":\"reply\",\"fields\":{{\"text_len\":' || length(text) || ',\"truncated\":' || (length({_STRIP('text')}) > 4096) || ',\"normalized_len\":' || length({_STRIP('text')}) || ',\"sent_len\":' || least(4096, length({_STRIP('text')})) || '}}}}' AS payload FROM conversations")
@@ -610,7 +645,11 @@ def m12(spark, sf):
 _SEEN = f"seen AS (SELECT s.*, coalesce(l.live, 'Error') AS live FROM ({D.SESSIONS_SQL}) s LEFT JOIN ({D.LIVE_SQL}) l USING (session_id))"
 
 
-@_q("h1_h4_output", "SELECT doc_id, len(string_split(regexp_replace(coalesce(text, ''), '\\n$', ''), chr(10)))::INTEGER > 20 AS long, list_extract(string_split(coalesce(text, '') || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'sh: x: not found' ELSE 'error: y' END, chr(10)), -1) = 'sh: x: not found' AS missing, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'Error' END AS signals FROM documents WHERE text NOT LIKE '%>%'")
+_SIGNALS = ", ".join(f"CASE WHEN regexp_matches(tail, {_str(p)}) THEN '{state}' END" for state, p in rules.STATUS_PATTERNS)
+_MISSING = " OR ".join(f"contains(line, {_str(p)})" for p in rules.TOOL_MISSING)
+
+
+@_q("h1_h4_output", f"WITH o AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, '') || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'sh: x: not found' ELSE 'error: y' END, chr(10)) AS lines FROM documents), t AS (SELECT *, array_to_string(lines[-20:], chr(10)) AS tail FROM o) SELECT doc_id, len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) > 20 AS long, len(list_filter(lines[-10:], lambda line: {_MISSING})) > 0 AS missing, array_to_string(list_filter([{_SIGNALS}], lambda x: x IS NOT NULL), ',') AS signals FROM t")
 def h1(spark, sf):
     d = D.table(spark, sf, "documents")
     t = F.coalesce("text", F.lit(""))
@@ -675,12 +714,16 @@ def h12(spark, sf):
     return sessions.dedup_titles(D.sessions(spark, sf))
 
 
-@_q("h13_ancestors", f"WITH RECURSIVE s AS ({D.SESSIONS_SQL}), a AS (SELECT session_id, parent_id AS ancestor_id, 1 AS depth FROM s WHERE parent_id IS NOT NULL AND parent_id <> session_id UNION ALL SELECT a.session_id, s.parent_id, a.depth + 1 FROM a JOIN s ON s.session_id = a.ancestor_id WHERE s.parent_id IS NOT NULL AND s.parent_id <> s.session_id AND depth < 64) SELECT session_id, ancestor_id, depth FROM a")
+#: Each session's walk up, which ends before an ancestor that it has met.
+_WALK = f"s AS ({D.SESSIONS_SQL}), p AS (SELECT session_id, parent_id FROM s WHERE parent_id IS NOT NULL AND parent_id <> session_id), a AS (SELECT session_id, parent_id AS ancestor_id, 1 AS depth, [parent_id] AS met FROM p UNION ALL SELECT a.session_id, p.parent_id, a.depth + 1, list_append(met, p.parent_id) FROM a JOIN p ON p.session_id = a.ancestor_id WHERE NOT list_contains(met, p.parent_id))"
+
+
+@_q("h13_ancestors", f"WITH RECURSIVE {_WALK} SELECT session_id, ancestor_id, depth FROM a")
 def h13(spark, sf):
     return sessions.ancestors(D.sessions(spark, sf))
 
 
-@_q("h13_parent_errors", f"WITH s AS ({D.SESSIONS_SQL}) SELECT session_id, 'self-parent' AS error FROM s WHERE parent_id = session_id UNION ALL SELECT session_id, 'missing parent' FROM s WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT session_id FROM s)")
+@_q("h13_parent_errors", f"WITH RECURSIVE {_WALK} SELECT session_id, 'self-parent' AS error FROM s WHERE parent_id = session_id UNION ALL SELECT session_id, 'missing parent' FROM s WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT session_id FROM s) UNION ALL SELECT session_id, 'cycle' FROM a WHERE ancestor_id = session_id")
 def h13b(spark, sf):
     return sessions.parent_errors(D.sessions(spark, sf))
 
@@ -784,20 +827,20 @@ def s7(spark, sf):
 # evaluation
 
 
-_CORPUS = "SELECT doc_id AS item_id, source AS corpus, CAST(doc_id % 70 AS INT) AS risk_score FROM documents"
+_CORPUS = f"{_SCORES}, i AS (SELECT doc_id AS item_id, source AS corpus, risk_score FROM s)"
 
 
 def _corpus(spark, sf):
     return _scored(spark, sf).select(F.col("doc_id").alias("item_id"), F.col("source").alias("corpus"), "risk_score")
 
 
-@_q("e1_fp_gate", f"SELECT corpus, count(*) FILTER (risk_score >= 50) AS hits, count(*) FILTER (risk_score >= 51) + 1 AS allowed, count(*) FILTER (risk_score >= 50) <= count(*) FILTER (risk_score >= 51) + 1 AS passes FROM ({_CORPUS}) GROUP BY corpus")
+@_q("e1_fp_gate", f"WITH {_CORPUS} SELECT corpus, count(*) FILTER (risk_score >= 50) AS hits, count(*) FILTER (risk_score >= 51) + 1 AS allowed, count(*) FILTER (risk_score >= 50) <= count(*) FILTER (risk_score >= 51) + 1 AS passes FROM i GROUP BY corpus")
 def e1(spark, sf):
     s = written(_corpus(spark, sf), "scores")
     return evaluation.fp_gate(s, evaluation.build_baseline(s, 51)).select("corpus", "hits", "allowed", "passes")
 
 
-@_q("e2_corpus_drift", f"SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'removed' WHEN item_id % 7 = 0 THEN 'added' WHEN item_id % 3 = 0 THEN 'rescored' END AS change FROM ({_CORPUS}) WHERE (item_id % 5 = 0 OR item_id % 7 = 0 OR item_id % 3 = 0) AND NOT (item_id % 5 = 0 AND item_id % 7 = 0)")
+@_q("e2_corpus_drift", "SELECT doc_id AS item_id, CASE WHEN doc_id % 5 = 0 THEN 'removed' WHEN doc_id % 7 = 0 THEN 'added' WHEN doc_id % 3 = 0 THEN 'rescored' END AS change FROM documents WHERE (doc_id % 5 = 0 OR doc_id % 7 = 0 OR doc_id % 3 = 0) AND NOT (doc_id % 5 = 0 AND doc_id % 7 = 0)")
 def e2(spark, sf):
     s = written(_corpus(spark, sf), "scores")
     now = s.filter("item_id % 5 <> 0")
@@ -805,7 +848,7 @@ def e2(spark, sf):
     return evaluation.corpus_drift(now, was)
 
 
-@_q("e2_baseline_drift")
+@_q("e2_baseline_drift", "WITH b AS (SELECT source AS corpus, count(*)::BIGINT AS was, (count(*) FILTER (doc_id % 5 <> 0))::BIGINT AS kept FROM documents GROUP BY 1) SELECT corpus, 'threshold' AS drift, 51::BIGINT AS was, 50::BIGINT AS now FROM b UNION ALL SELECT corpus, 'size', was, nullif(kept, 0) FROM b WHERE kept <> was")
 def e2b(spark, sf):
     s = written(_corpus(spark, sf), "scores")
     return evaluation.baseline_drift(s.filter("item_id % 5 <> 0"), evaluation.build_baseline(s, 51))
@@ -822,12 +865,12 @@ def e3(spark, sf):
     return evaluation.expectations(found, wanted)
 
 
-@_q("e5_baseline", f"SELECT corpus, 50 AS threshold, count(*) AS corpus_size, count(*) FILTER (risk_score >= 50) AS baseline_hits FROM ({_CORPUS}) GROUP BY corpus")
+@_q("e5_baseline", f"WITH {_CORPUS} SELECT corpus, 50 AS threshold, count(*) AS corpus_size, count(*) FILTER (risk_score >= 50) AS baseline_hits FROM i GROUP BY corpus")
 def e5(spark, sf):
     return evaluation.build_baseline(_corpus(spark, sf))
 
 
-@_q("e5_item_scores")
+@_q("e5_item_scores", f"WITH {_CORPUS} SELECT corpus, item_id, risk_score FROM i")
 def e5b(spark, sf):
     return evaluation.item_scores(_corpus(spark, sf))
 

@@ -166,7 +166,8 @@ def scanned(df: DataFrame, content_type: Column | None = None, catalogue=rules.R
     df = df.withColumns({**hits, **runs, "_marked": _marked(text, content_type)})
     named_runs = {rule_id: F.col(c) for rule_id, c in zip(_runs(text, text), runs)}
     found = _findings(text, [F.col(c) for c in hits], named_runs, F.col("_marked"), F.array_contains("categories", "mixed-script"), F.col("repetition_ratio"), catalogue, config)
-    return df.withColumn("findings", found).select(*columns, "repetition_ratio", "findings")
+    # a generator of one row: what is filtered or derived later cannot be put in place of the scan, which would repeat it
+    return df.select(*columns, F.inline_outer(F.array(F.struct("repetition_ratio", found.alias("findings")))))
 
 
 def explode_findings(df: DataFrame, findings: str = "findings") -> DataFrame:

@@ -76,8 +76,7 @@ GRANTS_SQL = f"SELECT {_GRANT} FROM (SELECT DISTINCT user_id FROM events WHERE u
 
 def grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "events").filter("user_id % 2 = 1").select("user_id").distinct()
-    users.createOrReplaceTempView("_gl_users")
-    rows = spark.sql(f"SELECT {_GRANT} FROM _gl_users")
+    rows = spark.sql(f"SELECT {_GRANT} FROM {{users}}", users=users)
     return rows.withColumns({"expires_at": F.timestamp_micros("expires_us"), "issued_at": F.timestamp_micros("issued_us")})
 
 
@@ -109,19 +108,18 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STATE = "CASE CAST(user_id % 5 AS INT) WHEN 0 THEN 'Running' WHEN 1 THEN 'Waiting' WHEN 2 THEN 'Idle' WHEN 3 THEN 'Error' ELSE 'Stopped' END"
 _LIVE = "CASE WHEN user_id % 3 = 0 THEN CASE WHEN user_id % 2 = 0 THEN 'Waiting' ELSE 'Stopped' END ELSE " + _STATE + " END"
-_SESSION = f"'s' || user_id AS session_id, 'work ' || (user_id % 40) AS title, {_STATE} AS state, user_id AS created_at, CASE WHEN user_id % 4 <> 0 THEN 's' || CAST(floor(user_id / 2) AS INT) END AS parent_id, CASE WHEN user_id % 3 = 0 THEN 'g' || (user_id % 6) END AS group_id, user_id * 7 % 1300 AS waiting_seconds, CASE WHEN user_id % 4 = 1 THEN 'please confirm' ELSE 'working' END AS output"
+_SESSION = f"'s' || user_id AS session_id, 'work ' || (user_id % 40) AS title, {_STATE} AS state, user_id AS created_at, CASE WHEN user_id % 29 = 3 THEN 's' || user_id WHEN user_id % 31 = 4 THEN 'gone' || user_id WHEN user_id % 37 = 5 THEN 's' || (user_id + 1) WHEN user_id % 37 = 6 THEN 's' || (user_id - 1) WHEN user_id % 4 <> 0 THEN 's' || CAST(floor(user_id / 2) AS INT) END AS parent_id, CASE WHEN user_id % 3 = 0 THEN 'g' || (user_id % 6) END AS group_id, user_id * 7 % 1300 AS waiting_seconds, CASE WHEN user_id % 4 = 1 THEN 'please confirm' ELSE 'working' END AS output"
 SESSIONS_SQL = f"SELECT {_SESSION} FROM (SELECT DISTINCT user_id FROM events)"
 LIVE_SQL = f"SELECT 's' || user_id AS session_id, {_LIVE} AS live FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 7 <> 0)"
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "events").select("user_id").distinct().createOrReplaceTempView("_gl_session_users")
-    return spark.sql(f"SELECT {_SESSION} FROM _gl_session_users")
+    return spark.sql(f"SELECT {_SESSION} FROM {{users}}", users=table(spark, sf_dir, "events").select("user_id").distinct())
 
 
 def live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "events").filter("user_id % 7 <> 0").select("user_id").distinct().createOrReplaceTempView("_gl_live_users")
-    return spark.sql(f"SELECT 's' || user_id AS session_id, {_LIVE} AS live FROM _gl_live_users")
+    users = table(spark, sf_dir, "events").filter("user_id % 7 <> 0").select("user_id").distinct()
+    return spark.sql(f"SELECT 's' || user_id AS session_id, {_LIVE} AS live FROM {{users}}", users=users)
 
 
 KINDS = ("ActionCompleted", "DecisionMade", "CandidateLearning", "ErrorSeen", "CandidateLearning", "NoteTaken", "MessageSent")

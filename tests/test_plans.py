@@ -23,6 +23,12 @@ def test_each_rule_stands_in_the_plan_a_fixed_number_of_times(spark):
     assert len(exploded) < 2 * len(scan) and exploded.count("RLIKE") <= scan.count("RLIKE")
 
 
+def test_a_filter_on_the_score_does_not_repeat_the_scan(spark):
+    scan = optimised(content.scanned(content.normalised(D.content(spark, SF))))
+    plan = optimised(catalog.queries()["r2_risk_gate"](spark, SF))
+    assert all(plan.count(r.pattern[:40]) == scan.count(r.pattern[:40]) for r in rules.REGEX_RULES)
+
+
 def test_gated_rules_find_what_the_patterns_alone_find(spark):
     """No rule needs a string that a text it matches can lack."""
     import re
