@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from guardlake import rules
 from guardlake.functions import hashing as H
 from guardlake.functions import text as X
-from guardlake.functions.steps import written
+from guardlake.functions.steps import new_path, written
 from guardlake.operators import audit, content, evaluation, formats, memory, messages, policy, sessions
 from guardlake.plans import derived as D
 from guardlake.sources import files
@@ -665,14 +665,18 @@ def h3(spark, sf):
     return sessions.live_state(s, outputs)
 
 
-_BEAT = f"{_SEEN}, w AS (SELECT title, CASE WHEN state = 'Stopped' THEN state ELSE live END AS now FROM seen)"
+_BEAT = f"{_SEEN}, w AS (SELECT session_id, title, CASE WHEN state = 'Stopped' THEN state ELSE live END AS now FROM seen)"
 _STATE_COUNTS = ", ".join(f"count(*) FILTER (now = '{s}') AS {s.lower()}" for s in sessions.STATES)
 
 
-@_q("h5_heartbeat", f"WITH {_BEAT} SELECT count(*) AS total, {_STATE_COUNTS}, array_to_string(list_sort(list(title) FILTER (now IN ('Error', 'Waiting'))), ',') AS needs FROM w")
+@_q("h5_heartbeat", f"WITH {_BEAT} SELECT count(*) AS total, {_STATE_COUNTS} FROM w")
 def h5(spark, sf):
-    b = sessions.heartbeat(D.sessions(spark, sf), D.live(spark, sf))
-    return b.withColumn("needs", F.array_join("needs_attention", ",")).drop("needs_attention")
+    return sessions.heartbeat(D.sessions(spark, sf), D.live(spark, sf))
+
+
+@_q("h5_needs_attention", f"WITH {_BEAT} SELECT session_id, title FROM w WHERE now IN ('Error', 'Waiting')")
+def h5b(spark, sf):
+    return sessions.needs_attention(D.sessions(spark, sf), D.live(spark, sf))
 
 
 @_q("h6_state_changes", f"WITH {_SEEN} SELECT session_id, title, state AS old_state, live AS new_state FROM seen WHERE state <> 'Stopped' AND state <> live")
@@ -693,9 +697,10 @@ def h8(spark, sf):
 _PARTS = " || ".join(f"CASE WHEN {s.lower()} > 0 THEN ', ' || {s.lower()} || ' {s.lower()}' ELSE '' END" for s in sessions.STATES)
 
 
-@_q("h9_status_report", f"WITH {_BEAT}, b AS (SELECT count(*) AS total, {_STATE_COUNTS}, array_to_string(list_transform(list_sort(list(title) FILTER (now IN ('Error', 'Waiting'))), lambda x: chr(10) || 'NEED: ' || x || ' - needs attention'), '') AS needs FROM w) SELECT '[STATUS] ' || total || ' sessions (' || substr({_PARTS}, 3) || ').' || needs AS report FROM b")
+@_q("h9_status_report", f"WITH {_BEAT}, b AS (SELECT count(*) AS total, {_STATE_COUNTS} FROM w) SELECT 0 AS part, '[STATUS] ' || total || ' sessions (' || substr({_PARTS}, 3) || ').' AS line FROM b UNION ALL SELECT 1, 'NEED: ' || title || ' - needs attention' FROM w WHERE now IN ('Error', 'Waiting')")
 def h9(spark, sf):
-    return sessions.status_report(sessions.heartbeat(D.sessions(spark, sf), D.live(spark, sf)))
+    s, live = D.sessions(spark, sf), D.live(spark, sf)
+    return sessions.status_report(sessions.heartbeat(s, live), sessions.needs_attention(s, live))
 
 
 @_q("h10_change_episodes", f"WITH {_SEEN} SELECT session_id, 'ActionCompleted' AS kind, title || ': running -> ' || lower(live) AS summary FROM seen WHERE state = 'Running' AND live IN ('Waiting', 'Idle')")
@@ -879,3 +884,83 @@ def e5b(spark, sf):
 def e6(spark, sf):
     d = D.content(spark, sf).withColumn("declared_type", F.lit("Log"))
     return evaluation.stripped_totals(content.sanitize(d, id_col="doc_id"))
+
+
+# sources and sinks: rows are written to the shared folder and read back
+
+
+@_q("s1_read_content", f"WITH {_C} SELECT doc_id::VARCHAR AS content_id, sha256(text) AS body_sha FROM c WHERE doc_id % 10 <> 3 AND NOT starts_with(ltrim(text), '{files.SKIP}')")
+def s1(spark, sf):
+    path = new_path(spark, "content")
+    body = F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit(f" {files.SKIP} "), F.col("text"))).otherwise(F.col("text"))
+    D.content(spark, sf).select(F.col("doc_id").cast("string").alias("content_id"), body.cast("binary").alias("body")).write.parquet(path)
+    return files.read_content(spark, path, "parquet").select("content_id", F.sha2("body", 256).alias("body_sha"))
+
+
+@_q("s2_s3_episodes", f"SELECT line_no::VARCHAR AS id, session_id, kind, summary, array_to_string(tags, ',') AS tags, day FROM ({D.EPISODES_SQL})")
+def s2(spark, sf):
+    path = new_path(spark, "episodes")
+    e = D.episodes(spark, sf).select(F.col("line_no").cast("string").alias("id"), "ts", "session_id", "kind", "summary", F.lit(None).cast("string").alias("details"), "tags", F.lit("conversations").alias("source"))
+    for rest in (0, 1):
+        files.append_episodes(e.filter(F.col("id") % 2 == rest), path)
+    return files.read_episodes(spark, path).select("id", "session_id", "kind", "summary", F.array_join("tags", ",").alias("tags"), F.to_date("ts").alias("day"))
+
+
+@_q("s6_sessions", f"SELECT session_id, title, state FROM ({D.SESSIONS_SQL})")
+def s6(spark, sf):
+    path = new_path(spark, "sessions")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    D.sessions(spark, sf).select("session_id", "title", quoted(F.col("state")).alias("state"), F.lit('"shell"').alias("tool"), F.lit('"Builder"').alias("execution_class")).write.parquet(path)
+    return files.read_sessions(spark, path).select("session_id", "title", "state")
+
+
+@_q("s6_grants", f"SELECT grant_id, principal, capability, expires_us FROM ({D.GRANTS_SQL})")
+def s6b(spark, sf):
+    path = new_path(spark, "grants")
+    g = D.grants(spark, sf)
+    g.withColumns({"capability": F.concat(F.lit('"'), "capability", F.lit('"')), "expires_at": F.date_format("expires_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")}).write.parquet(path)
+    return files.read_grants(spark, path).select("grant_id", "principal", "capability", F.unix_micros("expires_at").alias("expires_us"))
+
+
+@_q("s9_allowlist", f"SELECT platform, user_id, 'T' || ceiling AS tier FROM ({D.ALLOW_SQL})")
+def s9(spark, sf):
+    path = new_path(spark, "allowlist")
+    D.allowlist(spark, sf).withColumn("name", F.concat(F.lit("user "), "user_id")).write.json(path)
+    return files.read_allowlist(spark, path).select("platform", "user_id", "tier")
+
+
+@_q("s10_sanitized", f"WITH {_C}, {_LANES} SELECT content_type, count(*) AS n, sum(strlen(t))::BIGINT AS bytes_out FROM n GROUP BY content_type")
+def s10(spark, sf):
+    path = new_path(spark, "sanitized")
+    d = D.content(spark, sf).withColumn("declared_type", F.when(F.col("doc_id") % 2 == 0, "PlainText").otherwise("Log"))
+    files.write_sanitized(content.sanitize(d, id_col="doc_id"), path)
+    return spark.read.parquet(path).groupBy("content_type").agg(F.count("*").alias("n"), F.sum("bytes_out").alias("bytes_out"))
+
+
+# dimensions as tables
+
+
+@_q("x2_status_by_tool", f"SELECT session_id, CASE WHEN n % 7 = 0 THEN 'Error' WHEN n % 2 = 0 AND n % 3 = 0 THEN 'Idle' WHEN n % 3 = 0 THEN 'Waiting' ELSE 'Running' END AS live FROM (SELECT session_id, substr(session_id, 2)::BIGINT AS n FROM ({D.SESSIONS_SQL}))")
+def x2(spark, sf):
+    n = F.substring("session_id", 2, 20).cast("int")
+    s = D.sessions(spark, sf).withColumn("tool", F.when(n % 2 == 0, "shell").otherwise("agent"))
+    outputs = s.filter(n % 7 != 0).select("session_id", F.when(n % 3 == 0, "\x1b[1mdone\x1b[0m\n> ").otherwise("busy").alias("output"))
+    own = spark.createDataFrame([("shell", 0, "Idle", r"(?m)^> $")], "tool string, position int, state string, pattern string")
+    return sessions.live_state_by_tool(s, outputs, rules.status_patterns(spark).unionByName(own))
+
+
+@_q("x3_fetched", "SELECT page_id, page_id % 3 <> 0 AS fetched, CASE WHEN page_id % 3 <> 0 THEN sha256(html) END AS body_sha FROM pages")
+def x3(spark, sf):
+    p = D.table(spark, sf, "pages").withColumn("asked", F.concat(F.lit("HTTP://u:p@Host"), F.col("page_id").cast("string"), F.lit(".Example:80/x;s=1?q=2#f")))
+    landed = p.filter("page_id % 3 <> 0").select(F.concat(F.lit("http://host"), F.col("page_id").cast("string"), F.lit(".example/x")).alias("url"), F.col("html").alias("body"))
+    return content.fetched(p.select("page_id", "asked"), landed, "asked").select("page_id", "fetched", F.sha2("body", 256).alias("body_sha"))
+
+
+@_q("x4_own_dimensions", f"WITH {_RESOLVED} SELECT request_id, CASE WHEN action = 'ListSessions' THEN 'Deny' WHEN action IN ('StopSession', 'BreakGlass') THEN 'Allow' ELSE 'Unknown' END AS decision FROM x")
+def x4(spark, sf):
+    own = policy.Dimensions(
+        actions=spark.createDataFrame([("ListSessions", "ReadSessionInfo", 2, False, None, False), ("StopSession", "ManageSession", 0, False, None, False), ("BreakGlass", "ManageSession", 1, False, None, False)], "action string, capability string, required_tier int, requires_grant boolean, resource_param string, needs_sanitizing boolean"),
+        origins=spark.createDataFrame([(k, "Inside", 1) for k, _, _ in rules.ORIGINS], "origin_kind string, zone string, default_ceiling int"),
+        transitions=spark.createDataFrame([("Inside", "ControlPlane", 0)], "zone string, target_zone string, least_ceiling int"),
+    )
+    return policy.evaluate(D.requests(spark, sf), D.grants(spark, sf), dims=own).select("request_id", "decision")

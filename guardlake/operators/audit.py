@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,23 +29,46 @@ def build_chain(entries: DataFrame, key: bytes, heads: DataFrame | None = None)
     return scan_in_order(hashed, ["log_id"], ["seq"], link, fields(hashed, "log_id", "seq", "payload", "content_hash", prev_hash=T.StringType(), hmac=T.StringType()))
 
 
+#: Entries of one log that are looked at together: a log is cut into runs of so many sequence numbers.
+RUN = 100_000
+
+
+def _runs(entries: DataFrame) -> Column:
+    return F.floor(F.col("seq") / RUN)
+
+
 def verify_entries(chain: DataFrame, key: bytes) -> DataFrame:
-    """chain with content_ok, prev_ok, hmac_ok, from stored values only, so entries of one log are checked apart."""
-    before = F.lag("hmac").over(Window.partitionBy("log_id").orderBy("seq"))
-    return chain.withColumns({
-        "content_ok": F.col("content_hash") == content_hash(F.col("payload")),
-        "prev_ok": F.col("prev_hash") == F.coalesce(before, F.lit(GENESIS)),
-        "hmac_ok": F.col("hmac") == hmac_sha256(F.concat("content_hash", "prev_hash"), key),
-    })
+    """chain with content_ok, prev_ok, hmac_ok, from stored values only, so entries of one log are checked apart.
+
+    The entry before is found inside a run of sequence numbers; only each run's last hash goes on to the next one.
+    """
+    rows = chain.withColumn("_run", _runs(chain))
+    inside = F.lag("hmac").over(Window.partitionBy("log_id", "_run").orderBy("seq"))
+    ends = rows.groupBy("log_id", "_run").agg(F.max_by("hmac", "seq").alias("_end"))
+    ends = ends.select("log_id", "_run", F.lag("_end").over(Window.partitionBy("log_id").orderBy("_run")).alias("_before"))
+    first = F.row_number().over(Window.partitionBy("log_id", "_run").orderBy("seq")) == 1
+    rows = rows.withColumns({"_inside": inside, "_first": first}).join(ends, ["log_id", "_run"])
+    before = F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_inside"))
+    return rows.select(
+        *chain.columns,
+        (F.col("content_hash") == content_hash(F.col("payload"))).alias("content_ok"),
+        (F.col("prev_hash") == F.coalesce(before, F.lit(GENESIS))).alias("prev_ok"),
+        (F.col("hmac") == hmac_sha256(F.concat("content_hash", "prev_hash"), key)).alias("hmac_ok"),
+    )
 
 
 def verify_summary(verified: DataFrame) -> DataFrame:
-    """log_id, entries, valid (entries before the first break), broken_seq, reason (content, then prev, then hmac)."""
+    """log_id, entries, valid (entries before the first break), broken_seq, reason (content, then prev, then hmac).
+
+    Places are counted inside runs of sequence numbers, on top of the entries of the runs before.
+    """
     reason = F.when(~F.col("content_ok"), "content").when(~F.col("prev_ok"), "prev").when(~F.col("hmac_ok"), "hmac")
-    place = F.row_number().over(Window.partitionBy("log_id").orderBy("seq")) - 1
-    rows = verified.withColumns({"reason": reason, "place": place})
-    first = F.min(F.when(F.col("reason").isNotNull(), F.struct("place", "seq", "reason")))
-    out = rows.groupBy("log_id").agg(F.count("*").alias("entries"), first.alias("first"))
+    rows = verified.select("log_id", "seq", _runs(verified).alias("run"), reason.alias("reason"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("log_id", "run").orderBy("seq")) - 1)
+    runs = rows.groupBy("log_id", "run").agg(F.count("*").alias("n"), F.min(F.when(F.col("reason").isNotNull(), F.struct("seq", "place", "reason"))).alias("first"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("log_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select("log_id", "n", F.when(F.col("first").isNotNull(), F.struct(F.col("first.seq").alias("seq"), (earlier + F.col("first.place")).alias("place"), F.col("first.reason").alias("reason"))).alias("first"))
+    out = runs.groupBy("log_id").agg(F.sum("n").alias("entries"), F.min("first").alias("first"))
     return out.select("log_id", "entries", F.coalesce("first.place", "entries").cast("long").alias("valid"), F.col("first.seq").alias("broken_seq"), F.col("first.reason").alias("reason"))
 
 

@@ -78,6 +78,14 @@ def render_source(kind: Column, value: Column) -> Column:
     return F.when(kind == "File", F.concat(F.lit("file://"), value)).when(kind == "Bridge", F.concat(F.lit("bridge://"), value)).otherwise(value)
 
 
+def fetched(requests: DataFrame, landed: DataFrame, url: str = "url") -> DataFrame:
+    """requests with body and fetched: the landed content (url, body) of the same canonical source; of several, the first by body."""
+    key = lambda c: canonical_source(F.col(c))["rendered"]
+    got = landed.groupBy(key("url").alias("_source")).agg(F.min("body").alias("body"))
+    out = requests.withColumn("_source", key(url)).join(got, "_source", "left").drop("_source")
+    return out.withColumn("fetched", F.col("body").isNotNull())
+
+
 # scanning
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,9 +20,26 @@ def tier_of(name: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv])[F.upper(name)]
 
 
-def classify_actions(requests: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Dimensions:
+    """The policy's tables, each small by nature; what is not given is the catalogue of `rules`.
+
+    actions: action, capability, required_tier, requires_grant, resource_param, needs_sanitizing; origins: origin_kind, zone,
+    default_ceiling; transitions: zone, target_zone, least_ceiling.
+    """
+
+    actions: DataFrame | None = None
+    origins: DataFrame | None = None
+    transitions: DataFrame | None = None
+
+    def of(self, name: str, spark: SparkSession) -> DataFrame:
+        given = getattr(self, name)
+        return F.broadcast(getattr(rules, name)(spark) if given is None else given)
+
+
+def classify_actions(requests: DataFrame, dims: Dimensions = Dimensions()) -> DataFrame:
     """requests with capability, required_tier, requires_grant, resource_param, needs_sanitizing; all null for unknown actions."""
-    return requests.join(F.broadcast(rules.actions(requests.sparkSession)), "action", "left")
+    return requests.join(dims.of("actions", requests.sparkSession), "action", "left")
 
 
 def resource_scope(classified: DataFrame, params: str = "params") -> DataFrame:
@@ -35,10 +54,10 @@ def ceilings_from_allowlist(allowlist: DataFrame) -> DataFrame:
     return rows.select("platform", "user_id", F.coalesce(tier_of(F.col("tier")), F.lit(1)).alias("ceiling"))
 
 
-def resolve_principal(requests: DataFrame, overrides: DataFrame | None = None, postures: DataFrame | None = None) -> DataFrame:
+def resolve_principal(requests: DataFrame, overrides: DataFrame | None = None, postures: DataFrame | None = None, dims: Dimensions = Dimensions()) -> DataFrame:
     """With principal, zone, ceiling, posture. Overrides are by (platform, user_id) and hold for chat origins only."""
     kind = F.col("origin_kind")
-    out = requests.join(F.broadcast(rules.origins(requests.sparkSession)), "origin_kind", "left")
+    out = requests.join(dims.of("origins", requests.sparkSession), "origin_kind", "left")
     name = (
         F.when(kind == "LocalCli", "local").when(kind == "BridgeTelegram", F.concat(F.lit("telegram:"), F.col("user_id"))).when(kind == "BridgeSlack", F.concat(F.lit("slack:"), F.col("user_id")))
         .when(kind == "AgentGenerated", F.concat(F.lit("agent:"), F.col("user_id"))).when(kind == "SystemHeartbeat", "system:heartbeat").otherwise(F.col("user_id"))
@@ -59,10 +78,10 @@ def effective_ceiling(ceiling: Column, posture: Column) -> Column:
     return F.when(posture == "Revoked", -1).when(posture == "Degraded", F.least(ceiling, F.lit(0))).otherwise(ceiling)
 
 
-def zone_check(resolved: DataFrame) -> DataFrame:
+def zone_check(resolved: DataFrame, dims: Dimensions = Dimensions()) -> DataFrame:
     """With target_zone and zone_ok: the transition is listed and the ceiling is enough."""
     target = F.when(F.col("required_tier") >= 3, "HostPrivileged").otherwise("ControlPlane")
-    out = resolved.withColumn("target_zone", target).join(F.broadcast(rules.transitions(resolved.sparkSession)), ["zone", "target_zone"], "left")
+    out = resolved.withColumn("target_zone", target).join(dims.of("transitions", resolved.sparkSession), ["zone", "target_zone"], "left")
     return out.withColumn("zone_ok", F.coalesce(F.col("effective") >= F.col("least_ceiling"), F.lit(False))).drop("least_ceiling")
 
 
@@ -71,12 +90,32 @@ def covers(scope: Column, resource: Column) -> Column:
     return scope.isNull() | F.coalesce((resource == scope) | resource.startswith(F.concat(F.rtrim(scope, F.lit("/")), F.lit("/"))), F.lit(False))
 
 
+def scope_keys(resource: Column) -> Column:
+    """What covers a resource: no scope (''), the resource itself ('='), a path above it, by whole components ('<')."""
+    parts = F.split(resource, "/")
+    above = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.lit("<"), F.array_join(F.slice(parts, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
+    return F.when(resource.isNull(), F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit(""), F.concat(F.lit("="), resource)), above))
+
+
 def match_grants(requests: DataFrame, grants: DataFrame) -> DataFrame:
-    """request_id, grant_id: the newest issued grant that is valid at the request's time."""
-    g = grants.select("grant_id", F.col("principal").alias("g_principal"), F.col("capability").alias("g_capability"), "scope", "expires_at", "max_uses", "uses", "issued_at")
-    on = (F.col("principal") == F.col("g_principal")) & (F.col("capability") == F.col("g_capability")) & (F.col("expires_at") > F.col("ts")) & (F.col("max_uses").isNull() | (F.col("uses") < F.col("max_uses"))) & covers(F.col("scope"), F.col("resource"))
-    best = requests.select("request_id", "principal", "capability", "resource", "ts").join(g, on).groupBy("request_id").agg(F.max_by("grant_id", F.struct("issued_at", "grant_id")).alias("grant_id"))
-    return best
+    """request_id, grant_id: the newest issued grant that is valid at the request's time.
+
+    Requests meet grants by principal, capability and scope, each by equality. Of the grants of one such key only those
+    matter that outlast all issued after them; among these the one that ends next after the request is the newest.
+    """
+    key = ["principal", "capability", "scope_key"]
+    usable = grants.filter(F.col("max_uses").isNull() | (F.col("uses") < F.col("max_uses")))
+    scopes = F.when(F.col("scope").isNull(), F.array(F.lit(""))).otherwise(F.array(F.concat(F.lit("="), F.col("scope")), F.concat(F.lit("<"), F.rtrim(F.col("scope"), F.lit("/")))))
+    g = usable.select("grant_id", "principal", "capability", F.explode(scopes).alias("scope_key"), "expires_at", "issued_at")
+    newer = Window.partitionBy(*key).orderBy(F.desc("issued_at"), F.desc("grant_id")).rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("_later", F.max("expires_at").over(newer)).filter(F.col("_later").isNull() | (F.col("expires_at") > F.col("_later")))
+    ends = g.select(*key, F.col("expires_at").alias("at"), F.lit(1).alias("turn"), F.struct("issued_at", "grant_id").alias("grant"))
+    asked = requests.select("request_id", "principal", "capability", F.explode(scope_keys(F.col("resource"))).alias("scope_key"), F.col("ts").alias("at"), F.lit(0).alias("turn"))
+    asked = asked.join(ends.select(*key).distinct(), key, "left_semi")
+    # from the latest time back, a request before what ends at that very time: the last end seen is the next one
+    back = Window.partitionBy(*key).orderBy(F.desc("at"), "turn").rowsBetween(Window.unboundedPreceding, 0)
+    both = asked.unionByName(ends, allowMissingColumns=True).withColumn("grant", F.last("grant", ignorenulls=True).over(back))
+    return both.filter("turn = 0 and grant is not null").groupBy("request_id").agg(F.max("grant").alias("grant")).select("request_id", "grant.grant_id")
 
 
 def consume_grants(requests: DataFrame, grants: DataFrame) -> DataFrame:
@@ -139,12 +178,12 @@ def fatigue_rate(requests: DataFrame, key: str = "principal", config: FatigueCon
     return requests.withColumn("recent", F.count("*").over(w))
 
 
-def checked(requests: DataFrame, overrides: DataFrame | None = None, postures: DataFrame | None = None, guard_key: str | None = None) -> DataFrame:
+def checked(requests: DataFrame, overrides: DataFrame | None = None, postures: DataFrame | None = None, guard_key: str | None = None, dims: Dimensions = Dimensions()) -> DataFrame:
     """requests with what decides before grants: capability, tier, principal, effective ceiling, zone_ok and, if a guard
     key is named, the fatigue level of requests from T2 on that passed the others."""
-    r = resource_scope(classify_actions(requests))
-    r = resolve_principal(r, overrides, postures).withColumn("effective", effective_ceiling(F.col("ceiling"), F.col("posture")))
-    r = zone_check(r)
+    r = resource_scope(classify_actions(requests, dims))
+    r = resolve_principal(r, overrides, postures, dims).withColumn("effective", effective_ceiling(F.col("ceiling"), F.col("posture")))
+    r = zone_check(r, dims)
     if not guard_key:
         return r.withColumn("level", F.lit(None).cast("string"))
     guarded = r.filter((F.col("posture") != "Revoked") & (F.col("required_tier") <= F.col("effective")) & F.col("zone_ok") & (F.col("required_tier") >= 2))
@@ -158,14 +197,14 @@ def asks_grants(checked: DataFrame) -> DataFrame:
     return checked.filter(passed & ((tier >= 2) | F.col("requires_grant")) & (origin != "HumanApproved") & ((tier >= 3) | (origin != "LocalCli")))
 
 
-def evaluate(requests: DataFrame, grants: DataFrame, overrides: DataFrame | None = None, postures: DataFrame | None = None, guard_key: str | None = None) -> DataFrame:
+def evaluate(requests: DataFrame, grants: DataFrame, overrides: DataFrame | None = None, postures: DataFrame | None = None, guard_key: str | None = None, dims: Dimensions = Dimensions()) -> DataFrame:
     """request_id, decision (Allow, Deny, NeedsApproval, Error, Unknown), reason.
 
     Order: revoked, tier, zone (an error, not a denial), fatigue from T2 on if a guard key is named, then approval:
     T3 and up need a human or a grant; T2, and what always needs a grant, also pass from the local origin. A request
     that a grant allows spends one use of it, in time order.
     """
-    r = checked(requests, overrides, postures, guard_key)
+    r = checked(requests, overrides, postures, guard_key, dims)
     r = r.join(consume_grants(asks_grants(r), grants), "request_id", "left")
     human, tier = F.col("origin_kind") == "HumanApproved", F.col("required_tier")
     step = (

@@ -30,22 +30,41 @@ def live_state(stored: DataFrame, outputs: DataFrame) -> DataFrame:
     return out.select("session_id", F.when(F.col("output").isNull(), "Error").otherwise(F.coalesce(first, F.lit("Running"))).alias("live"))
 
 
+def live_state_by_tool(stored: DataFrame, outputs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """live_state with the patterns of each session's tool, from a table (tool, position, state, pattern)."""
+    tables = patterns.groupBy("tool").agg(F.array_sort(F.collect_list(F.struct("position", "state", "pattern"))).alias("own"))
+    default = tables.filter("tool = 'default'").select(F.col("own").alias("common"))
+    out = stored.select("session_id", "tool").join(outputs, "session_id", "left").join(F.broadcast(tables), "tool", "left").join(F.broadcast(default), F.lit(True), "left")
+    tail = F.array_join(tail_lines(strip_ansi(F.col("output"))), "\n")
+    out = out.select("session_id", "output", tail.alias("tail"), F.coalesce("own", "common").alias("table"))
+    first = F.get(F.filter("table", lambda p: F.regexp_like(F.col("tail"), p["pattern"])), F.lit(0))["state"]
+    return out.select("session_id", F.when(F.col("output").isNull(), "Error").otherwise(F.coalesce(first, F.lit("Running"))).alias("live"))
+
+
 def with_live(stored: DataFrame, live: DataFrame) -> DataFrame:
     return stored.join(live, "session_id", "left").withColumn("live", F.coalesce("live", F.lit("Error")))
 
 
+def _now(stored: DataFrame, live: DataFrame) -> DataFrame:
+    """Stopped sessions are not probed."""
+    return with_live(stored, live).withColumn("now", F.when(F.col("state") == "Stopped", F.col("state")).otherwise(F.col("live")))
+
+
 def heartbeat(stored: DataFrame, live: DataFrame) -> DataFrame:
-    """One row: total, a count of each state, and the titles that need attention. Stopped sessions are not probed."""
-    seen = with_live(stored, live).withColumn("now", F.when(F.col("state") == "Stopped", F.col("state")).otherwise(F.col("live")))
-    counts = [F.count_if(F.col("now") == s).alias(s.lower()) for s in STATES]
-    return seen.agg(F.count("*").alias("total"), *counts, F.array_sort(F.collect_list(F.when(F.col("now").isin("Error", "Waiting"), F.col("title")))).alias("needs_attention"))
+    """One row: total, and a count of each state."""
+    return _now(stored, live).agg(F.count("*").alias("total"), *[F.count_if(F.col("now") == s).alias(s.lower()) for s in STATES])
 
 
-def status_report(beat: DataFrame) -> DataFrame:
+def needs_attention(stored: DataFrame, live: DataFrame) -> DataFrame:
+    """session_id, title of the sessions that are in error or wait, a row for each."""
+    return _now(stored, live).filter(F.col("now").isin("Error", "Waiting")).select("session_id", "title")
+
+
+def status_report(beat: DataFrame, needs: DataFrame) -> DataFrame:
+    """part (0 for the head, 1 for a session that needs attention) and line, a row for each line of the report."""
     parts = F.array_compact(F.array(*[F.when(F.col(s.lower()) > 0, F.concat(F.col(s.lower()).cast("string"), F.lit(f" {s.lower()}"))) for s in STATES]))
     head = F.concat(F.lit("[STATUS] "), F.col("total").cast("string"), F.lit(" sessions"), F.when(F.size(parts) > 0, F.concat(F.lit(" ("), F.array_join(parts, ", "), F.lit(")"))).otherwise(""), F.lit("."))
-    needs = F.transform("needs_attention", lambda t: F.concat(F.lit("NEED: "), t, F.lit(" - needs attention")))
-    return beat.select(F.array_join(F.concat(F.array(head), needs), "\n").alias("report"))
+    return beat.select(F.lit(0).alias("part"), head.alias("line")).unionByName(needs.select(F.lit(1).alias("part"), F.concat(F.lit("NEED: "), F.col("title"), F.lit(" - needs attention")).alias("line")))
 
 
 def state_changes(stored: DataFrame, live: DataFrame) -> DataFrame:
@@ -58,6 +77,7 @@ def reconcile(stored: DataFrame, live: DataFrame) -> DataFrame:
     seen = with_live(stored, live)
     up = lambda c: F.col(c).isin("Running", "Waiting", "Idle")
     to = lambda state, why: F.struct(F.lit(state).alias("new_state"), F.lit(why).alias("reason"))
+    # The reasons' texts.
     fix = (
         F.when(up("state") & (F.col("live") == "Error"), to("Error", "runtime session not found"))
         .when((F.col("state") == "Running") & (F.col("live") == "Stopped"), to("Stopped", "runtime reports session stopped"))
@@ -71,6 +91,7 @@ def escalate(sessions: DataFrame, wait: int = WAIT_SECONDS, phrases=rules.DECISI
     low = F.lower(F.col("output"))
     hit = F.coalesce(*[F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in phrases])
     to = lambda priority, reason: F.struct(F.lit(priority).alias("priority"), reason.alias("reason"))
+    # The reasons' texts.
     why = (
         F.when(F.col("state") == "Error", to("High", F.lit("session is in error state")))
         .when((F.col("state") == "Waiting") & hit.isNotNull(), to("High", F.concat(F.lit('output contains decision-request pattern: "'), hit, F.lit('"'))))
@@ -145,17 +166,18 @@ def parent_errors(sessions: DataFrame) -> DataFrame:
 
 
 def resolve_sessions(refs: DataFrame, sessions: DataFrame) -> DataFrame:
-    """ref, session_id, status: by title, else id, else an unambiguous id prefix in any case."""
-    s = sessions.select("session_id", "title")
-    short = F.least(F.length("ref"), F.lit(4))
-    by_title = refs.join(s, F.col("ref") == F.col("title")).select("ref", "session_id", F.lit(1).alias("rank"))
-    by_id = refs.join(s, F.col("ref") == F.col("session_id")).select("ref", "session_id", F.lit(2).alias("rank"))
-    # an equi-join on the first characters, then the whole prefix
-    keyed = s.select("session_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).select("session_id", "k", F.lower(F.left("session_id", F.col("k"))).alias("head"))
-    r = refs.select("ref", short.alias("k"), F.lower(F.left("ref", short)).alias("head"))
-    by_prefix = r.join(keyed, ["k", "head"]).filter(F.startswith(F.lower("session_id"), F.lower("ref"))).select("ref", "session_id", F.lit(3).alias("rank"))
-    ranked = by_title.unionByName(by_id).unionByName(by_prefix).groupBy("ref", "rank").agg(F.min("session_id").alias("session_id"), F.count_distinct("session_id").alias("n"))
-    best = ranked.groupBy("ref").agg(F.min_by(F.struct("session_id", "n", "rank"), "rank").alias("b"))
+    """ref, session_id, status: by title, else id, else an unambiguous id prefix in any case.
+
+    Ids are counted by prefix before refs meet them, so neither an empty ref nor ids that begin alike make pairs.
+    """
+    least = lambda by, rank, key: sessions.groupBy(by.alias("key")).agg(F.min("session_id").alias("session_id"), F.count_distinct("session_id").alias("n")).join(refs.select("ref", key.alias("key")).distinct(), "key").select("ref", "session_id", "n", F.lit(rank).alias("rank"))
+    by_title = least(F.col("title"), 1, F.col("ref"))
+    by_id = least(F.col("session_id"), 2, F.col("ref"))
+    ids = sessions.select("session_id").distinct().select("session_id", F.lower("session_id").alias("id"))
+    heads = ids.select("session_id", F.explode(F.transform(F.sequence(F.lit(0), F.length("id")), lambda k: F.left(F.col("id"), k))).alias("head"))
+    heads = heads.groupBy("head").agg(F.min("session_id").alias("session_id"), F.count("*").alias("n"))
+    by_prefix = refs.select("ref", F.lower("ref").alias("head")).distinct().join(heads, "head").select("ref", "session_id", "n", F.lit(3).alias("rank"))
+    best = by_title.unionByName(by_id).unionByName(by_prefix).groupBy("ref").agg(F.min_by(F.struct("session_id", "n", "rank"), "rank").alias("b"))
     out = refs.select("ref").distinct().join(best, "ref", "left")
     many = (F.col("b.rank") == 3) & (F.col("b.n") > 1)
     return out.select("ref", F.when(~many, F.col("b.session_id")).alias("session_id"), F.when(F.col("b").isNull(), "not found").when(many, "ambiguous").otherwise("ok").alias("status"))

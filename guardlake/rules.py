@@ -83,6 +83,11 @@ def regex_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, r.rule_id, r.severity, r.pattern) for i, r in enumerate(REGEX_RULES)], "position int, rule_id string, severity string, pattern string")
 
 
+def status_patterns(spark: SparkSession, tools: tuple[str, ...] = ("default",)) -> DataFrame:
+    """tool, position, state, pattern: what each tool's output says of its session, in order; 'default' serves tools without rows."""
+    return spark.createDataFrame([(t, i, s, p) for t in tools for i, (s, p) in enumerate(STATUS_PATTERNS)], "tool string, position int, state string, pattern string")
+
+
 def actions(spark: SparkSession) -> DataFrame:
     tiers = {c: (t, g) for c, t, g in CAPABILITIES}
     rows = [(a, c, *tiers[c], r, a == "FetchExternalContent") for a, c, r in ACTIONS]

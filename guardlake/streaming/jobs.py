@@ -72,6 +72,6 @@ def sanitize_to(stream: DataFrame, path: str, checkpoint: str, config: ContentCo
     """A started query that writes sanitized rows of each micro-batch by content type; replays overwrite nothing twice."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        content.sanitize(batch, config).drop("stripped_elements").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        content.sanitize(batch, config).drop("stripped_elements").write.mode("overwrite").partitionBy("content_type").parquet(f"{path}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

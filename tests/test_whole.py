@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import unicodedata
 from datetime import datetime, timedelta, timezone
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from guardlake import catalog
 from guardlake.config import FatigueConfig, RateConfig
-from guardlake.operators import content, evaluation, messages, policy, sessions
+from guardlake.operators import audit, content, evaluation, messages, policy, sessions
 from guardlake.plans import derived as D
 from tests.test_content import plain_normalise
 
@@ -181,3 +182,45 @@ def test_forests_of_any_depth(spark):
     assert {(r.ancestor_id, r.depth) for r in up if r.session_id == "p"} == {("q", 1), ("p", 2)} and sum(r.session_id == "t1" for r in up) == 91
     want = {(f"c{i}", "cycle") for i in range(90)} | {("p", "cycle"), ("q", "cycle"), ("own", "self-parent"), ("d", "missing parent")}
     assert {tuple(r) for r in sessions.parent_errors(df).collect()} == want
+
+
+def test_grants_by_scope_equal_all_pairs(spark):
+    rng = random.Random(7)
+    at = lambda s: datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=s)
+    paths = ["/srv", "/srv/", "/srv/a", "/srv/a/b", "/srvx", "/", "", "a/b", None]
+    asks = [(i, rng.choice("pq"), "C", rng.choice(paths), at(rng.randrange(40))) for i in range(300)]
+    held = [(f"g{i}", rng.choice("pq"), "C", rng.choice(paths), at(rng.randrange(40)), rng.choice([None, 1, 2]), rng.randrange(2), at(rng.randrange(-20, 0))) for i in range(60)]
+    r = spark.createDataFrame(asks, "request_id long, principal string, capability string, resource string, ts timestamp")
+
+    def covers(scope, resource):
+        return scope is None or resource is not None and (resource == scope or resource.startswith(scope.rstrip("/") + "/"))
+
+    want = {}
+    for i, principal, _, resource, ts in asks:
+        fit = [(g[7], g[0]) for g in held if g[1] == principal and g[4] > ts and (g[5] is None or g[6] < g[5]) and covers(g[3], resource)]
+        if fit:
+            want[i] = max(fit)[1]
+    assert dict(map(tuple, policy.match_grants(r, spark.createDataFrame(held, GRANT)).collect())) == want and len(want) > 100
+
+
+def test_verification_across_runs_of_a_log(spark, monkeypatch):
+    monkeypatch.setattr(audit, "RUN", 7)
+    rng = random.Random(9)
+    rows = [(log, seq, f'{{"n":{seq}}}') for log in (1, 2, 3) for seq in sorted(rng.sample(range(100), 40))]
+    chain = audit.build_chain(spark.createDataFrame(rows, "log_id long, seq long, payload string"), b"k").collect()
+    bad = {(2, sorted(s for g, s, _ in rows if g == 2)[i]): c for i, c in ((13, "hmac"), (29, "payload"))}
+    broken = [tuple("0" * 64 if bad.get((r.log_id, r.seq)) == c else r[c] for c in r.__fields__) for r in chain]
+    found = audit.verify_entries(spark.createDataFrame(broken, "log_id long, seq long, payload string, content_hash string, prev_hash string, hmac string"), b"k")
+    got = {(r.log_id, r.seq): (r.content_ok, r.prev_ok, r.hmac_ok) for r in found.collect()}
+    order = sorted(got)
+    for key, before in zip(order, [None, *order]):
+        same = before and before[0] == key[0]
+        assert got[key] == (bad.get(key) != "payload", not (same and bad.get(before) == "hmac"), bad.get(key) != "hmac")
+    assert {tuple(r) for r in audit.verify_summary(found).collect()} == {(1, 40, 40, None, None), (2, 40, 13, min(bad)[1], "hmac"), (3, 40, 40, None, None)}
+
+
+def test_references_of_any_length(spark):
+    s = spark.createDataFrame([("AbC123", "one"), ("abc124", "two"), ("zz", "one")], "session_id string, title string")
+    refs = spark.createDataFrame([("",), ("ABC",), ("abc124",), ("abc1245",), ("ABC123",), ("one",), ("z",)], "ref string")
+    got = {r.ref: (r.session_id, r.status) for r in sessions.resolve_sessions(refs, s).collect()}
+    assert got == {"": (None, "ambiguous"), "ABC": (None, "ambiguous"), "abc124": ("abc124", "ok"), "abc1245": (None, "not found"), "ABC123": ("AbC123", "ok"), "one": ("AbC123", "ok"), "z": ("zz", "ok")}
