@@ -1,9 +1,9 @@
 """Chat formatting of reply trees.
 
-Messages point at the message they answer. Root-to-leaf paths are enumerated by self-joins that double
+Messages point at the message they answer. Root-to-leaf paths are followed by self-joins that double
 their reach each time: with jumps of 1, 2, 4 ... ancestors, a tree of depth d takes log2(d) joins of ids.
-A path's score is the sum of its messages' scores; the best branches of each tree are chosen, and each is
-formatted as one conversation:
+A path's score is the sum of its messages' scores; the best branches of each tree are chosen, their paths
+enumerated, and each is formatted as one conversation:
 
     <|im_start|>role\\ntext<|im_end|>\\n
 
@@ -25,8 +25,6 @@ from guardlake.llm.shared import map_text, named, written
 
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 TRAINED = "assistant"
-#: 2**MAX_DOUBLINGS messages in a path at most; a deeper tree is taken for one with a cycle.
-MAX_DOUBLINGS = 40
 
 
 def escaped(text: Column) -> Column:
@@ -46,40 +44,56 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """tree, leaf, node, up (steps from the leaf) of every root-to-leaf path of messages (tree, node, parent).
+def climbed(messages: DataFrame) -> list[DataFrame]:
+    """Tables of tree, node, score, to: the k-th has the message 2**k steps above, or null, and the score of it and all below it on the way.
 
-    Parents that are missing count as none. Messages that lead into a cycle are on no path.
+    Parents that are missing count as none. The last table has the whole way's score where `to` is null. Where it is
+    not, the message leads into a cycle: if a doubling ends no further way, none that ends can be so long, as all
+    that is shorter would stand on it. No table has more rows than there are messages.
     """
-    known = messages.select("tree", F.col("node").alias("parent"))
-    linked = messages.select("tree", "node", "parent").filter("parent is not null").join(known, ["tree", "parent"], "left_semi")
-    jump = written(linked.select("tree", "node", F.col("parent").alias("to")), "jumps")
-    leaves = messages.select("tree", "node").join(jump.select("tree", F.col("to").alias("node")), ["tree", "node"], "left_anti")
-    out = written(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "paths")
-    roots = messages.select("tree", "node").join(jump.select("tree", "node"), ["tree", "node"], "left_anti")
-    nodes = messages.count()
-    reach = 1
-    while reach < max(2, 2 * nodes) and reach < 1 << MAX_DOUBLINGS and not jump.isEmpty():
-        further = out.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + reach).alias("up"))
+    known = messages.select("tree", F.col("node").alias("parent"), F.col("node").alias("to")).distinct()
+    at = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")).join(known, ["tree", "parent"], "left")
+    levels = [written(at.select("tree", "node", "score", "to"), "climbed")]
+    left = levels[0].filter("to is not null").count()
+    while left:
+        now = levels[-1]
+        ahead = now.select("tree", F.col("node").alias("to"), F.col("score").alias("more"), F.col("to").alias("far"))
+        now = now.join(ahead, ["tree", "to"], "left").select("tree", "node", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), F.col("far").alias("to"))
+        levels.append(written(now, "climbed"))
+        before, left = left, levels[-1].filter("to is not null").count()
+        if left == before:
+            break
+    return levels
+
+
+def paths(leaves: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """tree, leaf, node, up (steps from the leaf) of the paths from these leaves (tree, leaf) to their roots: each self-join doubles their reach."""
+    out = written(leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up")), "paths")
+    for k, level in enumerate(levels[:-1]):
+        further = out.join(level.filter("to is not null"), ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
         out = written(out.unionByName(further), "paths")
-        ahead = jump.select("tree", F.col("node").alias("to"), F.col("to").alias("far"))
-        jump = written(jump.join(ahead, ["tree", "to"]).select("tree", "node", F.col("far").alias("to")), "jumps")
-        reach *= 2
-    whole = out.join(roots, ["tree", "node"], "left_semi").select("tree", "leaf")
-    return out.join(whole, ["tree", "leaf"], "left_semi")
+    return out
 
 
 def format_trees(messages: DataFrame, top: int = 1, trained: str = TRAINED) -> DataFrame:
     """tree, leaf, rank, score, n_turns, formatted, loss_spans of the `top` best branches of each tree.
 
-    messages has tree, node, parent, role, text and score, none of tree and node null; node is unique in its tree.
-    Null roles and texts are empty, null scores 0. Ties go to the smaller leaf. An empty table gives none.
+    messages has tree, node, parent, role, text and score. Parents that are missing count as none. Messages that lead
+    into a cycle are on no path. Rows with a null tree or node are left out; of rows with one tree and node the first by
+    parent, role, text and score (nulls first) counts. Null roles and texts are empty, null scores 0. Ties go to the
+    smaller leaf. An empty table gives none.
+
+    Branches are scored by message, so their number may be large; only the chosen ones are written out step by step.
     """
-    on = paths(messages)
-    scored = on.join(messages.select("tree", "node", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), ["tree", "node"])
-    branches = scored.groupBy("tree", "leaf").agg(F.sum("score").alias("score"))
+    whole = ["parent", "role", "text", "score"]
+    once = messages.filter("tree is not null and node is not null").groupBy("tree", "node").agg(F.min(F.struct(*whole)).alias("first"))
+    messages = written(once.select("tree", "node", *[F.col(f"first.{c}").alias(c) for c in whole]), "messages")
+    levels = climbed(messages)
+    ended = levels[-1].filter("to is null").select("tree", "node", "score")
+    branches = ended.join(levels[0].filter("to is not null").select("tree", F.col("to").alias("node")), ["tree", "node"], "left_anti").withColumnRenamed("node", "leaf")
     best = branches.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))).filter(F.col("rank") <= top)
-    chosen = on.join(best, ["tree", "leaf"])
+    best = written(best, "best")
+    chosen = paths(best, levels).join(best, ["tree", "leaf"])
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     turns = chosen.join(messages.select("tree", "node", role.alias("role"), text.alias("text")), ["tree", "node"])
     head = F.concat(F.lit(START), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n"))

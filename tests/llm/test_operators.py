@@ -324,6 +324,25 @@ def test_reply_trees_equal_brute_force(spark):
         assert read[key].n_turns == len(path)
 
 
+def test_cycles_in_a_large_table_stay_small(spark):
+    """Messages that lead into cycles are cut off before any path is written, however many other messages there are."""
+    rows = [("ring", i, (i + 1) % 3, "user", "x", 1.0) for i in range(3)] + [("ring", 3, 0, "user", "x", 1.0)] + [(f"t{i % 500}", i, i - 500 if i >= 500 else None, "assistant", "y", 1.0) for i in range(4000)]
+    messages = spark.createDataFrame(rows, MESSAGES)
+    levels = chat.climbed(messages)
+    assert {(r.tree, r.node) for r in levels[-1].filter("to is not null").collect()} == {("ring", i) for i in range(4)}
+    assert len(levels) <= 6 and all(x.count() == 4004 for x in levels)
+    out = chat.format_trees(messages).collect()
+    assert len(out) == 500 and {r.n_turns for r in out} == {8} and all(r.score == 8.0 for r in out)
+
+
+def test_only_chosen_branches_are_written_out(spark):
+    """A chain with a leaf on every message has as many branches as messages; the best two alone are enumerated."""
+    rows = [("c", i, i - 1 if i else None, "user", f"m{i}", 1.0) for i in range(300)] + [("c", 1000 + i, i, "assistant", f"l{i}", 0.5) for i in range(300)]
+    rows += [("c", 5, 4, "user", "m5", 1.0), ("c", None, 1, "user", "no", 9.0), (None, 1, None, "user", "no", 9.0)]
+    out = chat.format_trees(spark.createDataFrame(rows, MESSAGES), top=2).orderBy("rank").collect()
+    assert [(r.leaf, r.n_turns, r.score) for r in out] == [(1299, 301, 300.5), (1298, 300, 299.5)]
+
+
 def test_chat_of_turns_and_empty(spark):
     schema = "conv_id long, turn long, role string, text string, tree string"
     rows = [(1, 1, "assistant", "b", "x"), (1, 0, "user", "a", "x"), (1, 1, "assistant", "b", "x"), (None, None, None, None, None)]
