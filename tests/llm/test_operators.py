@@ -581,5 +581,20 @@ def test_contamination_equals_brute_force(spark, max_bytes):
     assert decontam.contamination(df.limit(0), none).count() == 0
 
 
+def test_blocks_find_what_windows_find():
+    """Few different words, so that items share blocks, windows repeat and overlap, and runs end at either text's ends."""
+    rng = random.Random(23)
+    for _ in range(400):
+        items = [(str(i), words(rng, rng.choice([1, 4, 9, 10, 11, 12, 15, 23, 31]), 3)) for i in range(rng.randrange(1, 5))]
+        items += [("again", items[0][1])]
+        text = words(rng, rng.randrange(0, 70), 3)
+        if rng.random() < 0.6:
+            w = (items[0][1] or "").split()
+            text += " " + " ".join(w[rng.randrange(len(w)) :]) + " " + words(rng, rng.randrange(1, 5), 3)
+        n, hit, names = plain_contamination(text, items)
+        got = decontam.scan_text(decontam.Matcher(items), text)
+        assert (got[0], {j for s in got[1] for j in range(s["start"], s["end"])}, set(got[3])) == (n, hit, names)
+
+
 def test_written_steps_are_in_the_shared_folder(spark):
     assert written(spark.range(3), "x").inputFiles()[0].startswith(spark.conf.get("spark.checkpoint.dir"))
