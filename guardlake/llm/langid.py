@@ -30,7 +30,8 @@ MIN_SHARE = 0.01
 RELATIVE = 0.1
 HASHES = 3
 SLOTS_PER_NGRAM = 16
-MAX_LANGUAGES = 1024
+#: So many languages are learnt, those with the most training rows; a bound of the training sample. Texts of others are still predicted.
+MAX_LANGUAGES = 4096
 SEED = 23
 UNKNOWN = "und"
 #: Code points that are looked at together; longer texts are taken in parts that overlap by an n-gram.
@@ -134,18 +135,16 @@ def build(languages: list[str], prior: list[int], ngrams: list[np.ndarray]) -> F
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_PER_LANGUAGE) -> Filters:
     """Filters from the training rows with a language, a bounded sample of each language.
 
-    Up to MAX_LANGUAGES languages; more is an error. Without any, every prediction is 'und'.
+    Of more than MAX_LANGUAGES languages those with the most rows are learnt (ties by name). Without any, every prediction is 'und'.
     """
     rows = docs.select(named(id_col).alias("_gl_id"), named(text_col).alias("_gl_text"), named(lang_col).cast("string").alias("_gl_lang"))
     rows = rows.filter(training_row("_gl_id") & F.col("_gl_lang").isNotNull() & F.col("_gl_text").isNotNull())
-    sizes = sorted(((-r["n"], r["_gl_lang"]) for r in rows.groupBy("_gl_lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()))
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = [(-r["n"], r["_gl_lang"]) for r in rows.groupBy("_gl_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_gl_lang").limit(MAX_LANGUAGES).collect()]
     if not sizes:
         return build([], [], [])
     languages, prior = [x for _, x in sizes], [-n for n, _ in sizes]
-    limits = F.create_map(*[F.lit(y) for x, n in zip(languages, prior) for y in (x, bounded_share(n, sample))])
-    drawn = rows.filter(draw("_gl_id", SEED) < limits[F.col("_gl_lang")])
+    limits = docs.sparkSession.createDataFrame([(x, bounded_share(n, sample)) for x, n in zip(languages, prior)], "_gl_lang string, _gl_share double")
+    drawn = rows.join(F.broadcast(limits), "_gl_lang").filter(draw("_gl_id", SEED) < F.col("_gl_share"))
     number = {x: i for i, x in enumerate(languages)}
     schema = T.StructType([T.StructField("lang", T.IntegerType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 
@@ -164,8 +163,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     counts = in_batches(drawn.select("_gl_text", "_gl_lang"), count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # at least 1 % of a language's documents hold each n-gram that is kept, so there are at most 100 times a document's n-grams
-    bounds = F.create_map(*[F.lit(y) for i, n in enumerate(prior) for y in (i, MIN_SHARE * min(n, sample) / 2)])
-    found = counts.filter((F.col("lang") < 0) | (F.col("n") >= F.coalesce(bounds[F.col("lang")], F.lit(1.0)))).toPandas()
+    bounds = docs.sparkSession.createDataFrame([(i, MIN_SHARE * min(n, sample) / 2) for i, n in enumerate(prior)], "lang int, least double")
+    found = counts.join(F.broadcast(bounds), "lang", "left").filter((F.col("lang") < 0) | (F.col("n") >= F.col("least"))).select("lang", "gram", "n").toPandas()
     docs_of = Counter({-1 - int(r.lang): int(r.n) for r in found[found.lang < 0].itertuples()})
     found = found[found.lang >= 0]
     share = found.n / found.lang.map(lambda i: max(1, docs_of[i]))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guardlake.llm.shared import in_batches, map_text, named, new_path, partitions, written
+from guardlake.llm.shared import in_batches, map_text, named, new_path, partitions, remove_path, written
 
 MIN_DOCS = 10
 BATCHES = 4
@@ -68,25 +68,53 @@ def line_counts(docs: DataFrame, batches: int = 1, text_col: str = "text") -> Da
 
 
 class LineRuns:
-    """Levelled sorted runs of (h1, h2, n), kept as bucketed tables under the shared folder."""
+    """Levelled sorted runs of (h1, h2, n), kept as bucketed tables under the shared folder.
 
-    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
-        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+    A run is written by one task a bucket, so it has one file a bucket. state() says all that another session needs to
+    go on with the runs: LineRuns.resumed(spark, state).
+    """
+
+    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT, buckets: int | None = None):
+        self.spark, self.min_docs, self.fanout, self.buckets = spark, min_docs, fanout, buckets or partitions(spark)
         self.levels: list[list[str]] = [[]]
+        self.paths: dict[str, str] = {}
 
-    def _run(self, counts: DataFrame) -> str:
+    def state(self) -> dict:
+        return {"min_docs": self.min_docs, "fanout": self.fanout, "buckets": self.buckets, "levels": [[self.paths[r] for r in level] for level in self.levels]}
+
+    @classmethod
+    def resumed(cls, spark: SparkSession, state: dict) -> LineRuns:
+        runs = cls(spark, state["min_docs"], state["fanout"], state["buckets"])
+        runs.levels = [[runs._known(path) for path in level] for level in state["levels"]]
+        return runs
+
+    def _known(self, path: str) -> str:
+        """A name in this session's catalogue for a run's files."""
         name = f"gl_lines_{uuid.uuid4().hex}"
-        counts.write.option("path", new_path(self.spark, "lines")).bucketBy(partitions(self.spark), "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        self.spark.sql(f"CREATE TABLE {name} (h1 BIGINT, h2 BIGINT, n BIGINT) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        self.paths[name] = path
         return name
 
+    def _run(self, counts: DataFrame) -> str:
+        """counts, which are dealt by (h1, h2) over the buckets."""
+        name, path = f"gl_lines_{uuid.uuid4().hex}", new_path(self.spark, "lines")
+        counts.write.option("path", path).bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        self.paths[name] = path
+        return name
+
+    def _drop(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE {run}")
+        remove_path(self.spark, self.paths.pop(run))
+
     def _repeated(self, run: str) -> DataFrame:
         return self.spark.table(run).filter(F.col("n") >= self.min_docs)
 
     def absorb(self, counts: DataFrame) -> None:
         """Adds a batch of (h1, h2, n), one row for each line. Lines already known to be repeated are not counted on."""
+        counts = counts.select("h1", "h2", "n").repartition(self.buckets, "h1", "h2")
         for run in [r for level in self.levels for r in level]:
             counts = counts.join(self._repeated(run).select("h1", "h2"), ["h1", "h2"], "left_anti")
-        self.levels[0].append(self._run(counts.select("h1", "h2", "n")))
+        self.levels[0].append(self._run(counts))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             if level + 1 == len(self.levels):
@@ -96,6 +124,7 @@ class LineRuns:
             level += 1
 
     def _merged(self, runs: list[str]) -> str:
+        """One run of several, whose files then go: a task that fails before writes the merged run again."""
         if len(runs) == 1:
             return runs[0]
         both = self.spark.table(runs[0])
@@ -104,7 +133,7 @@ class LineRuns:
             both = both.join(other, ["h1", "h2"], "full_outer").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"))
         merged = self._run(both)
         for run in runs:
-            self.spark.sql(f"DROP TABLE {run}")
+            self._drop(run)
         return merged
 
     def repeated(self) -> DataFrame:
@@ -115,6 +144,12 @@ class LineRuns:
             return self.spark.createDataFrame([], _KEYS)
         return self._repeated(self.levels[1][0]).select("h1", "h2")
 
+    def close(self) -> None:
+        """Drops all runs and their files."""
+        for run in [r for level in self.levels for r in level]:
+            self._drop(run)
+        self.levels = [[]]
+
 
 def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, text_col: str = "text") -> DataFrame:
     """h1, h2 of each line key that stands in min_docs documents or more; the texts are read once."""
@@ -123,7 +158,9 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BAT
     runs = LineRuns(spark, min_docs, fanout)
     for i in range(batches):
         runs.absorb(counts.filter(F.col("batch") == i).select("h1", "h2", "n"))
-    return runs.repeated()
+    found = written(runs.repeated(), "repeated-lines")
+    runs.close()
+    return found
 
 
 def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, max_broadcast: int = MAX_BROADCAST_LINES) -> DataFrame:
@@ -168,9 +205,12 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int
 
         return of
 
-    ids = map_text(docs, [text_col], own, [T.StructField("_gl_keys", T.ArrayType(_KEYS))], [id_col]).select(named(id_col).alias("_gl_id"), F.explode("_gl_keys").alias("k")).select("_gl_id", "k.h1", "k.h2")
-    drops = ids.join(found, ["h1", "h2"]).groupBy("_gl_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_gl_drop"))
-    joined = docs.join(drops, named(id_col).eqNullSafe(F.col("_gl_id")), "left")
+    # equal texts drop equal lines, so texts are told apart by their hashes; each text's lines are its own, in one array
+    marked = docs.withColumn("_gl_key", F.sha2(F.coalesce(named(text_col), F.lit("")), 256))
+    texts = marked.select("_gl_key", named(text_col).alias("_gl_text")).dropDuplicates(["_gl_key"])
+    lines = map_text(texts, ["_gl_text"], own, [T.StructField("_gl_keys", T.ArrayType(_KEYS))], ["_gl_key"]).select("_gl_key", F.explode("_gl_keys").alias("k")).select("_gl_key", "k.h1", "k.h2")
+    drops = lines.join(found, ["h1", "h2"]).groupBy("_gl_key").agg(F.collect_list(F.struct("h1", "h2")).alias("_gl_drop"))
+    joined = marked.join(drops, "_gl_key", "left").drop("_gl_key")
 
     def by_row():
         def of(texts, drops):

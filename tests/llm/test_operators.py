@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import random
 import re
 import time
@@ -93,6 +95,28 @@ def test_language_of_long_texts_and_many_languages(spark, monkeypatch):
     assert f.predict((chr(0x4E00) * 9 + " ") * 50)[0] == whole[0] == "l0"
 
 
+def test_language_counts_equal_exact_sets():
+    """Each language's count of n-grams, from the filters, against sets of n-grams: never less, and corrected to within a few."""
+    rng = random.Random(29)
+    texts = {f"l{i}": " ".join("".join(rng.choices("abcdefghijklmno"[i : i + 6], k=5)) for _ in range(300)) for i in range(9)}
+    grams = [langid.ngram_hashes(t)[0] for t in texts.values()]
+    f = langid.build(list(texts), [1] * 9, [np.unique(g) for g in grams])
+    exact = [set(g.tolist()) for g in grams]
+    for text in texts.values():
+        hashes = langid.ngram_hashes(text[:600])[0]
+        got, want = f.counts(hashes), np.array([sum(h in x for h in hashes.tolist()) for x in exact])
+        assert (got >= want).all() and (np.abs((got - len(hashes) * f.false_rate) / (1 - f.false_rate) - want) <= 0.02 * len(hashes) + 3).all()
+        assert f.predict(text)[0] == list(texts)[int(want.argmax())]
+
+
+def test_more_languages_than_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    rows = [(i, "abc abd " * 5, "aa") for i in range(40)] + [(100 + i, "xyz xyw " * 5, "bb") for i in range(40)] + [(200 + i, "mno", f"dirty{i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r.lang_pred for r in langid.predict(df, langid.fit(df)).collect()}
+    assert out[0] == "aa" and out[100] == "bb" and set(out.values()) == {"aa", "bb"}
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([(1, "hello", None)], "doc_id long, text string, lang string")
     assert langid.predict(df, langid.fit(df)).first().lang_pred == "und"
@@ -377,7 +401,18 @@ def test_runs_absorb_batches_one_by_one(spark):
     runs = linededup.LineRuns(spark, min_docs=3, fanout=2)
     for batch in ([(1, 1, 2), (2, 2, 3)], [(1, 1, 1), (2, 2, 5)], [(3, 3, 1)], [(3, 3, 1)], [(3, 3, 1), (4, 4, 1)]):
         runs.absorb(spark.createDataFrame(batch, "h1 long, h2 long, n long"))
+        runs = linededup.LineRuns.resumed(spark, json.loads(json.dumps(runs.state())))  # as another session would
+    paths = list(runs.paths.values())
     assert {r.h1 for r in runs.repeated().collect()} == {1, 2, 3}
+    runs.close()
+    assert not any(os.path.exists(p.removeprefix("file://")) for p in paths)
+
+
+def test_a_run_has_one_file_a_bucket(spark):
+    runs = linededup.LineRuns(spark, buckets=3)
+    runs.absorb(spark.range(0, 1000, 1, 8).selectExpr("id as h1", "id as h2", "1L as n"))
+    assert len(spark.table(runs.levels[0][0]).inputFiles()) == 3
+    runs.close()
 
 
 # fingerprints
