@@ -1,9 +1,9 @@
 """Near-duplicate classes by DartMinHash, banding and exact verification.
 
 A text is the set of its shingles of five words. Darts are thrown at each element's region, as wide as
-its weight and one unit high after the other, by hashing (element, unit, strip); a dart's rank is its
-height, and every coordinate of the signature keeps the earliest dart that falls to it. Two sets agree in
-a coordinate with the probability of their (weighted) Jaccard similarity.
+its weight, by hashing (element, cell); a dart's rank is its height, and every coordinate of the signature
+keeps the earliest dart that falls to it. Two sets agree in a coordinate with the probability of their
+(weighted) Jaccard similarity. Links are defined by the plain similarity of sets, so weights are 1 here.
 
 Texts with equal shingle sets are one node from the start. Nodes that agree in a whole band of coordinates
 share a bucket, and each node is compared with its buckets' smallest nodes, never all with all. Most buckets
@@ -17,7 +17,6 @@ components is left. So no link between different texts that share a bucket is lo
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +35,8 @@ ROWS = 5
 #: Nodes of which the texts are compared are broadcast as ids up to this number; beyond it they are joined.
 MAX_BROADCAST_IDS = 1_000_000
 LEADERS = 32
+#: Groups over which a leader's pairs are dealt.
+SALTS = 64
 #: Tables of links and buckets are read with so many rows a task; those that fit one task need no shuffle.
 ROWS_PER_TASK = 200_000
 #: Cells in which elements are counted to put the rarest first.
@@ -65,25 +66,44 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
+#: Weights from 2**-BELOW up have regions of their own; what lies below is one region.
+BELOW = 20
+
+
+def _darts(elements: np.ndarray, weights: np.ndarray | None, height: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rank and hash of all darts below `height` that fall into the elements' regions.
+
+    The half-plane of each element is cut into cells of area 1 with a dart each: between the weights 2**k and 2**(k+1)
+    they are 2**k wide and 2**-k high. A dart counts if it lies left of the element's weight. So the darts looked at
+    are about as many as the area has, whatever the weights are.
+    """
+    if weights is None:  # one cell for each strip of the unit weight, and all of it inside
+        strips = np.arange(int(np.ceil(height)), dtype=np.uint64)
+        cells = _mix(elements[:, None] + (strips[None, :] + np.uint64(1)) * _A)
+        rank = strips[None, :] + (cells >> np.uint64(11)) / float(1 << 53)
+        return rank[rank < height], cells[rank < height]
+    ranks, hashes = [], []
+    for k in range(-BELOW, int(np.ceil(np.log2(weights.max()))) + 1):
+        low, wide = (0.0 if k == -BELOW else 2.0**k), (2.0 ** (k + 1) if k == -BELOW else 2.0**k)
+        own = weights > low
+        rows = np.arange(int(np.ceil(height * wide)), dtype=np.uint64)
+        if not own.any() or not len(rows):
+            continue
+        cells = _mix(_mix(elements[own] ^ np.uint64((k + BELOW + 1) * int(_B) % 2**64))[:, None] + (rows[None, :] + np.uint64(1)) * _A)
+        rank = (rows[None, :] + (cells >> np.uint64(11)) / float(1 << 53)) / wide
+        right = low + wide * ((_mix(cells ^ _C) >> np.uint64(11)) / float(1 << 53))
+        inside = (rank < height) & (right < weights[own][:, None])
+        ranks.append(rank[inside])
+        hashes.append(cells[inside])
+    return np.concatenate(ranks), np.concatenate(hashes)
+
+
 def dart_signature(elements: np.ndarray, weights: np.ndarray | None = None, size: int = BANDS * ROWS) -> np.ndarray:
     """The earliest dart of each coordinate, for a set of element hashes with positive weights (1 each if none are given)."""
-    if weights is None:
-        units, above, total = elements, None, float(len(elements))
-    else:
-        count = np.ceil(weights).astype(np.int64)
-        unit = np.concatenate([np.arange(c) for c in count])
-        units = _mix(np.repeat(elements, count) + unit.astype(np.uint64) * _A)
-        above, total = np.repeat(weights, count) - unit, float(weights.sum())  # how much of the unit is inside
+    total = float(len(elements)) if weights is None else float(weights.sum())
     darts = size * (np.log(size) + 4)
     while True:
-        height = darts / total
-        strips = np.arange(int(np.ceil(height)), dtype=np.uint64)
-        cells = _mix(units[:, None] + (strips[None, :] + np.uint64(1)) * _A)
-        rank = strips[None, :] + (cells >> np.uint64(11)) / float(1 << 53)
-        inside = rank < height
-        if above is not None:
-            inside &= (_mix(cells ^ _C) >> np.uint64(11)) / float(1 << 53) < above[:, None]
-        rank, cells = rank[inside], cells[inside]
+        rank, cells = _darts(elements, weights, darts / total)
         place = (_mix(cells ^ _A) % np.uint64(size)).astype(np.int64)
         order = np.argsort(rank, kind="stable")[::-1]
         signature, hit = np.zeros(size, np.uint64), np.zeros(size, bool)
@@ -131,18 +151,29 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
-    """The pairs (a, b) whose texts are alike by the threshold, exactly."""
-    # leaders (b) may have many pairs: their join moves ids only on that side, and the second join is by the even side
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    """The pairs (a, b) whose texts are alike by the threshold, exactly.
+
+    A leader (b) may have many pairs: they are dealt over SALTS groups. A group has the leader's text once, first, and
+    then each partner's, so a pair moves one text and no key is hot.
+    """
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+    of = lambda name: texts.select(F.col("node").alias(name), "text")
+    partners = dealt.join(of("a"), "a").select("b", "salt", "a", "text", F.lit(1).alias("turn"))
+    leaders = dealt.select("b", "salt").distinct().join(of("b"), "b").select("b", "salt", F.lit(None).cast(pairs.schema["a"].dataType).alias("a"), "text", F.lit(0).alias("turn"))
+    both = partners.unionByName(leaders).repartition("b", "salt").sortWithinPartitions("b", "salt", "turn")
     schema = T.StructType([pairs.schema["a"], pairs.schema["b"]])
 
     def run(batches):
-        held = lru_cache(64)(lambda text: shingles(text, words))
+        leader = None
         for batch in batches:
-            keep = [similarity(held(x), held(y)) >= threshold for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = []
+            for text, turn in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                found = shingles(text, words)
+                leader = leader if turn else found
+                keep.append(turn == 1 and similarity(found, leader) >= threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return in_batches(both.select("a", "b", "text_a", "text_b"), run, schema)
+    return in_batches(both.select("b", "salt", "a", "text", "turn"), run, schema)
 
 
 def sized(df: DataFrame, name: str) -> DataFrame:

@@ -530,6 +530,43 @@ def test_dart_signatures_estimate_weighted_similarity():
     assert abs((a == b).mean() - 150 / 250) < 0.05
     for n in (1, 2, 5):
         assert (neardup.dart_signature(items[:n]) != 0).all()
+        assert (neardup.dart_signature(items[:n], np.full(n, 1e-3)) != 0).all()
+
+
+def test_darts_of_large_weights_cost_no_more():
+    rng = np.random.default_rng(4)
+    items, weights = rng.integers(0, 2**63, 200).astype(np.uint64), rng.uniform(0.5, 2, 200)
+    n = [len(neardup._darts(items, weights * scale, 500 / (weights * scale).sum())[0]) for scale in (1e-3, 1, 1e3, 1e6)]
+    assert all(400 < x < 600 for x in n), n
+    same = [neardup.dart_signature(items, np.where(np.arange(200) < 100, weights * 1e6, y)) for y in (1.0, 2.0)]
+    assert (same[0] == same[1]).mean() > 0.99
+
+
+def test_no_link_is_lost_on_the_test_documents(spark):
+    """Recall of links, and all classes, against a comparison of all pairs with a common shingle on 1,000 documents."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    sets = {i: neardup.shingles(t) for i, t in rows if t is not None}
+    by = {}
+    for i, x in sets.items():
+        for e in x.tolist():
+            by.setdefault(e, []).append(i)
+    common = Counter((a, b) for ids in by.values() if len(ids) > 1 for k, a in enumerate(ids) for b in ids[k + 1 :])
+    links = [(a, b) for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    out = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    caught = sum(out[a] == out[b] for a, b in links)
+    assert links and caught == len(links), (caught, len(links))
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+    assert all(out[i] == root(i) for i in sets if len(sets[i]))
 
 
 def test_components_of_a_long_path(spark):
