@@ -10,8 +10,8 @@ share a bucket, and each node is compared with its buckets' smallest nodes, neve
 are then one component and done. The nodes of the others, which often share a passage but are not alike,
 are told apart by prefixes: of two sets with a similarity of 0.8 each has an element of the other among its
 rarest fifth, in any order of elements that is the same for all. Nodes that share such an element and are
-of different components are compared, a few leaders at a time, until no uncompared pair of different
-components is left. So no link between different texts that share a bucket is lost.
+of different components are compared: a drawn share of them leads first, then more, until no uncompared pair of
+different components is left. So no link between different texts that share a bucket is lost.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guardlake.llm.shared import in_batches, map_text, named, written
+from guardlake.llm.shared import draw, in_batches, map_text, named, written
 from guardlake.llm.words import folded_words
 
 WORDS = 5
@@ -34,15 +34,18 @@ BANDS = 24
 ROWS = 5
 #: Nodes of which the texts are compared are broadcast as ids up to this number; beyond it they are joined.
 MAX_BROADCAST_IDS = 1_000_000
-LEADERS = 32
+#: Of the nodes that must be compared with their tokens' others, so large a share leads first, then GROWTH times as many;
+#: what has come together meanwhile need not be compared. Up to FEW rows all lead at once.
+FIRST_SHARE, GROWTH, FEW = 1 / 64, 4, 2_000
 #: Groups over which a leader's pairs are dealt.
 SALTS = 64
+SEED = 53
 #: Tables of links and buckets are read with so many rows a task; those that fit one task need no shuffle.
 ROWS_PER_TASK = 200_000
 #: Cells in which elements are counted to put the rarest first.
 CELLS = 1 << 18
 #: So many elements before each in a prefix are kept with it, to see that two sets have met already.
-BEFORE = 6
+BEFORE = 24
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -279,15 +282,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         early = F.max(F.col("pos") <= F.col("n") * (1 - 2 * threshold / (1 + threshold)) + 1e-6)
         several = state.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), early.alias("early")).filter("lo <> hi and early").select("token")
         state = sized(state.join(several, "token", "left_semi").withColumn("turned", F.lit(False)), "prefixes")
-    leaders = LEADERS
+    share = FIRST_SHARE
     while state is not None:
         now = state.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         main = now.groupBy("token", "comp").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
         now = sized(now.join(main.select("token", "main"), "token"), "mixed")
-        turn = now.filter("not turned and comp <> main").withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy("node"))).filter(F.col("place") <= leaders)
-        turn = sized(turn.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("before").alias("before_b"), F.col("comp").alias("comp_b")), "leaders")
-        if turn.isEmpty():
+        turn = sized(now.filter("not turned and comp <> main").select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("before").alias("before_b"), F.col("comp").alias("comp_b")), "leaders")
+        waiting = turn.count()
+        if not waiting:
             break
+        if waiting > FEW and share < 1:
+            turn = turn.filter(draw("b", SEED) < share)
         now = now.join(turn.select("token", F.col("b").alias("node"), F.lit(True).alias("leads")), ["token", "node"], "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
         # a pair with an element in common further ahead is compared there
         pairs = now.filter("not turned").join(turn, "token").filter(~F.arrays_overlap("before", "before_b") & (F.col("comp") != F.col("comp_b")) & (~F.col("leads") | (F.col("node") > F.col("b"))) & reach(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b")))
@@ -295,7 +300,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         state = sized(now.select("token", "node", "n", "pos", "before", (F.col("turned") | F.col("leads")).alias("turned")), "prefixes")
         if not more.isEmpty():
             comps = sized(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)), "classes")
-        leaders *= LEADERS
+        share *= GROWTH
 
     classed = sig.join(copies, ["d1", "d2"]).select("id", "node").join(comps, "node", "left").select("id", F.coalesce("comp", "node").alias("class"), "node")
     rest = docs.filter(named(text_col).isNull() | named(id_col).isNull()).select(named(id_col).alias("id"), named(id_col).alias("class"), named(id_col).alias("node"))
