@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guardlake.llm import bpe, chat, decontam, langid, linededup, lzprint, neardup, pii, quality, sharding
+from guardlake.llm import bpe, chat, decontam, divergence, langid, linededup, lzprint, mixing, neardup, pii, quality, sharding, vafile
 from guardlake.llm.shared import spread, training_row, written
 
 
@@ -99,6 +99,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).drop("source")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def _crc_entry(c: int) -> int:
     for _ in range(8):
         c = (c >> 1) ^ 0xEDB88320 if c & 1 else c >> 1
@@ -172,6 +184,70 @@ FROM c GROUP BY conv_id
 """
 
 
+OP11_SQL = f"""
+WITH rows AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, 'null') AS stratum, len(coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []))::BIGINT AS size,
+         ('0x' || md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, ''))[1:15])::BIGINT AS h
+  FROM documents),
+sources AS (SELECT stratum, sum(size)::BIGINT AS size, CASE (row_number() OVER (ORDER BY stratum) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM rows GROUP BY stratum),
+ranked AS (
+  SELECT *, coalesce(sum(size) OVER (ORDER BY size / weight, stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS size_before,
+         coalesce(sum(weight) OVER (ORDER BY size / weight, stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_before,
+         sum(size) OVER () AS total, sum(weight) OVER () AS weights FROM sources),
+marked AS (SELECT *, (total - 3 * size_before) * weight >= 3 * size * (weights - weight_before) AS bounded FROM ranked),
+aims AS (
+  SELECT stratum, size AS source_size, CASE WHEN bounded THEN (3 * size)::DOUBLE
+         ELSE (weight * (total - 3 * coalesce(sum(size) FILTER (bounded) OVER (), 0)))::DOUBLE / (weights - coalesce(sum(weight) FILTER (bounded) OVER (), 0))::DOUBLE END AS target FROM marked),
+based AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(target / source_size)) ELSE 0 END::BIGINT AS base FROM aims),
+seen AS (SELECT rows.*, source_size, target, base, sum(size) OVER (PARTITION BY stratum ORDER BY h, r) - size AS before FROM rows JOIN based USING (stratum))
+SELECT doc_id, size, source_size, target, (base + (2 * (target - base * source_size - before) > size AND target > base * source_size)::INTEGER)::INTEGER AS copies,
+       (size * (base + (2 * (target - base * source_size - before) > size AND target > base * source_size)::INTEGER))::BIGINT AS taken
+FROM seen
+"""
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+tok AS (SELECT r, lang, source, unnest(w) AS t FROM d),
+kept AS (SELECT lang, t, count(*) AS n FROM tok GROUP BY lang, t HAVING count(DISTINCT r) >= 10),
+grp AS (SELECT DISTINCT lang, source FROM d),
+held AS (SELECT lang, source, t, count(*) AS n FROM tok SEMI JOIN kept USING (lang, t) GROUP BY lang, source, t),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+g AS (SELECT grp.lang, grp.source, v, (SELECT coalesce(sum(n), 0) FROM held WHERE held.lang = grp.lang AND held.source = grp.source) AS total FROM grp LEFT JOIN l USING (lang)),
+p AS (
+  SELECT g.lang, g.source, kept.t, coalesce(held.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(held.n, 0) + 2)) // (g.total + 2 * g.v) AS p,
+         1 + (1000000000::HUGEINT * (kept.n + 2)) // (l.total + 2 * l.v) AS q
+  FROM g JOIN kept USING (lang) JOIN l USING (lang) LEFT JOIN held ON held.lang = g.lang AND held.source = g.source AND held.t = kept.t),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', t, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM parts) WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def _kmeans_sql(rounds: int = 10, k: int = 8) -> str:
+    steps = [
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), false))",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('3:' || vec_id) AS h, v FROM v ORDER BY h, v LIMIT {k}))",
+    ]
+    for i in range(rounds + 1):
+        d = "list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, min({{'d': d, 'c': c}}) AS best FROM (SELECT r, c.c AS c, {d} AS d FROM v, c{i} c) GROUP BY r)")
+        if i < rounds:
+            steps.append(f"s{i} AS MATERIALIZED (SELECT c, j, sum(x) AS s, count(*) AS n FROM (SELECT best.c AS c, unnest(v) AS x, unnest(range(64)) AS j FROM a{i} JOIN v USING (r)) GROUP BY c, j)")
+            steps.append(f"m{i} AS MATERIALIZED (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS v FROM s{i} GROUP BY c)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} USING (c))")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} c ON c.c = best.c
+"""
+
+
+OP13_SQL = _kmeans_sql()
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -190,9 +266,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dedup": op8_near_dedup,
         "op9_quality": op9_quality,
         "op10_decontamination": op10_decontamination,
+        "op11_mixing": op11_mixing,
+        "op12_divergence": op12_divergence,
+        "op13_centroids": op13_centroids,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1_SQL, "op5_chat_format": OP5_SQL, "op6_line_dedup": OP6_SQL, "op10_decontamination": OP10_SQL}
+    return {"op1_sharding": OP1_SQL, "op5_chat_format": OP5_SQL, "op6_line_dedup": OP6_SQL, "op10_decontamination": OP10_SQL, "op11_mixing": OP11_SQL, "op12_divergence": OP12_SQL, "op13_centroids": OP13_SQL}

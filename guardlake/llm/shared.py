@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,10 @@ from guardlake.functions.steps import new_path, remove_path, spread, written  #
 
 #: Rows that a task's Python side handles together.
 ROWS_AT_ONCE = 1000
+#: A written table of up to so many rows is broadcast in a join; a larger one is shuffled.
+MAX_BROADCAST_ROWS = 100_000
+#: Rows that one task puts in order.
+ROWS_IN_ORDER = 500_000
 
 
 def in_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
@@ -74,3 +78,25 @@ def bounded_share(rows: int, bound: int) -> float:
 def draw(doc_id: str, seed: int) -> Column:
     """A number in [0, 1) that depends on the row's id alone."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), named(doc_id)), 11) / F.lit(float(1 << 53))
+
+
+def small(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has few enough rows, which are counted: for tables that are written already."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def in_order(df: DataFrame, order: Sequence[str], sums: Sequence[str] = (), name: str = "in-order") -> DataFrame:
+    """df with `position` (from 0, by the columns `order`) and, for each column x of `sums`, x_before: its sum over the rows before.
+
+    Ranges of the order are sorted on their own, and stand on top of the counts and sums of the ranges before them.
+    """
+    parts = max(1, -(-df.count() // ROWS_IN_ORDER))
+    rows = written(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), name)
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    held = rows.groupBy("_range").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in sums])
+    over = earlier.orderBy("_range")
+    offsets = held.select("_range", *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"_o{c}") for c in held.columns[1:]])
+    own = Window.partitionBy("_range").orderBy(*order)
+    out = rows.withColumns({"position": F.row_number().over(own) - 1, **{f"{c}_before": F.coalesce(F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for c in sums}})
+    out = out.join(F.broadcast(offsets), "_range")
+    return out.select(*df.columns, (F.col("position") + F.col("_o_n")).cast("long").alias("position"), *[(F.col(f"{c}_before") + F.col(f"_o_s_{c}")).alias(f"{c}_before") for c in sums])
