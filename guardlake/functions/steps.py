@@ -7,8 +7,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Only for local sessions that name no shared folder, as in tests.
 _own_dir: list[str] = []
@@ -37,10 +40,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{steps_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again."""
+def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df, written to the shared folder and read again; in folders by the columns `by`, if any are named."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -50,6 +53,17 @@ def remove_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def held(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """df, written for as long as the block runs: for what several outputs are made of."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        remove_path(df.sparkSession, path)
+
+
 def remove_steps(spark: SparkSession) -> None:
     """Deletes all steps that this application has written. Results that still read them must have been saved before."""
     remove_path(spark, steps_dir(spark))
@@ -62,3 +76,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def once(df: DataFrame, **made: Column) -> DataFrame:
+    """df with the columns `made`, worked out once a row.
+
+    They come out of a generator of one row: the optimiser cannot put them in place where later projections and filters name
+    them, nor push what follows below a union, so a long expression stands in the plan once.
+    """
+    old = [c for c in df.columns if c not in made]
+    return df.select(*old, F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))

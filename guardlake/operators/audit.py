@@ -13,6 +13,11 @@ from guardlake.functions.hashing import GENESIS, content_hash, hmac_sha256
 from guardlake.functions.ordered import fields, scan_in_order
 
 
+def chained(key: bytes, own_hash: str, prev: str) -> str:
+    """The hash of an entry that follows the one with hash prev."""
+    return hmac.new(key, (own_hash + prev).encode(), hashlib.sha256).hexdigest()
+
+
 def build_chain(entries: DataFrame, key: bytes, heads: DataFrame | None = None) -> DataFrame:
     """entries (log_id, seq, payload) with content_hash, prev_hash, hmac; from `heads` (log_id, hmac) on, else from genesis."""
     hashed = entries.select("log_id", "seq", "payload", content_hash(F.col("payload")).alias("content_hash"))
@@ -23,7 +28,7 @@ def build_chain(entries: DataFrame, key: bytes, heads: DataFrame | None = None)
 
     def link(prev, row):
         prev = prev or row["head"] or GENESIS
-        mac = hmac.new(key, (row["content_hash"] + prev).encode(), hashlib.sha256).hexdigest()
+        mac = chained(key, row["content_hash"], prev)
         return mac, {**{c: row[c] for c in ("log_id", "seq", "payload", "content_hash")}, "prev_hash": prev, "hmac": mac}
 
     return scan_in_order(hashed, ["log_id"], ["seq"], link, fields(hashed, "log_id", "seq", "payload", "content_hash", prev_hash=T.StringType(), hmac=T.StringType()))
@@ -78,17 +83,48 @@ def chain_head(chain: DataFrame) -> DataFrame:
 
 
 def audit_events(decisions: DataFrame, sanitized: DataFrame | None = None) -> DataFrame:
-    """request_id, stage, payload: one event for each decision but allowed chat reads, and one more for each report."""
+    """request_id, stage, ts, session_id, decision, payload: one event for each decision but allowed chat reads, and one more for each report.
+
+    The payload has the request's id and time, a summary of action and origin, the decision with its reason, the session if the decisions
+    have one, and in the second event the report. Fields that are null are left out.
+    """
     reads = F.col("action").isin("ListSessions", "GetSessionStatus", "ReadSessionOutput", "ListGroups", "GetSystemStatus") & F.col("origin_kind").isin("BridgeTelegram", "BridgeSlack") & (F.col("decision") == "Allow")
-    first = decisions.filter(~reads).select("request_id", F.lit(0).alias("stage"), F.to_json(F.struct("request_id", "action", "origin_kind", "decision")).alias("payload"))
+    session = F.col("session_id").cast("string") if "session_id" in decisions.columns else F.lit(None).cast("string")
+    rows = decisions.filter(~F.coalesce(reads, F.lit(False))).withColumn("session_id", session)
+    own = ("request_id", F.unix_micros("ts").alias("ts_us"), "action", "origin_kind", "principal", "decision", F.nullif("reason", F.lit("")).alias("reason"), "session_id")
+    event = lambda stage, *more: [F.lit(stage).alias("stage"), "ts", "session_id", "decision", F.to_json(F.struct(*own, *more)).alias("payload")]
+    first = rows.select("request_id", *event(0))
     if sanitized is None:
         return first
-    second = sanitized.select("request_id", F.lit(1).alias("stage"), F.to_json(F.struct("request_id", "risk_score")).alias("payload"))
-    return first.unionByName(second)
+    report = F.struct(*[F.col(f"_report.{c}") for c in sanitized.columns if c != "request_id"]).alias("report")
+    reported = sanitized.select("request_id", F.struct(*[c for c in sanitized.columns if c != "request_id"]).alias("_report"))
+    return first.unionByName(decisions.withColumn("session_id", session).join(reported, "request_id").select("request_id", *event(1, report)))
+
+
+#: Folders of one day over which sessions are dealt.
+SESSION_PARTS = 8
+
+
+def _session_part(session: Column) -> Column:
+    return F.pmod(F.xxhash64(session), F.lit(SESSION_PARTS)).cast("int")
+
+
+def write_events(events: DataFrame, path: str) -> None:
+    """Adds events (ts, session_id, ...) to a table in folders by day and, in a day, by a hash of the session."""
+    laid = events.withColumns({"day": F.to_date("ts"), "part": _session_part(F.col("session_id"))})
+    laid.repartition("day", "part").write.mode("append").partitionBy("day", "part").parquet(path)
 
 
 def audit_search(events: DataFrame, since=None, until=None, session=None, decision=None) -> DataFrame:
+    """The events from `since` on, before `until`, of a session, with a decision; what is None does not matter.
+
+    On a table of write_events() only the days and the session's folders that can hold such events are read.
+    """
     for value, test in ((since, F.col("ts") >= F.lit(since)), (until, F.col("ts") < F.lit(until)), (session, F.col("session_id") == F.lit(session)), (decision, F.col("decision") == F.lit(decision))):
         if value is not None:
             events = events.filter(test)
+    if "day" in events.columns and "part" in events.columns:
+        for value, test in ((since, F.col("day") >= F.to_date(F.lit(since))), (until, F.col("day") <= F.to_date(F.lit(until))), (session, F.col("part") == _session_part(F.lit(session)))):
+            if value is not None:
+                events = events.filter(test)
     return events

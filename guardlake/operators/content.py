@@ -11,6 +11,7 @@ from guardlake import rules
 from guardlake.config import ContentConfig
 from guardlake.functions import text as X
 from guardlake.functions.hashing import fingerprint, hmac_sha256
+from guardlake.functions.steps import once, written
 from guardlake.operators import formats
 
 # What makes the first 1024 bytes an HTML document.
@@ -259,22 +260,36 @@ def assessed(clean: DataFrame, content_type: str | None = None, config: ContentC
     return clean.withColumns({"risk_score": risk_score(F.col("findings"), F.col("stripped_count"), F.col("repetition_ratio"), config), "flags": derive_flags(F.col("findings"), F.col("categories"))})
 
 
-def clean_formats(routed: DataFrame, text: str = "text", config: ContentConfig = ContentConfig()) -> DataFrame:
-    """routed with plain (the text that its format's cleaning leaves), elements (map of what was stripped to its count)
+def admit(df: DataFrame, config: ContentConfig = ContentConfig(), id_col: str = "content_id", text: str = "text", source: str = "source", declared: str = "declared_type") -> DataFrame:
+    """id_col, source, body (text, null if rejected), content_type, routed_from, bytes_in, fingerprint_in, reject_reason.
+
+    Payloads are bytes or strings. Reasons, the first that holds: Missing (no payload or no source), UnsupportedContentType (a declared
+    type that is null or no alias of one), SizeExceeded, InvalidEncoding (bytes that are not UTF-8, which are never repaired).
+    """
+    raw = F.col(text).cast("binary")
+    typed = route(df.select(F.col(id_col), F.col(source).cast("string").alias("source"), raw.alias("_raw"), content_type_of(F.col(declared)).alias("_kind")), "_kind", "_raw")
+    raw = F.col("_raw")
+    reason = (
+        F.when(raw.isNull() | F.col("source").isNull(), "Missing").when(F.col("_kind").isNull(), "UnsupportedContentType")
+        .when(F.octet_length(raw) > config.max_bytes, "SizeExceeded").when(~utf8_guard(raw), "InvalidEncoding")
+    )
+    rows = once(typed, content_type=F.col("content_type"), routed_from=F.col("routed_from"), bytes_in=F.octet_length(raw), fingerprint_in=fingerprint(raw, config.key), reject_reason=reason)
+    return rows.withColumn("body", F.when(F.col("reject_reason").isNull(), raw.cast("string"))).drop("_raw", "_kind")
+
+
+def clean_formats(admitted: DataFrame, config: ContentConfig = ContentConfig()) -> DataFrame:
+    """admitted rows with plain (the text that its format's cleaning leaves), elements (map of what was stripped to its count)
     and, for JSON, format_error and the count and categories of what its strings lost.
 
-    A format is cleaned once for each distinct text, by its hash; rows with a reject_reason are not looked at.
+    Plain texts, logs and rejected rows are cleaned where they are read. Those of a format of their own are written once, in a
+    folder for each format, and each format's job reads its own, once for each distinct text; formats without rows have no job.
     """
     own = F.col("reject_reason").isNull() & F.coalesce(F.col("content_type").isin(*FORMATS), F.lit(False))
     none = {"format_error": F.lit(None).cast("string"), "format_count": F.lit(None).cast("int"), "format_categories": F.lit(None).cast("array<string>")}
     counted = lambda **n: F.map_from_entries(F.array_compact(F.array(*[F.when(c > 0, F.struct(F.lit(k.replace("_", "-")).alias("key"), c.cast("int").alias("value"))) for k, c in n.items()])))
 
-    rest = routed.filter(~own)
-    bare = rest.withColumns({"plain": F.when(F.col("reject_reason").isNull(), X.strip_ansi(F.col(text))), "elements": F.create_map(F.lit("ansi-escape"), X.ansi_count(F.col(text))), **none})
-
-    def lane(kind: str, clean) -> DataFrame:
-        rows = routed.filter(own & (F.col("content_type") == kind)).withColumn("_key", F.sha2(F.col(text), 256))
-        return rows.join(clean(rows.filter(F.col(text).isNotNull()).select("_key", F.col(text).alias("_text")).distinct()), "_key", "left").drop("_key")
+    out = admitted.filter(~own).withColumns({"plain": X.strip_ansi(F.col("body")), "elements": F.create_map(F.lit("ansi-escape"), X.ansi_count(F.coalesce("body", F.lit("")))), **none})
+    lanes = written(admitted.filter(own).withColumn("_key", F.sha2("body", 256)), "format-lanes", ("content_type",))
 
     def html(texts: DataFrame) -> DataFrame:
         return formats.clean_html(texts, "_key", "_text").select("_key", F.col("text").alias("plain"), F.col("stripped").cast("map<string,int>").alias("elements")).withColumns(none)
@@ -287,30 +302,48 @@ def clean_formats(routed: DataFrame, text: str = "text", config: ContentConfig =
         out = formats.normalize_json(texts, "_key", "_text", config.max_json_depth)
         return out.select("_key", F.col("cleaned").alias("plain"), counted(json_key_collision=F.col("collisions")).alias("elements"), F.col("error").alias("format_error"), F.col("stripped_count").alias("format_count"), F.col("categories").alias("format_categories"))
 
-    return bare.unionByName(lane("Html", html)).unionByName(lane("Markdown", markdown)).unionByName(lane("Json", parsed))
+    for kind in sorted(r[0] for r in lanes.select("content_type").distinct().collect()):
+        rows = lanes.filter(F.col("content_type") == kind)
+        clean = dict(zip(FORMATS, (html, markdown, parsed)))[kind]
+        texts = rows.select("_key", F.col("body").alias("_text")).dropDuplicates(["_key"])
+        out = out.unionByName(rows.join(clean(texts), "_key", "left").drop("_key"))
+    return once(out, plain=F.col("plain"), elements=F.col("elements"))
 
 
 def sanitize(df: DataFrame, config: ContentConfig = ContentConfig(), id_col: str = "content_id", text: str = "text", source: str = "source", declared: str = "declared_type") -> DataFrame:
-    """One row for each payload: its wrapped text and report, or a reject_reason.
+    """One row for each payload: its wrapped text and report, or a reject_reason; never both, never neither.
 
-    Stages in order: size, HTML sniff, the format's own cleaning (terminal escapes for plain text and logs), invisible
-    characters, scan, score, header guard, nonce, wrap.
+    Stages in order: presence, declared type (by alias), size, encoding, HTML sniff, the format's own cleaning (terminal escapes for plain
+    text and logs), invisible characters, scan, score, header guard, nonce, wrap. Payloads are bytes or strings.
     """
-    sized = size_guard(df, text, config.max_bytes)
-    routed = route(sized, declared, text)
-    clean = normalised(clean_formats(routed.withColumn("bytes_in", F.octet_length(text)), text, config), "plain")
+    clean = normalised(clean_formats(admit(df, config, id_col, text, source, declared), config), "plain")
     clean = clean.withColumns({"stripped_count": F.coalesce("format_count", "stripped_count"), "categories": F.coalesce("format_categories", "categories")})
     out = assessed(clean, "content_type", config)
-    rule_ids = F.array_distinct(F.transform("findings", lambda f: f["rule_id"]))
-    bad = header_injection(source=F.col(source).cast("string"))
     nonce = assign_nonce(F.col(id_col), F.col("cleaned"), config)
-    out = out.withColumns({"header_injection": bad, "nonce": nonce, "rule_ids": rule_ids})
-    reason = F.coalesce(F.col("reject_reason"), F.col("format_error"), F.when(F.col("header_injection").isNotNull(), "HeaderInjection"), F.when(F.col("nonce").isNull(), "NonceCollision"))
-    wrapped = wrap_provenance(F.col("cleaned"), F.col("nonce"), F.col(source).cast("string"), F.col("content_type"), F.col("flags"), F.col("rule_ids"))
+    rule_ids = F.array_distinct(F.transform("findings", lambda f: f["rule_id"]))
+    first = F.coalesce(F.col("reject_reason"), F.col("format_error"), F.when(header_injection(source=F.col("source")).isNotNull(), "HeaderInjection"))
+    out = once(out, nonce=nonce, rule_ids=rule_ids, reject_reason=first, flags=F.col("flags"), risk_score=F.col("risk_score"))
+    reason = F.coalesce(F.col("reject_reason"), F.when(F.col("nonce").isNull(), "NonceCollision"))
+    wrapped = wrap_provenance(F.col("cleaned"), F.col("nonce"), F.col("source"), F.col("content_type"), F.col("flags"), F.col("rule_ids"))
     return out.select(
-        F.col(id_col), F.col(source).cast("string").alias("source"), "content_type", "routed_from", "bytes_in", F.octet_length("cleaned").alias("bytes_out"),
+        F.col(id_col), "source", "content_type", "routed_from", "bytes_in", F.octet_length("cleaned").alias("bytes_out"),
         F.coalesce("elements", F.expr("CAST(map() AS map<string,int>)")).alias("stripped_elements"), "stripped_count", "categories", "findings", "risk_score", "repetition_ratio", "flags",
         F.lit(config.schema_version).alias("schema_version"), F.lit(config.ruleset_version).alias("ruleset_version"), F.lit(config.scoring_version).alias("scoring_version"),
         F.when(reason.isNull(), F.col("nonce")).alias("nonce"), F.when(reason.isNull(), wrapped).alias("wrapped"), reason.alias("reject_reason"),
-        fingerprint(F.col(text), config.key).alias("fingerprint_in"), fingerprint(F.col("cleaned"), config.key).alias("fingerprint_out"),
+        "fingerprint_in", fingerprint(F.col("cleaned"), config.key).alias("fingerprint_out"),
     )
+
+
+def outputs(sanitized: DataFrame, id_col: str = "content_id") -> dict[str, DataFrame]:
+    """The tables that sanitized rows make: clean (wrapped texts), reports and findings of those that passed, and quarantine.
+
+    Every row is in clean and reports, or in quarantine. A quarantined row keeps its source, size and fingerprint, and no text.
+    """
+    passed = sanitized.filter("reject_reason is null")
+    report = [id_col, "content_type", "routed_from", "bytes_in", "bytes_out", "stripped_elements", "stripped_count", "categories", "risk_score", "repetition_ratio", "flags", "schema_version", "ruleset_version", "scoring_version", "fingerprint_in", "fingerprint_out"]
+    return {
+        "clean": passed.select(id_col, "source", "content_type", "nonce", "wrapped"),
+        "reports": passed.select(*report),
+        "findings": explode_findings(passed.select(id_col, "content_type", "findings")),
+        "quarantine": sanitized.filter("reject_reason is not null").select(id_col, "source", "content_type", "bytes_in", "reject_reason", "fingerprint_in"),
+    }

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import html as entities
 import json
+import math
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from guardlake.functions.steps import written
 from guardlake.functions.text import CSS_COMMENT, HIDDEN_KEYWORD, OPACITY, is_hidden_style, strip_categories, strip_counts, strip_invisible
 
 # Elements that break lines, that have no content, and that never show.
@@ -126,8 +128,10 @@ def stripped_elements(tokens: DataFrame, id_col: str = "page_id") -> DataFrame:
 
 
 def clean_html(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
-    """id, text, stripped (map of element to count) of every page."""
+    """id, text, stripped (map of element to count) of every page. Tokens are made and written once, with what the jobs after them read."""
     tokens = hidden_tokens(html_tokens(pages, id_col, html), hidden_classes(pages, id_col, html), id_col)
+    shown = F.when(~F.col("drop") & (F.col("kind") == "text"), F.col("token")).alias("token")
+    tokens = written(tokens.select(id_col, "pos", "kind", "tag", "drop", "why", "aria", "title", "alt", shown), "html-tokens")
     counts = stripped_elements(tokens, id_col).unionByName(attr_signals(tokens, id_col).withColumnRenamed("signal", "element"))
     counts = counts.groupBy(id_col).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("element", "n")))).alias("stripped"))
     return pages.select(id_col).join(visible_text(tokens, id_col), id_col, "left").join(counts, id_col, "left").withColumn("text", F.coalesce("text", F.lit("")))
@@ -236,8 +240,12 @@ def normalize_json(df: DataFrame, id_col: str, col: str, max_depth: int = 64) ->
         def refuse(constant):
             raise ValueError(constant)
 
+        def finite(number):
+            value = float(number)
+            return value if math.isfinite(value) else refuse(number)
+
         try:
-            out = json.dumps(walk(json.loads(text, parse_constant=refuse), 0), separators=(",", ":"), ensure_ascii=False)
+            out = json.dumps(walk(json.loads(text, parse_constant=refuse, parse_float=finite), 0), separators=(",", ":"), ensure_ascii=False)
             "".join([out, *marked]).encode()  # a lone surrogate is no text
             return out, *counts, marked, None
         except RecursionError:

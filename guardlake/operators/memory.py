@@ -76,6 +76,18 @@ def consolidate(episodes: DataFrame, learnings: DataFrame, now: Column, config:
     return mark_stale(kept.unionByName(promote(found, learnings, config)), now, config)
 
 
+def consolidation_report(episodes: DataFrame, learnings: DataFrame, now: Column, config: MemoryConfig = MemoryConfig()) -> DataFrame:
+    """One row about a pass: promoted, marked_stale, archived, and a summary line that says so."""
+    found = candidates(episodes)
+    new = promote(found, learnings, config)
+    before = reinforce(found, learnings).select("text", "count", "last_seen", "stale").unionByName(new).withColumn("was", F.col("stale"))
+    turned = mark_stale(before, now, config).filter("stale and not was")
+    kinds = [("promoted", new), ("marked_stale", turned), ("archived", archive(episodes, now, config))]
+    each = [df.select(F.lit(name).alias("kind")) for name, df in kinds]
+    counts = each[0].unionByName(each[1]).unionByName(each[2]).agg(*[F.count_if(F.col("kind") == name).alias(name) for name, _ in kinds])
+    return counts.withColumn("summary", F.format_string("promoted %d, marked %d stale, %d episodes for archival", "promoted", "marked_stale", "archived"))
+
+
 def parse_learnings(lines: DataFrame, mark: str = MARK) -> DataFrame:
     """doc_id, pos, text, count, last_seen, stale from Markdown lines (doc_id, line_no, line): a bullet and, on the next line, its comment."""
     trimmed = lines.withColumn("t", F.trim("line"))

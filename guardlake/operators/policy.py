@@ -15,9 +15,10 @@ from guardlake.functions.ordered import fields, scan_in_order
 TIERS = {"T0": 0, "T1": 1, "T2": 2, "T3": 3}
 
 
-def tier_of(name: Column) -> Column:
-    """0 to 3 for T0 to T3 in any case, else null."""
-    return F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv])[F.upper(name)]
+def tier_of(name: Column, strict: bool = False) -> Column:
+    """0 to 3 for T0 to T3 in any case. Another name is null, or, if strict, fails the query; a null name is null."""
+    tier = F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv])[F.upper(name)]
+    return F.when(name.isNotNull() & tier.isNull(), F.raise_error(F.concat(F.lit("unknown tier: "), name)).cast("int")).otherwise(tier) if strict else tier
 
 
 @dataclass(frozen=True)
@@ -118,30 +119,47 @@ def match_grants(requests: DataFrame, grants: DataFrame) -> DataFrame:
     return both.filter("turn = 0 and grant is not null").groupBy("request_id").agg(F.max("grant").alias("grant")).select("request_id", "grant.grant_id")
 
 
-def consume_grants(requests: DataFrame, grants: DataFrame) -> DataFrame:
-    """request_id, grant_id: requests spend uses in time order; a spent grant gives way to the next newest."""
+def grant_row(grants: DataFrame) -> DataFrame:
+    """grants as rows that grant_step() takes: by principal and capability, at the time of issue."""
+    left = (F.col("max_uses") - F.col("uses")).cast("long").alias("left")
+    return grants.select("principal", "capability", F.lit(0).alias("turn"), F.unix_micros("issued_at").alias("at"), F.col("grant_id").cast("string").alias("id"), "grant_id", "scope", F.unix_micros("expires_at").alias("until"), left)
 
-    key = ["principal", "capability"]
-    held = grants.select(*key, F.lit(0).alias("turn"), (-F.unix_micros("issued_at")).alias("at"), F.col("grant_id").alias("id"), "grant_id", "scope", F.unix_micros("expires_at").alias("until"), (F.col("max_uses") - F.col("uses")).cast("long").alias("left"))
-    asked = requests.select(*key, F.lit(1).alias("turn"), F.unix_micros("ts").alias("at"), F.col("request_id").cast("string").alias("id"), "request_id", "resource")
 
-    def spend(state, row):
-        state = [] if state is None else state
-        if row["turn"] == 0:
-            state.append(row)
-            return state, None
-        resource = row["resource"]
-        for g in state:
-            scope = g["scope"]
-            inside = scope is None or (resource is not None and (resource == scope or resource.startswith(scope.rstrip("/") + "/")))
-            if inside and g["until"] > row["at"] and (g["left"] is None or g["left"] > 0):
-                g["left"] = None if g["left"] is None else g["left"] - 1
-                return state, {"request_id": row["request_id"], "grant_id": g["grant_id"]}
+def grant_step(state: list[list] | None, row: dict) -> tuple[list[list], object]:
+    """The usable grants after a row, newest first, each as [grant_id, scope, until, left, issued]; and the grant that a request spends, or None.
+
+    A row is a grant (turn 0) or a request (turn 1); requests come in order of time. A scope covers its resource and, by whole
+    components, what is below it. A grant serves from its issue until it ends or has no use left.
+    """
+    state, now = state or [], row["at"]
+    if row["turn"] == 0:
+        if row["until"] > now and (row["left"] is None or row["left"] > 0):
+            place = next((i for i, g in enumerate(state) if (g[4], g[0]) < (now, row["grant_id"])), len(state))
+            state.insert(place, [row["grant_id"], row["scope"], row["until"], row["left"], now])
         return state, None
+    state, resource = [g for g in state if g[2] > now], row["resource"]
+    for i, g in enumerate(state):
+        if g[4] <= now and (g[1] is None or (resource is not None and (resource == g[1] or resource.startswith(g[1].rstrip("/") + "/")))):
+            if g[3] is not None:
+                g[3] -= 1
+                if g[3] == 0:
+                    del state[i]
+            return state, g[0]
+    return state, None
+
+
+def consume_grants(requests: DataFrame, grants: DataFrame) -> DataFrame:
+    """request_id, grant_id: requests spend uses in time order; a spent grant gives way to the next newest. Grants serve from
+    their issue on; rows of one time are taken grants first, then by id."""
+    asked = requests.select("principal", "capability", F.lit(1).alias("turn"), F.unix_micros("ts").alias("at"), F.col("request_id").cast("string").alias("id"), "request_id", "resource")
 
-    both = asked.unionByName(held.withColumn("id", F.col("id").cast("string")), allowMissingColumns=True)
+    def spend(state, row):
+        state, grant = grant_step(state, row)
+        return state, None if grant is None else {"request_id": row["request_id"], "grant_id": grant}
+
+    both = asked.unionByName(grant_row(grants), allowMissingColumns=True)
     schema = T.StructType([requests.schema["request_id"], grants.schema["grant_id"]])
-    return scan_in_order(both, key, ["turn", "at", "request_id", F.desc("id")], spend, schema)
+    return scan_in_order(both, ["principal", "capability"], ["at", "turn", "request_id", "id"], spend, schema)
 
 
 def fatigue_step(times: list[float], state: tuple[list[float], float | None], config: FatigueConfig) -> tuple[list[str], tuple[list[float], float | None]]:
@@ -181,20 +199,34 @@ def fatigue_rate(requests: DataFrame, key: str = "principal", config: FatigueCon
 def checked(requests: DataFrame, overrides: DataFrame | None = None, postures: DataFrame | None = None, guard_key: str | None = None, dims: Dimensions = Dimensions()) -> DataFrame:
     """requests with what decides before grants: capability, tier, principal, effective ceiling, zone_ok and, if a guard
     key is named, the fatigue level of requests from T2 on that passed the others."""
-    r = resource_scope(classify_actions(requests, dims))
-    r = resolve_principal(r, overrides, postures, dims).withColumn("effective", effective_ceiling(F.col("ceiling"), F.col("posture")))
-    r = zone_check(r, dims)
+    r = placed(requests, overrides, postures, dims)
     if not guard_key:
         return r.withColumn("level", F.lit(None).cast("string"))
-    guarded = r.filter((F.col("posture") != "Revoked") & (F.col("required_tier") <= F.col("effective")) & F.col("zone_ok") & (F.col("required_tier") >= 2))
-    return r.join(fatigue(guarded, guard_key), "request_id", "left")
+    return r.join(fatigue(r.filter(is_guarded()), guard_key), "request_id", "left")
 
 
-def asks_grants(checked: DataFrame) -> DataFrame:
-    """The rows that only a grant can allow: nothing denied them, and neither a human nor, below T3, the local origin approved."""
+def placed(requests: DataFrame, overrides: DataFrame | None = None, postures: DataFrame | None = None, dims: Dimensions = Dimensions()) -> DataFrame:
+    """requests with all that depends on the row and the dimensions alone: no state, so on a stream too."""
+    r = resource_scope(classify_actions(requests, dims))
+    r = resolve_principal(r, overrides, postures, dims).withColumn("effective", effective_ceiling(F.col("ceiling"), F.col("posture")))
+    return zone_check(r, dims)
+
+
+def is_guarded() -> Column:
+    """Of placed rows, those that fatigue looks at: from T2 on, and not denied before."""
+    tier = F.col("required_tier")
+    return F.coalesce((F.col("posture") != "Revoked") & (tier <= F.col("effective")) & F.col("zone_ok") & (tier >= 2), F.lit(False))
+
+
+def is_asking() -> Column:
+    """Of checked rows, those that only a grant can allow: nothing denied them, and neither a human nor, below T3, the local origin approved."""
     tier, origin = F.col("required_tier"), F.col("origin_kind")
     passed = (F.col("posture") != "Revoked") & (tier <= F.col("effective")) & F.col("zone_ok") & ~F.coalesce(F.col("level").isin("Cooldown", "HighRisk"), F.lit(False))
-    return checked.filter(passed & ((tier >= 2) | F.col("requires_grant")) & (origin != "HumanApproved") & ((tier >= 3) | (origin != "LocalCli")))
+    return F.coalesce(passed & ((tier >= 2) | F.col("requires_grant")) & (origin != "HumanApproved") & ((tier >= 3) | (origin != "LocalCli")), F.lit(False))
+
+
+def asks_grants(checked: DataFrame) -> DataFrame:
+    return checked.filter(is_asking())
 
 
 def evaluate(requests: DataFrame, grants: DataFrame, overrides: DataFrame | None = None, postures: DataFrame | None = None, guard_key: str | None = None, dims: Dimensions = Dimensions()) -> DataFrame:
@@ -205,7 +237,11 @@ def evaluate(requests: DataFrame, grants: DataFrame, overrides: DataFrame | None
     that a grant allows spends one use of it, in time order.
     """
     r = checked(requests, overrides, postures, guard_key, dims)
-    r = r.join(consume_grants(asks_grants(r), grants), "request_id", "left")
+    return decided(r.join(consume_grants(asks_grants(r), grants), "request_id", "left"))
+
+
+def decided(r: DataFrame) -> DataFrame:
+    """The decision on checked rows with the grant_id that they spend, or null."""
     human, tier = F.col("origin_kind") == "HumanApproved", F.col("required_tier")
     step = (
         F.when(F.col("capability").isNull() | F.col("zone").isNull(), "Unknown:unknown action or origin")
@@ -225,9 +261,20 @@ def evaluate_result(requests: DataFrame, reports: DataFrame) -> DataFrame:
     return out.select("request_id", F.when(ok, "Allow").otherwise("Deny").alias("decision"), F.when(~ok & F.col("report_type").isNull(), "report missing").when(~ok, "type mismatch").otherwise("").alias("reason"))
 
 
+def is_usable(now: Column) -> Column:
+    """A grant that is neither expired nor used up."""
+    return (F.col("expires_at") > now) & (F.col("max_uses").isNull() | (F.col("uses") < F.col("max_uses")))
+
+
 def cleanup_grants(grants: DataFrame, now: Column) -> DataFrame:
     """The grants that are neither expired nor used up."""
-    return grants.filter((F.col("expires_at") > now) & (F.col("max_uses").isNull() | (F.col("uses") < F.col("max_uses"))))
+    return grants.filter(is_usable(now))
+
+
+def cleanup_report(grants: DataFrame, now: Column) -> DataFrame:
+    """One row: kept, removed, and of the removed how many had expired and how many were used up but not expired."""
+    gone, late = ~F.coalesce(is_usable(now), F.lit(False)), F.col("expires_at") <= now
+    return grants.agg(F.count_if(~gone).alias("kept"), F.count_if(gone).alias("removed"), F.count_if(gone & late).alias("expired"), F.count_if(gone & ~late).alias("used_up"))
 
 
 def upsert_grants(old: DataFrame, new: DataFrame) -> DataFrame:

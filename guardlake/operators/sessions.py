@@ -19,6 +19,22 @@ def signals(output: Column, patterns=rules.STATUS_PATTERNS) -> Column:
     return F.array_compact(F.array(*[F.when(tail.rlike(p), F.lit(s)) for s, p in patterns]))
 
 
+def signal_rows(outputs: DataFrame, patterns: DataFrame, id_col: str = "session_id") -> DataFrame:
+    """id_col, position, kind (Completion or Status), state, confidence, summary (what matched): a row for each signal in the last 20
+    lines of an output (tool, output), in the order of its tool's patterns.
+
+    patterns is as rules.signal_patterns(): a small table; those of 'default' serve the tools without any. A null output has no signals.
+    Outputs meet the patterns of their tool by equality, one at a time.
+    """
+    own = patterns.select("tool").distinct().withColumn("_own", F.lit(True))
+    tail = F.array_join(tail_lines(strip_ansi(F.col("output"))), "\n")
+    rows = outputs.join(F.broadcast(own), "tool", "left").select(id_col, F.when(F.col("_own"), F.col("tool")).otherwise("default").alias("tool"), tail.alias("_tail"))
+    held = patterns.groupBy("tool").agg(F.array_sort(F.collect_list(F.struct("position", "kind", "state", "confidence", "pattern"))).alias("_patterns"))
+    found = rows.join(F.broadcast(held), "tool").select(id_col, "_tail", F.explode("_patterns").alias("p"))
+    found = found.select(id_col, "p.position", "p.kind", "p.state", "p.confidence", F.regexp_substr(F.col("_tail"), F.col("p.pattern")).alias("summary"))
+    return found.filter("summary is not null")
+
+
 def tool_missing(output: Column) -> Column:
     return F.exists(tail_lines(output, 10), lambda line: F.contains(line, F.lit(rules.TOOL_MISSING[0])) | F.contains(line, F.lit(rules.TOOL_MISSING[1])) | F.contains(line, F.lit(rules.TOOL_MISSING[2])))
 

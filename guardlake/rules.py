@@ -71,7 +71,8 @@ ORIGINS = (
 # Zone transitions allowed, with the least ceiling; a zone may always reach itself.
 ZONES = ("Ingress", "ControlPlane", "AgentRuntime", "HostPrivileged")
 TRANSITIONS = (("Ingress", "ControlPlane", 0), ("AgentRuntime", "ControlPlane", 0), ("ControlPlane", "AgentRuntime", 0), ("ControlPlane", "HostPrivileged", 3))
-# What a session's output says about its state, in order; and that it is done.
+# What in a session's output says that a task is done; and, in order, what says in which state the session is.
+COMPLETION = r"(?mi)(task complete|done\.|finished\.|completed successfully)"
 STATUS_PATTERNS = (("Waiting", r"(?m)(╰─|>\s*$|What would you like)"), ("Error", r"(?mi)(^error:|panic|fatal error|segmentation fault)"), ("Running", r"(Read\(|Edit\(|Bash\(|Write\(|Grep\(|Glob\()"))
 # What in an output asks for a decision, says that a tool is missing, and the ceilings of execution classes.
 DECISION_PHRASES = ("?", "which option", "should I", "do you want", "please choose", "waiting for", "your decision", "approve", "confirm")
@@ -88,6 +89,15 @@ def status_patterns(spark: SparkSession, tools: tuple[str, ...] = ("default",))
     return spark.createDataFrame([(t, i, s, p) for t in tools for i, (s, p) in enumerate(STATUS_PATTERNS)], "tool string, position int, state string, pattern string")
 
 
+SIGNAL_SCHEMA = "tool string, position int, kind string, state string, confidence string, pattern string"
+
+
+def signal_patterns(spark: SparkSession, tools: tuple[str, ...] = ("default",)) -> DataFrame:
+    """What each tool's output says, in order: that a task is done, which it says itself (High), then the states that it shows (Medium)."""
+    rows = [("Completion", None, "High", COMPLETION), *(("Status", state, "Medium", p) for state, p in STATUS_PATTERNS)]
+    return spark.createDataFrame([(t, i, *row) for t in tools for i, row in enumerate(rows)], SIGNAL_SCHEMA)
+
+
 def actions(spark: SparkSession) -> DataFrame:
     tiers = {c: (t, g) for c, t, g in CAPABILITIES}
     rows = [(a, c, *tiers[c], r, a == "FetchExternalContent") for a, c, r in ACTIONS]

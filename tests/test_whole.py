@@ -7,6 +7,7 @@ import re
 import unicodedata
 from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from guardlake import catalog
@@ -224,3 +225,41 @@ def test_references_of_any_length(spark):
     refs = spark.createDataFrame([("",), ("ABC",), ("abc124",), ("abc1245",), ("ABC123",), ("one",), ("z",)], "ref string")
     got = {r.ref: (r.session_id, r.status) for r in sessions.resolve_sessions(refs, s).collect()}
     assert got == {"": (None, "ambiguous"), "ABC": (None, "ambiguous"), "abc124": ("abc124", "ok"), "abc1245": (None, "not found"), "ABC123": ("AbC123", "ok"), "one": ("AbC123", "ok"), "z": ("zz", "ok")}
+
+
+def test_every_payload_is_wrapped_or_rejected(spark):
+    rows = [
+        ("alias", b"x", "s", "MD"), ("unknown", b"<b>", "s", "pdf"), ("no type", b"x", "s", None), ("no source", b"x", None, "text"), ("no text", None, "s", "text"),
+        ("bad bytes", b"ab\xc3", "s", "log"), ("bad html", b"<p>\xff", "s", "html"), ("huge", b"x" * 2_097_153, "s", "log"), ("header", b"x", "a\nb", "text"),
+        ("inf", b'{"a":1e400}', "s", "json"), ("deep", b"[" * 70 + b"]" * 70, "s", "json"), ("empty", b"", "s", "text"), ("routed", b"<html>x", "s", "plain"), ("nothing", None, None, None),
+    ]
+    found = {r.content_id: r for r in content.sanitize(spark.createDataFrame(rows, "content_id string, text binary, source string, declared_type string")).collect()}
+    assert len(found) == len(rows) and all((r.wrapped is None) != (r.reject_reason is None) for r in found.values())
+    reasons = {k: r.reject_reason for k, r in found.items()}
+    assert reasons == {
+        "alias": None, "unknown": "UnsupportedContentType", "no type": "UnsupportedContentType", "no source": "Missing", "no text": "Missing", "bad bytes": "InvalidEncoding",
+        "bad html": "InvalidEncoding", "huge": "SizeExceeded", "header": "HeaderInjection", "inf": "JsonParse", "deep": "JsonTooDeep", "empty": None, "routed": None, "nothing": "Missing",
+    }
+    assert (found["routed"].content_type, found["routed"].routed_from) == ("Html", "PlainText") and found["alias"].content_type == "Markdown"
+
+
+def test_signals_come_with_kind_confidence_and_what_matched(spark):
+    from guardlake import rules
+    from guardlake.operators import sessions
+
+    df = spark.createDataFrame([("a", "x", "Task Complete\nerror: no"), ("b", "x", "nothing"), ("c", "own", "ready"), ("d", "x", None), ("e", None, "all finished.\n" + "l\n" * 25), ("f", "x", "Bash(ls)\nDone.")], "session_id string, tool string, output string")
+    own = spark.createDataFrame([("own", 3, "Status", "Idle", "Low", "rea.y")], rules.SIGNAL_SCHEMA)
+    got = sorted(tuple(r) for r in sessions.signal_rows(df, rules.signal_patterns(spark).unionByName(own)).collect())
+    assert got == [
+        ("a", 0, "Completion", None, "High", "Task Complete"), ("a", 2, "Status", "Error", "Medium", "error:"), ("c", 3, "Status", "Idle", "Low", "ready"),
+        ("f", 0, "Completion", None, "High", "Done."), ("f", 3, "Status", "Running", "Medium", "Bash("),
+    ]
+
+
+def test_unknown_tiers_fail_where_asked(spark):
+    from guardlake.operators import policy
+
+    df = spark.createDataFrame([("t2",), (None,)], "t string")
+    assert [r[0] for r in df.select(policy.tier_of(F.col("t"), strict=True)).collect()] == [2, None]
+    with pytest.raises(Exception, match="unknown tier"):
+        spark.createDataFrame([("T9",)], "t string").select(policy.tier_of(F.col("t"), strict=True)).collect()
