@@ -4,8 +4,9 @@ An item's windows are its runs of ten consecutive words; an item of fewer words,
 Texts and items are folded alike. Every window holds a whole block of five words that begins at a multiple of
 five in its item, so the automaton's keys are these blocks (and the short items), as sequences of word numbers:
 about a tenth of what all windows would take. Each text is scanned once; where a block occurs, item and text are
-compared to both sides, and a common run of ten words or more is what all windows inside it cover. Hits are kept
-as word intervals and as code-point spans of the original text.
+compared to both sides, and a common run of ten words or more is what all windows inside it cover. Many items may share a block, as
+tests do whose questions begin alike: then no place is walked, but the text's few windows around the block are looked up
+among the windows of the items there. Hits are kept as word intervals and as code-point spans of the original text.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guardlake.llm.shared import map_text, named, written
+from guardlake.llm.shared import map_text, named, unpacked, written
 from guardlake.llm.words import WORD, folded_words
 
 WINDOW = 10
+#: A block at more places than this has its windows looked up instead of each place compared.
+FEW_PLACES = 4
 #: Items of up to so many bytes make one automaton, of about 160 MB broadcast and 350 MB in a Python process; only a larger
 #: benchmark is scanned for in several passes.
 MAX_AUTOMATON_BYTES = 8_000_000
@@ -67,8 +70,20 @@ class Matcher:
                 for at in range(0, n - self.block + 1, self.block):
                     keys.setdefault(words[at * DIGITS : (at + self.block) * DIGITS], []).append((i, at))
         self.automaton = ahocorasick.Automaton()
+        self.around: dict[str, list[int]] = {}  # a window that holds a frequent block: the items with it
         for key, places in keys.items():
-            self.automaton.add_word(key, (len(key) // DIGITS, places))
+            whole = [p for p in places if p[1] < 0]
+            blocks = [p for p in places if p[1] >= 0]
+            if len(blocks) > FEW_PLACES:
+                for item, at in blocks:
+                    text = self.texts[item]
+                    for first in range(max(0, at + self.block - window), min(at, len(text) // DIGITS - window) + 1):
+                        self.around.setdefault(text[first * DIGITS : (first + window) * DIGITS], []).append(item)
+                whole.append((-1, 0))
+            else:
+                whole += blocks
+            self.automaton.add_word(key, (len(key) // DIGITS, whole))
+        self.around = {w: sorted(set(items)) for w, items in self.around.items()}
         if keys:
             self.automaton.make_automaton()
 
@@ -80,6 +95,7 @@ class Matcher:
         get = self.spelt.get
         doc = "".join([get(w, _UNKNOWN) for w in words])
         n, seen = len(words), {}  # by item and diagonal: where the last common run ended
+        looked, found = -1, set()  # the first window after those looked up; windows that were found
         for end, (size, places) in self.automaton.iter(doc):
             first = end // DIGITS - size + 1
             for item, at in places:
@@ -87,6 +103,14 @@ class Matcher:
                     intervals.append((first, first + size))
                     hit.add(item)
                     continue
+                if item < 0:
+                    for at in range(max(0, first + size - self.window, looked), min(first, n - self.window) + 1):
+                        window = doc[at * DIGITS : (at + self.window) * DIGITS]
+                        if window in self.around:
+                            intervals.append((at, at + self.window))
+                            found.add(window)
+                        looked = at + 1
+                    continue
                 if seen.get((item, first - at), -1) >= first:
                     continue  # this block lies in a run that has been measured
                 text = self.texts[item]
@@ -100,7 +124,7 @@ class Matcher:
                 if a + b >= self.window:
                     intervals.append((first - a, first + b))
                     hit.add(item)
-        return intervals, hit
+        return intervals, hit.union(*map(self.around.get, found))
 
 
 def _same(a: str, i: int, b: str, j: int) -> bool:
@@ -125,17 +149,6 @@ def scan_text(matcher: Matcher, text: str | None, before: list | None = None, it
     return len(words), [{"start": a, "end": b} for a, b in merged], [{"start": at[a][0], "end": at[b - 1][1]} for a, b in merged], sorted(names)
 
 
-#: The matcher of this process, with its name: it is unpacked once, not once a task.
-_kept: dict[str, Matcher] = {}
-
-
-def kept_matcher(name: str, packed) -> Matcher:
-    if name not in _kept:
-        _kept.clear()
-        _kept[name] = pickle.loads(packed.value)
-    return _kept[name]
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None, max_bytes: int = MAX_AUTOMATON_BYTES) -> DataFrame:
     """The columns `keep` of docs (all by default) with n_words, hit_words, hit_spans and hit_items.
 
@@ -161,7 +174,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
         more = ["hit_words", "hit_items"] if part else []
 
         def make(packed=packed, more=more, name=uuid.uuid4().hex):
-            matcher = kept_matcher(name, packed)
+            matcher = unpacked(name, packed, pickle.loads)
 
             def of(texts, *found):
                 found = found if more else ([None] * len(texts),) * 2

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guardlake.llm.shared import bounded_share, draw, in_batches, map_text, named, training_row
+from guardlake.llm.shared import bounded_share, draw, in_batches, map_text, named, training_row, written
 
 NGRAMS = (3, 4)
 #: Documents of each language that training takes, about so many at most: drawn by a hash of the id.
@@ -29,7 +28,10 @@ SAMPLE_PER_LANGUAGE = 3_000
 MIN_SHARE = 0.01
 RELATIVE = 0.1
 HASHES = 3
+#: Slots of the filter for each n-gram of the language with the most of them: each language has a bit of its own in every slot.
 SLOTS_PER_NGRAM = 16
+#: Bytes of the filter at most. Beyond it there are fewer slots, so more false positives, which the counts are corrected for.
+FILTER_BYTES = 128 << 20
 #: So many languages are learnt, those with the most training rows; a bound of the training sample. Texts of others are still predicted.
 MAX_LANGUAGES = 4096
 SEED = 23
@@ -84,14 +86,10 @@ class Filters:
     slots: np.ndarray  # (slots, words of 64 languages)
     false_rate: np.ndarray  # for each language
 
-    def _places(self, hashes: np.ndarray):
-        top, step, size = hashes >> np.uint64(32), (hashes & np.uint64(0xFFFFFFFF)) | np.uint64(1), np.uint64(len(self.slots) - 1)
-        return ((top + np.uint64(i) * step) & size for i in range(HASHES))
-
     def counts(self, hashes: np.ndarray) -> np.ndarray:
         """In how many of the n-grams each language's bit is set."""
         masks = None
-        for place in self._places(hashes):
+        for place in places(hashes, len(self.slots)):
             got = self.slots[place.astype(np.int64)]
             masks = got if masks is None else masks & got
         n = len(self.languages)
@@ -118,18 +116,40 @@ class Filters:
         return self.languages[best], float(right[best] / right.sum())
 
 
+def slots_for(most: int, languages: int) -> int:
+    """A power of two of slots for languages with at most `most` n-grams each, within FILTER_BYTES."""
+    wanted = 1 << max(10, int(np.ceil(np.log2(max(1, most) * SLOTS_PER_NGRAM))))
+    bound = 1 << int(np.log2(max(1024, FILTER_BYTES // (8 * max(1, -(-languages // 64))))))
+    return min(wanted, bound)
+
+
+def places(hashes: np.ndarray, slots: int):
+    top, step, size = hashes >> np.uint64(32), (hashes & np.uint64(0xFFFFFFFF)) | np.uint64(1), np.uint64(slots - 1)
+    return ((top + np.uint64(i) * step) & size for i in range(HASHES))
+
+
+def plane(hashes: np.ndarray, slots: int) -> np.ndarray:
+    """The bits of one language: one for each slot, packed."""
+    bits = np.zeros(slots, bool)
+    for place in places(hashes, slots):
+        bits[place.astype(np.int64)] = True
+    return np.packbits(bits)
+
+
+def assembled(languages: list[str], prior: list[int], planes: dict[int, np.ndarray], slots: int) -> Filters:
+    """Filters from the languages' planes, by number."""
+    found = Filters(languages, prior, np.zeros((slots, max(1, -(-len(languages) // 64))), np.uint64), np.zeros(len(languages)))
+    for i, packed in planes.items():
+        bits = np.unpackbits(packed, count=slots)
+        found.slots[:, i // 64] |= bits.astype(np.uint64) << np.uint64(i % 64)
+        found.false_rate[i] = min(0.9, float(bits.mean()) ** HASHES)
+    return found
+
+
 def build(languages: list[str], prior: list[int], ngrams: list[np.ndarray]) -> Filters:
     """Filters from each language's n-gram hashes; languages come with the most frequent first, which wins ties."""
-    distinct = len(np.unique(np.concatenate(ngrams))) if ngrams else 0
-    size = 1 << max(10, int(np.ceil(np.log2(max(1, distinct) * SLOTS_PER_NGRAM))))
-    found = Filters(languages, prior, np.zeros((size, max(1, -(-len(languages) // 64))), np.uint64), np.zeros(len(languages)))
-    for i, hashes in enumerate(ngrams):
-        word, bit = i // 64, np.uint64(1 << (i % 64))
-        for place in found._places(hashes):
-            at = place.astype(np.int64)
-            found.slots[at, word] |= bit
-        found.false_rate[i] = min(0.9, float(((found.slots[:, word] & bit) != 0).mean()) ** HASHES)
-    return found
+    slots = slots_for(max(map(len, ngrams), default=0), len(languages))
+    return assembled(languages, prior, {i: plane(h, slots) for i, h in enumerate(ngrams)}, slots)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_PER_LANGUAGE) -> Filters:
@@ -163,14 +183,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     counts = in_batches(drawn.select("_gl_text", "_gl_lang"), count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # at least 1 % of a language's documents hold each n-gram that is kept, so there are at most 100 times a document's n-grams
-    bounds = docs.sparkSession.createDataFrame([(i, MIN_SHARE * min(n, sample) / 2) for i, n in enumerate(prior)], "lang int, least double")
-    found = counts.join(F.broadcast(bounds), "lang", "left").filter((F.col("lang") < 0) | (F.col("n") >= F.col("least"))).select("lang", "gram", "n").toPandas()
-    docs_of = Counter({-1 - int(r.lang): int(r.n) for r in found[found.lang < 0].itertuples()})
-    found = found[found.lang >= 0]
-    share = found.n / found.lang.map(lambda i: max(1, docs_of[i]))
-    most = share.groupby(found.gram).transform("max")
-    found = found[(share >= MIN_SHARE) & (share >= RELATIVE * most)]
-    return build(languages, prior, [found.gram[found.lang == i].to_numpy(np.int64).view(np.uint64) for i in range(len(languages))])
+    counts = written(counts, "ngram-counts")
+    docs_of = {-1 - r["lang"]: r["n"] for r in counts.filter("lang < 0").collect()}
+    held = docs.sparkSession.createDataFrame([(i, float(max(1, docs_of.get(i, 0)))) for i in range(len(languages))], "lang int, _docs double")
+    shares = counts.filter("lang >= 0").join(F.broadcast(held), "lang").withColumn("share", F.col("n") / F.col("_docs"))
+    shares = shares.filter(F.col("share") >= MIN_SHARE)
+    most = shares.groupBy("gram").agg(F.max("share").alias("most"))
+    kept = written(shares.join(most, "gram").filter(F.col("share") >= RELATIVE * F.col("most")).select("lang", "gram"), "ngrams")
+    slots = slots_for(kept.groupBy("lang").count().agg(F.max("count")).first()[0] or 0, len(languages))
+
+    def bits(key, table):
+        return pa.table({"lang": pa.array([key[0].as_py()], pa.int32()), "plane": pa.array([plane(np.asarray(table.column("gram")).view(np.uint64), slots).tobytes()], pa.binary())})
+
+    # a plane has an eighth of a byte a slot, so all of them are no larger than the filter
+    planes = {r["lang"]: np.frombuffer(r["plane"], np.uint8) for r in kept.groupBy("lang").applyInArrow(bits, "lang int, plane binary").collect()}
+    return assembled(languages, prior, planes, slots)
 
 
 def predict(docs: DataFrame, filters: Filters, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

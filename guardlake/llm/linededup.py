@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guardlake.llm.shared import in_batches, map_text, named, new_path, partitions, remove_path, written
+from guardlake.llm.shared import in_batches, map_text, named, new_path, partitions, remove_path, unpacked, written
 
 MIN_DOCS = 10
 BATCHES = 4
@@ -28,6 +28,9 @@ FANOUT = 2
 #: Up to so many repeated lines (16 bytes each) are broadcast; beyond that they are joined.
 MAX_BROADCAST_LINES = 1_000_000
 
+#: Lines of a run's bucket, about: larger tables have more buckets than the session has shuffle partitions.
+LINES_PER_BUCKET = 5_000_000
+
 _BLANK = b" \t\n\x0b\x0c\r"
 _KEYS = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
 
@@ -155,7 +158,7 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BAT
     """h1, h2 of each line key that stands in min_docs documents or more; the texts are read once."""
     spark = docs.sparkSession
     counts = written(line_counts(docs, batches, text_col), "line-counts")
-    runs = LineRuns(spark, min_docs, fanout)
+    runs = LineRuns(spark, min_docs, fanout, max(partitions(spark), -(-counts.count() // LINES_PER_BUCKET)))
     for i in range(batches):
         runs.absorb(counts.filter(F.col("batch") == i).select("h1", "h2", "n"))
     found = written(runs.repeated(), "repeated-lines")
@@ -189,11 +192,10 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int
         return [kept, n_lines, n_dropped]
 
     if len(few) <= max_broadcast:
-        packed = spark.sparkContext.broadcast(few.to_numpy(np.int64).astype(">i8").tobytes())
+        packed, name = spark.sparkContext.broadcast(few.to_numpy(np.int64).astype(">i8").tobytes()), uuid.uuid4().hex
 
         def by_set():
-            raw = packed.value
-            drop = {raw[i : i + 16] for i in range(0, len(raw), 16)}
+            drop = unpacked(name, packed, lambda raw: {raw[i : i + 16] for i in range(0, len(raw), 16)})
             return lambda texts: split(texts, lambda i: drop)
 
         return map_text(docs, [text_col], by_set, fields, keep)

@@ -10,6 +10,7 @@ Jaccard similarity of the phrase sets.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guardlake.llm.shared import map_text, named
+from guardlake.llm.shared import draw, map_text, named
 
 BINS = 64
+#: Ids drawn for each cut of ids that are texts.
+IDS_PER_CUT, SEED = 20, 71
 #: Hex digits of a bin.
 DIGITS = 4
 
@@ -87,22 +90,28 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     packed is the text in UTF-8, compressed, as it is shuffled.
 
-    Ids are cut into about the square root of their number of ranges, each sorted on its own; the first row of each
+    Ids that are no whole numbers go by their text, in order of code points. Ids are cut into about the square root of their number of ranges, each sorted on its own; the first row of each
     range is also sent to the range before it, where it follows the last. Null ids come last; rows of one id are
     put in order by fingerprint and text. Null texts are empty.
     """
-    ids = docs.select(F.coalesce(named(id_col).cast("long"), F.lit(-(2**63))).alias("key"))
+    kind = "long" if isinstance(docs.select(named(id_col)).schema[0].dataType, T.IntegralType) else "string"
+    key_of = F.coalesce(named(id_col).cast(kind), F.lit(-(2**63) if kind == "long" else "").cast(kind))
+    ids = docs.select(key_of.alias("key"))
     total = ids.count()
     per_range = max(1, math.isqrt(total) // 2)
-    cuts = sorted({int(x) for x in ids.approxQuantile("key", [i / (total // per_range + 1) for i in range(1, total // per_range + 1)], 0.2 * per_range / max(1, total))}) if total else []
-    held = docs.sparkSession.sparkContext.broadcast(np.array(cuts, np.int64))
+    n_cuts = total // per_range if total else 0
+    if kind == "long":
+        cuts = sorted({int(x) for x in ids.approxQuantile("key", [i / (n_cuts + 1) for i in range(1, n_cuts + 1)], 0.2 * per_range / max(1, total))}) if total else []
+    else:  # of a sample of IDS_PER_CUT ids for each cut, every so many-th
+        drawn = ids.filter(draw("key", SEED) < min(1.0, IDS_PER_CUT * (n_cuts + 1) / max(1, total))).distinct().orderBy("key").collect()
+        cuts = sorted({drawn[i * len(drawn) // (n_cuts + 1)]["key"] for i in range(1, n_cuts + 1)}) if drawn else []
+    held = docs.sparkSession.sparkContext.broadcast(cuts)
 
     def ranges(batches):
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.searchsorted(held.value, keys, side="left").astype(np.int64))], names=["key", "range"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bisect_left(held.value, k) for k in batch.column(0).to_pylist()], pa.int64())], names=["key", "range"])
 
-    heads = {r["range"]: r["head"] for r in ids.mapInArrow(ranges, "key long, range long").groupBy("range").agg(F.max("key").alias("head")).collect()}
+    heads = {r["range"]: r["head"] for r in ids.mapInArrow(ranges, f"key {kind}, range long").groupBy("range").agg(F.max("key").alias("head")).collect()}
     order = sorted(heads, reverse=True)
     goes_to = {heads[r]: order[i - 1] for i, r in enumerate(order)}  # order[-1] before the first: the ring closes
     held_to = docs.sparkSession.sparkContext.broadcast(goes_to)
@@ -113,7 +122,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             out = [[], [], []]
             for key, text in zip(keys, texts):
                 text = text or ""
-                own = int(np.searchsorted(cuts, key, side="left"))
+                own = bisect_left(cuts, key)
                 out[0].append([{"range": own, "guest": False}, *([{"range": to[key], "guest": True}] if key in to else [])])
                 out[1].append(pack(text.encode("utf-8", "surrogatepass")))
                 out[2].append(fingerprint(text))
@@ -123,7 +132,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     place = T.StructType([T.StructField("range", T.LongType()), T.StructField("guest", T.BooleanType())])
     fields = [T.StructField("places", T.ArrayType(place)), T.StructField("packed", T.BinaryType()), T.StructField("fingerprint", T.StringType())]
-    source = docs.select(named(id_col).alias("id"), F.coalesce(named(id_col).cast("long"), F.lit(-(2**63))).alias("key"), named(text_col).alias("_gl_text"))
+    source = docs.select(named(id_col).alias("id"), key_of.alias("key"), named(text_col).alias("_gl_text"))
     placed = map_text(source, ["key", "_gl_text"], make, fields, ["id", "key"]).withColumn("place", F.explode("places"))
     window = Window.partitionBy("place.range").orderBy("place.guest", F.desc("key"), "fingerprint", "packed")
     following = placed.select("id", "packed", "fingerprint", "place", F.lead(F.struct("packed", "fingerprint")).over(window).alias("next"))

@@ -30,15 +30,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """spans has the contract's four kinds; secrets, which it does not list, stand in columns of their own; n_found counts both."""
+    """spans has all spans: the base ones of the contract's four kinds, and those that the method adds, of these kinds or `secret`, which
+    comes after the four where spans begin together."""
     docs = documents(spark, sf_dir)
     found = pii.find(docs, pii.fit(docs), keep=["doc_id"])
-    base, personal, secrets = (F.filter("pii", f) for f in (lambda s: s["base"], lambda s: s["kind"] != "secret", lambda s: s["kind"] == "secret"))
+    base = F.filter("pii", lambda s: s["base"])
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     n = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
-        "doc_id", *map(n, pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(personal).alias("spans"),
-        joined(secrets).alias("secrets"), F.size(F.filter("pii", lambda s: ~s["base"])).cast("long").alias("n_added"), F.size("pii").cast("long").alias("n_found"),
+        "doc_id", *map(n, pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"),
+        F.size(F.filter("pii", lambda s: ~s["base"])).cast("long").alias("n_added"), F.size("pii").cast("long").alias("n_found"),
     )
 
 
@@ -122,10 +123,8 @@ _BYTES = "list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..
 _CRC = f"coalesce(xor(list_reduce({_BYTES}, lambda crc, b: xor(crc >> 8, ({_CRC_TABLE})[(xor(crc, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT), 0)"
 
 OP1_SQL = f"""
-WITH rows AS (
-  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT + 1 AS size, {_CRC} AS text_crc32, coalesce('=' || source, 'null') AS stratum,
-         md5('{sharding.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS digest
-  FROM documents),
+WITH sums AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT + 1 AS size, {_CRC} AS text_crc32, coalesce('=' || source, 'null') AS stratum FROM documents),
+rows AS (SELECT *, md5('{sharding.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || text_crc32) AS digest FROM sums),
 ranked AS (
   SELECT *, (2 * row_number() OVER (PARTITION BY stratum ORDER BY digest, doc_id, text_crc32, size) - 1)::DOUBLE
             / (2 * count(*) OVER (PARTITION BY stratum))::DOUBLE AS f FROM rows),

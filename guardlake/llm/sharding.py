@@ -29,21 +29,21 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED, id_col: st
     """doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard, source, frac_rank for each row.
 
     Null text: size 1 and the checksum of no bytes, 0. A null source is a source of its own. Null ids
-    take part. Rows with the same id keep together in the shuffle and are put in order by checksum and
-    size; rows that agree in all of these may stand either way round. An empty table gives none.
+    take part. A row's digest is of its id and its text's checksum, so rows of one id are dealt apart; rows that agree in all of these may stand either way round. An empty table gives none.
     Extra columns are left out, so their names cannot clash.
     """
     total = docs.count()
     per_bucket = max(1, math.isqrt(total) // 2)
     text = named(text_col)
     source = named(source_col).cast("string")
+    checksum = F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long")
     rows = docs.select(
         named(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
-        F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+        checksum.alias("text_crc32"),
         source.alias("source"),
         F.coalesce(F.concat(F.lit("="), source), F.lit("null")).alias("stratum"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(named(id_col).cast("string"), F.lit(""))).cast("binary")).alias("digest"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(named(id_col).cast("string"), F.lit("")), F.lit(":"), checksum.cast("string")).cast("binary")).alias("digest"),
     )
     sizes = written(rows.groupBy("stratum").agg(F.count("*").alias("n")), "source-sizes")
     rows = rows.join(F.broadcast(sizes) if sizes.count() <= MAX_BROADCAST_SOURCES else sizes, "stratum").withColumn("bucket", F.expr(f"(cast(conv(substring(digest, 1, 8), 16, 10) as bigint) * ((n + {per_bucket - 1}) div {per_bucket})) div 4294967296"))

@@ -13,6 +13,8 @@ from guardlake.functions.steps import new_path, remove_path, spread, written  #
 
 #: Rows that a task's Python side handles together.
 ROWS_AT_ONCE = 1000
+#: Bytes that a batch of rows has at most, but for a row that is larger on its own.
+BYTES_AT_ONCE = 16 << 20
 #: A written table of up to so many rows is broadcast in a join; a larger one is shuffled.
 MAX_BROADCAST_ROWS = 100_000
 #: Rows that one task puts in order.
@@ -20,12 +22,14 @@ ROWS_IN_ORDER = 500_000
 
 
 def in_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """df.mapInArrow(function, schema), with batches of at most ROWS_AT_ONCE rows: texts are long, and Spark's default of
-    10,000 rows would hold tens of megabytes for each task on both sides. The session keeps the smaller size."""
+    """df.mapInArrow(function, schema), with batches of at most ROWS_AT_ONCE rows and BYTES_AT_ONCE bytes: texts are long, and
+    Spark's default of 10,000 rows would hold tens of megabytes for each task on both sides. The session keeps the smaller sizes."""
     conf = df.sparkSession.conf
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= ROWS_AT_ONCE:
-        conf.set(name, str(ROWS_AT_ONCE))
+    for name, most in (("maxRecordsPerBatch", ROWS_AT_ONCE), ("maxBytesPerBatch", BYTES_AT_ONCE)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = str(conf.get(name))
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(name, str(most))
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # functions take columns by place; mapInArrow takes no names with dots
     return plain.mapInArrow(function, schema)
 
@@ -66,6 +70,18 @@ def map_text(df: DataFrame, text: Sequence[str], make: Callable, fields: Sequenc
     return in_batches(source, run, schema)
 
 
+#: What tasks of this process have unpacked last, by name.
+_unpacked: dict[str, object] = {}
+
+
+def unpacked(name: str, packed, make: Callable):
+    """make(packed.value), worked out once in a process and not once a task; the last value only is kept."""
+    if name not in _unpacked:
+        _unpacked.clear()
+        _unpacked[name] = make(packed.value)
+    return _unpacked[name]
+
+
 def training_row(doc_id: str = "doc_id") -> Column:
     """True for the rows from which labels may be learnt: crc32 of the id as text, mod 4, is not 2."""
     return F.coalesce(F.crc32(named(doc_id).cast("string").cast("binary")) % 4 != 2, F.lit(True))

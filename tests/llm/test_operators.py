@@ -56,7 +56,7 @@ def test_shards_follow_the_plain_definition(spark):
     out = {r.doc_id: (r.shard, r.slot) for r in sharding.shards(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     ranked = []
     for source in {r[2] for r in rows}:
-        mine = sorted((hashlib.md5(f"{sharding.SEED}:{r[0]}".encode()).hexdigest(), r[0]) for r in rows if r[2] == source)
+        mine = sorted((hashlib.md5(f"{sharding.SEED}:{r[0]}:{zlib.crc32(r[1].encode())}".encode()).hexdigest(), r[0]) for r in rows if r[2] == source)
         ranked += [((2 * k + 1) / (2 * len(mine)), "=" + source, h, i) for k, (h, i) in enumerate(mine)]
     for p, (_, _, _, i) in enumerate(sorted(ranked)):
         shard = p * 16 // 300
@@ -109,6 +109,19 @@ def test_language_counts_equal_exact_sets():
         assert f.predict(text)[0] == list(texts)[int(want.argmax())]
 
 
+def test_two_hundred_languages_are_built_and_told_apart(spark, monkeypatch):
+    """Each language has an alphabet and words of its own; the filter stays within its bytes, also where these are few."""
+    rng = random.Random(31)
+    lexicon = {f"x{i:03d}": ["".join(chr(0x4E00 + 60 * i + rng.randrange(60)) for _ in range(rng.randrange(3, 7))) for _ in range(40)] for i in range(200)}
+    rows = [(n, " ".join(rng.choices(lexicon[lang], k=25)), lang) for n, lang in enumerate(sorted(lexicon) * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (langid.FILTER_BYTES, 1 << 19):
+        monkeypatch.setattr(langid, "FILTER_BYTES", most)
+        filters = langid.fit(df)
+        assert len(filters.languages) == 200 and filters.slots.nbytes <= most
+        assert all(filters.predict(text)[0] == lang for _, text, lang in rows[:400])
+
+
 def test_more_languages_than_are_learnt(spark, monkeypatch):
     monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
     rows = [(i, "abc abd " * 5, "aa") for i in range(40)] + [(100 + i, "xyz xyw " * 5, "bb") for i in range(40)] + [(200 + i, "mno", f"dirty{i}") for i in range(50)]
@@ -629,8 +642,25 @@ def plain_contamination(text, items, window=10):
     return len(doc), hit, names
 
 
-@pytest.mark.parametrize("max_bytes", [10**6, 400])
-def test_contamination_equals_brute_force(spark, max_bytes):
+def test_items_that_begin_alike_are_found_and_cost_little():
+    rng = random.Random(17)
+    same = "which of the following is"
+    items = [(str(i), f"{same} {words(rng, 12, 3000)}") for i in range(20_000)] + [(f"r{i}", f"{same} {same} {same} w1 w2") for i in range(8)]
+    matcher = decontam.Matcher(items)
+    few = items[:40] + items[-8:]
+    for text in (items[7][1], f"x y {same} {same} {same} z", f"w9 {items[3][1].split(' ', 3)[3]} {items[12][1]}", f"{same} " * 300, "of the following is " + items[39][1]):
+        _, hit, names = plain_contamination(text, few)
+        n, spans, _, found = decontam.scan_text(matcher, text)
+        assert {j for s in spans for j in range(s["start"], s["end"])} == hit and names <= set(found)
+        assert {x for x in found if x in dict(few)} == names
+    text, began = f"{same} w1 w2 w3 w4 w5 w6 " * 20_000, time.time()
+    decontam.scan_text(matcher, text)
+    assert len(text) / (time.time() - began) > 500_000
+
+
+@pytest.mark.parametrize("max_bytes, few", [(10**6, 4), (10**6, 0), (400, 4)])
+def test_contamination_equals_brute_force(spark, max_bytes, few, monkeypatch):
+    monkeypatch.setattr(decontam, "FEW_PLACES", few)
     rng = random.Random(13)
     items = [(str(i), words(rng, rng.choice([0, 1, 3, 10, 14, 25]), 500)) for i in range(20)] + [("a", None), ("b", "W1, w2!"), ("c", "É é")]
     texts = list(EDGE)
@@ -670,3 +700,23 @@ def test_blocks_find_what_windows_find():
 
 def test_written_steps_are_in_the_shared_folder(spark):
     assert written(spark.range(3), "x").inputFiles()[0].startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_fingerprints_take_ids_of_any_type(spark):
+    rows = [(f"id{i % 37}-é{i}" if i % 9 else None, words(random.Random(i), 20)) for i in range(120)]
+    out = lzprint.edit_test(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(out) == 120
+    order = sorted([(i or "", t) for i, t in rows if i], key=lambda r: r[0].encode(), reverse=True)
+    after = {a[0]: b[1] for a, b in zip(order, order[1:])}
+    text = dict(order)
+    for r in out:
+        if r.doc_id in after:
+            assert r.edited_text == lzprint.edited(text[r.doc_id], after[r.doc_id])
+
+
+def test_shards_deal_the_rows_of_one_id_apart(spark):
+    rows = [(7, f"t{i}", "s") for i in range(600)] + [(None, f"n{i}", "s") for i in range(300)]
+    out = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len({r.shard for r in out if r.doc_id == 7}) == 16 == len({r.shard for r in out if r.doc_id is None})
+    held = Counter(r.shard for r in out).values()
+    assert max(held) - min(held) <= 1

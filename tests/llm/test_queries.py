@@ -68,7 +68,11 @@ def test_op3_digests_follow_the_base_rules(spark, texts):
         line = [f"{k}:{a}:{b}" for k, a, b in base]
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in base) for k in pii.KINDS]
         assert r.base_sha256 == sha(",".join(line)) and set(line) <= set(r.spans.split(",")) | {""}
-        assert r.n_found == len(base) + r.n_added == sum(len(x.split(",")) for x in (r.spans, r.secrets) if x)
+        assert r.n_found == len(base) + r.n_added == (len(r.spans.split(",")) if r.spans else 0)
+        order = [(int(x.split(":")[1]), pii.ALL_KINDS.index(x.split(":")[0])) for x in r.spans.split(",") if x]
+        assert order == sorted(order)
+    added = [r for r in out if r.n_added]
+    assert added and all(len(r.spans.split(",")) > sum(r[f"n_{k}"] for k in pii.KINDS) for r in added)
 
 
 def test_op4_equals_the_library(spark, texts):
