@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,12 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: The folder of the stage that is being made, below the application's.
+_stage: list[str] = []
+
+
 def steps_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/guardlake/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{steps_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return "/".join([steps_dir(spark), *_stage[-1:], f"{name}-{uuid.uuid4().hex}"])
 
 
 def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -64,6 +68,24 @@ def held(df: DataFrame, name: str) -> Iterator[DataFrame]:
         remove_path(df.sparkSession, path)
 
 
+@contextmanager
+def stage_steps(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a function that writes a stage's result, as written() does; all other steps that are written in the block go at its end."""
+    _stage.append(f"stage-{uuid.uuid4().hex}")
+    own = f"{steps_dir(spark)}/{_stage[-1]}"
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        path = f"{steps_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        _stage.pop()
+        remove_path(spark, own)
+
+
 def remove_steps(spark: SparkSession) -> None:
     """Deletes all steps that this application has written. Results that still read them must have been saved before."""
     remove_path(spark, steps_dir(spark))

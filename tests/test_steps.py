@@ -53,3 +53,13 @@ def test_spread_deals_out_small_tables_only(spark):
     assert steps.spread(one).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
     many = spark.range(0, 100, 1, 50)
     assert steps.spread(many) is many
+
+
+def test_a_stages_steps_go_and_its_result_stays(spark):
+    with steps.stage_steps(spark) as keep:
+        inner = steps.written(spark.range(5), "inner")
+        out = keep(inner.filter("id > 1"), "result")
+        path = inner.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert out.count() == 3 and not os.path.exists(path)
+    assert "stage-" not in steps.new_path(spark, "x")
