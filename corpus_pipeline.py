@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from guardlake.functions.steps import stage_steps
 from guardlake.llm import bpe, decontam, linededup, neardup, quality
 from guardlake.llm.queries import byte_vocabulary, table
-from guardlake.llm.shared import written
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str, str]:
@@ -74,7 +74,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage writes on its way is deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with stage_steps(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
