@@ -29,7 +29,8 @@ def strip_ansi(text: Column) -> Column:
 
 def ansi_count(text: Column) -> Column:
     """Escape bytes that strip_ansi removes."""
-    return (F.regexp_count(text, F.lit(r"\x1b")) - F.regexp_count(strip_ansi(text), F.lit(r"\x1b"))).cast("int")
+    found = (F.regexp_count(text, F.lit(r"\x1b")) - F.regexp_count(strip_ansi(text), F.lit(r"\x1b"))).cast("int")
+    return F.when(text.contains("\x1b"), found).when(text.isNotNull(), 0)
 
 
 _ALL_INVISIBLE = "[" + "".join(INVISIBLE.values()) + "]"
