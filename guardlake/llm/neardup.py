@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guardlake.llm.shared import draw, in_batches, map_text, named, written
+from guardlake.llm.shared import draw, in_batches, map_text, named, small, written
 from guardlake.llm.words import folded_words
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS = 24
 ROWS = 5
-#: Nodes of which the texts are compared are broadcast as ids up to this number; beyond it they are joined.
+#: Ids of nodes, and elements or nodes with the number of a component, are broadcast up to this many rows; beyond it they are joined.
 MAX_BROADCAST_IDS = 1_000_000
 #: Of the nodes that must be compared with their tokens' others, so large a share leads first, then GROWTH times as many;
 #: what has come together meanwhile need not be compared. Up to FEW rows all lead at once.
@@ -185,6 +185,11 @@ def sized(df: DataFrame, name: str) -> DataFrame:
     return out.coalesce(max(1, -(-out.count() // ROWS_PER_TASK)))
 
 
+def few(df: DataFrame) -> DataFrame:
+    """A written table of numbers, broadcast if it has at most MAX_BROADCAST_IDS rows, which are counted."""
+    return small(df, MAX_BROADCAST_IDS)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, comp (the smallest node that it is linked with) of every node with an edge (a, b).
 
@@ -284,16 +289,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         state = sized(state.join(several, "token", "left_semi").withColumn("turned", F.lit(False)), "prefixes")
     share = FIRST_SHARE
     while state is not None:
-        now = state.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        now = state.join(few(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         main = now.groupBy("token", "comp").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
-        now = sized(now.join(main.select("token", "main"), "token"), "mixed")
-        turn = sized(now.filter("not turned and comp <> main").select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("before").alias("before_b"), F.col("comp").alias("comp_b")), "leaders")
-        waiting = turn.count()
+        now = sized(now.join(few(sized(main.select("token", "main"), "main")), "token"), "mixed")
+        asks = ~F.col("turned") & (F.col("comp") != F.col("main"))
+        waiting = now.filter(asks).count()
         if not waiting:
             break
-        if waiting > FEW and share < 1:
-            turn = turn.filter(draw("b", SEED) < share)
-        now = now.join(turn.select("token", F.col("b").alias("node"), F.lit(True).alias("leads")), ["token", "node"], "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
+        leads = asks & (draw("node", SEED) < share) if waiting > FEW and share < 1 else asks
+        now = now.withColumn("leads", leads)
+        turn = now.filter("leads").select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("before").alias("before_b"), F.col("comp").alias("comp_b"))
         # a pair with an element in common further ahead is compared there
         pairs = now.filter("not turned").join(turn, "token").filter(~F.arrays_overlap("before", "before_b") & (F.col("comp") != F.col("comp_b")) & (~F.col("leads") | (F.col("node") > F.col("b"))) & reach(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b")))
         more = sized(verified(pairs.select(F.col("node").alias("a"), "b").distinct(), texts, threshold, words), "links")
