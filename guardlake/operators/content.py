@@ -21,7 +21,8 @@ DEFAULT_PORTS = {"http": "80", "https": "443", "ftp": "21", "ws": "80", "wss": "
 #: Content types that have a cleaning job of their own.
 FORMATS = ("Html", "Markdown", "Json")
 #: A token that can hold one of the runs that rules look for.
-LONG = r"[^ \t\n\r]{%d}" % min(rules.BASE64_LEAST, rules.HEX_LEAST, rules.TOKEN_LEAST // 4)
+LONG_LEAST = min(rules.BASE64_LEAST, rules.HEX_LEAST, rules.TOKEN_LEAST // 4)
+LONG = r"[^ \t\n\r]{%d}" % LONG_LEAST
 
 
 # intake
@@ -141,6 +142,11 @@ def _hit(text: Column, low: Column, rule: rules.Rule) -> Column:
     return reduce(lambda a, b: a | b, [low.contains(x) for x in rule.needs]) & hit if rule.needs else hit
 
 
+def has_long(text: Column) -> Column:
+    """The text has a token that can hold a run. Most texts have no such stretch even between spaces alone, which is cheap to see."""
+    return F.exists(F.split(text, " "), lambda part: F.octet_length(part) >= LONG_LEAST) & text.rlike(LONG)
+
+
 def _runs(text: Column, long: Column) -> dict[str, Column]:
     """The runs of the three rules that look for them; only texts with a long token can have one."""
     return {rule_id: F.when(long, run) for rule_id, run in (("ENC-001", base64_run(text)), ("ENC-002", hex_run(text)), ("REP-001", long_token(text)))}
@@ -162,14 +168,14 @@ def scan(text: Column, content_type: Column | None = None, mixed: Column | None
     """The findings of a normalised text, in catalogue order: one expression, built from the rule table."""
     hits = [_hit(text, F.lower(text), r) for r in catalogue]
     mixed = X.has_mixed_script(text) if mixed is None else mixed
-    return _findings(text, hits, _runs(text, text.rlike(LONG)), _marked(text, content_type), mixed, X.repetition_ratio(text), catalogue, config)
+    return _findings(text, hits, _runs(text, has_long(text)), _marked(text, content_type), mixed, X.repetition_ratio(text), catalogue, config)
 
 
 def scanned(df: DataFrame, content_type: Column | None = None, catalogue=rules.REGEX_RULES, config: ContentConfig = ContentConfig()) -> DataFrame:
     """normalised rows with findings and repetition_ratio. The projections follow one another, so that what several rules
     look at (the lower-cased text, each rule's hit, the long runs) is worked out once a row."""
     text, columns = F.col("cleaned"), df.columns
-    df = df.withColumns({"_low": F.lower(text), "_long": text.rlike(LONG), "repetition_ratio": X.repetition_ratio(text)})
+    df = df.withColumns({"_low": F.lower(text), "_long": has_long(text), "repetition_ratio": X.repetition_ratio(text)})
     hits = {f"_hit{i}": _hit(text, F.col("_low"), r) for i, r in enumerate(catalogue)}
     runs = {f"_run{i}": run for i, run in enumerate(_runs(text, F.col("_long")).values())}
     df = df.withColumns({**hits, **runs, "_marked": _marked(text, content_type)})
