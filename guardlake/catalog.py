@@ -14,6 +14,7 @@ from guardlake.functions.steps import new_path, written
 from guardlake.operators import audit, content, evaluation, formats, memory, messages, policy, sessions
 from guardlake.plans import derived as D
 from guardlake.sources import epochs, files
+from guardlake.streaming import jobs
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -1051,3 +1052,48 @@ def s10_outputs(spark, sf):
     tables = [(name, epochs.committed(spark, path, name)) for name in ("clean", "reports", "quarantine")]
     each = [df.select(F.lit(name).alias("name"), "content_type", (F.col("reject_reason") if name == "quarantine" else F.lit(None).cast("string")).alias("reject_reason")) for name, df in tables]
     return each[0].unionByName(each[1]).unionByName(each[2]).groupBy("name", "content_type", "reject_reason").agg(F.count("*").alias("n"))
+
+
+# the same operators as streams: a table is written, read as a stream, and what the stream commits is read back
+
+
+def _as_stream(df: DataFrame, name: str) -> DataFrame:
+    """df, written to a step and read from it as a stream."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)  # the store that keyed state with timers needs
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+def _committed(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream makes of all its input, committed and read back."""
+    spark, path = stream.sparkSession, new_path(stream.sparkSession, name)
+    epochs.start(stream, lambda batch: {name: batch}, path, f"{path}-checkpoint").awaitTermination()
+    return epochs.committed(spark, path, name, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema)).select(*stream.columns)
+
+
+@_q("a7_stream", _SQL["a7_consume_grants"])
+def a7_stream(spark, sf):
+    checked = policy.checked(D.requests(spark, sf), policy.ceilings_from_allowlist(D.allowlist(spark, sf)), guard_key="principal")
+    asked = _as_stream(policy.asks_grants(checked).select("request_id", "principal", "capability", "resource", "ts"), "asked")
+    return _committed(jobs.consume_grants(asked, written(D.grants(spark, sf), "grants")), "spent").select(F.col("request_id").cast("long").alias("request_id"), "grant_id")
+
+
+@_q("a10_stream", _SQL["a10_evaluate"])
+def a10_stream(spark, sf):
+    requests = _as_stream(D.requests(spark, sf), "requests")
+    overrides = written(policy.ceilings_from_allowlist(D.allowlist(spark, sf)), "overrides")
+    made = jobs.evaluate(requests, written(D.grants(spark, sf), "grants"), overrides)
+    return _committed(made, "decisions").select("request_id", "principal", "decision", "reason")
+
+
+@_q("u2_stream", _SQL["u2_build_chain"])
+def u2_stream(spark, sf):
+    return _committed(jobs.build_chain(_as_stream(D.audit_rows(spark, sf), "entries"), D.AUDIT_KEY), "chain")
+
+
+@_q("h11_stream", _SQL["h11_idle_trigger"])
+def h11_stream(spark, sf):
+    c = D.table(spark, sf, "events").select(F.col("user_id").alias("log_id"), F.col("event_id").alias("cycle"), F.when((F.col("event_type") == "click") | (F.col("value") > 50), 1).otherwise(0).alias("running"), F.lit(0).alias("error"))
+    return _committed(jobs.idle_trigger(_as_stream(c, "cycles")), "idle")

@@ -38,11 +38,9 @@ def _in_order(rows: Iterator[pd.DataFrame], *order: str) -> list[dict]:
 class _Held(StatefulProcessor):
     """One JSON value for each key."""
 
-    ttl: int | None = STATE_TTL_MS
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "body string", self.ttl)
+        self.state = handle.getValueState("state", "body string")
 
     def load(self):
         return json.loads(self.state.get()[0]) if self.state.exists() else None
@@ -55,18 +53,27 @@ class _Held(StatefulProcessor):
 
 
 class _Steps(_Held):
-    """Runs a step function over a key's rows in time order."""
+    """Runs a step function over a key's rows in time order. State goes when the watermark is a day past the key's last row."""
 
-    def __init__(self, id_col: str, out: str, step, config):
-        self.id_col, self.out, self.step, self.config = id_col, out, step, config
+    def __init__(self, id_col: str, out: str, step, config, kind):
+        self.id_col, self.out, self.step, self.config, self.kind = id_col, out, step, config, kind
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["ts", self.id_col])
         times = (pdf.ts.astype("datetime64[us]").astype("int64") / 1e6).tolist()
-        found, state = self.step(times, self.load(), self.config)
-        self.save(state)
+        held = self.load() or {"last": 0, "state": None}
+        found, state = self.step(times, held["state"], self.config)
+        last = max(held["last"], int(times[-1] * 1000))
+        self.save({"last": last, "state": state})
+        self.handle.registerTimer(last + STATE_TTL_MS)
         yield pd.DataFrame({self.id_col: pdf[self.id_col], self.out: found})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.load()
+        if held and held["last"] + STATE_TTL_MS <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        yield pd.DataFrame({self.id_col: pd.Series(dtype=self.kind), self.out: pd.Series(dtype=object)})
+
 
 def _fatigue(times, state, config):
     return policy.fatigue_step(times, tuple(state) if state else ([], None), config)
@@ -74,7 +81,9 @@ def _fatigue(times, state, config):
 
 def _stateful(df: DataFrame, key: str, id_col: str, out: str, kind: str, step, config) -> DataFrame:
     rows = df.select(id_col, key, "ts").withWatermark("ts", DELAY)
-    return rows.groupBy(key).transformWithStateInPandas(_Steps(id_col, out, step, config), f"{id_col} {df.schema[id_col].dataType.simpleString()}, {out} {kind}", "Append", "ProcessingTime")
+    id_kind = df.schema[id_col].dataType.simpleString()
+    steps = _Steps(id_col, out, step, config, object if id_kind == "string" else "int64")
+    return rows.groupBy(key).transformWithStateInPandas(steps, f"{id_col} {id_kind}, {out} {kind}", "Append", "EventTime")
 
 
 def fatigue(requests: DataFrame, key: str = "guard_key", config: FatigueConfig = FatigueConfig()) -> DataFrame:
@@ -106,8 +115,6 @@ class _Grants(_Held):
     Rows are grants (turn 0) and requests (turn 1); those of another turn, and requests that ask for nothing, pass through.
     """
 
-    ttl = None  # a grant goes at its end
-
     def _keep(self, grants: list, row: dict | None = None) -> None:
         if grants:
             self.save(grants)
@@ -172,8 +179,6 @@ def consume_grants(requests: DataFrame, grants: DataFrame | None = None, new_gra
 class _Tired(_Held):
     """The fatigue level of a principal's guarded rows; the others pass through. State goes once no row can feel it."""
 
-    ttl = None
-
     def __init__(self, config: FatigueConfig):
         self.config = config
 
@@ -224,8 +229,6 @@ def evaluate(requests: DataFrame, grants: DataFrame, overrides: DataFrame | None
 class _Chain(_Held):
     """The last hash of a log."""
 
-    ttl = None
-
     def __init__(self, key: bytes):
         self.secret = key
 
@@ -292,7 +295,7 @@ class _Idle(_Held):
 def idle_trigger(cycles: DataFrame, n: int = 3, key: str = "log_id") -> DataFrame:
     """key, cycle, fires of a stream of cycles (cycle, running, error): sessions.idle_trigger() for runs that cross micro-batches."""
     kinds = {c: cycles.schema[c].dataType.simpleString() for c in (key, "cycle")}
-    out = cycles.select(F.col(key).alias("key"), "cycle", "running", "error").groupBy("key").transformWithStateInPandas(_Idle(n), f"key {kinds[key]}, cycle {kinds['cycle']}, fires boolean", "Append", "ProcessingTime")
+    out = cycles.select(F.col(key).alias("key"), "cycle", "running", "error").groupBy("key").transformWithStateInPandas(_Idle(n), f"key {kinds[key]}, cycle {kinds['cycle']}, fires boolean", "Append", "None")
     return out.withColumnRenamed("key", key)
 
 
@@ -302,8 +305,6 @@ def idle_trigger(cycles: DataFrame, n: int = 3, key: str = "log_id") -> DataFram
 class _Windows(_Held):
     """Counts of a key's open windows; a timer at each one's end emits it. Rows behind the watermark come out as they are."""
 
-    ttl = None
-
     def __init__(self, width_us: int):
         self.width = width_us
 
