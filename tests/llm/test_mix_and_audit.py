@@ -252,3 +252,27 @@ def test_intervals_never_name_a_wrong_centroid():
         (known,) = vafile.sure(cells.astype(np.int64), [vafile.lookup(first, last, centroids)])
         assert ((known < 0) | (known == vafile.nearest(x, centroids))).all()
     assert (known >= 0).mean() > 0.5
+
+
+def test_rows_are_put_in_order_over_many_ranges(spark, monkeypatch):
+    from guardlake.llm import shared
+
+    monkeypatch.setattr(shared, "ROWS_IN_ORDER", 7)
+    rng = random.Random(6)
+    rows = [(f"k{rng.randrange(30):02d}", i, rng.randrange(9)) for i in range(200)]
+    out = shared.in_order(spark.createDataFrame(rows, "k string, i long, n long"), ["k", "i"], ["n"]).collect()
+    before = 0
+    for place, (r, want) in enumerate(zip(sorted(out, key=lambda r: r.position), sorted(rows))):
+        assert (r.position, r.k, r.i, r.n_before) == (place, *want[:2], before)
+        before += r.n
+    assert shared.in_order(spark.createDataFrame([], "k string"), ["k"]).count() == 0
+
+
+def test_mixing_takes_more_sources_than_one_range_and_broadcast(spark, monkeypatch):
+    from guardlake.llm import shared
+
+    monkeypatch.setattr(shared, "ROWS_IN_ORDER", 11)
+    monkeypatch.setattr(shared.small, "__defaults__", (3,))
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randrange(1, 9), f"s{rng.randrange(60)}") for i in range(900)]
+    check_mix(rows, mixing.mix(mix_rows(spark, rows)).collect())
