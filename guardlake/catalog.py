@@ -1057,13 +1057,31 @@ def s10_outputs(spark, sf):
 # the same operators as streams: a table is written, read as a stream, and what the stream commits is read back
 
 
-def _as_stream(df: DataFrame, name: str) -> DataFrame:
-    """df, written to a step and read from it as a stream."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
+#: Rows of a micro-batch of the registered streams, about: a key's rows of one are held in memory.
+STREAM_ROWS = 2_000_000
+
+
+def _as_stream(df: DataFrame, name: str, order: str, most: int = STREAM_ROWS) -> DataFrame:
+    """df, written to a step and read from it as a stream of micro-batches of about `most` rows, in order of the column `order`.
+
+    Rows of one value of `order` are in one micro-batch. A larger table is written by ranges of the order first, and the ranges are then
+    added one after the other, in equally many files each, as streams read files by their time.
+    """
+    spark, path, files_each = df.sparkSession, new_path(df.sparkSession, name), None
+    rows = written(df, f"{name}-rows")
+    parts = max(1, -(-rows.count() // most))
+    if parts == 1:
+        rows.write.parquet(path)
+    else:
+        ranged = written(rows.repartitionByRange(parts, order).withColumn("_range", F.spark_partition_id()), f"{name}-ranges", ("_range",))
+        sizes = sorted((r["_range"], r["n"]) for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).collect())
+        files_each = 8 if min(n for _, n in sizes) >= 1000 else 1
+        for i, _ in sizes:
+            ranged.filter(F.col("_range") == i).drop("_range").repartition(files_each).write.mode("append").parquet(path)
     provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)  # the store that keyed state with timers needs
-    return spark.readStream.schema(df.schema).parquet(path)
+    reader = spark.readStream.schema(df.schema)
+    return (reader.option("maxFilesPerTrigger", files_each) if files_each else reader).parquet(path)
 
 
 def _committed(stream: DataFrame, name: str) -> DataFrame:
@@ -1076,13 +1094,13 @@ def _committed(stream: DataFrame, name: str) -> DataFrame:
 @_q("a7_stream", _SQL["a7_consume_grants"])
 def a7_stream(spark, sf):
     checked = policy.checked(D.requests(spark, sf), policy.ceilings_from_allowlist(D.allowlist(spark, sf)), guard_key="principal")
-    asked = _as_stream(policy.asks_grants(checked).select("request_id", "principal", "capability", "resource", "ts"), "asked")
+    asked = _as_stream(policy.asks_grants(checked).select("request_id", "principal", "capability", "resource", "ts"), "asked", "ts")
     return _committed(jobs.consume_grants(asked, written(D.grants(spark, sf), "grants")), "spent").select(F.col("request_id").cast("long").alias("request_id"), "grant_id")
 
 
 @_q("a10_stream", _SQL["a10_evaluate"])
 def a10_stream(spark, sf):
-    requests = _as_stream(D.requests(spark, sf), "requests")
+    requests = _as_stream(D.requests(spark, sf), "requests", "ts")
     overrides = written(policy.ceilings_from_allowlist(D.allowlist(spark, sf)), "overrides")
     made = jobs.evaluate(requests, written(D.grants(spark, sf), "grants"), overrides)
     return _committed(made, "decisions").select("request_id", "principal", "decision", "reason")
@@ -1090,10 +1108,10 @@ def a10_stream(spark, sf):
 
 @_q("u2_stream", _SQL["u2_build_chain"])
 def u2_stream(spark, sf):
-    return _committed(jobs.build_chain(_as_stream(D.audit_rows(spark, sf), "entries"), D.AUDIT_KEY), "chain")
+    return _committed(jobs.build_chain(_as_stream(D.audit_rows(spark, sf), "entries", "seq"), D.AUDIT_KEY), "chain")
 
 
 @_q("h11_stream", _SQL["h11_idle_trigger"])
 def h11_stream(spark, sf):
     c = D.table(spark, sf, "events").select(F.col("user_id").alias("log_id"), F.col("event_id").alias("cycle"), F.when((F.col("event_type") == "click") | (F.col("value") > 50), 1).otherwise(0).alias("running"), F.lit(0).alias("error"))
-    return _committed(jobs.idle_trigger(_as_stream(c, "cycles")), "idle")
+    return _committed(jobs.idle_trigger(_as_stream(c, "cycles", "cycle")), "idle")

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -27,12 +28,40 @@ DELAY = "1 hour"
 _NEVER_US = 2**62
 
 
-def _in_order(rows: Iterator[pd.DataFrame], *order: str) -> list[dict]:
-    """The rows of a key in a micro-batch, in order; nulls first. Missing values are None."""
-    whole = pd.concat(list(rows))
-    whole = whole.astype(object).where(whole.notna(), None)
-    key = lambda row: tuple((row[c] is not None, row[c]) for c in order)
-    return sorted(whole.to_dict("records"), key=key)
+#: Rows that a key's result is given back in at a time.
+_OUT_ROWS = 10_000
+#: Groups of the rows that need no state and only pass through.
+_PASSING = 256
+
+
+def _plain(pdf: pd.DataFrame) -> Iterator[tuple]:
+    """The rows of a frame as tuples; missing values are None."""
+    return zip(*[[None if v is None or v != v else v for v in pdf[c].tolist()] for c in pdf.columns])
+
+
+def _in_order(rows: Iterator[pd.DataFrame], *order: str) -> Iterator[dict]:
+    """The rows of a key in a micro-batch, in order; nulls first. Missing values are None. They are held as tuples and given one by one."""
+    held, names = [], []
+    for pdf in rows:
+        names = list(pdf.columns)
+        held.extend(_plain(pdf))
+    places = [names.index(c) for c in order] if held else []
+    held.sort(key=lambda row: tuple((row[i] is not None, row[i]) for i in places))
+    return (dict(zip(names, row)) for row in held)
+
+
+def _frames(out: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows as frames of at most _OUT_ROWS rows; none if there are no rows."""
+    while piece := list(islice(out, _OUT_ROWS)):
+        yield pd.DataFrame(piece, columns=columns)
+
+
+def _lane(df: DataFrame, stateful: Column, keys: list[str]) -> DataFrame:
+    """df with `lane`: 0 for rows that meet their key's state. The others have no key, and are dealt to a few groups that are as
+    many whatever the keys are, as each group costs some milliseconds."""
+    keyless = F.lit(1) + F.pmod(F.xxhash64("order"), F.lit(_PASSING)).cast("int")
+    lane = df.withColumn("lane", F.when(stateful, 0).otherwise(keyless))
+    return lane.withColumns({k: F.when(F.col("lane") == 0, F.col(k)) for k in keys})
 
 
 class _Held(StatefulProcessor):
@@ -112,7 +141,8 @@ def new_updates(stream: DataFrame, source: str = "source", id_col: str = "update
 class _Grants(_Held):
     """Requests spend grants: state is a key's usable grants, newest first; a timer at each one's end drops it.
 
-    Rows are grants (turn 0) and requests (turn 1); those of another turn, and requests that ask for nothing, pass through.
+    Rows are grants (turn 0) and requests (turn 1). Requests that ask for nothing have a lane other than 0 and pass through,
+    in any order.
     """
 
     def _keep(self, grants: list, row: dict | None = None) -> None:
@@ -130,23 +160,30 @@ class _Grants(_Held):
             self._keep(grants, row)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        grants, out = self.load(), []
+        if key[0]:
+            for pdf in rows:
+                yield pdf[["ts", "body", "grant_id"]]
+            return
+        yield from _frames(self._spend(rows), ["ts", "body", "grant_id"])
+
+    def _spend(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        grants = self.load()
+        met = bool(grants)  # only then, or with a new grant, a row can change the state
         for row in _in_order(rows, "at", "turn", "order", "id"):
-            spent = None
-            if row["turn"] == 0 or row["asks"]:
-                grants, spent = policy.grant_step(grants, row)
+            grants, spent = policy.grant_step(grants, row)
             if row["turn"] == 0:
+                met = True
                 self._keep(grants, row)
             else:
-                out.append((row["ts"], row["body"], spent))
-        self._keep(grants or [])
-        yield pd.DataFrame(out, columns=["ts", "body", "grant_id"])
+                yield row["ts"], row["body"], spent
+        if met:
+            self._keep(grants)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         grants = self.load()
         if grants is not None:
             self._keep([g for g in grants if g[2] // 1000 >= expiredTimerInfo.getExpiryTimeInMs()])
-        yield pd.DataFrame({"ts": pd.Series(dtype="datetime64[us]"), "body": pd.Series(dtype=str), "grant_id": pd.Series(dtype=str)})
+        return iter(())
 
 
 _GRANT_ROW = ["principal", "capability", "turn", "at", "id", "grant_id", "scope", "until", "left"]
@@ -161,8 +198,9 @@ def _spending(asked: DataFrame, grants: DataFrame | None, new_grants: DataFrame
         rows = rows.unionByName(given.withColumn("grant_id", F.col("grant_id").cast("string")))
     if delay:
         rows = rows.withWatermark("ts", delay)
-    start = policy.grant_row(grants).withColumns({"until": F.coalesce("until", F.lit(_NEVER_US)), "grant_id": F.col("grant_id").cast("string")}).select(*_GRANT_ROW).groupBy("principal", "capability") if grants is not None else None
-    return rows.groupBy("principal", "capability").transformWithStateInPandas(_Grants(), "ts timestamp, body string, grant_id string", "Append", "EventTime", initialState=start, eventTimeColumnName="ts")
+    key = ["lane", "principal", "capability"]
+    start = policy.grant_row(grants).withColumns({"until": F.coalesce("until", F.lit(_NEVER_US)), "grant_id": F.col("grant_id").cast("string"), "lane": F.lit(0)}).select("lane", *_GRANT_ROW).groupBy(*key) if grants is not None else None
+    return _lane(rows, (F.col("turn") == 0) | F.col("asks"), key[1:]).groupBy(*key).transformWithStateInPandas(_Grants(), "ts timestamp, body string, grant_id string", "Append", "EventTime", initialState=start, eventTimeColumnName="ts")
 
 
 def consume_grants(requests: DataFrame, grants: DataFrame | None = None, new_grants: DataFrame | None = None, delay: str = DELAY) -> DataFrame:
@@ -177,30 +215,34 @@ def consume_grants(requests: DataFrame, grants: DataFrame | None = None, new_gra
 
 
 class _Tired(_Held):
-    """The fatigue level of a principal's guarded rows; the others pass through. State goes once no row can feel it."""
+    """The fatigue level of a principal's guarded rows; the others have a lane other than 0 and pass through. State goes once no row can feel it."""
 
     def __init__(self, config: FatigueConfig):
         self.config = config
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, out, last = self.load(), [], None
+        columns = ["ts", "order", "body", "level"]
+        if key[0]:
+            for pdf in rows:
+                yield pdf[columns[:3]].assign(level=None)
+            return
+        yield from _frames(self._levels(rows), columns)
+
+    def _levels(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        state, last = self.load(), 0
         for row in _in_order(rows, "at", "order"):
-            level = None
-            if row["guarded"]:
-                (level,), state = _fatigue([row["at"] / 1e6], state, self.config)
-                last = row["at"]
-            out.append((row["ts"], row["order"], row["body"], level))
-        if last is not None:
-            self.save(state)
-            self.handle.registerTimer(last // 1000 + 1000 * (max(self.config.window_seconds, self.config.cooldown_seconds) + 1))
-        yield pd.DataFrame(out, columns=["ts", "order", "body", "level"])
+            (level,), state = _fatigue([row["at"] / 1e6], state, self.config)
+            last = row["at"]
+            yield row["ts"], row["order"], row["body"], level
+        self.save(state)
+        self.handle.registerTimer(last // 1000 + 1000 * (max(self.config.window_seconds, self.config.cooldown_seconds) + 1))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = self.load()
         reach = 1000 * (max(self.config.window_seconds, self.config.cooldown_seconds) + 1)
         if state and max([*state[0], state[1] or 0]) * 1000 + reach <= expiredTimerInfo.getExpiryTimeInMs():
             self.state.clear()
-        yield pd.DataFrame({"ts": pd.Series(dtype="datetime64[us]"), "order": pd.Series(dtype="int64"), "body": pd.Series(dtype=str), "level": pd.Series(dtype=str)})
+        return iter(())
 
 
 def evaluate(requests: DataFrame, grants: DataFrame, overrides: DataFrame | None = None, postures: DataFrame | None = None, dims: policy.Dimensions = policy.Dimensions(), fatigue_config: FatigueConfig = FatigueConfig(), delay: str = DELAY) -> DataFrame:
@@ -214,7 +256,7 @@ def evaluate(requests: DataFrame, grants: DataFrame, overrides: DataFrame | None
     placed = policy.placed(requests.withWatermark("ts", delay), overrides, postures, dims)
     types = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in keep)
     rows = placed.select("principal", "ts", F.unix_micros("ts").alias("at"), F.col("request_id").cast("long").alias("order"), policy.is_guarded().alias("guarded"), F.to_json(F.struct(*keep)).alias("body"))
-    tired = rows.groupBy("principal").transformWithStateInPandas(_Tired(fatigue_config), "ts timestamp, order long, body string, level string", "Append", "EventTime", eventTimeColumnName="ts")
+    tired = _lane(rows, F.col("guarded"), ["principal"]).groupBy("lane", "principal").transformWithStateInPandas(_Tired(fatigue_config), "ts timestamp, order long, body string, level string", "Append", "EventTime", eventTimeColumnName="ts")
     read = tired.select("ts", "order", "level", "body", F.from_json("body", types).alias("r")).select("ts", "order", "level", "body", "r.*")
     asked = read.select("principal", "capability", "ts", "order", policy.is_asking().alias("asks"), "resource", F.to_json(F.struct("level", "body")).alias("body"))
     spent = _spending(asked, grants, None, None)
@@ -236,13 +278,15 @@ class _Chain(_Held):
         self.save(initialState["hmac"].iloc[0])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        head, out = self.load() or audit.GENESIS, []
+        yield from _frames(self._linked(rows), ["log_id", "seq", "payload", "content_hash", "prev_hash", "hmac"])
+
+    def _linked(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        head = self.load() or audit.GENESIS
         for row in _in_order(rows, "seq"):
             mac = audit.chained(self.secret, row["content_hash"], head)
-            out.append({**{c: row[c] for c in ("log_id", "seq", "payload", "content_hash")}, "prev_hash": head, "hmac": mac})
+            yield row["log_id"], row["seq"], row["payload"], row["content_hash"], head, mac
             head = mac
         self.save(head)
-        yield pd.DataFrame(out)
 
 
 def build_chain(entries: DataFrame, key: bytes, heads: DataFrame | None = None) -> DataFrame:
@@ -284,12 +328,14 @@ class _Idle(_Held):
         self.n = n
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        run, out = self.load() or 0, []
+        yield from _frames(self._fires(key[0], rows), ["key", "cycle", "fires"])
+
+    def _fires(self, key, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        run = self.load() or 0
         for row in _in_order(rows, "cycle"):
             run = run + 1 if row["running"] == 0 and row["error"] == 0 else 0
-            out.append((key[0], row["cycle"], run > 0 and run % self.n == 0))
+            yield key, row["cycle"], run > 0 and run % self.n == 0
         self.save(run)
-        yield pd.DataFrame(out, columns=["key", "cycle", "fires"])
 
 
 def idle_trigger(cycles: DataFrame, n: int = 3, key: str = "log_id") -> DataFrame:
@@ -320,7 +366,7 @@ class _Windows(_Held):
                 self.handle.registerTimer((begin + self.width) // 1000)
             windows[str(begin)] += 1
         self.save(windows)
-        yield pd.DataFrame(late, columns=["key", "at", "n", "body"])
+        yield from _frames(iter(late), ["key", "at", "n", "body"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         windows, begin = self.load() or {}, expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.width
