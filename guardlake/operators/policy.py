@@ -192,8 +192,17 @@ def fatigue(requests: DataFrame, key: str = "guard_key", config: FatigueConfig =
 
 def fatigue_rate(requests: DataFrame, key: str = "principal", config: FatigueConfig = FatigueConfig()) -> DataFrame:
     """With recent: how many requests of the key lie in the window that ends at each one. No feedback; for monitoring."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros("ts")).rangeBetween(-config.window_seconds * 1_000_000, 0)
-    return requests.withColumn("recent", F.count("*").over(w))
+    width = config.window_seconds * 1_000_000
+    at = F.unix_micros("ts")
+    # Periods of the window's length: a window meets its row's own period and the one before. A row counts from its time on in its own
+    # period, and as a row that leaves in the next one, so a period is a running sum, and a key's work is many tasks'.
+    rows = requests.withColumns({"_at": at, "_from": at - F.pmod(at, F.lit(width)), "_in": F.lit(1), "_out": F.lit(0)})
+    gone = requests.filter(at.isNotNull()).select(key, (at + width + 1).alias("_at"), (at - F.pmod(at, F.lit(width)) + width).alias("_from"), F.lit(0).alias("_in"), F.lit(1).alias("_out"))
+    period = Window.partitionBy(key, "_from")
+    to_now = period.orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = rows.unionByName(gone, allowMissingColumns=True)
+    recent = F.sum(F.col("_in") - F.col("_out")).over(to_now) + F.sum("_out").over(period)
+    return both.withColumn("recent", recent).filter("_in = 1").drop("_at", "_from", "_in", "_out")
 
 
 def checked(requests: DataFrame, overrides: DataFrame | None = None, postures: DataFrame | None = None, guard_key: str | None = None, dims: Dimensions = Dimensions()) -> DataFrame:

@@ -158,3 +158,18 @@ def test_consolidation_is_idempotent(spark):
     assert [(r.text, r["count"], r.stale) for r in first] == [("Use Small  batches!", 4, False)]
     again = spark.createDataFrame([(i, r.text, r["count"], r.last_seen, r.stale) for i, r in enumerate(first)], none.schema)
     assert memory.consolidate(episodes, again, now).collect() == first
+
+
+def test_fatigue_rate_is_counted_by_periods(spark):
+    """A key's rows are dealt out by periods of the window's length; counts are those of a comparison of all rows."""
+    rng = random.Random(4)
+    config = policy.FatigueConfig(window_seconds=60)
+    times = [rng.choice([0, 59, 60, 61, 119, 120, 180, -1, -60, rng.randrange(-500, 500), None]) for _ in range(300)]
+    rows = [(i, rng.choice(["a", "b", None]), t if t is None else t * 1_000_000 + rng.choice([0, 0, 1, -1])) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "request_id long, principal string, us long").withColumn("ts", F.timestamp_micros("us"))
+    out = policy.fatigue_rate(df, config=config)
+    want = {i: sum(q == p and (u is None if us is None else u is not None and us - 60_000_000 <= u <= us) for _, q, u in rows) for i, p, us in rows}
+    assert {r.request_id: r.recent for r in out.collect()} == want
+    assert out.columns == [*df.columns, "recent"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "RangeFrame, -60000000" not in plan and "_from" in plan.split("hashpartitioning(")[1].split(")")[0]
