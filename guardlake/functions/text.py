@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The classes of invisible characters, by category, as the bodies of regex classes.
 INVISIBLE = {
@@ -97,11 +100,22 @@ def is_hidden_style(style: Column) -> Column:
     return F.coalesce(plain.rlike(HIDDEN_KEYWORD) | opacity, F.lit(False))
 
 
+@F.arrow_udf(T.FloatType())
+def _repetition_ratio(texts: pa.Array) -> pa.Array:
+    data = texts.cast(pa.large_binary())
+    at = np.frombuffer(data.buffers()[1], np.int64, len(data) + 1, 8 * data.offset)
+    raw = np.frombuffer(data.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    same = np.flatnonzero(raw[1:] == raw[:-1]) + 1  # bytes that equal the one before
+    starts, n = at[:-1], np.diff(at)
+    found = np.searchsorted(same, at[1:]) - np.searchsorted(same, np.minimum(starts + 1, at[1:]))
+    ratio = (found / np.maximum(n, 1)).astype(np.float32)
+    return pa.array(ratio, pa.float32(), mask=np.asarray(texts.is_null()))
+
+
 def repetition_ratio(text: Column) -> Column:
-    """Adjacent equal bytes over bytes, as float; 0 for fewer than two bytes."""
-    n = F.octet_length(text)
-    as_bytes = F.when(F.length(text) == n, text).otherwise(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"))
-    return F.when(n >= 2, ((n - F.length(F.regexp_replace(as_bytes, r"(?s)(.)\1+", "$1"))) / n).cast("float")).otherwise(F.lit(0.0).cast("float"))
+    """Adjacent equal bytes over bytes, as float; 0 for fewer than two bytes, as for null."""
+    return F.coalesce(_repetition_ratio(text), F.lit(0.0).cast("float"))
 
 
 def tail_lines(text: Column, n: int = 20) -> Column:
