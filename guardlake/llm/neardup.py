@@ -37,15 +37,13 @@ MAX_BROADCAST_IDS = 1_000_000
 #: Of the nodes that must be compared with their tokens' others, so large a share leads first, then GROWTH times as many;
 #: what has come together meanwhile need not be compared. Up to FEW rows all lead at once.
 FIRST_SHARE, GROWTH, FEW = 1 / 64, 4, 2_000
-#: Groups over which a leader's pairs are dealt.
-SALTS = 64
+#: Leaders whose sets a task holds at a time, and partners that it compares with them: a larger group of pairs is cut into such tiles.
+LEADERS, PARTNERS = 256, 1024
 SEED = 53
 #: Tables of links and buckets are read with so many rows a task; those that fit one task need no shuffle.
 ROWS_PER_TASK = 200_000
 #: Cells in which elements are counted to put the rarest first.
 CELLS = 1 << 18
-#: So many elements before each in a prefix are kept with it, to see that two sets have met already.
-BEFORE = 24
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -153,30 +151,48 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
     return map_text(rows_, ["_gl_text"], make, fields, ["id"])
 
 
+def tiles(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b, near) with the columns x and y: of the leaders (b) of one `near` about LEADERS share an x, of the partners (a) about PARTNERS a y."""
+    many = pairs.groupBy("near").agg(F.count_distinct("b").alias("x"), F.count_distinct("a").alias("y"))
+    part = lambda node, name, most: F.pmod(F.xxhash64(node), F.ceil(F.col(name) / most)).cast("int")
+    return pairs.join(many, "near").select("near", part("b", "x", LEADERS).alias("x"), part("a", "y", PARTNERS).alias("y"), "a", "b")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
-    """The pairs (a, b) whose texts are alike by the threshold, exactly.
+    """The pairs (a, b) whose texts are alike by the threshold, exactly; each of (a, b, near) is given once.
 
-    A leader (b) may have many pairs: they are dealt over SALTS groups. A group has the leader's text once, first, and
-    then each partner's, so a pair moves one text and no key is hot.
+    Pairs of one `near` have many texts in common. They are dealt in tiles, to which each text goes once, not once a pair:
+    a tile's leaders (b) come first and are held as sets, then come its partners, each with the leaders to compare it with.
+    The pairs are written first: if they are few they go to the texts, and only the texts that a pair names are moved.
     """
-    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
-    of = lambda name: texts.select(F.col("node").alias(name), "text")
-    partners = dealt.join(of("a"), "a").select("b", "salt", "a", "text", F.lit(1).alias("turn"))
-    leaders = dealt.select("b", "salt").distinct().join(of("b"), "b").select("b", "salt", F.lit(None).cast(pairs.schema["a"].dataType).alias("a"), "text", F.lit(0).alias("turn"))
-    both = partners.unionByName(leaders).repartition("b", "salt").sortWithinPartitions("b", "salt", "turn")
+    dealt = sized(tiles(sized(pairs, "pairs")), "tiles")
+    tile = ["near", "x", "y"]
+    partners = dealt.groupBy(*tile, F.col("a").alias("node")).agg(F.collect_list("b").alias("leaders"))
+    leaders = dealt.select(*tile, F.col("b").alias("node")).distinct().withColumn("leaders", F.lit(None).cast(partners.schema["leaders"].dataType))
+    ask = sized(partners.unionByName(leaders), "asked")
+    near = 2 * dealt.count() <= MAX_BROADCAST_IDS  # so many rows at most, and half as many ids in their lists
+    both = (F.broadcast(ask) if near else ask).join(texts, "node").withColumn("turn", F.col("leaders").isNotNull()).repartition(*tile).sortWithinPartitions(*tile, "turn")
     schema = T.StructType([pairs.schema["a"], pairs.schema["b"]])
 
     def run(batches):
-        leader = None
+        held, last = {}, True
         for batch in batches:
-            keep = []
-            for text, turn in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                found = shingles(text, words)
-                leader = leader if turn else found
-                keep.append(turn == 1 and similarity(found, leader) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return in_batches(both.select("b", "salt", "a", "text", "turn"), run, schema)
+            a, b = [], []
+            for node, text, asked in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if asked is None:
+                    if last:  # a new tile
+                        held = {}
+                    held[node] = shingles(text, words)
+                else:
+                    found = shingles(text, words)
+                    alike = [x for x in asked if similarity(found, held[x]) >= threshold]
+                    a += [node] * len(alike)
+                    b += alike
+                last = asked is not None
+            kind = batch.schema.field(0).type
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+
+    return in_batches(both.select("node", "text", "leaders"), run, schema)
 
 
 def sized(df: DataFrame, name: str) -> DataFrame:
@@ -240,7 +256,7 @@ def prefix(elements: np.ndarray, counts: np.ndarray, threshold: float) -> np.nda
 
 
 def prefixes(texts: DataFrame, threshold: float, words: int) -> DataFrame:
-    """node, n, pos, token, before (the few tokens ahead of it) of each text's prefix, the rarest at position 0."""
+    """node, n, pos, token, ahead (the token just ahead of it, if any) of each text's prefix, the rarest at position 0."""
     held = texts.sparkSession.sparkContext.broadcast(element_counts(texts, words))
 
     def make():
@@ -251,7 +267,8 @@ def prefixes(texts: DataFrame, threshold: float, words: int) -> DataFrame:
         return of
 
     fields = [T.StructField("n", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))]
-    return map_text(texts, ["text"], make, fields, ["node"]).select("node", "n", "tokens", F.posexplode("tokens").alias("pos", "token")).select("node", "n", "pos", "token", F.slice("tokens", F.greatest(F.col("pos") - BEFORE + 1, F.lit(1)), F.least("pos", F.lit(BEFORE))).alias("before"))
+    found = map_text(texts, ["text"], make, fields, ["node"]).select("node", "n", "tokens", F.posexplode("tokens").alias("pos", "token"))
+    return found.select("node", "n", "pos", "token", F.get("tokens", F.col("pos") - 1).alias("ahead"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -266,14 +283,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig = written(signatures(docs, id_col, text_col, bands, rows, words), "signatures")
     copies = written(sig.groupBy("d1", "d2").agg(F.min("id").alias("node")), "copies")
     nodes = sig.filter("n > 0").join(copies.select(F.col("node").alias("id")), "id", "left_semi")
-    spread = nodes.select(F.col("id").alias("node"), "n", F.explode("bands").alias("bucket"))
+    # dealt by bucket once, for the buckets' first nodes and for their members
+    spread = nodes.select(F.col("id").alias("node"), "n", F.explode("bands").alias("bucket")).repartition("bucket")
     shared = spread.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("first"), F.max("node").alias("last")).filter("first.node < last")
     members = sized(spread.join(shared.select("bucket", "first"), "bucket"), "buckets")
 
     # two sets whose first common element is at these positions share at most what is left from there on
     reach = lambda m, i, n, j: F.least(m - i, n - j) >= threshold / (1 + threshold) * (m + n) - 1e-6
     close = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)  # noqa: E731  no similarity is larger than the ratio of the sizes
-    pairs = members.filter((F.col("node") != F.col("first.node")) & close(F.col("n"), F.col("first.n"))).select(F.col("node").alias("a"), F.col("first.node").alias("b")).distinct()
+    pairs = members.filter((F.col("node") != F.col("first.node")) & close(F.col("n"), F.col("first.n"))).select(F.col("node").alias("a"), F.col("first.node").alias("b")).distinct().withColumn("near", F.xxhash64("b"))
     texts = written(texts_of(docs, members.select("node").distinct(), id_col, text_col), "candidate-texts")
     comps = sized(components(sized(verified(pairs, texts, threshold, words), "links")), "classes")
 
@@ -282,7 +300,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unsure = sized(in_comp.join(mixed, "bucket", "left_semi").select("node").distinct(), "unsure")
     state = None
     if not unsure.isEmpty():
-        state = prefixes(texts.join(unsure, "node", "left_semi"), threshold, words)
+        texts = texts.join(few(unsure), "node", "left_semi")
+        state = written(prefixes(texts, threshold, words), "prefixes")
         # the smaller set of a pair has the element among its rarest ninth
         early = F.max(F.col("pos") <= F.col("n") * (1 - 2 * threshold / (1 + threshold)) + 1e-6)
         several = state.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), early.alias("early")).filter("lo <> hi and early").select("token")
@@ -298,11 +317,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         leads = asks & (draw("node", SEED) < share) if waiting > FEW and share < 1 else asks
         now = now.withColumn("leads", leads)
-        turn = now.filter("leads").select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("before").alias("before_b"), F.col("comp").alias("comp_b"))
-        # a pair with an element in common further ahead is compared there
-        pairs = now.filter("not turned").join(turn, "token").filter(~F.arrays_overlap("before", "before_b") & (F.col("comp") != F.col("comp_b")) & (~F.col("leads") | (F.col("node") > F.col("b"))) & reach(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b")))
-        more = sized(verified(pairs.select(F.col("node").alias("a"), "b").distinct(), texts, threshold, words), "links")
-        state = sized(now.select("token", "node", "n", "pos", "before", (F.col("turned") | F.col("leads")).alias("turned")), "prefixes")
+        turn = now.filter("leads").select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("ahead").alias("ahead_b"), F.col("comp").alias("comp_b"))
+        # a pair that also has the element just ahead in common is compared at its first common one, which has none ahead
+        pairs = now.filter("not turned").join(turn, "token").filter(~F.coalesce(F.col("ahead") == F.col("ahead_b"), F.lit(False)) & (F.col("comp") != F.col("comp_b")) & (~F.col("leads") | (F.col("node") > F.col("b"))) & reach(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b")))
+        more = sized(verified(pairs.groupBy(F.col("node").alias("a"), "b").agg(F.min("token").alias("near")), texts, threshold, words), "links")
+        state = sized(now.select("token", "node", "n", "pos", "ahead", (F.col("turned") | F.col("leads")).alias("turned")), "prefixes")
         if not more.isEmpty():
             comps = sized(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)), "classes")
         share *= GROWTH
