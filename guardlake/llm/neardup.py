@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unsure = sized(in_comp.join(mixed, "bucket", "left_semi").select("node").distinct(), "unsure")
     state = None
     if not unsure.isEmpty():
-        texts = texts.join(few(unsure), "node", "left_semi")
+        texts = written(texts.join(few(unsure), "node", "left_semi"), "unsure-texts")
         state = written(prefixes(texts, threshold, words), "prefixes")
         # the smaller set of a pair has the element among its rarest ninth
         early = F.max(F.col("pos") <= F.col("n") * (1 - 2 * threshold / (1 + threshold)) + 1e-6)
